@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secrets, url_rules
+from . import bpe, debruijn, fingerprints, langid, mixing, secrets, url_rules
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,11 @@ def sha256(text) -> F.Column:
     return F.sha2(text, 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = debruijn.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", sha256("kept").alias("kept_sha256"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, tokenizer_path()).select("doc_id", "ids", "decoded")
@@ -32,12 +37,26 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs)).drop("text")
+    held_out = F.coalesce(langid.fold_of("doc_id") == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.compare_edits(docs).select(
+        "doc_id", "n_chars", sha256("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -55,8 +74,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
+    "op3_language": op3_language,
     "op4_url_rules": op4_url_rules,
+    "op6_fingerprints": op6_fingerprints,
     "op8_mixing": op8_mixing,
     "op10_secrets": op10_secrets,
 }
