@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, fingerprints, langid, mixing, secrets, url_rules
+from . import bpe, debruijn, fingerprints, jaccard, langid, mixing, secrets, url_rules
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -50,6 +50,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprints.compare_edits(docs).select(
@@ -78,6 +82,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_language": op3_language,
     "op4_url_rules": op4_url_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_fingerprints": op6_fingerprints,
     "op8_mixing": op8_mixing,
     "op10_secrets": op10_secrets,
