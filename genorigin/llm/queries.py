@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, fingerprints, jaccard, langid, mixing, secrets, url_rules
+from . import bpe, debruijn, embeddings, fingerprints, jaccard, langid, mixing, secrets, url_rules
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +61,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -84,6 +88,7 @@ QUERIES = {
     "op4_url_rules": op4_url_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_fingerprints": op6_fingerprints,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_mixing": op8_mixing,
     "op10_secrets": op10_secrets,
 }
