@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, embeddings, fingerprints, jaccard, langid, mixing, secrets, url_rules
+from . import bpe, debruijn, embeddings, fingerprints, jaccard, langid, mixing, secrets, suffixes, url_rules
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,6 +70,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept").alias("kept_sha256"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: ~s["linked"])
@@ -90,5 +95,6 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_mixing": op8_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secrets": op10_secrets,
 }
