@@ -44,10 +44,13 @@ def pairs_of(codes: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return i[keep], j[keep]
 
 
-def run_blocks(rows: DataFrame, work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, width: int = 2048) -> DataFrame:
-    """Apply work(members, i, j) to the rows of whole block pairs, some ``width`` rows at a time, with the pairs to compare."""
+def run_blocks(rows: DataFrame, member: str, work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, width: int = 2048) -> DataFrame:
+    """Apply work(members, i, j) to the rows of whole block pairs, some ``width`` rows at a time, with the pairs to compare.
+
+    The rows of a block pair come in order of member, so forests of overlapping groups agree on the members that they choose as roots.
+    """
     n = shuffle_width(rows.sparkSession)
-    dealt = rows.repartition(n, "block").sortWithinPartitions("block")
+    dealt = rows.repartition(n, "block").sortWithinPartitions("block", member)
 
     def finish(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts).combine_chunks()

@@ -209,14 +209,14 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolera
     full = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = keys.join(full, "bucket").join(classes.select("class", "signature"), "class")
     rule = fewest_matches(threshold, tolerance)
-    near = run_blocks(block_pairs(members, "bucket", "class"), _survivors(rule), "a string, b string")
+    near = run_blocks(block_pairs(members, "bucket", "class"), "class", _survivors(rule), "a string, b string")
     groups = connected(near, "candidates").select(F.col("node").alias("class"), F.col("root").alias("group"))
     grouped = stored(classes.join(groups, "class"), "grouped")
     heads = prints.drop("signature").join(grouped, "class").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["class"])
     same = texts["doc_id"].eqNullSafe(heads["doc_id"]) & (texts["tie"] == heads["tie"])
     with_text = texts.join(heads, same).select("group", "class", "size", "signature", "text").dropDuplicates(["class"])
     sets = with_text.mapInArrow(_shingles(words), "group string, class string, size long, signature binary, shingles array<long>")
-    found = stored(run_blocks(block_pairs(sets, "group", "class", 256), _verified(rule, threshold), "class string, links long, other string", 512), "links")
+    found = stored(run_blocks(block_pairs(sets, "group", "class", 256), "class", _verified(rule, threshold), "class string, links long, other string", 512), "links")
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = connected(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")), "groups")
     labelled = classes.join(counts, "class", "left").join(parts, classes["class"] == parts["node"], "left").select(
