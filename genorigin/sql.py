@@ -73,7 +73,7 @@ SCORES = f"""{SAMPLES}, {KNOWN}, rk AS (SELECT *, row_number() OVER (ORDER BY sa
 fd AS (SELECT *, CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1) ELSE n % 5 + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM rk),
 p AS (SELECT a.sampleid, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM fd a JOIN fd b ON a.fold <> b.fold),
 g AS (SELECT 5e-1 + k * (10 - 5e-1) / 19 AS bandwidth FROM range(0, 20) t(k)),
-ld AS (SELECT sampleid, bandwidth, ln(sum(exp(-d2 / (2 * bandwidth * bandwidth))) / (count(*) * 2 * pi() * bandwidth * bandwidth)) AS v FROM p, g GROUP BY ALL),
+ld AS (SELECT sampleid, bandwidth, ln(sum(exp(-d2 / (2 * bandwidth * bandwidth))) / (count(*) * 2 * pi() * bandwidth * bandwidth)) AS v FROM p, g GROUP BY sampleid, bandwidth),
 scores AS (SELECT bandwidth, sum(v) AS score FROM ld GROUP BY ALL)"""
 CIRCLE = """geo AS (SELECT vec_id, 180 * embedding[1]::DOUBLE AS lon1, 90 * embedding[2]::DOUBLE AS lat1, 180 * embedding[3]::DOUBLE AS lon2, 90 * embedding[4]::DOUBLE AS lat2 FROM embeddings),
 g1 AS (SELECT *, radians((lat1 + lat2) / 2) f, radians((lat1 - lat2) / 2) g, radians((lon1 - lon2) / 2) l FROM geo),
@@ -181,7 +181,8 @@ ORACLE = {
     "cap_snps": q(f"{WIDE}, {SITES}", f"SELECT position FROM sites ORDER BY {md5(0, 'chrom', 'position')}, chrom, position LIMIT 100"),
     "pick_samples": q(SAMPLES, f"SELECT sampleid FROM samples ORDER BY {md5(0, 'sampleid')}, sampleid LIMIT 9"),
     "hdr_cumulative": q(
-        SURFACE, "SELECT sampleid, round(gx, 6) AS gx, round(gy, 6) AS gy, round(sum(density) OVER (PARTITION BY sampleid ORDER BY density DESC, gx, gy ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY sampleid), 6) AS mass FROM surf WHERE density > 1e-6"
+        f"{SURFACE}, hc AS (SELECT *, sum(density) OVER (PARTITION BY sampleid ORDER BY density DESC, gx, gy ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY sampleid) AS mass FROM surf)",
+        f"SELECT sampleid, {R('gx')}, {R('gy')}, {R('mass')} FROM hc WHERE density > 1e-6",
     ),
     "union_predictions": q(PRED, f"SELECT sampleid, {R('x')}, {R('y')}, replicate, NULL::INT AS fold FROM pred UNION ALL SELECT sampleid, round(x, 6), round(y, 6), NULL, 1 FROM known"),
     "prediction_set": q(SAMPLES, "SELECT sampleid FROM samples WHERE x IS NULL OR substr(md5(sampleid), 1, 1) >= '8'"),
