@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: WGS-84: equatorial radius in km, flattening (fixed values).
 RADIUS, FLATTENING = 6378.137, 1 / 298.257223563
@@ -99,7 +100,7 @@ def with_geodesic_km(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str,
     return near.withColumn(name, F.coalesce(F.col(name), _antipodal(*rest)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _antipodal(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The length of the best meridian-like path: by halving the distance at a midpoint found by search."""
     import numpy as np
@@ -145,9 +146,8 @@ def _antipodal(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]
 
 def digitize(x: Column, low: Column, high: Column, bins: int) -> Column:
     """The right-closed bin of x among equal bins from low to high, 0 to bins - 1; all of it in bin 0 if they are equal."""
-    width = (high - low) / F.lit(bins)
-    k = F.ceil(F.try_divide(x - low, width)).cast("int") - 1
-    return F.coalesce(F.greatest(F.lit(0), F.least(k, F.lit(bins - 1))), F.when(x.isNotNull(), F.lit(0)))
+    k = F.ceil(F.try_divide(x - low, (high - low) / F.lit(bins))).cast("int") - 1
+    return F.when(x.isNull(), F.lit(None)).when(high == low, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(k, F.lit(bins - 1)))).cast("int")
 
 
 def range_penalty(error: Column, valid: Column, weight: float) -> Column:
