@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from genorigin.functions.genotype import dosage_from_alleles, is_missing_call
+from genorigin.functions.genotype import allele_copies, dosage_from_alleles, is_missing_call
 from genorigin.functions.keyed import binomial1, binomial2, digest
 
 SITE = ["chrom", "position"]
@@ -18,7 +18,7 @@ SITE = ["chrom", "position"]
 def allele_counts(calls: DataFrame, most: int = 3) -> DataFrame:
     """Per site: n0, n1, ... up to allele ``most``, how often each allele is called. Missing calls do not count. One pass, nothing is exploded."""
     present = ~is_missing_call(F.col("alleles"))
-    count = lambda k: F.sum(F.when(present, F.size(F.filter("alleles", lambda a: a == k))).otherwise(0)).cast("long")
+    count = lambda k: F.sum(F.when(present, allele_copies(F.col("alleles"), k)).otherwise(0)).cast("long")
     return calls.groupBy(*SITE).agg(*[count(k).alias(f"n{k}") for k in range(most + 1)])
 
 

@@ -12,7 +12,11 @@ WIDTH = 64
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as doubles. A small table comes in a file or two; its rows are dealt to all cores, as each makes many calls."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if e.rdd.getNumPartitions() < cores:
+        e = e.repartition(cores)
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.concat(F.lit("s"), "vec_id").alias("sampleid"))
 
 
