@@ -69,8 +69,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, seed: int = 1) -> Model:
-    """Fit on texts and their labels, in memory. keep: the share of good predictions that the rejection threshold lets through."""
+def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, highest: float = 0.4, seed: int = 1) -> Model:
+    """Fit on texts and their labels, in memory. keep: the share of good predictions that the rejection threshold lets through; highest: its upper limit."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -119,7 +119,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: in
     temperature = float(grid[int(np.argmin(loss))])
     scores = _softmax(logits / temperature)
     good = scores.max(axis=1)[scores.argmax(axis=1) == y[audit]]
-    threshold = float(min(np.quantile(good, 1 - keep), 0.5)) if len(good) else 0.0
+    threshold = float(min(np.quantile(good, 1 - keep), highest)) if len(good) else 0.0
     return Model(languages, (vectors @ weights).astype(np.float32), bias, temperature, threshold)
 
 
