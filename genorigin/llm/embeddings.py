@@ -124,7 +124,7 @@ def _query(threshold: float, ef: int, audit: int, recall: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, shards: int = 6, shard_rows: int = 500_000, block_rows: int = 16_384, ef: int = 48, audit: int = 8, recall: float = 0.99
+    vectors: DataFrame, threshold: float = 0.9, shards: int = 6, shard_rows: int = 200_000, block_rows: int = 16_384, ef: int = 48, audit: int = 8, recall: float = 0.99
 ) -> DataFrame:
     """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 

@@ -144,7 +144,10 @@ def fold_of(doc_id: str, folds: int = 3) -> Column:
 
 
 def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3, per_language: int = 600, most: int = 6000) -> Model:
-    """Learn from text and label of docs (doc_id, text, label) outside the held-out fold; rows without id, text or label are left out."""
+    """Learn from text and label of docs (doc_id, text, label) outside the held-out fold; rows without id, text or label are left out.
+
+    The languages are the 1,000 most frequent labels.
+    """
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held_out))
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect()}
     if not counts:
