@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,15 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 
+def release() -> None:
+    """Give memory that is free within this process back to the system: worker processes live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most so many bytes of text each, or one row."""
     for batch in batches:
@@ -19,6 +29,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

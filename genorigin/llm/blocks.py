@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import release
 from .common import shuffle_width
 
 
@@ -60,7 +61,7 @@ def run_blocks(rows: DataFrame, member: str, work: Callable[[pa.Table, np.ndarra
         at = 0
         while at < len(starts):  # whole blocks, until their rows or pairs are enough
             to, cost = at, 0
-            while to < len(starts) and (to == at or (stops[to] - starts[at] <= width and cost + (stops[to] - starts[to]) ** 2 <= 2_000_000)):
+            while to < len(starts) and (to == at or (stops[to] - starts[at] <= width and cost + (stops[to] - starts[to]) ** 2 <= 500_000)):
                 cost += (stops[to] - starts[to]) ** 2
                 to += 1
             part = table.slice(int(starts[at]), int(stops[to - 1] - starts[at])).combine_chunks()
@@ -95,6 +96,7 @@ def run_blocks(rows: DataFrame, member: str, work: Callable[[pa.Table, np.ndarra
                     size += piece.num_rows
         if held:
             yield from finish(held)
+        release()
 
     return dealt.mapInArrow(run, schema)
 

@@ -47,6 +47,9 @@ def fewest_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
 
 def prune(signatures: np.ndarray, i: np.ndarray, j: np.ndarray, rule: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that survive the incremental comparison; signatures: (members, HASHES)."""
+    if len(i) > 1 << 17:  # in parts, for memory
+        parts = [prune(signatures, i[k : k + (1 << 17)], j[k : k + (1 << 17)], rule) for k in range(0, len(i), 1 << 17)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     matches, done = np.zeros(len(i), np.int64), 0
     for n, least in rule:
         matches += (signatures[i, done:n] == signatures[j, done:n]).sum(axis=1)
