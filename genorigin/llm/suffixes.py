@@ -5,8 +5,8 @@ smallest 64-byte hashes in them) form a path; equal windows have equal anchors,
 its anchor. Paths that are alone at their anchor are unique; paths that are equal as a whole repeat as a whole. What is left are anchors with
 several different paths, of each of which one copy is kept: a collection of strings, each a little longer than a window. For these the
 collection's Burrows-Wheeler transform is built column-wise: every round inserts one more symbol of every string, from their ends to their
-starts, and merges the new suffixes into the sorted ones by counting. The transform and the suffix order are files that each round reads from front to back and
-writes anew. In the final order, suffixes that share ``window`` bytes are neighbours, so common prefixes of neighbours tell which windows repeat.
+starts, and merges the new suffixes into the sorted ones by counting. The transform is a file that each round reads from front to back and
+writes anew. Before that, strings lose the parts whose bytes around the anchor no other string has. In the final order, suffixes that share ``window`` bytes are neighbours, so common prefixes of neighbours tell which windows repeat.
 
 Tasks take whole anchors, a bounded number of strings at a time. Anchors with more than ``most`` different paths (a passage in thousands of contexts)
 are not held by any task: their windows are compared one by one in a Spark aggregation, with the same result.
@@ -29,8 +29,8 @@ from .common import shuffle_width, stored
 from .debruijn import NO_ID, _keyed
 from .hashing import VALUES, Rolling, anchored_paths
 
-GRAM, BLOCK = 64, 256
-PATHS = "doc long, tie int, anchor long, path1 long, path2 long, start int, windows int"
+GRAM, BLOCK, SLACK, RUN = 64, 512, 16, 96
+PATHS = "doc long, tie int, anchor long, path1 long, path2 long, start int, windows int, offset int"
 SPANS = "doc long, tie int, start int, stop int"
 
 
@@ -52,8 +52,8 @@ def _paths(window: int):
                 [
                     pa.array(doc[text]), pa.array(tie[text]), pa.array(grams[anchor].view(np.int64)),
                     pa.array((one.of(start, size) ^ salt).view(np.int64)), pa.array((two.of(start, size) ^ salt).view(np.int64)),
-                    pa.array((start - first[text]).astype(np.int32)), pa.array(windows.astype(np.int32)),
-                ], ["doc", "tie", "anchor", "path1", "path2", "start", "windows"],
+                    pa.array((start - first[text]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((anchor - start).astype(np.int32)),
+                ], ["doc", "tie", "anchor", "path1", "path2", "start", "windows", "offset"],
             )
 
     return run
@@ -74,8 +74,8 @@ def _strings(window: int):
             joined = data[ragged(first[owner] + start, size)]
             strings = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined.tobytes())])
             doc, tie = (np.asarray(piece.column(c)) for c in ("doc", "tie"))
-            columns = [pa.array(doc[owner]), pa.array(tie[owner]), flat.field("anchor"), flat.field("hot"), pa.array(start.astype(np.int32)), strings]
-            table = pa.RecordBatch.from_arrays(columns, ["doc", "tie", "anchor", "hot", "start", "string"])
+            columns = [pa.array(doc[owner]), pa.array(tie[owner]), flat.field("anchor"), flat.field("hot"), pa.array(start.astype(np.int32)), flat.field("offset"), strings]
+            table = pa.RecordBatch.from_arrays(columns, ["doc", "tie", "anchor", "hot", "start", "offset", "string"])
             for at in range(0, table.num_rows, 4096):
                 yield table.slice(at, 4096)
 
@@ -107,17 +107,24 @@ def _hot_windows(window: int):
 
 
 class Column:
-    """An array in a file, read from front to back and written anew."""
+    """An array in a file, read from front to back and written anew over what was there."""
 
     def __init__(self, folder: str, name: str, kind: type):
-        self.path, self.kind = os.path.join(folder, name), kind
-        self.write(np.zeros(0, kind))
+        self.file, self.kind, self.size = open(os.path.join(folder, name), "w+b", buffering=0), kind, 0  # noqa: SIM115
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.kind)
+        self.file.seek(0)
+        return np.fromfile(self.file, self.kind, self.size)
 
     def write(self, values: np.ndarray) -> None:
-        values.astype(self.kind, copy=False).tofile(self.path)
+        self.file.seek(0)
+        left = memoryview(np.ascontiguousarray(values, self.kind)).cast("B")
+        while left:
+            left = left[self.file.write(left) :]
+        self.size = len(values)
+
+    def close(self) -> None:
+        self.file.close()
 
 
 def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -135,44 +142,85 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, least: int, folder: str) -
 
     Round t inserts the suffix of t bytes of every string that has one. With the rows' preceding symbols at hand, the new row of a suffix
     c + s is the number of suffixes with a first symbol before c, and of the rows before that of s whose preceding symbol is c.
-    Strings' ends are different and in the strings' order.
+    Strings' ends are different and in the strings' order. The places come from the finished transform, by the same step for all strings at once.
     """
     n, ends = len(sizes), np.cumsum(sizes)
     symbols, codes = np.unique(data, return_inverse=True)
     codes = (codes + 1).astype(np.uint8) if len(symbols) < 255 else codes.astype(np.uint16) + 1
     width = len(symbols) + 1
-    transform, places = Column(folder, "transform", codes.dtype.type), Column(folder, "places", np.int64)
+    transform = Column(folder, "transform", codes.dtype.type)
     transform.write(codes[ends - 1])  # rows of the empty suffixes
     row, active = np.arange(n), np.arange(n)
+    within = np.arange(BLOCK)
     for t in range(1, int(sizes.max()) + 1):
         longer = sizes[active] >= t
         active, row = active[longer], row[longer]
         old = transform.read()
         c = codes[ends[active] - t].astype(np.int64)
-        blocks = -(-len(old) // BLOCK)
+        blocks = len(old) // BLOCK + 1
         padded = np.zeros(blocks * BLOCK, old.dtype)
         padded[: len(old)] = old
         padded = padded.reshape(blocks, BLOCK)
-        counts = np.bincount((np.arange(blocks)[:, None] * width + padded).ravel(), minlength=blocks * width).reshape(blocks, width)
+        cells = padded.astype(np.intp)
+        cells += np.arange(0, blocks * width, width)[:, None]
+        counts = np.bincount(cells.ravel(), minlength=blocks * width).reshape(blocks, width)
         before = np.cumsum(counts, axis=0)
         total = before[-1].copy()
         total[0] = n  # ends, not symbols 0
         smaller = np.cumsum(total) - total
-        before -= counts
-        b, inside = row // BLOCK, row % BLOCK
-        b = np.minimum(b, blocks - 1)
-        rank = before[b, c] + ((padded[b] == c[:, None]) & (np.arange(BLOCK) < inside[:, None])).sum(axis=1)
+        b = row // BLOCK
+        rank = before[b, c] - counts[b, c] + ((padded[b] == c[:, None].astype(old.dtype)) & (within < (row - b * BLOCK)[:, None])).sum(axis=1)
         row = smaller[c] + rank
         order = np.argsort(row)
         active, row = active[order], row[order]
-        previous = ends[active] - t - 1
-        more = sizes[active] > t
-        transform.write(_merged(old, row, np.where(more, codes[np.maximum(previous, 0)], 0).astype(old.dtype)))
+        previous = np.where(sizes[active] > t, codes[np.maximum(ends[active] - t - 1, 0)], 0)
+        transform.write(_merged(old, row, previous.astype(old.dtype)))
+    step = np.empty(len(data) + n, np.int64)
+    step[np.argsort(transform.read(), kind="stable")] = np.arange(len(step))
+    transform.close()
+    places = np.full(len(step), -1, np.int64)
+    row, active = np.arange(n), np.arange(n)
+    for t in range(1, int(sizes.max()) + 1):
+        longer = sizes[active] >= t
+        active, row = active[longer], step[row[longer]]
         if t >= least:
-            known = places.read() if t > least else np.full(len(old), -1, np.int64)
-            places.write(_merged(known, row, ends[active] - t))
-    found = places.read()
-    return found[found >= 0]
+            places[row] = ends[active] - t
+    return places[places >= 0]
+
+
+def likely(data: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of strings in which a window may be shared: the string, its first byte there, and its size.
+
+    anchors: the place of each string's anchor in it. Windows are taken in ranges of SLACK by how far they reach to the left of the anchor; all windows of a range have the bytes around
+    the anchor in common that even the least of them has. Only ranges where another string has the same such bytes can share a window.
+    Parts of more than RUN windows are cut into several, so no collection has rounds for a few long strings only.
+    """
+    rolled = Rolling(VALUES[0][data])
+    begin = np.cumsum(sizes) - sizes
+    furthest = np.minimum(anchors, window - GRAM)  # of the first window to the left
+    nearest = np.maximum(anchors - (sizes - window), 0)  # of the last window
+    lo, hi = nearest // SLACK, furthest // SLACK
+    owner = np.repeat(np.arange(len(sizes)), hi - lo + 1)
+    k = ragged(lo, hi - lo + 1)
+    right = np.maximum(window - GRAM - (k + 1) * SLACK + 1, 0)
+    core = rolled.of(begin[owner] + anchors[owner] - k * SLACK, k * SLACK + GRAM + right) ^ k.astype(np.uint64)
+    _, where, times = np.unique(core, return_inverse=True, return_counts=True)
+    keep = times[where] > 1
+    owner, k = owner[keep], k[keep]
+    if not len(owner):
+        return owner, owner, owner
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (k[1:] != k[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(owner)) - 1
+    who = owner[first]
+    start = anchors[who] - np.minimum((k[last] + 1) * SLACK - 1, furthest[who])
+    stop = anchors[who] - np.maximum(k[first] * SLACK, nearest[who]) + window
+    windows = stop - start - window + 1
+    parts = -(-windows // RUN)
+    again = np.repeat(np.arange(len(who)), parts)
+    at = ragged(np.zeros(len(who), np.int64), parts) * RUN
+    return who[again], start[again] + at, np.minimum(windows[again] - at, RUN) + window - 1
 
 
 def repeated_windows(data: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
@@ -189,45 +237,50 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, window: int) -> np.nda
 
 
 def _by_columns(window: int, budget: int):
-    def finish(doc, tie, start, strings) -> pa.RecordBatch:
+    def finish(doc, tie, start, offset, strings) -> pa.RecordBatch:
+        doc, tie, start, offset = (np.array(x) for x in (doc, tie, start, offset))
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        at = repeated_windows(np.frombuffer(b"".join(strings), np.uint8), sizes, window)
-        begin = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        who, first, size = likely(data, sizes, offset, window)
+        doc, tie, start = doc[who], tie[who], start[who] + first
+        begin = np.cumsum(size) - size
+        at = np.zeros(0, np.int64)
+        if len(who):
+            at = repeated_windows(data[ragged((np.cumsum(sizes) - sizes)[who] + first, size)], size, window)
         owner = np.searchsorted(begin, at, "right") - 1
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        who = owner[first]
-        doc, tie, start = (np.array(x) for x in (doc, tie, start))
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(at))[: len(head)] - 1
+        who = owner[head]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(doc[who]), pa.array(tie[who].astype(np.int32)), pa.array((start[who] + at[first] - begin[who]).astype(np.int32)),
+                pa.array(doc[who], pa.int64()), pa.array(tie[who].astype(np.int32)), pa.array((start[who] + at[head] - begin[who]).astype(np.int32)),
                 pa.array((start[who] + at[last] - begin[who] + window).astype(np.int32)),
             ], ["doc", "tie", "start", "stop"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
         size, last = 0, None
         for batch in batches:
             anchors = batch.column("anchor").to_pylist()
-            columns = [batch.column(c).to_pylist() for c in ("doc", "tie", "start", "string")]
+            columns = [batch.column(c).to_pylist() for c in ("doc", "tie", "start", "offset", "string")]
             for k, anchor in enumerate(anchors):
                 if anchor != last and size >= budget:
                     yield finish(*held)
-                    held, size = [[], [], [], []], 0
+                    held, size = [[], [], [], [], []], 0
                 last = anchor
                 for x, c in zip(held, columns, strict=True):
                     x.append(c[k])
-                size += len(columns[3][k])
+                size += len(columns[4][k])
         if held[0]:
             yield finish(*held)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, most: int = 2000, budget: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 400, most: int = 2000, budget: int = 1 << 22) -> DataFrame:
     """Spans of bytes covered by windows that also start anywhere else: (doc, tie, start, stop); spans of one document may overlap."""
     keyed = _keyed(docs)
     paths = keyed.mapInArrow(_paths(window), PATHS)
@@ -240,16 +293,16 @@ def repeated_spans(docs: DataFrame, window: int = 400, most: int = 2000, budget:
     repeated = stored(paths.join(anchors, "anchor"), "paths")
     branching = repeated.where("branches")
     classes = stored(
-        branching.groupBy("anchor", "path1", "path2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "tie", "start", "windows")).alias("one")), "classes"
+        branching.groupBy("anchor", "path1", "path2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "tie", "start", "windows", "offset")).alias("one")), "classes"
     )
     sizes = classes.groupBy("anchor").agg((F.count(F.lit(1)) > most).alias("hot"))
     copied = branching.join(classes.where("copies > 1").select("anchor", "path1", "path2"), ["anchor", "path1", "path2"])
     whole = repeated.where("not branches").unionByName(copied.select(*repeated.columns))
     span = whole.select("doc", "tie", "start", (F.col("start") + F.col("windows") + F.lit(window - 1)).alias("stop"))
-    ones = classes.join(sizes, "anchor").select("one.doc", "one.tie", F.struct("one.start", "one.windows", "anchor", "hot").alias("path"))
+    ones = classes.join(sizes, "anchor").select("one.doc", "one.tie", F.struct("one.start", "one.windows", "one.offset", "anchor", "hot").alias("path"))
     listed = ones.groupBy("doc", "tie").agg(F.collect_list("path").alias("paths"))
     strings = stored(
-        keyed.join(listed, ["doc", "tie"]).mapInArrow(_strings(window), "doc long, tie int, anchor long, hot boolean, start int, string binary"), "strings"
+        keyed.join(listed, ["doc", "tie"]).mapInArrow(_strings(window), "doc long, tie int, anchor long, hot boolean, start int, offset int, string binary"), "strings"
     )
     dealt = strings.where("not hot").drop("hot").repartition(shuffle_width(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
     by_columns = dealt.mapInArrow(_by_columns(window, budget), SPANS)
