@@ -92,7 +92,16 @@ def find_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
     ).drop("row")
 
 
-def without_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
-    """The rows of docs whose id has no secret in any of its texts, with all their columns."""
-    found = find_secrets(docs, scope).where(F.size("secrets") > 0).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose own text has no secret, with all their columns; null and empty texts stay.
+
+    Rows are judged one by one, whatever their ids. A weak candidate is a secret only beside a base secret (all COMPLEMENTS are base kinds),
+    so a row has secrets, for any scope, if and only if it has a base secret: a filter does, with no join or shuffle.
+    """
+    text = F.col("text")
+
+    def has(kind: str) -> Column:
+        pattern, least, group = BASE[kind]
+        return text.rlike(pattern) & F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
+
+    return docs.where(~F.coalesce(reduce(lambda a, b: a | b, map(has, BASE)), F.lit(False)))
