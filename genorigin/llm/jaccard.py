@@ -192,18 +192,18 @@ def _shingles(words: int):
     return run
 
 
-def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id, n_links, component_id.
+def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """texts (doc_id, tie, text); prints (doc_id, tie, class, signature) of the rows with words; and classes: (class, least, first, size, links, root).
 
-    Documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least the threshold. class_id is the
-    smallest doc_id with the same set, n_links the number of other documents linked to this one, copies included, and component_id
-    the smallest doc_id reachable by links. A text of fewer words is a single shingle; a text without words (or null) links with nothing and is a class of its own, also when its id is
-    null. Null ids count as documents but are never the smallest unless a class has no other. Rows that share an id are rows all the same. An empty table gives no rows; other columns are not read.
+    tie is the md5 of the text; first the first row of a class (none, doc_id, tie), rows without id after all others; root a name of its component.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    prints = stored(texts.mapInArrow(_prints(words), "doc_id long, tie long, class string, signature binary"), "prints")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("tie"), "text")
+    prints = stored(texts.mapInArrow(_prints(words), "doc_id long, tie string, class string, signature binary"), "prints")
     classes = stored(
-        prints.groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.min("signature").alias("signature")), "classes"
+        prints.groupBy("class").agg(
+            F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.min("signature").alias("signature"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"),
+        ), "classes",
     )
     bands = F.explode(
         F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
@@ -214,7 +214,7 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolera
     rule = fewest_matches(threshold, tolerance)
     near = run_blocks(block_pairs(members, "bucket", "class"), "class", _survivors(rule), "a string, b string")
     groups = connected(near, "candidates").select(F.col("node").alias("class"), F.col("root").alias("group"))
-    grouped = stored(classes.join(groups, "class"), "grouped")
+    grouped = stored(classes.drop("first").join(groups, "class"), "grouped")
     heads = prints.drop("signature").join(grouped, "class").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["class"])
     same = texts["doc_id"].eqNullSafe(heads["doc_id"]) & (texts["tie"] == heads["tie"])
     with_text = texts.join(heads, same).select("group", "class", "size", "signature", "text").dropDuplicates(["class"])
@@ -223,8 +223,20 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolera
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = connected(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")), "groups")
     labelled = classes.join(counts, "class", "left").join(parts, classes["class"] == parts["node"], "left").select(
-        "class", "least", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class").alias("root")
+        "class", "least", "first", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class").alias("root")
     )
+    return texts, prints, labelled
+
+
+def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, class_id, n_links, component_id.
+
+    Documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least the threshold. class_id is the
+    smallest doc_id with the same set, n_links the number of other documents linked to this one, copies included, and component_id
+    the smallest doc_id reachable by links. A text of fewer words is a single shingle; a text without words (or null) links with nothing and is a class of its own, also when its id is
+    null. Null ids count as documents but are never the smallest unless a class has no other. Rows that share an id are rows all the same. An empty table gives no rows; other columns are not read.
+    """
+    texts, prints, labelled = _linked(docs, words, threshold, tolerance)
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     result = labelled.join(lowest, "root").select("class", F.col("least").alias("class_id"), (F.col("size") - 1 + F.col("links")).alias("n_links"), "component_id")
     judged = prints.select("doc_id", "class").join(result, "class").select("doc_id", "class_id", "n_links", "component_id")
@@ -234,6 +246,23 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolera
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns; rows without id stay."""
+    """The rows of docs whose id is the smallest of its component, with all their columns; rows without id stay. It judges ids, not rows: see one_row_of_each."""
     out = join_similar(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(out, docs["doc_id"] == out["__id"], "left_anti")
+
+
+def one_row_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """Exactly one row of each component of docs (doc_id, text), with all its columns: one with the smallest id, or of a component without ids any one by its text.
+
+    Rows are judged by id and text: repeated rows leave one (the least by a hash of their columns), rows without id are rows like others, and an id on different
+    texts is judged for each text. A text without words (or null) is a component of its own, so each such row stays. An empty table gives no rows.
+    """
+    firsts = _linked(docs, words, threshold, tolerance)[2].groupBy("root").agg(F.min("first").alias("first"))
+    key = lambda doc, tie: F.concat_ws("|", F.coalesce(doc.cast("long").cast("string"), F.lit("-")), tie)
+    kept = firsts.select(key(F.col("first.doc_id"), F.col("first.tie")).alias("__key"))
+    bare = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.where(~bare).select(key(F.col("doc_id"), F.md5("text")).alias("__key"), F.struct("*").alias("__row"), order.alias("__order"))
+    one = rows.groupBy("__key").agg(F.min_by("__row", "__order").alias("__row"))  # partial aggregation: no task holds all rows of a key
+    chosen = one.join(kept, "__key", "left_semi").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    return chosen.unionAll(docs.where(bare))
