@@ -2,10 +2,10 @@
 
 A text is lowered, everything but letters becomes a space, and every run of 2 to 4 bytes within a word (with the space before or after it)
 is hashed to a bucket. Each bucket has a vector; their mean over the text goes through a linear softmax. Training is
-stochastic gradient descent in numpy on a bounded sample of labelled rows: at most ``per_language`` rows of each language (in expectation) and ``most`` in all,
-drawn by a hash of the id from the whole table. A tenth of the sample is held back to fit the temperature of the scores and the
+stochastic gradient descent in numpy on a sample of labelled rows: at most ``per_language`` rows of each language (in expectation), and with many languages
+an even share of ``most`` rows, drawn by a hash of the id from the whole table. A tenth of the sample is held back to fit the temperature of the scores and the
 score below which a prediction is rejected. Prediction covers every whole text: as all is linear, each bucket's vector is
-multiplied with the softmax weights beforehand.
+multiplied with the softmax weights beforehand where that makes the table no wider.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SIZES = (2, 3, 4)
 UNKNOWN = "und"
 #: Part of the probability that the fitted temperature leaves to all languages alike, so a perfect sample does not make every score 1.
 SMOOTHING = 0.02
+#: Rows of each language in the sample (in expectation, or all it has), however many languages there are.
+FEWEST = 20
 #: ASCII bytes other than letters become spaces; bytes of other characters stay.
 FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 LETTER = re.compile(r"[^\W\d_]")
@@ -33,13 +35,14 @@ LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass
 class Model:
-    """languages; table (buckets x languages): each bucket's scores; bias; temperature; threshold: scores below it are rejected."""
+    """languages; table (buckets x languages): each bucket's scores, or with weights (width x languages) each bucket's vector; bias; temperature; threshold: scores below it are rejected."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    weights: np.ndarray | None = None
 
 
 def features(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +123,8 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: in
     scores = _softmax(logits / temperature)
     good = scores.max(axis=1)[scores.argmax(axis=1) == y[audit]]
     threshold = float(min(np.quantile(good, 1 - keep), highest)) if len(good) else 0.0
+    if len(languages) > width:
+        return Model(languages, vectors.astype(np.float32), bias, temperature, threshold, weights)
     return Model(languages, (vectors @ weights).astype(np.float32), bias, temperature, threshold)
 
 
@@ -131,10 +136,15 @@ def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.
         return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
     ids, owner = features([t or "" for t in texts], len(model.table))
     counts = np.bincount(owner, minlength=n)
-    sums = np.stack([np.bincount(owner, model.table[ids, k], n) for k in range(len(model.languages))], axis=1)
-    scores = _softmax((sums / np.maximum(counts, 1)[:, None] + model.bias) / model.temperature)
-    best = scores.argmax(axis=1)
-    score = np.where(readable, scores[np.arange(n), best], 0.0)
+    sums = np.stack([np.bincount(owner, model.table[ids, k], n) for k in range(model.table.shape[1])], axis=1)
+    mean = sums / np.maximum(counts, 1)[:, None]
+    best, score = np.zeros(n, np.int64), np.zeros(n)
+    width = max(1, (1 << 22) // len(model.languages))
+    for at in range(0, n, width):  # in parts, for memory
+        part = mean[at : at + width]
+        scores = _softmax(((part if model.weights is None else part @ model.weights) + model.bias) / model.temperature)
+        best[at : at + width], score[at : at + width] = scores.argmax(axis=1), scores.max(axis=1)
+    score[~readable] = 0.0
     names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), readable.tolist(), strict=True)]
     return names, score, ~readable | (score < model.threshold)
 
@@ -146,16 +156,20 @@ def fold_of(doc_id: str, folds: int = 3) -> Column:
 def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3, per_language: int = 600, most: int = 6000) -> Model:
     """Learn from text and label of docs (doc_id, text, label) outside the held-out fold; rows without id, text or label are left out.
 
-    The languages are the 1,000 most frequent labels.
+    All labels are languages. Each has the same share of the sample: ``per_language`` rows, or with more labels ``most`` divided by their number, but never under FEWEST;
+    a label with fewer rows gives all it has. So the sample, which is held in memory, is at most ``most`` or FEWEST rows a label.
     """
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held_out))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
         return train([], [])
-    rates = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
+    share = min(per_language, max(most // len(counts), FEWEST))
+    schema = T.StructType([T.StructField(label, docs.schema[label].dataType), T.StructField("__rate", T.DoubleType())])
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, share / n)) for k, n in counts.items()], schema)
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.withColumn("__u", draw).where(F.col("__u") < rates[F.col(label)]).orderBy("__u", "doc_id").limit(most)
-    got = sample.select("text", F.col(label).alias("label")).toPandas()
+    drawn = rows.select("doc_id", "text", label, draw.alias("__u")).join(F.broadcast(rates), label).where("__u < __rate")
+    got = drawn.select("__u", "doc_id", "text", F.col(label).alias("label")).distinct().toPandas()
+    got = got.sort_values(["__u", "doc_id", "text", "label"], kind="stable")
     return train(got["text"].tolist(), got["label"].tolist())
 
 
