@@ -3,8 +3,8 @@
 A text is lowered, everything but letters becomes a space, and every run of 2 to 4 bytes within a word (with the space before or after it)
 is hashed to a bucket. Each bucket has a vector; their mean over the text goes through a linear softmax. Training is
 stochastic gradient descent in numpy on a sample of labelled rows: at most ``per_language`` rows of each language (in expectation), and with many languages
-an even share of ``most`` rows, drawn by a hash of the id from the whole table. A tenth of the sample is held back to fit the temperature of the scores and the
-score below which a prediction is rejected. Prediction covers every whole text: as all is linear, each bucket's vector is
+an even share of ``most`` rows, drawn by a hash of the id from the whole table. A tenth of the sample is held back to fit the temperature of the scores and, with
+pieces of its texts so that short texts are judged by short ones, the scores below which predictions of each length are rejected. Prediction covers every whole text: as all is linear, each bucket's vector is
 multiplied with the softmax weights beforehand where that makes the table no wider.
 """
 
@@ -35,13 +35,14 @@ LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass
 class Model:
-    """languages; table (buckets x languages): each bucket's scores, or with weights (width x languages) each bucket's vector; bias; temperature; threshold: scores below it are rejected."""
+    """languages; table (buckets x languages): each bucket's scores, or with weights (width x languages) each bucket's vector; bias; temperature;
+    thresholds: by the bit length of a text's number of subwords, the score below which it is rejected."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: np.ndarray
     weights: np.ndarray | None = None
 
 
@@ -72,11 +73,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, highest: float = 0.4, seed: int = 1) -> Model:
-    """Fit on texts and their labels, in memory. keep: the share of good predictions that the rejection threshold lets through; highest: its upper limit."""
+def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, seed: int = 1) -> Model:
+    """Fit on texts and their labels, in memory. keep: the share of good predictions that the rejection thresholds let through.
+
+    With one language every score is 1, so only texts without letters are rejected.
+    """
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, np.zeros(1))
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(x) for x in labels])
     rows = []
@@ -120,20 +124,42 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: in
     goal[np.arange(len(audit)), y[audit]] += 1 - SMOOTHING
     loss = [-(goal * np.log(_softmax(logits / t) + 1e-300)).sum(axis=1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    scores = _softmax(logits / temperature)
-    good = scores.max(axis=1)[scores.argmax(axis=1) == y[audit]]
-    threshold = float(min(np.quantile(good, 1 - keep), highest)) if len(good) else 0.0
-    if len(languages) > width:
-        return Model(languages, vectors.astype(np.float32), bias, temperature, threshold, weights)
-    return Model(languages, (vectors @ weights).astype(np.float32), bias, temperature, threshold)
+    wide = len(languages) > width
+    model = Model(languages, (vectors if wide else vectors @ weights).astype(np.float32), bias, temperature, np.zeros(1), weights if wide else None)
+    model.thresholds = calibrated(model, [texts[i] for i in audit], [labels[i] for i in audit], keep, rng)
+    return model
 
 
-def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and whether it is rejected, for each text."""
+def calibrated(model: Model, texts: list[str], labels: list[str], keep: float, rng: np.random.Generator, pieces_each: int = 4) -> np.ndarray:
+    """By bit length of the number of subwords: the quantile 1 - keep of the scores of good predictions of texts and pieces of them of that length.
+
+    Pieces are of 2 to 3, 4 to 7, 8 to 15, ... characters, pieces_each of every such range up to the text's size. A length with too few predictions for that quantile takes in
+    shorter ones, as far as it needs.
+    """
+    bits, good = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for text, label in zip(texts, labels, strict=True):
+        sizes = [n for k in range(1, len(text).bit_length()) for n in rng.integers(1 << k, min(2 << k, len(text) + 1), pieces_each).tolist()]
+        parts = [text, *[text[a : a + n] for n in sizes for a in [int(rng.integers(0, len(text) - n + 1))]]]
+        names, score, _, length = _judged(model, parts)
+        right = np.array([x == label for x in names], bool)
+        bits.append(length[right])
+        good.append(score[right])
+    bits, good = np.concatenate(bits), np.concatenate(good)
+    out = np.zeros(int(bits.max()) + 1 if len(bits) else 1)
+    enough = 1 / (1 - keep)
+    for b in range(len(out)):
+        low = b
+        while low and ((bits >= low) & (bits <= b)).sum() < enough:
+            low -= 1
+        mine = good[(bits >= low) & (bits <= b)]
+        out[b] = np.quantile(mine, 1 - keep) if len(mine) else 0.0
+    return np.minimum.accumulate(out[::-1])[::-1]  # no length is judged harder than a longer one
+
+
+def _judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, whether it has letters, and the bit length of its number of subwords, for each text."""
     n = len(texts)
     readable = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool)
-    if not model.languages:
-        return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
     ids, owner = features([t or "" for t in texts], len(model.table))
     counts = np.bincount(owner, minlength=n)
     sums = np.stack([np.bincount(owner, model.table[ids, k], n) for k in range(model.table.shape[1])], axis=1)
@@ -146,7 +172,15 @@ def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.
         best[at : at + width], score[at : at + width] = scores.argmax(axis=1), scores.max(axis=1)
     score[~readable] = 0.0
     names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), readable.tolist(), strict=True)]
-    return names, score, ~readable | (score < model.threshold)
+    return names, score, readable, np.frexp(counts.astype(float))[1].astype(np.int64)
+
+
+def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, for each text."""
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    names, score, readable, bits = _judged(model, texts)
+    return names, score, ~readable | (score < model.thresholds[np.minimum(bits, len(model.thresholds) - 1)])
 
 
 def fold_of(doc_id: str, folds: int = 3) -> Column:
@@ -177,7 +211,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred, score (0 to 1) and rejected; columns of these names are replaced.
 
     A null text, or one without any letter, is ``und`` with score 0 and rejected. Every other text gets a learned language; it is rejected if its score is below
-    the model's threshold. A model that has learned nothing rejects all. Rows are judged one by one, with no other column read.
+    the model's threshold for its length. A model that has learned nothing rejects all. Rows are judged one by one, with no other column read.
     """
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     keep = [f for f in docs.schema.fields if f.name not in {x.name for x in new}]
