@@ -5,7 +5,7 @@ calls: sampleid, chrom, position, alleles. dosages: sampleid, chrom, position, d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,10 +16,20 @@ SITE = ["chrom", "position"]
 
 
 def allele_counts(calls: DataFrame, most: int = 3) -> DataFrame:
-    """Per site: n0, n1, ... up to allele ``most``, how often each allele is called. Missing calls do not count. One pass, nothing is exploded."""
+    """Per site: n0, n1, ... up to allele ``most``, how often each allele is called, and others: how many alleles beyond are called at all.
+
+    Missing calls do not count. One pass, nothing is exploded.
+    """
     present = ~is_missing_call(F.col("alleles"))
     count = lambda k: F.sum(F.when(present, allele_copies(F.col("alleles"), k)).otherwise(0)).cast("long")
-    return calls.groupBy(*SITE).agg(*[count(k).alias(f"n{k}") for k in range(most + 1)])
+    rare = present & (F.array_max("alleles") > most)
+
+    def beyond(low: int, high: int) -> Column:  # one bit for each allele, as an index is at most 127
+        bits = F.aggregate(F.filter("alleles", lambda x: (x >= low) & (x < high)), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int") % 64)))
+        return F.bit_count(F.coalesce(F.bit_or(F.when(rare, bits)), F.lit(0).cast("long")))
+
+    others = beyond(most + 1, 64) + beyond(max(64, most + 1), 128)
+    return calls.groupBy(*SITE).agg(*[count(k).alias(f"n{k}") for k in range(most + 1)], others.alias("others"))
 
 
 def allele_counts_long(calls: DataFrame) -> DataFrame:
@@ -33,8 +43,8 @@ def _count_columns(counts: DataFrame) -> list[str]:
 
 
 def biallelic_filter(counts: DataFrame) -> DataFrame:
-    """Sites with exactly two alleles; sites of one allele go as well."""
-    seen = sum(((F.col(c) > 0).cast("int") for c in _count_columns(counts)), F.lit(0))
+    """Sites with exactly two alleles, of any index; sites of one allele go as well. Without the column others, the counts are all alleles."""
+    seen = sum(((F.col(c) > 0).cast("int") for c in _count_columns(counts)), F.col("others") if "others" in counts.columns else F.lit(0))
     return counts.where(seen == 2)
 
 

@@ -364,7 +364,7 @@ QUERIES: dict[str, Query] = {
     "grid_cross_join": lambda s, d: surface(s, d).groupBy("sampleid").agg(F.count(F.lit(1)).alias("cells")),
     "mask_lookup": lambda s, d: looked_up(s, d).select("sampleid", "row", "col", "valid"),
     "location_stats_join": location_stats_join,
-    "allele_counts": lambda s, d: sites.allele_counts(fixtures.calls_wide(s, d)),
+    "allele_counts": lambda s, d: sites.allele_counts(fixtures.calls_wide(s, d)).drop("others"),
     "biallelic_filter": lambda s, d: sites.biallelic_filter(sites.allele_counts(fixtures.calls_wide(s, d))).select("position", "n0", "n1"),
     "mac_filter": lambda s, d: sites.mac_filter(sites.allele_counts(fixtures.calls_wide(s, d)), 40).select("position", "n1"),
     "filter_snps": filter_snps,
