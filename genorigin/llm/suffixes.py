@@ -5,11 +5,16 @@ smallest 64-byte hashes in them) form a path; equal windows have equal anchors,
 its anchor. Paths that are alone at their anchor are unique; paths that are equal as a whole repeat as a whole. What is left are anchors with
 several different paths, of each of which one copy is kept: a collection of strings, each a little longer than a window. For these the
 collection's Burrows-Wheeler transform is built column-wise: every round inserts one more symbol of every string, from their ends to their
-starts, and merges the new suffixes into the sorted ones by counting. The transform is a file that each round reads from front to back and
-writes anew. Before that, strings lose the parts whose bytes around the anchor no other string has. In the final order, suffixes that share ``window`` bytes are neighbours, so common prefixes of neighbours tell which windows repeat.
+starts, merges the new suffixes into the sorted ones by counting, and updates the common prefixes of neighbours from those of the round before. Transform and
+common prefixes are files that each round reads from front to back and writes anew. A symbol is a run of bytes up to a delimiter, so a round inserts a word rather than a
+byte; where a collection has long runs without one, more byte values become delimiters, down to single bytes. As delimiters end symbols, no symbol begins another but at
+a string's end, and symbols sort as their bytes do. A window may start within a symbol: windows are sorted by the rest of that symbol and the rank of the suffix behind it, and
+common prefixes of neighbours in that order tell which windows repeat.
 
 Tasks take whole anchors, a bounded number of strings at a time. Anchors with more than ``most`` different paths (a passage in thousands of contexts)
 are not held by any task: their windows are compared one by one in a Spark aggregation, with the same result.
+
+Documents are known by a 128-bit digest of their text, so copies of a text are worked on once, whatever their ids, and count as often as they stand.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import pieces, ragged, raw
+from .arrow import pieces, ragged, raw, release
 from .common import shuffle_width, stored
-from .debruijn import NO_ID, _keyed
-from .hashing import VALUES, Rolling, anchored_paths
+from .hashing import SPACE, VALUES, Rolling, anchored_paths
+from .rows import TIES, least_rows, tied
 
-GRAM, BLOCK, SLACK, RUN = 64, 512, 16, 96
-PATHS = "doc long, tie int, anchor long, path1 long, path2 long, start int, windows int, offset int"
-SPANS = "doc long, tie int, start int, stop int"
+GRAM, SLACK, RUN = 64, 16, 96
+#: Bytes of a symbol at most, rows of a block of common prefixes, and rows that are compared at once.
+LONGEST, BLOCK, AT_ONCE = 48, 32, 1 << 14
+PATHS = "tie1 long, tie2 long, anchor long, path1 long, path2 long, start int, windows int, offset int"
+STRINGS = "tie1 long, tie2 long, anchor long, hot boolean, start int, offset int, string binary"
+SPANS = "tie1 long, tie2 long, start int, stop int"
 
 
 def _rolled(data: np.ndarray) -> list[Rolling]:
@@ -40,20 +49,20 @@ def _rolled(data: np.ndarray) -> list[Rolling]:
 
 def _paths(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 1 << 20):
+        for piece in pieces(batches, "text", 1 << 19):
             data, first = raw(piece.column("text"))
             one, two = _rolled(data)
             grams = one.of(np.arange(max(0, len(data) - GRAM + 1)), GRAM)
             text, start, windows, anchor = anchored_paths(grams, first, window, GRAM)
             size = windows + window - 1
             salt = (anchor - start).astype(np.uint64) << np.uint64(32)
-            doc, tie = (np.asarray(piece.column(c)) for c in ("doc", "tie"))
+            tie1, tie2 = (np.asarray(piece.column(c)) for c in TIES)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc[text]), pa.array(tie[text]), pa.array(grams[anchor].view(np.int64)),
+                    pa.array(tie1[text]), pa.array(tie2[text]), pa.array(grams[anchor].view(np.int64)),
                     pa.array((one.of(start, size) ^ salt).view(np.int64)), pa.array((two.of(start, size) ^ salt).view(np.int64)),
                     pa.array((start - first[text]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((anchor - start).astype(np.int32)),
-                ], ["doc", "tie", "anchor", "path1", "path2", "start", "windows", "offset"],
+                ], [*TIES, "anchor", "path1", "path2", "start", "windows", "offset"],
             )
 
     return run
@@ -73,9 +82,9 @@ def _strings(window: int):
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             joined = data[ragged(first[owner] + start, size)]
             strings = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined.tobytes())])
-            doc, tie = (np.asarray(piece.column(c)) for c in ("doc", "tie"))
-            columns = [pa.array(doc[owner]), pa.array(tie[owner]), flat.field("anchor"), flat.field("hot"), pa.array(start.astype(np.int32)), flat.field("offset"), strings]
-            table = pa.RecordBatch.from_arrays(columns, ["doc", "tie", "anchor", "hot", "start", "offset", "string"])
+            tie1, tie2 = (np.asarray(piece.column(c)) for c in TIES)
+            columns = [pa.array(tie1[owner]), pa.array(tie2[owner]), flat.field("anchor"), flat.field("hot"), pa.array(start.astype(np.int32)), flat.field("offset"), strings]
+            table = pa.RecordBatch.from_arrays(columns, [*TIES, "anchor", "hot", "start", "offset", "string"])
             for at in range(0, table.num_rows, 4096):
                 yield table.slice(at, 4096)
 
@@ -95,13 +104,14 @@ def _hot_windows(window: int):
                 begin = np.cumsum(size) - size
                 here = ragged(begin, counts)
                 one, two = _rolled(data)
-                doc, tie, start = (np.asarray(piece.column(c)) for c in ("doc", "tie", "start"))
+                tie1, tie2, start = (np.asarray(piece.column(c)) for c in (*TIES, "start"))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(doc[owner]), pa.array(tie[owner]), pa.array((start[owner] + here - begin[owner]).astype(np.int32)),
+                        pa.array(tie1[owner]), pa.array(tie2[owner]), pa.array((start[owner] + here - begin[owner]).astype(np.int32)),
                         pa.array(one.of(here, window).view(np.int64)), pa.array(two.of(here, window).view(np.int64)),
-                    ], ["doc", "tie", "start", "window1", "window2"],
+                    ], [*TIES, "start", "window1", "window2"],
                 )
+        release()
 
     return run
 
@@ -137,55 +147,132 @@ def _merged(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(data: np.ndarray, sizes: np.ndarray, least: int, folder: str) -> np.ndarray:
-    """The places in data of all suffixes of at least ``least`` bytes, in the order of all suffixes of these strings.
-
-    Round t inserts the suffix of t bytes of every string that has one. With the rows' preceding symbols at hand, the new row of a suffix
-    c + s is the number of suffixes with a first symbol before c, and of the rows before that of s whose preceding symbol is c.
-    Strings' ends are different and in the strings' order. The places come from the finished transform, by the same step for all strings at once.
+@dataclass
+class Symbols:
+    """The strings as symbols: where each starts and ends, its code (from 1, in order of bytes), and each string's number of symbols; size and bytes (padded) by code."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+    sizes: np.ndarray
+    table: np.ndarray
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The bytes that two different symbols have in common at their start."""
+        out = np.empty(len(a), np.int64)
+        for at in range(0, len(a), AT_ONCE):
+            x, y = a[at : at + AT_ONCE], b[at : at + AT_ONCE]
+            differ = self.table[x] != self.table[y]  # the last byte is the size, so some byte does
+            out[at : at + AT_ONCE] = np.minimum(differ.argmax(axis=1), np.minimum(self.sizes[x], self.sizes[y]))
+        return out
+
+
+def split_symbols(data: np.ndarray, sizes: np.ndarray, longest: int) -> Symbols:
+    """Cut every string behind each delimiter. Delimiters are white space and, until no symbol has over ``longest`` bytes, the most frequent byte of those that do."""
+    delimiter = SPACE.copy()
+    last = np.cumsum(sizes) - 1
+    while True:
+        stop = delimiter[data]
+        stop[last] = True
+        ends = np.flatnonzero(stop) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        length = ends - starts
+        long = length > longest
+        if not long.any():
+            break
+        inside = data[ragged(starts[long], length[long] - 1)]
+        delimiter[np.bincount(inside, minlength=256).argmax()] = True
+    padded = np.zeros((len(starts), longest + 1), np.uint8)
+    padded[np.repeat(np.arange(len(starts)), length), ragged(np.zeros(len(starts), np.int64), length)] = data
+    padded[:, longest] = length
+    names, codes = np.unique(padded.view(np.dtype((np.void, longest + 1))).ravel(), return_inverse=True)
+    table = np.concatenate([np.zeros((1, longest + 1), np.uint8), names.view(np.uint8).reshape(-1, longest + 1)])
+    counts = np.diff(np.concatenate([[0], np.searchsorted(ends, last + 1, "right")]))
+    return Symbols(starts, ends, (codes + 1).astype(np.uint16 if len(names) < 65535 else np.uint32), counts, table[:, longest].astype(np.int64), table)
+
+
+class RangeMin:
+    """The least of values[low] to values[high], by blocks, for many ranges at once."""
+
+    def __init__(self, values: np.ndarray):
+        blocks = -(-len(values) // BLOCK)
+        self.values = np.full(blocks * BLOCK, np.iinfo(values.dtype).max, values.dtype)
+        self.values[: len(values)] = values
+        self.levels = [self.values.reshape(blocks, BLOCK).min(axis=1)]
+        while (step := 1 << (len(self.levels) - 1)) * 2 <= blocks:
+            self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        out = np.empty(len(low), self.values.dtype)
+        for at in range(0, len(low), AT_ONCE):
+            out[at : at + AT_ONCE] = self._of(low[at : at + AT_ONCE], high[at : at + AT_ONCE])
+        return out
+
+    def _of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        within = np.arange(BLOCK)
+        a, b = low // BLOCK, high // BLOCK
+        left = np.minimum(low[:, None] + within, np.minimum(high, a * BLOCK + BLOCK - 1)[:, None])
+        right = np.maximum(high[:, None] - within, np.maximum(low, b * BLOCK)[:, None])
+        out = np.minimum(self.values[left].min(axis=1), self.values[right].min(axis=1))
+        wide = np.flatnonzero(b - a > 1)
+        if len(wide):
+            first, count = a[wide] + 1, b[wide] - a[wide] - 1
+            level = np.frexp(count.astype(float))[1] - 1
+            for k in np.unique(level).tolist():
+                mine = level == k
+                w, f, c, row = wide[mine], first[mine], count[mine], self.levels[k]
+                out[w] = np.minimum(out[w], np.minimum(row[f], row[f + c - (1 << k)]))
+        return out
+
+
+def suffix_order(symbols: Symbols, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of the suffix from every symbol on among all suffixes of these strings, and the bytes each rank has in common with the one before.
+
+    Round t inserts the suffix of t symbols of every string that has one. With the rows' preceding symbols at hand, the new row of a suffix
+    c + s is the number of suffixes with a first symbol before c, and of the rows before that of s whose preceding symbol is c. So rows that follow each other there and begin with the same
+    symbol come from rows of the old order, and have that symbol and the least common prefix between those in common.
+    Strings' ends are different and in the strings' order. Ranks come from the finished transform, by the same step for all strings at once.
     """
-    n, ends = len(sizes), np.cumsum(sizes)
-    symbols, codes = np.unique(data, return_inverse=True)
-    codes = (codes + 1).astype(np.uint8) if len(symbols) < 255 else codes.astype(np.uint16) + 1
-    width = len(symbols) + 1
-    transform = Column(folder, "transform", codes.dtype.type)
+    codes, counts, sizes = symbols.codes, symbols.counts, symbols.sizes
+    n, ends = len(counts), np.cumsum(counts)
+    transform, prefixes = Column(folder, "transform", codes.dtype.type), Column(folder, "prefixes", np.uint32)
     transform.write(codes[ends - 1])  # rows of the empty suffixes
+    prefixes.write(np.zeros(n, np.uint32))
     row, active = np.arange(n), np.arange(n)
-    within = np.arange(BLOCK)
-    for t in range(1, int(sizes.max()) + 1):
-        longer = sizes[active] >= t
+    for t in range(1, int(counts.max()) + 1):
+        longer = counts[active] >= t
         active, row = active[longer], row[longer]
-        old = transform.read()
-        c = codes[ends[active] - t].astype(np.int64)
-        blocks = len(old) // BLOCK + 1
-        padded = np.zeros(blocks * BLOCK, old.dtype)
-        padded[: len(old)] = old
-        padded = padded.reshape(blocks, BLOCK)
-        cells = padded.astype(np.intp)
-        cells += np.arange(0, blocks * width, width)[:, None]
-        counts = np.bincount(cells.ravel(), minlength=blocks * width).reshape(blocks, width)
-        before = np.cumsum(counts, axis=0)
-        total = before[-1].copy()
-        total[0] = n  # ends, not symbols 0
-        smaller = np.cumsum(total) - total
-        b = row // BLOCK
-        rank = before[b, c] - counts[b, c] + ((padded[b] == c[:, None].astype(old.dtype)) & (within < (row - b * BLOCK)[:, None])).sum(axis=1)
-        row = smaller[c] + rank
-        order = np.argsort(row)
-        active, row = active[order], row[order]
-        previous = np.where(sizes[active] > t, codes[np.maximum(ends[active] - t - 1, 0)], 0)
+        old, common = transform.read(), prefixes.read()
+        order = np.argsort(old, kind="stable")[np.count_nonzero(old == 0) :]
+        place = np.empty(len(old), np.int64)
+        place[order] = np.arange(len(order))
+        sort = np.argsort(place[row])
+        active, new = active[sort], place[row[sort]]
+        asked = np.union1d(new, new + 1)  # the new rows and those that follow them
+        asked = asked[(asked > 0) & (asked < len(order))]
+        p, q = order[asked - 1], order[asked]
+        value, same = np.zeros(len(asked), np.uint32), old[p] == old[q]
+        value[same] = sizes[old[q[same]]] + RangeMin(common).of(p[same] + 1, q[same])
+        value[~same] = symbols.common(old[p[~same]], old[q[~same]])
+        row = n + new
+        previous = np.where(counts[active] > t, codes[np.maximum(ends[active] - t - 1, 0)], 0)
         transform.write(_merged(old, row, previous.astype(old.dtype)))
-    step = np.empty(len(data) + n, np.int64)
+        common = _merged(common, row, np.zeros(len(row), np.uint32))
+        common[n + asked] = value
+        prefixes.write(common)
+    step = np.empty(len(codes) + n, np.int64)
     step[np.argsort(transform.read(), kind="stable")] = np.arange(len(step))
+    common = prefixes.read()
     transform.close()
-    places = np.full(len(step), -1, np.int64)
+    prefixes.close()
+    rank = np.empty(len(codes), np.int64)
     row, active = np.arange(n), np.arange(n)
-    for t in range(1, int(sizes.max()) + 1):
-        longer = sizes[active] >= t
+    for t in range(1, int(counts.max()) + 1):
+        longer = counts[active] >= t
         active, row = active[longer], step[row[longer]]
-        if t >= least:
-            places[row] = ends[active] - t
-    return places[places >= 0]
+        rank[ends[active] - t] = row
+    return rank, common
 
 
 def likely(data: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,24 +312,41 @@ def likely(data: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, window: int
 
 def repeated_windows(data: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
     """The places of windows that also start elsewhere in these strings, none of which is shorter than a window."""
+    symbols = split_symbols(data, sizes, max(1, min(LONGEST, window // 4)))
     with tempfile.TemporaryDirectory() as folder:
-        order = suffix_order(data, sizes, window, folder)
-    one, two = _rolled(data)
-    a, b = one.of(order, window), two.of(order, window)
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    hit = np.zeros(len(order), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    return np.sort(order[hit])
+        rank, common = suffix_order(symbols, folder)
+    at = ragged(np.cumsum(sizes) - sizes, sizes - window + 1)
+    symbol = np.searchsorted(symbols.starts, at, "right") - 1
+    tail = symbols.ends[symbol] - at  # less than a window, so another symbol follows
+    key, behind = Rolling(VALUES[0][data]).of(at, tail), rank[symbol + 1]
+    order = np.lexsort((behind, key))
+    at, tail, key, behind = at[order], tail[order], key[order], behind[order]
+    near = np.flatnonzero((key[1:] == key[:-1]) & (tail[1:] == tail[:-1]))
+    near = near[tail[near] + RangeMin(common).of(behind[near] + 1, behind[near + 1]) >= window]
+    hit = np.zeros(len(at), bool)
+    for k in range(0, len(near), AT_ONCE):  # the tails were compared by hash; now by their bytes
+        a = near[k : k + AT_ONCE]
+        within = np.minimum(np.arange(int(tail[a].max())), tail[a][:, None] - 1)
+        a = a[(data[at[a][:, None] + within] == data[at[a + 1][:, None] + within]).all(axis=1)]
+        hit[a] = hit[a + 1] = True
+    return np.sort(at[hit])
 
 
 def _by_columns(window: int, budget: int):
-    def finish(doc, tie, start, offset, strings) -> pa.RecordBatch:
-        doc, tie, start, offset = (np.array(x) for x in (doc, tie, start, offset))
-        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        data = np.frombuffer(b"".join(strings), np.uint8)
-        who, first, size = likely(data, sizes, offset, window)
-        doc, tie, start = doc[who], tie[who], start[who] + first
+    def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        tie1, tie2, start, offset = (np.asarray(table.column(c)) for c in (*TIES, "start", "offset"))
+        strings = table.column("string").combine_chunks()
+        sizes = np.asarray(pa.compute.binary_length(strings)).astype(np.int64)
+        first = np.frombuffer(strings.buffers()[1], np.int32, 1, strings.offset * 4)[0]
+        data = np.frombuffer(strings.buffers()[2], np.uint8, int(sizes.sum()), int(first))
+        again = np.zeros(len(start), bool)  # the same string, of a row that stands more than once
+        again[1:] = (tie1[1:] == tie1[:-1]) & (tie2[1:] == tie2[:-1]) & (start[1:] == start[:-1])
+        if again.any():
+            data, keep = data[ragged((np.cumsum(sizes) - sizes)[~again], sizes[~again])], ~again
+            tie1, tie2, start, offset, sizes = tie1[keep], tie2[keep], start[keep], offset[keep], sizes[keep]
+        who, first, size = likely(data, sizes, offset.astype(np.int64), window)
+        tie1, tie2, start = tie1[who], tie2[who], start[who] + first
         begin = np.cumsum(size) - size
         at = np.zeros(0, np.int64)
         if len(who):
@@ -255,60 +359,69 @@ def _by_columns(window: int, budget: int):
         who = owner[head]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(doc[who], pa.int64()), pa.array(tie[who].astype(np.int32)), pa.array((start[who] + at[head] - begin[who]).astype(np.int32)),
+                pa.array(tie1[who], pa.int64()), pa.array(tie2[who], pa.int64()), pa.array((start[who] + at[head] - begin[who]).astype(np.int32)),
                 pa.array((start[who] + at[last] - begin[who] + window).astype(np.int32)),
-            ], ["doc", "tie", "start", "stop"],
+            ], [*TIES, "start", "stop"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
+        held: list[pa.RecordBatch] = []
         size, last = 0, None
         for batch in batches:
-            anchors = batch.column("anchor").to_pylist()
-            columns = [batch.column(c).to_pylist() for c in ("doc", "tie", "start", "offset", "string")]
-            for k, anchor in enumerate(anchors):
-                if anchor != last and size >= budget:
-                    yield finish(*held)
-                    held, size = [[], [], [], [], []], 0
-                last = anchor
-                for x, c in zip(held, columns, strict=True):
-                    x.append(c[k])
-                size += len(columns[4][k])
-        if held[0]:
-            yield finish(*held)
+            if not batch.num_rows:
+                continue
+            anchors = np.asarray(batch.column("anchor"))
+            ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column("string"))).astype(np.int64))
+            new = np.ones(len(anchors), bool)
+            new[1:] = anchors[1:] != anchors[:-1]
+            new[0] = last is not None and anchors[0] != last
+            at, done = 0, 0
+            for head in np.flatnonzero(new).tolist():  # where another anchor begins
+                here = int(ends[head - 1]) if head else 0
+                if size + here - done >= budget:
+                    if head > at:
+                        held.append(batch.slice(at, head - at))
+                    yield finish(held)
+                    release()
+                    held, size, at, done = [], 0, head, here
+            held.append(batch.slice(at))
+            size, last = size + int(ends[-1]) - done, anchors[-1]
+        if held:
+            yield finish(held)
+        release()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, most: int = 2000, budget: int = 1 << 22) -> DataFrame:
-    """Spans of bytes covered by windows that also start anywhere else: (doc, tie, start, stop); spans of one document may overlap."""
-    keyed = _keyed(docs)
-    paths = keyed.mapInArrow(_paths(window), PATHS)
-    anchors = (
-        paths.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("path1").alias("p"), F.max("path1").alias("q"))
-        .where("n > 1")
-        .select("anchor", (F.col("p") < F.col("q")).alias("branches"))
-    )
-    repeated = stored(paths.join(anchors, "anchor"), "paths")
+def repeated_spans(docs: DataFrame, window: int = 400, most: int = 2000, budget: int = 1 << 20) -> DataFrame:
+    """Spans of bytes covered by windows that also start anywhere else: (tie1, tie2, start, stop), by text; spans of one text may overlap."""
+    texts = docs.select(*tied("text"), "text")
+    paths = stored(texts.mapInArrow(_paths(window), PATHS), "all-paths")
+    path = F.struct("path1", "path2")
+    anchors = paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(path).alias("p"), F.max(path).alias("q")).where("n > 1")
+    anchors = stored(anchors.select("anchor", (F.col("p") < F.col("q")).alias("branches")), "anchors")
+    found = paths.join(anchors, "anchor")
+    same = [F.first(c).alias(c) for c in found.columns if c not in (*TIES, "start")]
+    repeated = stored(found.groupBy(*TIES, "start").agg(*same, F.count(F.lit(1)).alias("rows")), "paths")
     branching = repeated.where("branches")
     classes = stored(
-        branching.groupBy("anchor", "path1", "path2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "tie", "start", "windows", "offset")).alias("one")), "classes"
+        branching.groupBy("anchor", "path1", "path2").agg(F.sum("rows").alias("copies"), F.min(F.struct(*TIES, "start", "windows", "offset")).alias("one")), "classes"
     )
-    sizes = classes.groupBy("anchor").agg((F.count(F.lit(1)) > most).alias("hot"))
+    large = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("anchor", F.lit(True).alias("hot")), "large")
     copied = branching.join(classes.where("copies > 1").select("anchor", "path1", "path2"), ["anchor", "path1", "path2"])
     whole = repeated.where("not branches").unionByName(copied.select(*repeated.columns))
-    span = whole.select("doc", "tie", "start", (F.col("start") + F.col("windows") + F.lit(window - 1)).alias("stop"))
-    ones = classes.join(sizes, "anchor").select("one.doc", "one.tie", F.struct("one.start", "one.windows", "one.offset", "anchor", "hot").alias("path"))
-    listed = ones.groupBy("doc", "tie").agg(F.collect_list("path").alias("paths"))
-    strings = stored(
-        keyed.join(listed, ["doc", "tie"]).mapInArrow(_strings(window), "doc long, tie int, anchor long, hot boolean, start int, offset int, string binary"), "strings"
-    )
-    dealt = strings.where("not hot").drop("hot").repartition(shuffle_width(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
+    span = whole.select(*TIES, "start", (F.col("start") + F.col("windows") + F.lit(window - 1)).alias("stop"))
+    hot = F.coalesce("hot", F.lit(False)).alias("hot")
+    ones = classes.join(large, "anchor", "left").select("one.tie1", "one.tie2", F.struct("one.start", "one.windows", "one.offset", "anchor", hot).alias("path"))
+    listed = ones.groupBy(*TIES).agg(F.collect_list("path").alias("paths"))
+    sources = least_rows(docs, listed).select(*TIES, "text", "paths")
+    strings = stored(sources.mapInArrow(_strings(window), STRINGS), "strings")
+    dealt = strings.where("not hot").drop("hot").repartition(shuffle_width(docs.sparkSession), "anchor").sortWithinPartitions("anchor", *TIES, "start")
     by_columns = dealt.mapInArrow(_by_columns(window, budget), SPANS)
-    hot = strings.where("hot").mapInArrow(_hot_windows(window), "doc long, tie int, start int, window1 long, window2 long")
-    shared = hot.groupBy("window1", "window2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    by_window = hot.join(shared, ["window1", "window2"]).select("doc", "tie", "start", (F.col("start") + window).alias("stop"))
+    hot = strings.where("hot").mapInArrow(_hot_windows(window), "tie1 long, tie2 long, start int, window1 long, window2 long")
+    place = F.struct(*TIES, "start")
+    shared = hot.groupBy("window1", "window2").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p < q").select("window1", "window2")
+    by_window = hot.join(shared, ["window1", "window2"]).select(*TIES, "start", (F.col("start") + window).alias("stop"))
     return span.unionAll(by_columns).unionAll(by_window)
 
 
@@ -345,10 +458,9 @@ def cut_repeats(docs: DataFrame, window: int = 400, most: int = 2000) -> DataFra
     """Per row of docs (doc_id, text): doc_id, kept, n_bytes, n_removed, n_spans.
 
     Every byte that a ``window``-byte string covers which also starts anywhere else, in the same document too, is removed, the first place included; strings are judged on
-    the input and never cross rows. kept has the bytes that stay, which may end within a character. Null texts count as empty. Rows that share an id are documents of their
-    own. Other columns are not read; an empty table gives no rows.
+    the input and never cross rows. kept has the bytes that stay, which may end within a character. Null texts count as empty. Every row is a document of its
+    own, whatever its id, so of repeated rows each repeats the others. Other columns are not read; an empty table gives no rows.
     """
-    spans = repeated_spans(docs, window, most).groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    cut = _keyed(docs).join(spans, ["doc", "tie"], "left")
-    rows = cut.select(F.when(F.col("doc") < NO_ID, F.col("doc")).alias("doc_id"), "text", "spans")
-    return rows.mapInArrow(_cut, CUT)
+    spans = repeated_spans(docs, window, most).groupBy(*TIES).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *tied("text"), "text").join(spans, [*TIES], "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(_cut, CUT)

@@ -98,15 +98,31 @@ def test_suffixes(edge_docs, no_docs):
     assert suffixes.cut_repeats(no_docs).count() == 0
 
 
-def test_suffix_order(tmp_path):
+@pytest.mark.parametrize(("letters", "longest"), [("ab", 1), ("ab ", 1), ("abc  ", 4), ("ab é\0 ", 3)])
+def test_suffix_order(tmp_path, letters, longest):
+    """Ranks and common prefixes against sorted suffixes; strings' ends sort before all else, in the strings' order."""
     rng = np.random.default_rng(0)
-    strings = ["".join(rng.choice(list("ab"), rng.integers(5, 40))) for _ in range(30)]
-    data = np.frombuffer("".join(strings).encode(), np.uint8)
-    sizes = np.array([len(s) for s in strings])
-    begin = np.cumsum(sizes) - sizes
-    order = suffixes.suffix_order(data, sizes, 5, str(tmp_path))
-    suffix = {int(b + k): (s[k:], j) for j, (s, b) in enumerate(zip(strings, begin)) for k in range(len(s) - 4)}
-    assert order.tolist() == sorted(suffix, key=lambda p: suffix[p])
+    strings = ["".join(rng.choice(list(letters), rng.integers(5, 40))).encode() for _ in range(30)]
+    data, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    symbols = suffixes.split_symbols(data, sizes, longest)
+    assert (symbols.ends - symbols.starts).max() <= longest
+    rank, common = suffixes.suffix_order(symbols, str(tmp_path))
+    ends = np.cumsum(sizes)
+    owner = np.searchsorted(ends, symbols.starts, "right")
+    suffix = [data[a : ends[k]].tobytes() for a, k in zip(symbols.starts, owner, strict=True)]
+    order = sorted(range(len(suffix)), key=lambda x: ([b + 1 for b in suffix[x]], owner[x]))
+    assert [int(rank[x]) for x in order] == list(range(len(strings), len(strings) + len(order)))
+    for x, y in zip(order, order[1:], strict=False):
+        a, b = suffix[x], suffix[y]
+        assert common[rank[y]] == next((i for i, (c, d) in enumerate(zip(a, b, strict=False)) if c != d), min(len(a), len(b)))
+
+
+def test_suffixes_many_equal_rows(spark):
+    """10,000 rows of one text under one id, rows without id, and ids on different texts."""
+    text = "".join(np.random.default_rng(3).choice(list("abcdef "), 700))
+    rows = [(1, text)] * 10_000 + [(None, text[:500])] + [(2, "x" + text[100:600]), (2, "short")]
+    out = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == Counter({(1, 700, 700): 10_000, (None, 500, 500): 1, (2, 501, 500): 1, (2, 5, 0): 1})
 
 
 def test_language(edge_docs, no_docs):
