@@ -2,8 +2,9 @@
 
 Base secrets are found by three patterns and stand on their own. Weak candidates (a bare 40-character key, an endpoint, a
 user name) mean little alone; each is reported only if a complementary part lies within ``scope`` characters in the same
-document. That is an interval join of the parts with the scopes around them, done as a sweep: parts are sorted by start within
-their document, and running maxima and minima carry the nearest complement before and after. So a document with many parts makes no pairs.
+document. That is an interval join of the parts with the scopes around them, done as two sweeps: parts are sorted by start within
+their document, and a running maximum from the start and a running minimum from the end carry the nearest complement before and after. So a document with many parts makes no pairs,
+and takes time in proportion to their number, but for sorting.
 
 Everything is DataFrame code. A text is split at a pattern's matches, and the running lengths of the pieces
 and matches give the positions, in code points.
@@ -76,8 +77,9 @@ def find_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
     )
     rank = reduce(lambda c, k: c.when(F.col("kind") == k, ORDER[k]), ORDER, F.when(F.lit(False), 0))
     placed = placed.withColumn("rank", rank)
-    order = Window.partitionBy("row").orderBy("start", "rank")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    past = (Window.unboundedPreceding, -1)  # grows by a row at a time; what follows is the past of the sweep from the end
+    before = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(*past)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(*past)
     near = F.lit(False)
     for kind, others in COMPLEMENTS.items():
         is_other = F.col("ok") & F.col("kind").isin(*others)

@@ -135,6 +135,26 @@ def test_op10_secrets(spark, sf_dir, texts):
         counts = tuple(sum(s[1] == k for s in spans) for k in range(3))
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == counts
         assert got[i].base_sha256 == sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)))
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans + linked(t, spans)))
+
+
+def linked(text, base, scope=300):
+    """The weak spans of a text with a complement within scope, by comparing all with all."""
+    weak = {
+        "key": (3, r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 0, 40, {"access"}),
+        "endpoint": (4, r"""https?://[^\x00-\x20"'<>]+""", 0, 12, {"assign", "access"}),
+        "user": (5, r"""(?i:\b(?:user(?:name)?|login|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 1, 4, {"assign", "hex"}),
+    }
+    out = []
+    for kind, (rank, pattern, group, least, others) in weak.items():
+        for m in re.compile(pattern, re.ASCII).finditer(text):
+            if len(m[group]) >= least:
+                for a, r, k, b in base:
+                    earlier = (a, r) < (m.start(), rank)
+                    if k in others and (m.start() - b if earlier else a - m.end()) <= scope:
+                        out.append((m.start(), rank, kind, m.end()))
+                        break
+    return out
 
 
 def test_pipeline(spark, sf_dir, texts):
