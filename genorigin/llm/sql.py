@@ -22,12 +22,13 @@ FROM named LEFT JOIN best USING (page_id)
 MIXING = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, '-')) AS k
+    md5(coalesce(doc_id::VARCHAR, '-') || '|' || md5(coalesce(text, ''))) AS k
   FROM documents
 ), s1 AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
 ), s2 AS (
-  SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2 AS cap FROM s1
+  SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2 AS cap,
+    count(*) OVER () + 1 - 2 * row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM s1
 ), s3 AS (
   SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS i FROM s2
 ), s4 AS (
@@ -36,16 +37,21 @@ WITH sizes AS (
 ), s5 AS (
   SELECT *, (SELECT arg_min(level, i) FROM s4 WHERE level * weight < cap) AS shared FROM s4
 ), t AS (
-  SELECT source, source_size, CASE WHEN shared IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, shared * weight) END AS target FROM s5
+  SELECT source, source_size, turn, CASE WHEN shared IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, shared * weight) END AS target FROM s5
+), t1 AS (
+  SELECT *, turn::DOUBLE * (SELECT sum(floor(target)::HUGEINT) FROM t)::DOUBLE - (SELECT sum(floor(target)::HUGEINT * turn) FROM t)::DOUBLE AS off FROM t
+), t2 AS (
+  SELECT *, CASE WHEN (SELECT max(abs(off)) FROM t1) > 0 THEN 0.5::DOUBLE * off / (SELECT max(abs(off)) FROM t1) ELSE 0::DOUBLE END AS lean FROM t1
 ), p AS (
-  SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS due,
+  SELECT doc_id, size, source_size, target, lean, floor(target)::BIGINT AS due,
     (sum(size) OVER (PARTITION BY sizes.source ORDER BY k) - size)::BIGINT AS b
-  FROM sizes JOIN t ON sizes.source IS NOT DISTINCT FROM t.source
+  FROM sizes JOIN t2 ON sizes.source IS NOT DISTINCT FROM t2.source
 ), q AS (
   SELECT *, (least(greatest(due - b, 0), size) + least(greatest(due - b - source_size, 0), size))::BIGINT AS taken FROM p
 )
-SELECT doc_id, size, source_size, target, taken,
-  CASE WHEN taken > 0 THEN (1.5::DOUBLE - sqrt(greatest(1.5::DOUBLE * 1.5::DOUBLE - 2.0::DOUBLE * (b / target)::DOUBLE, 0))) / 1.0::DOUBLE END AS position
+SELECT doc_id, size, source_size, target, lean, taken,
+  CASE WHEN taken > 0 THEN 2::DOUBLE * (b / target)::DOUBLE
+    / ((1::DOUBLE + lean) + sqrt(greatest((1::DOUBLE + lean) * (1::DOUBLE + lean) - 4::DOUBLE * lean * (b / target)::DOUBLE, 0::DOUBLE))) END AS position
 FROM q
 """
 

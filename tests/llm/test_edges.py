@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -190,6 +191,51 @@ def test_curriculum_is_in_order(spark):
     assert Counter(ids) == Counter({i: math.ceil(r.taken / r["size"]) for i, r in plan.items() if r.taken})
 
 
+def test_curriculum_varies_with_time(spark):
+    """The sources' shares of every tenth of the words are as their schedules integrate, and ramps give different orders."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(1, 9)), "abcd"[int(rng.integers(0, 4))]) for i in range(4000)] + [(None, "x " * 3, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    info = {r.source: r for r in mixing.mix(docs).collect()}
+    leans = [info[s].lean for s in ("a", "b", "c", "d", None)]
+    assert leans == sorted(leans, reverse=True) and leans[0] > 0 > leans[-1] and abs(max(map(abs, leans)) - 0.5) < 1e-12
+    assert abs(sum(math.floor(r.target) * r.lean for r in info.values())) < 1e-6
+    total = sum(r.target for r in info.values())
+    got = [(r.source, len(r.text.split())) for r in mixing.curriculum(docs).collect()]
+    ends = np.cumsum([n for _, n in got])
+    due = lambda r, t: r.target * (t * (1 + r.lean) - r.lean * t * t)
+    for k in range(10):
+        part = [x for x, e in zip(got, ends, strict=True) if k / 10 * ends[-1] < e <= (k + 1) / 10 * ends[-1]]
+        for source, r in info.items():
+            words = sum(n for s, n in part if s == source)
+            assert abs(words - (due(r, (k + 1) / 10) - due(r, k / 10))) < 0.01 * total
+    flat = [(r.source, len(r.text.split())) for r in mixing.curriculum(docs, ramp=0.0).collect()]
+    assert flat != got and Counter(flat) == Counter(got)
+
+
+def test_mixing_repeated_rows(spark):
+    """Ten equal rows are used for as many words as the mix takes of them, whatever the partitions; so are equal rows with other columns."""
+    rows = [(1, "w " * 10, "a", k % 2) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key int")
+    for parts in (1, 4):
+        taken = [r.taken for r in mixing.mix(docs.repartition(parts)).collect()]
+        assert sum(taken) == 150 and Counter(taken) == Counter({20: 5, 10: 5})
+        out = mixing.curriculum(docs.repartition(parts)).collect()
+        assert len(out) == 15 and len({r.key for r in out}) == 1
+    null = spark.createDataFrame([(None, "w", "a"), (None, "v v", "a"), (None, "w", None)] * 2000, "doc_id long, text string, source string")
+    out = mixing.mix(null)
+    assert out.count() == 6000 and Counter(map(tuple, out.collect())) == Counter(map(tuple, mixing.mix(null.repartition(3)).collect()))
+
+
+def test_many_matches_in_one_text(spark):
+    """40,000 matches in one text take seconds, not minutes."""
+    text = "user: bobby password=abcdefgh1 " * 20_000
+    began = time.time()
+    out = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(out[0].secrets) == 40_000 and sum(s.linked for s in out[0].secrets) == 20_000
+    assert time.time() - began < 30
+
+
 def test_secrets(edge_docs, no_docs, spark):
     out = secrets.find_secrets(clashing(edge_docs)).collect()
     assert len(out) == 12 and sum(len(r.secrets) for r in out) == 1  # the 5,000 letters are hex digits
