@@ -3,19 +3,20 @@
 A text is lowered, everything but letters becomes a space, and every run of 2 to 4 bytes within a word (with the space before or after it)
 is hashed to a bucket. Each bucket has a vector; their mean over the text goes through a linear softmax. Training is
 stochastic gradient descent in numpy on a sample of labelled rows: at most ``per_language`` rows of each language (in expectation), and with many languages
-an even share of ``most`` rows, drawn by a hash of the id from the whole table. A tenth of the sample is held back to fit the temperature of the scores and, with
-pieces of its texts so that short texts are judged by short ones, the scores below which predictions of each length are rejected. Prediction covers every whole text: as all is linear, each bucket's vector is
-multiplied with the softmax weights beforehand where that makes the table no wider.
+an even share of ``most`` rows, drawn by a hash of the id from the whole table, of long texts a piece of ``sample_chars``. The softmax has one more class, for what is no language: it learns from
+texts of the sample with their letters shuffled, or in their place random ones of a few alphabets. A tenth of the sample is held back to fit the temperature of the scores and, with
+pieces of its texts so that short texts are judged by short ones, the scores below which predictions of each length are rejected; the share of held-back junk that these reject is kept with the model.
+Prediction covers every whole text: as all is linear, each bucket's vector is multiplied with the softmax weights beforehand where that makes the table no wider.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,15 +29,17 @@ UNKNOWN = "und"
 SMOOTHING = 0.02
 #: Rows of each language in the sample (in expectation, or all it has), however many languages there are.
 FEWEST = 20
+#: Characters of a text that junk is made of.
+JUNK = 2000
 #: ASCII bytes other than letters become spaces; bytes of other characters stay.
 FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
 class Model:
-    """languages; table (buckets x languages): each bucket's scores, or with weights (width x languages) each bucket's vector; bias; temperature;
-    thresholds: by the bit length of a text's number of subwords, the score below which it is rejected."""
+    """languages; table (buckets x classes): each bucket's scores, or with weights (width x classes) each bucket's vector; bias; temperature; the last class is no language;
+    thresholds: by the bit length of a text's number of subwords, the score below which it is rejected; caught: the share of held-back junk that is rejected."""
 
     languages: list[str]
     table: np.ndarray
@@ -44,6 +47,7 @@ class Model:
     temperature: float
     thresholds: np.ndarray
     weights: np.ndarray | None = None
+    caught: float = 0.0
 
 
 def features(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,25 +77,34 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, seed: int = 1) -> Model:
-    """Fit on texts and their labels, in memory. keep: the share of good predictions that the rejection thresholds let through.
+def junk(text: str, kind: int, rng: np.random.Generator) -> str:
+    """The text with its letters shuffled (kind 0), or replaced by random ones of a to z (1) or of 24 letters from anywhere below U+A000 (2); other characters stay."""
+    out = np.array([*map(ord, text)], np.int64)
+    at = np.flatnonzero([c.isalpha() for c in text])
+    letters = out[at] if kind == 0 else np.arange(97, 123) if kind == 1 else rng.integers(0xC0, 0xA000, 24)
+    out[at] = rng.permutation(letters) if kind == 0 else rng.choice(letters, len(at))
+    return "".join(map(chr, out.tolist()))
 
-    With one language every score is 1, so only texts without letters are rejected.
-    """
+
+def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, seed: int = 1) -> Model:
+    """Fit on texts and their labels, in memory. keep: the share of good predictions that the rejection thresholds let through."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, np.zeros(1))
     rng = np.random.default_rng(seed)
-    y = np.array([languages.index(x) for x in labels])
+    number = {x: k for k, x in enumerate(languages)}
+    n, width_out = len(texts), len(languages) + 1
+    order = rng.permutation(n)
+    odd = [junk(texts[i][:JUNK], k % 3, rng) for k, i in enumerate(order[::3])]  # every third of the held-back and of the other texts
+    y = np.array([number[x] for x in labels] + [len(languages)] * len(odd))
     rows = []
-    for t in texts:
+    for t in [*texts, *odd]:
         ids, counts = np.unique(features([t], buckets)[0], return_counts=True)
         rows.append((ids, counts / max(1, counts.sum())))
-    order = rng.permutation(len(rows))
-    held = order[: len(rows) // 10]
-    fit = order[len(rows) // 10 :]
+    held, odd_held = order[: n // 10], n + np.arange(-(-(n // 10) // 3))
+    fit = np.concatenate([order[n // 10 :], np.arange(n + len(odd_held), len(rows))])
     vectors = rng.uniform(-1 / width, 1 / width, (buckets, width))
-    weights, bias = np.zeros((width, len(languages))), np.zeros(len(languages))
+    weights, bias = np.zeros((width, width_out)), np.zeros(width_out)
 
     def gather(batch):
         ids = np.concatenate([rows[i][0] for i in batch])
@@ -117,16 +130,19 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: in
             used, where = np.unique(ids, return_inverse=True)
             for k in range(width):
                 vectors[used, k] -= lr * 20 * np.bincount(where, back[:, k], len(used))
-    audit = held if len(held) else fit
-    logits = gather(audit)[3] @ weights + bias
+    audit = held if len(held) else order
+    both = np.concatenate([audit, odd_held])
+    logits = gather(both)[3] @ weights + bias
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
-    goal = np.full(logits.shape, SMOOTHING / len(languages))
-    goal[np.arange(len(audit)), y[audit]] += 1 - SMOOTHING
+    goal = np.full(logits.shape, SMOOTHING / width_out)
+    goal[np.arange(len(both)), y[both]] += 1 - SMOOTHING
     loss = [-(goal * np.log(_softmax(logits / t) + 1e-300)).sum(axis=1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    wide = len(languages) > width
+    wide = width_out > width
     model = Model(languages, (vectors if wide else vectors @ weights).astype(np.float32), bias, temperature, np.zeros(1), weights if wide else None)
     model.thresholds = calibrated(model, [texts[i] for i in audit], [labels[i] for i in audit], keep, rng)
+    trash = [odd[i - n] for i in odd_held]
+    model.caught = float(predict_batch(model, trash)[2].mean()) if trash else 0.0
     return model
 
 
@@ -134,7 +150,7 @@ def calibrated(model: Model, texts: list[str], labels: list[str], keep: float, r
     """By bit length of the number of subwords: the quantile 1 - keep of the scores of good predictions of texts and pieces of them of that length.
 
     Pieces are of 2 to 3, 4 to 7, 8 to 15, ... characters, pieces_each of every such range up to the text's size. A length with too few predictions for that quantile takes in
-    shorter ones, as far as it needs.
+    shorter ones, as far as it needs; if there are still too few, nothing of that length is rejected for its score.
     """
     bits, good = [np.zeros(0, np.int64)], [np.zeros(0)]
     for text, label in zip(texts, labels, strict=True):
@@ -152,7 +168,7 @@ def calibrated(model: Model, texts: list[str], labels: list[str], keep: float, r
         while low and ((bits >= low) & (bits <= b)).sum() < enough:
             low -= 1
         mine = good[(bits >= low) & (bits <= b)]
-        out[b] = np.quantile(mine, 1 - keep) if len(mine) else 0.0
+        out[b] = np.quantile(mine, 1 - keep) if len(mine) >= enough else 0.0
     return np.minimum.accumulate(out[::-1])[::-1]  # no length is judged harder than a longer one
 
 
@@ -169,6 +185,7 @@ def _judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     for at in range(0, n, width):  # in parts, for memory
         part = mean[at : at + width]
         scores = _softmax(((part if model.weights is None else part @ model.weights) + model.bias) / model.temperature)
+        scores = scores[:, : len(model.languages)]  # without the class that is no language
         best[at : at + width], score[at : at + width] = scores.argmax(axis=1), scores.max(axis=1)
     score[~readable] = 0.0
     names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), readable.tolist(), strict=True)]
@@ -187,11 +204,12 @@ def fold_of(doc_id: str, folds: int = 3) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds))
 
 
-def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3, per_language: int = 600, most: int = 6000) -> Model:
+def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3, per_language: int = 600, most: int = 6000, sample_chars: int = 1 << 14) -> Model:
     """Learn from text and label of docs (doc_id, text, label) outside the held-out fold; rows without id, text or label are left out.
 
     All labels are languages. Each has the same share of the sample: ``per_language`` rows, or with more labels ``most`` divided by their number, but never under FEWEST;
-    a label with fewer rows gives all it has. So the sample, which is held in memory, is at most ``most`` or FEWEST rows a label.
+    a label with fewer rows gives all it has. So the sample, which is held in memory, is at most ``most`` or FEWEST rows a label, of a text of more than
+    ``sample_chars`` characters only a piece of that size, from a place drawn by the id.
     """
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held_out))
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
@@ -201,7 +219,9 @@ def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3,
     schema = T.StructType([T.StructField(label, docs.schema[label].dataType), T.StructField("__rate", T.DoubleType())])
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, share / n)) for k, n in counts.items()], schema)
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.select("doc_id", "text", label, draw.alias("__u")).join(F.broadcast(rates), label).where("__u < __rate")
+    spare = F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1
+    piece = F.expr("text").substr(F.pmod(F.xxhash64(F.lit(18), "doc_id"), spare).cast("int") + 1, F.lit(sample_chars))
+    drawn = rows.select("doc_id", piece.alias("text"), label, draw.alias("__u")).join(F.broadcast(rates), label).where("__u < __rate")
     got = drawn.select("__u", "doc_id", "text", F.col(label).alias("label")).distinct().toPandas()
     got = got.sort_values(["__u", "doc_id", "text", "label"], kind="stable")
     return train(got["text"].tolist(), got["label"].tolist())

@@ -24,3 +24,13 @@ def test_unlearned_languages_are_rejected_and_short_texts_kept(languages):
 def test_one_language_and_few_rows():
     model = langid.train(["some words"] * 3, ["en"] * 3)
     assert langid.predict_batch(model, ["some words", "other", "", "12"])[2].tolist() == [False, False, True, True]
+
+
+def test_letters_and_junk(spark):
+    """Digits and signs are no letters, and junk is rejected with scores calibrated on the given table."""
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    none = ["1234 ! ²", "½", "①", "Ⅷ", "٣", "_"]
+    assert langid.predict_batch(model, none)[0] == ["und"] * len(none) and langid.predict_batch(model, ["ª"])[0] != ["und"]
+    rng = np.random.default_rng(2)
+    made = words("abcdefghijklmnopqrstuvwxyz", 100, rng) + words("漢字書道茶花", 100, rng)
+    assert langid.predict_batch(model, made)[2].mean() > 0.9 and model.caught > 0.8
