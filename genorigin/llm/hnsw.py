@@ -165,12 +165,13 @@ class Graph:
         return ids, likes
 
     def to_bytes(self) -> bytes:
+        """The links, without the vectors."""
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, counts=np.array(self.counts), **{f"layer{k}": x for k, x in enumerate(self.layers)})
+        np.savez(out, counts=np.array(self.counts), **{f"layer{k}": x for k, x in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Graph:
+    def from_bytes(cls, data: bytes, vectors: np.ndarray) -> Graph:
         x = np.load(io.BytesIO(data))
         counts = x["counts"].tolist()
-        return cls(x["vectors"], [x[f"layer{k}"] for k in range(len(counts))], counts)
+        return cls(np.ascontiguousarray(vectors, np.float32), [x[f"layer{k}"] for k in range(len(counts))], counts)

@@ -288,6 +288,25 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_clusters(spark):
+    """Two clusters of 2,000 on both sides of the threshold, a tight one of 1,500, and lone vectors: all links count, alike for both ends."""
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=24)
+    b = rng.normal(size=24)
+    a /= np.linalg.norm(a)
+    b -= (a @ b) * a
+    b /= np.linalg.norm(b)
+    other = 0.9 * a + math.sqrt(1 - 0.81) * b
+    x = np.concatenate([a + rng.normal(size=(2000, 24)) * 0.02, other + rng.normal(size=(2000, 24)) * 0.02, rng.normal(size=24) + rng.normal(size=(1500, 24)) * 0.001, rng.normal(size=(500, 24))])
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(docs, shards=3).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (np.abs(found - links) > 0).sum() == 0 and found.sum() % 2 == 0
+    assert all(got[i].component_id == 0 for i in range(4000)) and all(got[i].component_id == 4000 for i in range(4000, 5500))
+
+
 def test_stages_on_edges(spark, edge_docs, no_docs, sf_dir):
     import corpus_pipeline as p
 

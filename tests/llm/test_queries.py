@@ -110,6 +110,17 @@ def test_op7_embeddings(spark, sf_dir):
     got = rows(spark, sf_dir, "op7_embedding_dedup")
     found = np.array([got[r.vec_id].n_links for r in data])
     assert (found <= links).all() and found.sum() >= 0.9 * links.sum()
+    root = np.arange(len(data))
+    near = x @ x.T >= 0.9
+    for k in range(len(data)):  # in order of id: a component is known by its first
+        if root[k] == k:
+            front = [k]
+            while front:
+                reached = [j for i in front for j in np.flatnonzero(near[i]) if root[j] > k]
+                root[reached] = k
+                front = reached
+    agree = [got[r.vec_id].component_id == data[root[k]].vec_id for k, r in enumerate(data)]
+    assert np.mean(agree) > 0.99 and all(got[r.vec_id].kept == (got[r.vec_id].component_id == r.vec_id) for r in data)
 
 
 def test_op9_bytes(spark, sf_dir, texts):
