@@ -13,7 +13,8 @@ def connected(links: DataFrame, name: str = "components", rounds: int = 60) -> D
 
     Each round gives every node the smallest root among its neighbours', hooks its own old root to it as well, and then takes the root's root. Roots reach
     across a component in a number of rounds that grows with the logarithm of its width. All steps are joins and minima with partial aggregation; labels
-    are written to the shared folder after each round, which also keeps the plan short. The driver sees one count a round.
+    are written to the shared folder twice a round, which keeps the plan short and leaves both sides of the join on roots to be read from shuffles, so that the root of a large star
+can be split among tasks. The driver sees one count a round.
     """
     both = links.where("a <> b").select("a", "b")
     both = stored(both.union(both.select("b", "a")).distinct(), name)
@@ -22,7 +23,7 @@ def connected(links: DataFrame, name: str = "components", rounds: int = 60) -> D
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         seen = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         hooked = seen.where("low < root").select(F.col("root").alias("node"), "low")
-        lower = seen.select("node", "low").union(hooked).groupBy("node").agg(F.min("low").alias("low"))
+        lower = stored(seen.select("node", "low").union(hooked).groupBy("node").agg(F.min("low").alias("low")), name)
         up = lower.select(F.col("node").alias("parent"), F.col("low").alias("upper"))
         jumped = lower.join(up, lower["low"] == up["parent"], "left").select("node", F.least("low", F.coalesce("upper", "low")).alias("root"))
         after = stored(jumped, name)

@@ -237,7 +237,8 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolera
     null. Null ids count as documents but are never the smallest unless a class has no other. Rows that share an id are rows all the same. An empty table gives no rows; other columns are not read.
     """
     texts, prints, labelled = _linked(docs, words, threshold, tolerance)
-    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = stored(labelled, "labelled")
+    lowest = stored(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")  # so that a root of many can be split in the join
     result = labelled.join(lowest, "root").select("class", F.col("least").alias("class_id"), (F.col("size") - 1 + F.col("links")).alias("n_links"), "component_id")
     judged = prints.select("doc_id", "class").join(result, "class").select("doc_id", "class_id", "n_links", "component_id")
     bare = texts.where(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0)
