@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from genorigin.functions.keyed import binomial2, digest, uniform
 
+from .ranks import ranked
 from .samples import known_filter, unknown_filter
 from .sites import SITE
 
 
 def _ranked(samples: DataFrame, seed) -> DataFrame:
-    """Samples with rank r from 0 in shuffled order and their number n. Windows here run over the sample table."""
-    order = Window.orderBy(digest(seed, "sampleid"), "sampleid")
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return samples.select("sampleid", (F.row_number().over(order) - 1).alias("r"), F.count(F.lit(1)).over(everything).alias("n"))
+    """Samples with rank r from 0 in shuffled order and their number n."""
+    return ranked(samples.select("sampleid"), digest(seed, "sampleid"), F.col("sampleid"))
 
 
 def _roles(samples: DataFrame, role, seed) -> DataFrame:
-    ranked = _ranked(known_filter(samples), seed).select("sampleid", role.alias("role"))
-    return ranked.union(unknown_filter(samples).select("sampleid", F.lit("pred").alias("role")))
+    numbered = _ranked(known_filter(samples), seed).select("sampleid", role.alias("role"))
+    return numbered.union(unknown_filter(samples).select("sampleid", F.lit("pred").alias("role")))
 
 
 def train_test_split(samples: DataFrame, train_split: float = 0.9, seed: int = 0) -> DataFrame:
@@ -50,18 +48,16 @@ def holdout_split(samples: DataFrame, k: int = 10, train_split: float = 0.9, see
     if k >= n:
         raise ValueError(f"Cannot hold out {k} of {n} samples")
     first = F.lit(0) if ids is None else F.when(F.col("sampleid").isin(*ids), 0).otherwise(1)
-    order = Window.orderBy(first, digest(seed, "sampleid"), "sampleid")
-    ranked = known.select("sampleid", (F.row_number().over(order) - 1).alias("r"))
+    numbered = ranked(known.select("sampleid"), first, digest(seed, "sampleid"), F.col("sampleid"))
     held = F.bround((1 - F.lit(float(train_split))) * F.lit(n - k), 0)
     role = F.when(F.col("r") < k, "holdout").when(F.col("r") < k + held, "val").otherwise("train")
-    return ranked.select("sampleid", role.alias("role")).union(unknown_filter(samples).select("sampleid", F.lit("pred").alias("role")))
+    return numbered.select("sampleid", role.alias("role")).union(unknown_filter(samples).select("sampleid", F.lit("pred").alias("role")))
 
 
 def systematic_holdouts(samples: DataFrame, k: int = 10, seed: int | None = None) -> DataFrame:
     """Chunks of k known samples in order of id (shuffled if a seed is given): (sampleid, holdout_id). Every known sample is in one."""
     order = [F.col("sampleid")] if seed is None else [digest(seed, "sampleid"), F.col("sampleid")]
-    r = F.row_number().over(Window.orderBy(*order)) - 1
-    return known_filter(samples).select("sampleid", F.floor(r / k).cast("int").alias("holdout_id"))
+    return ranked(known_filter(samples).select("sampleid"), *order).select("sampleid", F.floor(F.col("r") / k).cast("int").alias("holdout_id"))
 
 
 def kfold_split(samples: DataFrame, k: int = 5, seed: int = 0, training_ids: DataFrame | None = None) -> DataFrame:
@@ -129,11 +125,11 @@ def bootstrap_indices(replicate, n_sites: int, seed: int = 0):
 
 
 def jackknife_sites(sites: DataFrame, replicates: int, prop: float = 0.05, seed: int = 0, n_sites: int | None = None) -> DataFrame:
-    """Per replicate int(n prop) sites without replacement: (replicate, chrom, position)."""
+    """Per replicate int(n prop) sites without replacement: (replicate, chrom, position). All replicates are ranked at once, as each has as many sites."""
     n = n_sites if n_sites is not None else sites.count()
     rows = sites.select(*SITE, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    r = F.row_number().over(Window.partitionBy("replicate").orderBy(digest(seed, "replicate", *SITE), *SITE))
-    return rows.withColumn("r", r).where(F.col("r") <= int(n * prop)).select("replicate", *SITE)
+    numbered = ranked(rows, F.col("replicate"), digest(seed, "replicate", *SITE), *map(F.col, SITE))
+    return numbered.where(F.col("r") - F.col("replicate") * F.lit(n) < int(n * prop)).select("replicate", *SITE)
 
 
 def jackknife_mask(dosages: DataFrame, masked: DataFrame, freq: DataFrame, replicates: int, seed: int = 0) -> DataFrame:

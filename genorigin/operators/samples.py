@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from genorigin.functions.keyed import digest
 
+from .ranks import ranked
+
 
 def known_filter(samples: DataFrame) -> DataFrame:
     return samples.where(F.col("x").isNotNull())
@@ -67,8 +68,8 @@ def check_sample_alignment(calls: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def sample_order(samples: DataFrame) -> DataFrame:
-    """Number the samples by id from 0. The window runs over the sample table, a row per sample."""
-    return samples.select("sampleid", (F.row_number().over(Window.orderBy("sampleid")) - 1).cast("long").alias("i"))
+    """Number the samples by id from 0."""
+    return ranked(samples.select("sampleid"), F.col("sampleid")).select("sampleid", F.col("r").alias("i"))
 
 
 def pick_samples(rows: DataFrame, n: int = 9, seed: int = 0, ids: list[str] | None = None) -> DataFrame:

@@ -18,11 +18,10 @@ SITE = ["chrom", "position"]
 def allele_counts(calls: DataFrame, most: int = 3) -> DataFrame:
     """Per site: n0, n1, ... up to allele ``most``, how often each allele is called, and others: how many alleles beyond are called at all.
 
-    Missing calls do not count. One pass, nothing is exploded.
+    Alleles count one by one, so of a half call such as (0, -1) the called one does. One pass, nothing is exploded.
     """
-    present = ~is_missing_call(F.col("alleles"))
-    count = lambda k: F.sum(F.when(present, allele_copies(F.col("alleles"), k)).otherwise(0)).cast("long")
-    rare = present & (F.array_max("alleles") > most)
+    count = lambda k: F.coalesce(F.sum(allele_copies(F.col("alleles"), k)), F.lit(0)).cast("long")
+    rare = F.array_max("alleles") > most
 
     def beyond(low: int, high: int) -> Column:  # one bit for each allele, as an index is at most 127
         bits = F.aggregate(F.filter("alleles", lambda x: (x >= low) & (x < high)), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int") % 64)))
@@ -34,7 +33,7 @@ def allele_counts(calls: DataFrame, most: int = 3) -> DataFrame:
 
 def allele_counts_long(calls: DataFrame) -> DataFrame:
     """Per site and allele, any number of alleles: chrom, position, allele, n."""
-    rows = calls.where(~is_missing_call(F.col("alleles"))).select(*SITE, F.explode("alleles").alias("allele"))
+    rows = calls.select(*SITE, F.explode("alleles").alias("allele")).where("allele >= 0")
     return rows.groupBy(*SITE, "allele").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -57,11 +56,12 @@ def mac_filter(counts: DataFrame, min_mac: int = 1, folded: bool = False) -> Dat
 
 
 def allele_freq_called(calls: DataFrame) -> DataFrame:
-    """Per site: n1, called (samples), freq: copies of allele 1 over twice the called samples; null if none is called."""
-    present = ~is_missing_call(F.col("alleles"))
-    rows = calls.groupBy(*SITE).agg(
-        F.sum(F.when(present, dosage_from_alleles(F.col("alleles"))).otherwise(0)).cast("long").alias("n1"), F.count_if(present).alias("called")
-    )
+    """Per site: n1, called (samples), freq: copies of allele 1 over twice the called samples; null if none is called.
+
+    Copies in half calls count, samples with them do not count as called.
+    """
+    copies = F.coalesce(F.sum(dosage_from_alleles(F.col("alleles"))), F.lit(0)).cast("long")
+    rows = calls.groupBy(*SITE).agg(copies.alias("n1"), F.count_if(~is_missing_call(F.col("alleles"))).alias("called"))
     return rows.withColumn("freq", F.try_divide(F.col("n1").cast("double"), 2 * F.col("called")))
 
 
@@ -83,8 +83,10 @@ def missingness(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def to_dosage(calls: DataFrame, missing: int | None = 0) -> DataFrame:
-    """Calls to dosages; missing ones get the value given, or null."""
-    d = F.when(is_missing_call(F.col("alleles")), F.lit(missing)).otherwise(dosage_from_alleles(F.col("alleles")))
+    """Calls to dosages; calls with no allele get the value given, or null, and half calls the copies that are called."""
+    copies = dosage_from_alleles(F.col("alleles"))
+    none = ~F.coalesce(F.array_max("alleles") >= 0, F.lit(False))
+    d = F.when(none, F.lit(missing)).otherwise(copies)
     return calls.select("sampleid", *SITE, d.cast("int").alias("dosage"))
 
 

@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from genorigin.functions.geo import digitize
 
+from .ranks import ranked
+
 #: The most training samples that pairwise density work takes: its work is quadratic, and points are broadcast.
 MOST_POINTS = 100_000
 
@@ -64,11 +65,10 @@ def bandwidth_scores(points: DataFrame, low: float = 0.1, high: float = 10.0, st
     grouped by held-out point, and a pandas UDF works out the log density for the whole grid at once.
     """
     ids = _checked(points).select("sampleid", "x", "y")
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ids.select("*", (F.row_number().over(Window.orderBy("sampleid")) - 1).alias("r"), F.count(F.lit(1)).over(everything).alias("n"))
+    numbered = ranked(ids, F.col("sampleid"))
     size, extra = F.floor(F.col("n") / folds), F.col("n") % folds
     fold = F.when(F.col("r") < extra * (size + 1), F.floor(F.col("r") / (size + 1))).otherwise(extra + F.floor(F.try_divide(F.col("r") - extra * (size + 1), size)))
-    dealt = ranked.withColumn("fold", fold)
+    dealt = numbered.withColumn("fold", fold)
     q = dealt.select(F.col("x").alias("xo"), F.col("y").alias("yo"), F.col("fold").alias("fo"))
     d = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
     near = dealt.join(F.broadcast(q), F.col("fold") != F.col("fo")).groupBy("sampleid").agg(F.collect_list(d("x", "xo") + d("y", "yo")).alias("d2"))

@@ -222,8 +222,12 @@ def location_stats_join(spark: SparkSession, d: str) -> DataFrame:
 # aggregations
 
 
+def many_alleles(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.calls_wide(spark, d, many=True)
+
+
 def filter_snps(spark: SparkSession, d: str) -> DataFrame:
-    return sites.filter_snps(fixtures.calls_wide(spark, d), min_mac=2).select("sampleid", "position", "dosage")
+    return sites.filter_snps(many_alleles(spark, d), min_mac=2).select("sampleid", "position", "dosage")
 
 
 def allele_freq_train(spark: SparkSession, d: str) -> DataFrame:
@@ -328,7 +332,7 @@ def validation_metrics(dosages: DataFrame, s: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "allele_freq_called": lambda s, d: sites.allele_freq_called(fixtures.calls_wide(s, d)).select("position", "n1", "called", *r6("freq")),
+    "allele_freq_called": lambda s, d: sites.allele_freq_called(many_alleles(s, d)).select("position", "n1", "called", *r6("freq")),
     "scan_vcf": scan_vcf,
     "scan_matrix": scan_matrix,
     "scan_genotype_frame": scan_genotype_frame,
@@ -364,9 +368,9 @@ QUERIES: dict[str, Query] = {
     "grid_cross_join": lambda s, d: surface(s, d).groupBy("sampleid").agg(F.count(F.lit(1)).alias("cells")),
     "mask_lookup": lambda s, d: looked_up(s, d).select("sampleid", "row", "col", "valid"),
     "location_stats_join": location_stats_join,
-    "allele_counts": lambda s, d: sites.allele_counts(fixtures.calls_wide(s, d)).drop("others"),
-    "biallelic_filter": lambda s, d: sites.biallelic_filter(sites.allele_counts(fixtures.calls_wide(s, d))).select("position", "n0", "n1"),
-    "mac_filter": lambda s, d: sites.mac_filter(sites.allele_counts(fixtures.calls_wide(s, d)), 40).select("position", "n1"),
+    "allele_counts": lambda s, d: sites.allele_counts(many_alleles(s, d)),
+    "biallelic_filter": lambda s, d: sites.biallelic_filter(sites.allele_counts(many_alleles(s, d))).select("position", "n0", "n1"),
+    "mac_filter": lambda s, d: sites.mac_filter(sites.allele_counts(many_alleles(s, d)), 40).select("position", "n1"),
     "filter_snps": filter_snps,
     "allele_freq_all": lambda s, d: sites.allele_freq_all(wide_dosage(s, d)).select("position", *r6("freq")),
     "allele_freq_train": allele_freq_train,
@@ -413,7 +417,7 @@ QUERIES: dict[str, Query] = {
     "holdout_split": lambda s, d: resample.holdout_split(fixtures.samples(s, d), 20),
     "systematic_holdouts": lambda s, d: resample.systematic_holdouts(fixtures.samples(s, d), 20),
     "kfold_split": lambda s, d: resample.kfold_split(fixtures.samples(s, d)),
-    "impute_binomial": lambda s, d: sites.impute_binomial(fixtures.calls_wide(s, d)).select("sampleid", "position", "dosage"),
+    "impute_binomial": lambda s, d: sites.impute_binomial(many_alleles(s, d)).select("sampleid", "position", "dosage"),
     "bootstrap_sites": lambda s, d: bootstrap_draws(s, d).select("replicate", "draw", "position"),
     "jackknife_mask": jackknife_mask,
     "window_starts": lambda s, d: resample.window_assign(wide_sites(s, d), 250_000).select("window_start").distinct(),

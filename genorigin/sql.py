@@ -5,14 +5,24 @@ from __future__ import annotations
 EX = "ex AS (SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i))"
 SAMPLES = """samples AS (SELECT concat('s', vec_id) AS sampleid,
   CASE WHEN vec_id % 10 <> 0 THEN 25 + 60 * embedding[1]::DOUBLE END AS x, CASE WHEN vec_id % 10 <> 0 THEN 25 + 60 * embedding[2]::DOUBLE END AS y FROM embeddings)"""
-WIDE = (
-    EX
-    + """, raw AS (SELECT a.vec_id, a.pos * 64 + b.pos AS k, a.v * b.v * 8 AS v FROM ex a JOIN ex b ON a.vec_id = b.vec_id AND a.pos <= b.pos),
-calls AS (SELECT concat('s', vec_id) AS sampleid, '1' AS chrom, ((k + 1) * 1000)::BIGINT AS position,
-  CASE WHEN h = '00' THEN -1 WHEN k % 13 = 0 THEN 0 WHEN v > 1e-1 THEN CASE WHEN k % 17 = 0 AND v > 2e-1 THEN 2 ELSE 1 END ELSE 0 END AS a0,
-  CASE WHEN h = '00' THEN -1 WHEN k % 13 = 0 THEN 0 WHEN v > 2e-2 THEN 1 ELSE 0 END AS a1
-  FROM (SELECT *, substr(md5(concat('miss|', vec_id, '|', k)), 1, 2) AS h FROM raw)),
-dos AS (SELECT sampleid, chrom, position, a0, a1, a0 < 0 OR a1 < 0 AS gone, CASE WHEN a0 < 0 OR a1 < 0 THEN 0 ELSE (a0 = 1)::INT + (a1 = 1)::INT END AS dosage FROM calls)"""
+
+
+def wide(a0: str, a1: str) -> str:
+    """The calls of all pairs of components, given the rules for both alleles."""
+    return f"""raw AS (SELECT vec_id, i * 64 + j AS k, embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE * 8 AS v FROM embeddings, range(0, 64) a(i), range(0, 64) b(j) WHERE i <= j),
+calls AS (SELECT concat('s', vec_id) AS sampleid, '1' AS chrom, ((k + 1) * 1000)::BIGINT AS position, {a0} AS a0, {a1} AS a1
+  FROM (SELECT *, substr(md5(concat('miss|', vec_id, '|', k)), 1, 2) = '00' AS m, substr(md5(concat('half|', vec_id, '|', k)), 1, 2) = '00' AS f FROM raw)),
+dos AS (SELECT sampleid, chrom, position, a0, a1, a0 < 0 OR a1 < 0 AS gone, (a0 = 1)::INT + (a1 = 1)::INT AS dosage FROM calls)"""
+
+
+A0 = "WHEN k % 13 = 0 THEN 0 WHEN v > 1e-1 THEN CASE WHEN k % 17 = 0 AND v > 2e-1 THEN 2 ELSE 1 END ELSE 0 END"
+A1 = "WHEN k % 13 = 0 THEN 0 WHEN v > 2e-2 THEN 1 ELSE 0 END"
+WIDE = wide(f"CASE WHEN m THEN -1 {A0}", f"CASE WHEN m THEN -1 {A1}")
+MANY = (
+    wide(f"CASE WHEN m THEN -1 WHEN k % 19 = 0 AND v > 15e-2 THEN (3 + k % 3)::INT {A0}", f"CASE WHEN m OR f THEN -1 {A1}")
+    + """, seen AS (SELECT chrom, position, unnest([a0, a1]) AS a FROM calls),
+counts AS (SELECT chrom, position, count(*) FILTER (a = 0) AS n0, count(*) FILTER (a = 1) AS n1, count(*) FILTER (a = 2) AS n2, count(*) FILTER (a = 3) AS n3,
+  count(DISTINCT a) FILTER (a > 3) AS others, count(DISTINCT a) FILTER (a >= 0) AS alleles FROM seen GROUP BY ALL)"""
 )
 CLINE = (
     EX
@@ -37,10 +47,6 @@ def binomial2(p: str, seed, *keys: str) -> str:
 PRED = f"""{SAMPLES}, known AS (SELECT * FROM samples WHERE x IS NOT NULL),
 pred AS (SELECT sampleid, r AS replicate, x + 4 * ({u(7, 'r', 'sampleid')} - 5e-1) AS x, y + 4 * ({u(8, 'r', 'sampleid')} - 5e-1) AS y FROM known, range(0, 10) q(r))"""
 ERRORS = f"{PRED}, err AS (SELECT p.*, s.x AS x_true, s.y AS y_true, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS err FROM pred p JOIN known s USING (sampleid))"
-COUNTS = """counts AS (SELECT chrom, position, {} FROM dos GROUP BY ALL)""".format(
-    ", ".join(f"sum(CASE WHEN gone THEN 0 ELSE (a0 = {k})::INT + (a1 = {k})::INT END)::BIGINT AS n{k}" for k in range(4))
-)
-BIALLELIC = "bi AS (SELECT * FROM counts WHERE (n0 > 0)::INT + (n1 > 0)::INT + (n2 > 0)::INT + (n3 > 0)::INT = 2)"
 FREQ = "freq AS (SELECT chrom, position, sum(dosage)::BIGINT AS n1, count(*) FILTER (NOT gone) AS called FROM dos GROUP BY ALL)"
 SITES = "sites AS (SELECT DISTINCT chrom, position FROM calls), indexed AS (SELECT *, row_number() OVER (ORDER BY chrom, position) - 1 AS site FROM sites)"
 ROLES = f"""ranked AS (SELECT sampleid, row_number() OVER (ORDER BY {md5(0, 'sampleid')}, sampleid) - 1 AS r, count(*) OVER () AS n FROM samples WHERE x IS NOT NULL),
@@ -137,11 +143,11 @@ ORACLE = {
         f"{ERRORS}, a AS (SELECT x_true, y_true, avg(err) AS e FROM err GROUP BY ALL), b AS (SELECT x, y, count(*) AS n FROM known GROUP BY ALL)",
         f"SELECT {R('x_true')}, {R('y_true')}, {R('e', 'mean_error')}, n FROM a JOIN b ON x_true = x AND y_true = y",
     ),
-    "allele_counts": q(f"{WIDE}, {COUNTS}", "SELECT chrom, position, n0, n1, n2, n3 FROM counts"),
-    "biallelic_filter": q(f"{WIDE}, {COUNTS}, {BIALLELIC}", "SELECT position, n0, n1 FROM bi"),
-    "mac_filter": q(f"{WIDE}, {COUNTS}", "SELECT position, n1 FROM counts WHERE n1 >= 40"),
-    "filter_snps": q(f"{WIDE}, {COUNTS}, {BIALLELIC}", "SELECT sampleid, position, dosage FROM dos WHERE position IN (SELECT position FROM bi WHERE n1 >= 2)"),
-    "allele_freq_called": q(f"{WIDE}, {FREQ}", f"SELECT position, n1, called, {R('n1::DOUBLE / (2 * called)', 'freq')} FROM freq"),
+    "allele_counts": q(MANY, "SELECT chrom, position, n0, n1, n2, n3, others FROM counts"),
+    "biallelic_filter": q(MANY, "SELECT position, n0, n1 FROM counts WHERE alleles = 2"),
+    "mac_filter": q(MANY, "SELECT position, n1 FROM counts WHERE n1 >= 40"),
+    "filter_snps": q(MANY, "SELECT sampleid, position, dosage FROM dos WHERE position IN (SELECT position FROM counts WHERE alleles = 2 AND n1 >= 2)"),
+    "allele_freq_called": q(f"{MANY}, {FREQ}", f"SELECT position, n1, called, {R('n1::DOUBLE / (2 * called)', 'freq')} FROM freq"),
     "allele_freq_all": q(WIDE, f"SELECT position, {R('sum(dosage)::DOUBLE / (2 * count(*))', 'freq')} FROM dos GROUP BY ALL"),
     "allele_freq_train": q(
         f"{CLINE}, {SAMPLES}, {ROLES}", f"SELECT position, {R('sum(dosage)::DOUBLE / (2 * count(*))', 'freq')} FROM dos JOIN roles USING (sampleid) WHERE role = 'train' GROUP BY ALL"
@@ -207,7 +213,7 @@ ORACLE = {
     "systematic_holdouts": q(SAMPLES, "SELECT sampleid, floor((row_number() OVER (ORDER BY sampleid) - 1) / 20)::INT AS holdout_id FROM samples WHERE x IS NOT NULL"),
     "kfold_split": q(f"{SAMPLES}, {ROLES}", "SELECT sampleid, least(r // (n // 5), 4)::INT AS fold FROM ranked"),
     "impute_binomial": q(
-        f"{WIDE}, {FREQ}",
+        f"{MANY}, {FREQ}",
         f"SELECT sampleid, position, CASE WHEN gone THEN {binomial2('n1::DOUBLE / (2 * called)', 0, 'chrom', 'position', 'sampleid')} ELSE dosage END AS dosage FROM dos JOIN freq USING (chrom, position)",
     ),
     "bootstrap_sites": q(
