@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genorigin.functions.keyed import binomial2, digest, uniform
@@ -119,9 +119,10 @@ def bootstrap_sites(sites_indexed: DataFrame, n_sites: int, replicates: int, see
     return picked.join(sites_indexed, "site").select("replicate", "draw", *SITE)
 
 
-def bootstrap_indices(replicate, n_sites: int, seed: int = 0):
-    """The draws of one replicate as an array of positions in the feature vector (1-based), for use on assembled vectors."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n_sites - 1)), lambda i: F.floor(uniform(seed, replicate, i) * n_sites).cast("int") + 1)
+def bootstrap_indices(replicate, n_sites, seed: int = 0):
+    """The draws of one replicate as an array of positions in the feature vector (1-based), for use on assembled vectors. n_sites: a number or a column."""
+    n_sites = n_sites if isinstance(n_sites, Column) else F.lit(n_sites)
+    return F.transform(F.sequence(F.lit(0), n_sites - 1), lambda i: F.floor(uniform(seed, replicate, i) * n_sites).cast("int") + 1)
 
 
 def jackknife_sites(sites: DataFrame, replicates: int, prop: float = 0.05, seed: int = 0, n_sites: int | None = None) -> DataFrame:

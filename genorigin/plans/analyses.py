@@ -1,124 +1,159 @@
 """Whole analyses: windows, bootstraps, jackknife, holdouts and ensembles, each one DataFrame with a key for the repeated part.
 
-dosages: sampleid, chrom, position, dosage; samples: sampleid, x, y.
+dosages: sampleid, chrom, position, dosage; samples: sampleid, x, y; weights, if given: sampleid, sample_weight. All raise a ValueError if a sample of the dosages has no
+metadata, or a training sample no weight. Coordinates are normalised by all known samples in single runs, windows, bootstraps and jackknife, and by the training samples in holdouts and ensembles.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from genorigin.functions.keyed import binomial2, digest
 from genorigin.operators import resample, samples as S, sites
+from genorigin.operators.ranks import ranked
 from genorigin.shared import stored
 
-from .models import fit_groups, fit_predict_groups, predict_with, training_table
+from .models import ROLES_PREDICTED, fit_groups, fit_predict_groups, history, training_table
 from .network import Options
+from .spread import SpreadModel, fit_spread, predict_spread
+
+
+def _features(dosages: DataFrame, samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return sites.feature_assembly(S.check_sample_alignment(dosages, samples), keys)
 
 
 def run_single(dosages: DataFrame, samples: DataFrame, options: Options = Options(), train_split: float = 0.9, seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
-    """One model: predictions of unknown and validation samples."""
-    S.check_sample_alignment(dosages, samples)
-    roles = resample.train_test_split(samples, train_split, seed)
-    table = training_table(sites.feature_assembly(dosages), samples, roles, weights).withColumn("run", F.lit(0))
-    return fit_predict_groups(table, ["run"], options, moments_from="known").drop("run")
+    """One model: predictions of unknown and validation samples: sampleid, role, x, y."""
+    table = stored(training_table(_features(dosages, samples), samples, resample.train_test_split(samples, train_split, seed), weights), "table")
+    model = fit_spread(table, options, moments_from="known")
+    return predict_spread(table.where(F.col("role").isin(*ROLES_PREDICTED)).select("sampleid", "role", "x"), model, options)
 
 
 def run_windows(
-    dosages: DataFrame, samples: DataFrame, size: int, start: int = 0, stop: int | None = None, step: int | None = None, options: Options = Options(), seed: int = 0, reference_stop: bool = False
-) -> DataFrame:
+    dosages: DataFrame, samples: DataFrame, size: int, start: int = 0, stop: int | None = None, step: int | None = None, options: Options = Options(), seed: int = 0, reference_stop: bool = False,
+    weights: DataFrame | None = None,
+) -> DataFrame:
     """One model per genome window: window_start, sampleid, role, x, y. Windows without sites are left out. With reference_stop the last window starts
     below the largest position, so a last site on a boundary is lost."""
     if reference_stop and stop is None:
         stop = dosages.agg(F.max("position")).first()[0]
     roles = resample.train_test_split(samples, seed=seed)
+    S.check_sample_alignment(dosages, samples)
     features = sites.feature_assembly(resample.window_assign(dosages, size, start, stop, step), ["window_start"])
-    return fit_predict_groups(training_table(features, samples, roles), ["window_start"], options)
+    return fit_predict_groups(training_table(features, samples, roles, weights), ["window_start"], options, "known")
 
 
 def bootstrap_features(features: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """Assembled vectors resampled by each replicate's draws; calls are not joined again."""
-    n = features.select(F.size("x").alias("n")).first()["n"]
-    rep = features.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    draws = rep.withColumn("draws", resample.bootstrap_indices(F.col("replicate"), n, seed))
-    pairs = features.crossJoin(F.broadcast(draws)) if replicates * n <= 50_000_000 else features.crossJoin(draws)
-    return pairs.select("replicate", "sampleid", F.transform("draws", lambda i: F.element_at("x", i)).alias("x"))
+    """Assembled vectors resampled by each replicate's draws; calls are not joined again. Each vector is unfolded into one for each replicate, and the draws are
+    worked out in place from the replicate's number, so nothing is joined."""
+    rows = features.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = resample.bootstrap_indices(F.col("replicate"), F.size("x"), seed)
+    return rows.select("replicate", "sampleid", F.transform(draws, lambda i: F.element_at("x", i)).alias("x"))
 
 
-def run_bootstraps(dosages: DataFrame, samples: DataFrame, replicates: int = 50, options: Options = Options(), seed: int = 0) -> DataFrame:
+def run_bootstraps(dosages: DataFrame, samples: DataFrame, replicates: int = 50, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
     """One model per replicate on sites drawn with replacement, with the same split: replicate, sampleid, role, x, y."""
     roles = resample.train_test_split(samples, seed=seed)
-    features = stored(sites.feature_assembly(dosages), "features")
-    return fit_predict_groups(training_table(bootstrap_features(features, replicates, seed), samples, roles), ["replicate"], options)
+    features = stored(_features(dosages, samples), "features")
+    return fit_predict_groups(training_table(bootstrap_features(features, replicates, seed), samples, roles, weights), ["replicate"], options, "known")
 
 
-def run_jackknife(dosages: DataFrame, samples: DataFrame, n_replicates: int = 50, prop: float = 0.05, options: Options = Options(), seed: int = 0) -> DataFrame:
+def run_jackknife(
+    dosages: DataFrame, samples: DataFrame, n_replicates: int = 50, prop: float = 0.05, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None
+) -> DataFrame:
     """One model, and predictions with a part of the sites redrawn in each replicate: replicate, sampleid, x, y (unknown samples)."""
-    roles = resample.train_test_split(samples, seed=seed)
-    table = training_table(sites.feature_assembly(dosages), samples, roles).withColumn("run", F.lit(0))
-    model = stored(fit_groups(table, ["run"], options), "model")
-    ask = dosages.join(S.unknown_filter(samples).select("sampleid"), "sampleid", "left_semi")
-    freq = sites.allele_freq_all(dosages)
-    return _jackknife_predict(ask, dosages, freq, model, [], n_replicates, prop, options, seed)
+    table = stored(training_table(_features(dosages, samples), samples, resample.train_test_split(samples, seed=seed), weights), "table")
+    model = fit_spread(table, options, moments_from="known")
+    return _jackknife_predict(table.where("role = 'pred'"), dosages, sites.allele_freq_all(dosages), model, n_replicates, prop, options, seed)
 
 
-def _jackknife_predict(ask, dosages, freq, model, keys, replicates, prop, options, seed) -> DataFrame:
-    masked = resample.jackknife_sites(dosages.select("chrom", "position").distinct(), replicates, prop, seed)
-    drawn = resample.jackknife_mask(ask, masked, freq, replicates, seed)
-    features = sites.feature_assembly(drawn, ["replicate"])
-    return predict_with(features, model, keys, options)
+@F.pandas_udf(T.ArrayType(T.ByteType()))
+def _overwritten(x: pd.Series, at: pd.Series, draws: pd.Series) -> pd.Series:
+    out = []
+    for vector, places, values in zip(x, at, draws, strict=True):
+        vector = vector.copy()
+        vector[places] = values
+        out.append(vector)
+    return pd.Series(out)
 
 
-def train_holdout(dosages: DataFrame, samples: DataFrame, k: int = 10, options: Options = Options(), seed: int = 0, ids: list[str] | None = None) -> DataFrame:
-    """Train without k known samples and predict them: sampleid, x, y (true), x_pred, y_pred."""
-    roles = resample.holdout_split(samples, k, seed=seed, ids=ids)
-    table = training_table(sites.feature_assembly(dosages), samples, roles).withColumn("run", F.lit(0))
-    found = fit_predict_groups(table, ["run"], options).where("role = 'holdout'")
-    return found.select("sampleid", F.col("x").alias("x_pred"), F.col("y").alias("y_pred")).join(samples.select("sampleid", "x", "y"), "sampleid")
+def jackknife_features(features: DataFrame, dosages: DataFrame, freq: DataFrame, replicates: int, prop: float = 0.05, seed: int = 0) -> DataFrame:
+    """Vectors (replicate, sampleid, x) with the masked sites of each replicate redrawn, as ``resample.jackknife_mask`` draws them. Vectors are assembled once; only the masked
+    places are worked out and overwritten."""
+    index = stored(sites.site_index(dosages.select("chrom", "position")), "sites")
+    masked = resample.jackknife_sites(index.select("chrom", "position"), replicates, prop, seed).join(freq, sites.SITE).join(index, sites.SITE)
+    lists = masked.groupBy("replicate").agg(F.collect_list(F.struct("site", "chrom", "position", "freq")).alias("masked"))
+    rows = features.select("sampleid", "x", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).join(lists, "replicate", "left")
+    some = F.coalesce("masked", F.array().cast(lists.schema["masked"].dataType))
+    draws = F.transform(some, lambda m: binomial2(m["freq"], seed, F.col("replicate"), m["chrom"], m["position"], F.col("sampleid")))
+    return rows.select("replicate", "sampleid", _overwritten("x", F.transform(some, lambda m: m["site"].cast("int")), draws).alias("x"))
 
 
-def holdout_roles(samples: DataFrame, k: int, seed: int = 0, train_split: float = 0.9) -> DataFrame:
-    """For every chunk of k known samples the roles of all known samples: (holdout_id, sampleid, role). The others are split by a draw per chunk."""
-    from genorigin.functions.keyed import uniform
+def _jackknife_predict(asked: DataFrame, dosages: DataFrame, freq: DataFrame, model: SpreadModel, replicates: int, prop: float, options: Options, seed: int) -> DataFrame:
+    return predict_spread(jackknife_features(asked, dosages, freq, replicates, prop, seed), model, options)
+
 
-    chunks = resample.systematic_holdouts(samples, k)
-    ids = chunks.select(F.col("holdout_id").alias("h")).distinct()
-    pairs = chunks.crossJoin(F.broadcast(ids))
-    val = uniform(seed, "h", "sampleid") < 1 - train_split
-    role = F.when(F.col("holdout_id") == F.col("h"), "holdout").when(val, "val").otherwise("train")
-    return pairs.select(F.col("h").alias("holdout_id"), "sampleid", role.alias("role"))
+def train_holdout(
+    dosages: DataFrame, samples: DataFrame, k: int = 10, options: Options = Options(), seed: int = 0, ids: list[str] | None = None, weights: DataFrame | None = None
+) -> DataFrame:
+    """Train without k known samples and predict them: sampleid, x, y (true), x_pred, y_pred."""
+    table = stored(training_table(_features(dosages, samples), samples, resample.holdout_split(samples, k, seed=seed, ids=ids), weights), "table")
+    found = predict_spread(table.where("role = 'holdout'").select("sampleid", "x"), fit_spread(table, options), options)
+    return found.select("sampleid", F.col("x").alias("x_pred"), F.col("y").alias("y_pred")).join(samples.select("sampleid", "x", "y"), "sampleid")
 
 
-def run_holdouts(dosages: DataFrame, samples: DataFrame, k: int = 10, options: Options = Options(), seed: int = 0) -> DataFrame:
+def holdout_roles(samples: DataFrame, k: int, seed: int = 0, train_split: float = 0.9) -> DataFrame:
+    """For every chunk of k known samples the roles of all known samples: (holdout_id, sampleid, role). Of the others round-half-even((1 - train_split) n) are val, drawn for
+    each chunk. All chunks are ranked at once, as each has all known samples."""
+    chunks = stored(resample.systematic_holdouts(samples, k), "chunks")
+    n = chunks.count()
+    pairs = chunks.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // k) - 1)))))
+    own = F.col("holdout_id") == F.col("h")
+    numbered = ranked(pairs, F.col("h"), F.when(own, 0).otherwise(1), digest(seed, "h", "sampleid"), F.col("sampleid"))
+    size = F.least(F.lit(k), F.lit(n) - F.col("h") * k)
+    place = F.col("r") - F.col("h") * F.lit(n) - size  # among the others
+    val = F.bround((1 - F.lit(float(train_split))) * (F.lit(n) - size), 0)
+    return numbered.select(F.col("h").alias("holdout_id"), "sampleid", F.when(own, "holdout").when(place < val, "val").otherwise("train").alias("role"))
+
+
+def run_holdouts(dosages: DataFrame, samples: DataFrame, k: int = 10, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
     """Every known sample predicted once, by a model trained without its chunk of k: holdout_id, sampleid, x, y."""
-    table = training_table(sites.feature_assembly(dosages), samples, holdout_roles(samples, k, seed))
+    table = training_table(_features(dosages, samples), samples, holdout_roles(samples, k, seed), weights)
     return fit_predict_groups(table, ["holdout_id"], options).where("role = 'holdout'").drop("role")
 
 
-def run_jackknife_holdouts(dosages: DataFrame, samples: DataFrame, k: int = 10, n_replicates: int = 100, prop: float = 0.05, options: Options = Options(), seed: int = 0) -> DataFrame:
+def run_jackknife_holdouts(
+    dosages: DataFrame, samples: DataFrame, k: int = 10, n_replicates: int = 100, prop: float = 0.05, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None
+) -> DataFrame:
     """One model without k known samples, and their predictions under each jackknife replicate; frequencies are those of the training samples."""
     roles = stored(resample.holdout_split(samples, k, seed=seed), "roles")
-    table = training_table(sites.feature_assembly(dosages), samples, roles).withColumn("run", F.lit(0))
-    model = stored(fit_groups(table, ["run"], options), "model")
-    ask = dosages.join(roles.where("role = 'holdout'").select("sampleid"), "sampleid", "left_semi")
+    table = stored(training_table(_features(dosages, samples), samples, roles, weights), "table")
     freq = sites.allele_freq_train(dosages, roles)
-    return _jackknife_predict(ask, dosages, freq, model, [], n_replicates, prop, options, seed)
+    return _jackknife_predict(table.where("role = 'holdout'"), dosages, freq, fit_spread(table, options), n_replicates, prop, options, seed)
 
 
-def run_windows_holdouts(dosages: DataFrame, samples: DataFrame, size: int, k: int = 10, step: int | None = None, options: Options = Options(), seed: int = 0) -> DataFrame:
+def run_windows_holdouts(
+    dosages: DataFrame, samples: DataFrame, size: int, k: int = 10, step: int | None = None, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None
+) -> DataFrame:
     """A model per window and chunk of held-out samples: window_start, holdout_id, sampleid, x, y."""
+    S.check_sample_alignment(dosages, samples)
     features = sites.feature_assembly(resample.window_assign(dosages, size, step=step), ["window_start"])
-    table = training_table(features, samples, holdout_roles(samples, k, seed))
+    table = training_table(features, samples, holdout_roles(samples, k, seed), weights)
     return fit_predict_groups(table, ["window_start", "holdout_id"], options).where("role = 'holdout'").drop("role")
 
 
-def ensemble(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0) -> DataFrame:
-    """A model per fold: predictions of unknown samples by all, of known ones by the model of their own fold: fold, sampleid, role, x, y."""
+def _fold_table(dosages: DataFrame, samples: DataFrame, k: int, seed: int, weights: DataFrame | None) -> DataFrame:
     roles = resample.fold_roles(resample.kfold_split(samples, k, seed), samples, k)
-    return fit_predict_groups(training_table(sites.feature_assembly(dosages), samples, roles), ["fold"], options)
+    return training_table(_features(dosages, samples), samples, roles, weights)
 
 
-def ensemble_history(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0) -> DataFrame:
-    from .models import history
+def ensemble(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
+    """A model per fold: predictions of unknown samples by all, of known ones by the model of their own fold: fold, sampleid, role, x, y."""
+    return fit_predict_groups(_fold_table(dosages, samples, k, seed, weights), ["fold"], options)
 
-    roles = resample.fold_roles(resample.kfold_split(samples, k, seed), samples, k)
-    return history(fit_groups(training_table(sites.feature_assembly(dosages), samples, roles), ["fold"], options), ["fold"])
+
+def ensemble_history(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
+    return history(fit_groups(_fold_table(dosages, samples, k, seed, weights).where(F.col("role").isin("train", "val")), ["fold"], options), ["fold"])

@@ -1,4 +1,4 @@
-"""Model jobs: one network per group in parallel tasks, prediction, and one network over all partitions.
+"""Model jobs: one network per group in parallel tasks, and prediction. (One network over many tasks is in ``spread``.)
 
 Training tables have a row per sample: keys, sampleid, x (array of dosages), cx and cy (coordinates, null if unknown), role (train, val, pred, holdout) and, if
 wanted, weight. Coordinates are normalised by the group's training rows inside the task and predictions are given in the original units.
@@ -7,15 +7,15 @@ wanted, weight. Coordinates are normalised by the group's training rows inside t
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .network import Adam, Control, Fitted, Options, backward, fit, forward, initial, loss_and_gradient, predict
+from genorigin.operators.weights import first_weight
+
+from .network import Fitted, Options, fit, predict
 
 ROLES_PREDICTED = ("pred", "val", "holdout")
 
@@ -26,7 +26,9 @@ def training_table(features: DataFrame, samples: DataFrame, roles: DataFrame, we
     rows = features.join(roles, shared).join(samples.select("sampleid", F.col("x").alias("cx"), F.col("y").alias("cy")), "sampleid")
     if weights is None:
         return rows.withColumn("weight", F.lit(1.0))
-    return rows.join(weights.select("sampleid", F.col("sample_weight").alias("weight")), "sampleid", "left")
+    if roles.where("role = 'train'").join(weights, "sampleid", "left_anti").limit(1).count():
+        raise ValueError("Some training samples have no weight")
+    return rows.join(first_weight(weights).select("sampleid", F.col("sample_weight").alias("weight")), "sampleid", "left")
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -56,20 +58,9 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit_predict_groups(table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train") -> DataFrame:
-    """Fit a network for every group and predict all its rows that are not training rows: keys, sampleid, role, x, y."""
-    fields = [table.schema[k] for k in keys]
-    schema = T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in ("sampleid", "role")], *[T.StructField(c, T.DoubleType()) for c in "xy"]])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _in_order(rows)
-        model, mean, sd = _fit_rows(rows, options, moments_from)
-        ask = rows[rows["role"].isin(ROLES_PREDICTED)]
-        out = ask[[*keys, "sampleid", "role"]].copy()
-        xy = predict(model, _matrix(ask["x"]), options) * sd + mean if len(ask) else np.zeros((0, 2))
-        out["x"], out["y"] = xy[:, 0].astype(float), xy[:, 1].astype(float)
-        return out
-
-    return table.groupBy(*keys).applyInPandas(run, schema)
+    """Fit a network for every group and predict all its rows that are not training rows: keys, sampleid, role, x, y. Only training and validation rows meet in the group's task."""
+    models = fit_groups(table.where(F.col("role").isin("train", "val")), keys, options, moments_from)
+    return predict_with(table.where(F.col("role").isin(*ROLES_PREDICTED)).select(*keys, "sampleid", "role", "x"), models, keys, options)
 
 
 def fit_groups(table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train") -> DataFrame:
@@ -91,110 +82,32 @@ def history(models: DataFrame, keys: list[str]) -> DataFrame:
     return models.select(*keys, F.explode("history").alias("h")).select(*keys, "h.*")
 
 
-def predict_with(rows: DataFrame, models: DataFrame, keys: list[str], options: Options) -> DataFrame:
-    """Predictions of rows (keys..., others, sampleid, x) by the model of their keys. A row's model comes by a join; a task loads each model once."""
+def predict_with(rows: DataFrame, models: DataFrame, keys: list[str], options: Options, part_rows: int = 4096) -> DataFrame:
+    """Predictions of rows (keys..., others, sampleid, x) by the model of their keys: others, x, y. Rows without a model are left out.
+
+    The rows of each key are dealt into parts of a bounded number of rows, and a part meets its model once.
+    """
     extra = [c for c in rows.columns if c != "x"]
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-most // part_rows))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*extra), F.lit(parts)).cast("int"))
+    sent = models.select(*keys, "model", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     schema = T.StructType([rows.schema[c] for c in extra] + [T.StructField(c, T.DoubleType()) for c in "xy"])
-    joined = rows.join(models.select(*keys, "model"), keys) if keys else rows.crossJoin(F.broadcast(models.select("model").limit(1)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded: dict[bytes, tuple] = {}
-        for batch in batches:
-            for data, part in batch.groupby("model", sort=False):
-                if data not in loaded:
-                    loaded = {data: pickle.loads(data)}  # noqa: S301  written by fit_groups
-                weights, mean_x, spread, mean, sd = loaded[data]
-                xy = predict(Fitted(weights, mean_x, spread), _matrix(part["x"]), options) * sd + mean
-                out = part[extra].copy()
-                out["x"], out["y"] = xy[:, 0].astype(float), xy[:, 1].astype(float)
-                yield out
+    def run(key, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(model):
+            return pd.DataFrame([], columns=[*extra, "x", "y"])
+        weights, mean_x, spread, mean, sd = pickle.loads(model["model"].iloc[0])  # noqa: S301  written by fit_groups
+        xy = predict(Fitted(weights, mean_x, spread), _matrix(part["x"]), options) * sd + mean
+        out = part[extra].copy()
+        out["x"], out["y"] = xy[:, 0].astype(float), xy[:, 1].astype(float)
+        return out
 
-    return joined.mapInPandas(run, schema)
+    by = [*keys, "part"]
+    return dealt.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(run, schema)
 
 
 def require_models(models: DataFrame) -> DataFrame:
     if not models.limit(1).count():
         raise ValueError("The model has not been trained")
     return models
-
-
-def fit_data_parallel(table: DataFrame, options: Options = Options(), epochs: int | None = None) -> Fitted:
-    """One network whose training rows are spread over all partitions: every step is a Spark job.
-
-    Each task works out the gradient of its partition's rows, gradients are added in a tree, and the driver takes one Adam step. Inputs are
-    standardised by moments of the whole training set, gathered in one job, and steps use all rows (no mini-batches), so many more epochs
-    are needed than in a task. The weights (first layer: sites times width) travel once an epoch. No dropout here.
-    """
-    spark = table.sparkSession
-    rows = table.where(F.col("role").isin("train", "val")).select("x", "cx", "cy", "role", "weight")
-    train = rows.where("role = 'train'")
-    m = train.agg(F.avg("cx"), F.avg("cy"), F.stddev_pop("cx"), F.stddev_pop("cy"), F.count(F.lit(1)), F.sum("weight"), F.first(F.size("x"))).first()
-    if not m[4]:
-        raise ValueError("There are no training samples")
-    mean, sd = np.array(m[0:2]), np.where(np.array(m[2:4], float) > 0, m[2:4], 1.0)
-    n, total_weight, width = m[4], m[5], m[6]
-
-    def sums(batches):
-        s = np.zeros((2, width))
-        for b in batches:
-            x = _matrix(b["x"]).astype(np.float64)
-            s += np.stack([x.sum(axis=0), (x**2).sum(axis=0)])
-        yield pd.DataFrame({"s": [s.tobytes()]})
-
-    add = lambda a, b: (np.frombuffer(a) + np.frombuffer(b)).tobytes()
-    parts = train.select("x").mapInPandas(sums, "s binary").rdd.map(lambda r: bytes(r[0]))
-    s = np.frombuffer(parts.treeReduce(add)).reshape(2, width) / n
-    mean_x, spread = s[0].astype(np.float32), np.sqrt(np.maximum(s[1] - s[0] ** 2, 0) + 1e-3).astype(np.float32)
-    weights = initial(width, options)
-    adam, control, history_ = Adam(weights, options), Control(options), []
-    sizes = [w.size for w in weights]
-    calm = Options(**{**options.__dict__, "dropout": 0.0})
-    cached = rows.persist()
-    try:
-        for epoch in range(epochs or options.epochs):
-            sent = spark.sparkContext.broadcast(weights)
-
-            def gradient(batches, sent=sent):
-                w = sent.value
-                grads, losses = [np.zeros(x.shape) for x in w], np.zeros(3)
-                for b in batches:
-                    x = (_matrix(b["x"]).astype(np.float32) - mean_x) / spread
-                    y = ((b[["cx", "cy"]].to_numpy(float) - mean) / sd).astype(np.float32)
-                    on = (b["role"] == "train").to_numpy()
-                    pred, kept = forward(w, x, calm)
-                    wt = np.where(on, b["weight"].fillna(0).to_numpy(float), 0.0)
-                    loss, grad = loss_and_gradient(pred, y, wt)
-                    for g, d in zip(grads, backward(w, kept, grad, calm), strict=True):
-                        g += d
-                    v, _ = loss_and_gradient(pred, y, (~on).astype(float))
-                    losses += [loss, v, (~on).sum()]
-                yield pd.DataFrame({"s": [np.concatenate([*[g.ravel() for g in grads], losses]).tobytes()]})
-
-            got = cached.mapInPandas(gradient, "s binary").rdd.map(lambda r: bytes(r[0])).treeReduce(add)
-            flat = np.frombuffer(got)
-            grads = [g.reshape(w.shape).astype(np.float32) / total_weight for g, w in zip(np.split(flat[:-3], np.cumsum(sizes)[:-1]), weights, strict=True)]
-            val = float(flat[-2] / flat[-1]) if flat[-1] else float(flat[-3] / total_weight)
-            history_.append((epoch, float(flat[-3] / total_weight), val, control.rate))
-            go = control.seen(val, weights)
-            adam.step(weights, grads, control.rate)
-            sent.destroy()
-            if not go:
-                break
-    finally:
-        cached.unpersist()
-    fitted = Fitted(control.weights or weights, mean_x, spread, history_)
-    fitted.coord_mean, fitted.coord_sd = mean, sd
-    return fitted
-
-
-def predict_data_parallel(rows: DataFrame, model: Fitted, options: Options) -> DataFrame:
-    """Predictions of rows (sampleid, x) by a model of fit_data_parallel."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for b in batches:
-            xy = predict(m, _matrix(b["x"]), options) * m.coord_sd + m.coord_mean
-            yield pd.DataFrame({"sampleid": b["sampleid"], "x": xy[:, 0].astype(float), "y": xy[:, 1].astype(float)})
-
-    return rows.select("sampleid", "x").mapInPandas(run, "sampleid string, x double, y double")

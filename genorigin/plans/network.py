@@ -127,18 +127,23 @@ class Control:
         return self.since < self.o.patience
 
 
-def fit(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, o: Options, w: np.ndarray | None = None) -> Fitted:
-    """Train on dosages x (rows, sites) and normalised coordinates y, watched on xv, yv (the training rows if there are none)."""
+def fit(
+    x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, o: Options, w: np.ndarray | None = None,
+    start: list[np.ndarray] | None = None, scale: tuple[np.ndarray, np.ndarray] | None = None, last: bool = False,
+) -> Fitted:
+    """Train on dosages x (rows, sites) and normalised coordinates y, watched on xv, yv (the training rows if there are none).
+
+    start: weights to go on from; scale: mean and deviation of the inputs, else those of x; last: return the last weights and do not watch.
+    """
     rng = np.random.default_rng(o.seed + 1)
     w = np.ones(len(x), np.float32) if w is None else (w * len(w) / w.sum()).astype(np.float32)
-    mean = x.mean(axis=0, dtype=np.float64).astype(np.float32)
-    spread = np.sqrt(x.var(axis=0, dtype=np.float64) + 1e-3).astype(np.float32)
+    mean, spread = scale or (x.mean(axis=0, dtype=np.float64).astype(np.float32), np.sqrt(x.var(axis=0, dtype=np.float64) + 1e-3).astype(np.float32))
     if not len(xv):
         xv, yv = x, y
     scaled = lambda rows: (rows.astype(np.float32) - mean) / spread
-    weights = initial(x.shape[1], o)
+    weights = start or initial(x.shape[1], o)
     adam, control, history = Adam(weights, o), Control(o), []
-    held = scaled(xv)
+    held = None if last else scaled(xv)
     for epoch in range(o.epochs):
         total = 0.0
         order = rng.permutation(len(x))
@@ -151,6 +156,8 @@ def fit(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, o: Options
             loss, grad = loss_and_gradient(pred, y[rows], w[rows])
             total += loss
             adam.step(weights, backward(weights, kept, grad / len(rows), o), control.rate)
+        if last:
+            continue
         pred, _ = forward(weights, held, o)
         val = loss_and_gradient(pred, yv, np.ones(len(yv), np.float32))[0] / len(yv)
         history.append((epoch, total / len(x), val, control.rate))

@@ -1,0 +1,158 @@
+"""One network whose training rows are spread over tasks, with its weights in the shared folder.
+
+Rows are dealt into parts of a bounded number of training rows. A round is one Spark job: every part meets the current weights by its key, trains on its own rows with
+mini-batches, dropout and Adam as one task would, and hands on its weights in blocks; blocks are averaged over the parts, by the rows of each, and
+written to the shared folder. So no weights, gradients or rows pass through the driver; it sees the validation loss of each round, by which it keeps the best weights, halves the
+rate and stops. Where all rows fit one part, a single round trains as one task does, watching the validation rows after each epoch.
+"""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from genorigin.shared import stored
+
+from .network import Control, Fitted, Options, fit, forward, initial, loss_and_gradient, predict, shapes
+
+#: Numbers in a block of weights.
+BLOCK = 1 << 16
+STATE = "kind string, block int, n double, data binary"
+
+
+def _blocks(kind: str, n: float, values: np.ndarray) -> list[tuple[str, int, float, bytes]]:
+    flat = np.asarray(values, np.float32).ravel()
+    return [(kind, k, float(n), flat[at : at + BLOCK].tobytes()) for k, at in enumerate(range(0, len(flat), BLOCK))]
+
+
+def _flat(state: pd.DataFrame, kind: str) -> np.ndarray:
+    mine = state[state["kind"] == kind].sort_values("block")
+    return np.frombuffer(b"".join(mine["data"]), np.float32)
+
+
+def _matrix(rows: pd.Series) -> np.ndarray:
+    return np.stack(rows.to_numpy()).astype(np.int8)
+
+
+def _weights(flat: np.ndarray, n_inputs: int, o: Options) -> list[np.ndarray]:
+    sizes = [s for a, b in shapes(n_inputs, o) for s in ((a, b), (b,))]
+    return [w.reshape(s).copy() for w, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in sizes])[:-1]), sizes, strict=True)]
+
+
+def _averaged(blocks: DataFrame, name: str) -> DataFrame:
+    """The mean of each block over the parts, weighted by n, and the sums of n. Two steps, so no task holds the blocks of all parts."""
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        total = rows["n"].sum()
+        data = sum(np.frombuffer(d, np.float32).astype(np.float64) * n for d, n in zip(rows["data"], rows["n"], strict=True)) / max(total, 1e-300)
+        return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "block": [rows["block"].iloc[0]], "n": [total], "data": [data.astype(np.float32).tobytes()]})
+
+    some = blocks.withColumn("some", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("kind", "block", "some").applyInPandas(lambda rows: mean(rows.drop(columns="some")), STATE)
+    return stored(some.groupBy("kind", "block").applyInPandas(mean, STATE), name)
+
+
+class SpreadModel:
+    """The blocks of a model, the mean and deviation of its coordinates, and its history of (round, validation loss, rate)."""
+
+    def __init__(self, state: DataFrame, mean: np.ndarray, sd: np.ndarray, history: list[tuple[int, float, float]]):
+        self.state, self.mean, self.sd, self.history = state, mean, sd, history
+
+
+def _to_parts(state: DataFrame, parts: int) -> DataFrame:
+    return state.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+
+def _round(o: Options, mean: np.ndarray, sd: np.ndarray, first_round: bool, train: bool, alone: bool):
+    """What a part does in a round: the losses of the weights that it meets, and, if it is to train, its own weights after its epochs."""
+
+    def work(part: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sampleid", kind="stable")
+        first, second = _flat(now, "first"), _flat(now, "second")
+        spread = np.sqrt(np.maximum(second.astype(np.float64) - first.astype(np.float64) ** 2, 0) + 1e-3).astype(np.float32)
+        start = initial(len(first), o) if first_round else _weights(_flat(now, "weights"), len(first), o)
+        y = ((part[["cx", "cy"]].to_numpy(float) - mean) / sd).astype(np.float32)
+        x = _matrix(part["x"]) if len(part) else np.zeros((0, len(first)), np.int8)
+        on = (part["role"] == "train").to_numpy()
+        out = []
+        for what, some in (("val", ~on), ("train", on)):
+            if some.any():
+                pred, _ = forward(start, (x[some].astype(np.float32) - first) / spread, o)
+                loss = loss_and_gradient(pred, y[some], np.ones(len(pred)))[0] / len(pred)
+                out += _blocks(f"loss {what}", len(pred), np.array([loss]))
+        if on.any() and train:
+            w = part["weight"].to_numpy(float)[on]
+            got = fit(x[on], y[on], x[~on], y[~on], o, None if (w == 1).all() else w, start=start, scale=(first, spread), last=not alone)
+            out += _blocks("weights", float(w.sum()), np.concatenate([v.ravel() for v in got.weights]))
+        return pd.DataFrame(out, columns=["kind", "block", "n", "data"])
+
+    return work
+
+
+def fit_spread(table: DataFrame, options: Options = Options(), part_rows: int = 4096, rounds: int = 20, moments_from: str = "train") -> SpreadModel:
+    """Fit one network to the train rows of a training table (sampleid, x, cx, cy, role, weight), watched on its val rows (on the train rows without any).
+
+    Parts have ``part_rows`` training rows on average. In each of the rounds, a part trains for its share of the options' epochs. Coordinates are normalised by the training
+    rows, or with moments_from 'known' by all rows with coordinates; inputs by the training rows.
+    """
+    known = table.where("cx is not null")
+    train = table.where("role = 'train'")
+    m = (train if moments_from == "train" else known).agg(*[f(c) for f in (F.avg, F.stddev_pop) for c in ("cx", "cy")]).first()
+    n = train.count()
+    if not n:
+        raise ValueError("There are no training samples")
+    mean, sd = np.array(m[:2], float), np.array([x or 1.0 for x in m[2:]], float)
+    parts = -(-n // part_rows)
+    rows = table.where(F.col("role").isin("train", "val")).select("sampleid", "x", "cx", "cy", "role", "weight")
+    rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("sampleid"), F.lit(parts)).cast("int")), "rows")
+
+    def moments(part: pd.DataFrame) -> pd.DataFrame:
+        x = part[part["role"] == "train"]["x"]
+        if not len(x):
+            return pd.DataFrame([], columns=["kind", "block", "n", "data"])
+        x = _matrix(x).astype(np.float64)
+        return pd.DataFrame(_blocks("first", len(x), x.mean(axis=0)) + _blocks("second", len(x), (x**2).mean(axis=0)), columns=["kind", "block", "n", "data"])
+
+    inputs = _averaged(rows.groupBy("part").applyInPandas(moments, STATE), "moments")
+    state, best, history_ = inputs, inputs, []
+    rounds = 1 if parts == 1 else rounds
+    each = -(-options.epochs // rounds)
+    control = Control(replace(options, patience=max(1, -(-options.patience // each))))
+    for k in range(rounds + 1):
+        o = replace(options, epochs=each, rate=control.rate, seed=options.seed + k)
+        work = _round(o, mean, sd, k == 0, k < rounds, parts == 1)
+        after = _averaged(rows.groupBy("part").cogroup(_to_parts(state, parts).groupBy("part")).applyInPandas(work, STATE), "state")
+        losses = {r["kind"]: float(np.frombuffer(r["data"], np.float32)[0]) for r in after.where("kind like 'loss%'").collect()}  # a number or two
+        loss = losses.get("loss val", losses["loss train"])
+        if k:
+            best = state if loss < control.best or k == 1 else best
+            history_.append((k, loss, control.rate))
+            if not control.seen(loss, []) or k == rounds:
+                break
+        state = after.where("kind = 'weights'").unionByName(inputs)
+    return SpreadModel(best, mean, sd, history_)
+
+
+def predict_spread(rows: DataFrame, model: SpreadModel, options: Options, part_rows: int = 4096) -> DataFrame:
+    """Predictions (other columns, x, y) of rows (other columns, x) by the blocks of the model: rows are dealt into parts, and each part meets the blocks by its key."""
+    extra = [c for c in rows.columns if c != "x"]
+    parts = max(1, -(-rows.count() // part_rows))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*extra), F.lit(parts)).cast("int"))
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in extra] + ["x double", "y double"])
+    mean, sd = model.mean, model.sd
+
+    def work(part: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame([], columns=[*extra, "x", "y"])
+        first, second = _flat(now, "first"), _flat(now, "second")
+        spread = np.sqrt(np.maximum(second.astype(np.float64) - first.astype(np.float64) ** 2, 0) + 1e-3).astype(np.float32)
+        fitted = Fitted(_weights(_flat(now, "weights"), len(first), options), first, spread)
+        xy = predict(fitted, _matrix(part["x"]), options) * sd + mean
+        out = part[extra].copy()
+        out["x"], out["y"] = xy[:, 0].astype(float), xy[:, 1].astype(float)
+        return out
+
+    return dealt.groupBy("part").cogroup(_to_parts(model.state, parts).groupBy("part")).applyInPandas(work, schema)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genorigin.functions import genotype, geo, keyed
 from genorigin.operators import ranges, resample, samples as S, sites, summarize, weights
-from genorigin.plans import analyses, fixtures, models
+from genorigin.plans import analyses, fixtures, models, spread
 from genorigin.plans.network import Options
-from genorigin.shared import shared_folder
+from genorigin.shared import shared_folder, stored
 from genorigin.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,19 +312,31 @@ def _model(f: Callable) -> Query:
 
 
 def split_table(dosages: DataFrame, s: DataFrame) -> DataFrame:
-    return models.training_table(sites.feature_assembly(dosages), s, resample.train_test_split(s)).withColumn("run", F.lit(0))
+    return models.training_table(sites.feature_assembly(dosages), s, resample.train_test_split(s))
+
+
+def fit_predict_groups(dosages: DataFrame, s: DataFrame) -> DataFrame:
+    """A network per fold."""
+    roles = resample.fold_roles(resample.kfold_split(s, 5), s, 5).withColumnRenamed("fold", "run")
+    return models.fit_predict_groups(models.training_table(sites.feature_assembly(dosages), s, roles), ["run"], QUICK)
 
 
 def fit_data_parallel(dosages: DataFrame, s: DataFrame) -> DataFrame:
-    table = split_table(dosages, s)
-    o = Options(width=16, layers=2, rate=1e-2, patience=100)
-    return models.predict_data_parallel(table.where("role <> 'train'"), models.fit_data_parallel(table, o, epochs=20), o)
+    """One network over parts of 64 training rows, so that even small tables have several."""
+    table = stored(split_table(dosages, s), "table")
+    o = replace(QUICK, epochs=40, batch=16)
+    asked = table.where("role <> 'train'").select("sampleid", "role", "x")
+    return spread.predict_spread(asked, spread.fit_spread(table, o, part_rows=64, rounds=8), o, part_rows=64)
 
 
 def predict(dosages: DataFrame, s: DataFrame) -> DataFrame:
-    fitted = models.fit_groups(split_table(dosages, s), ["run"], QUICK)
-    asked = sites.feature_assembly(dosages).join(S.unknown_filter(s).select("sampleid"), "sampleid", "left_semi").withColumn("run", F.lit(0))
-    return models.predict_with(asked, models.require_models(fitted), ["run"], QUICK)
+    """Unknown samples by the models of five folds."""
+    roles = resample.fold_roles(resample.kfold_split(s, 5), s, 5)
+    table = models.training_table(sites.feature_assembly(dosages), s, roles).where("role <> 'pred'")
+    fitted = stored(models.fit_groups(table, ["fold"], QUICK), "models")
+    unknown = S.unknown_filter(s).select("sampleid")
+    asked = sites.feature_assembly(dosages).join(unknown, "sampleid", "left_semi").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return models.predict_with(asked, models.require_models(fitted), ["fold"], QUICK)
 
 
 def validation_metrics(dosages: DataFrame, s: DataFrame) -> DataFrame:
@@ -424,7 +437,7 @@ QUERIES: dict[str, Query] = {
     "sliding_windows": lambda s, d: resample.window_assign(wide_sites(s, d), 250_000, step=100_000).select("position", "window_start"),
     "sites_per_window": lambda s, d: resample.sites_per_window(wide_sites(s, d), 250_000),
     "rasterize_range": lambda s, d: ranges.rasterize_range(rings(s, d), 4.0),
-    "fit_predict_groups": _model(lambda dos, s: models.fit_predict_groups(split_table(dos, s), ["run"], QUICK)),
+    "fit_predict_groups": _model(fit_predict_groups),
     "fit_data_parallel": _model(fit_data_parallel),
     "predict": _model(predict),
     "validation_metrics": _model(validation_metrics),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genorigin.operators import resample, sites, summarize
-from genorigin.plans import analyses, fixtures, models, network
+from genorigin.plans import analyses, fixtures, models, network, spread
 from genorigin.plans.network import Options
 
 QUICK = Options(width=24, layers=2, epochs=12, patience=6, batch=64, rate=3e-3)
@@ -84,8 +84,41 @@ def test_jackknife_and_weights(dosages, samples, spark):
 
 
 def test_data_parallel_learns(dosages, samples):
-    table = models.training_table(sites.feature_assembly(dosages), samples, resample.train_test_split(samples))
-    o = Options(width=16, layers=2, rate=1e-2)
-    model = models.fit_data_parallel(table, o, epochs=12)
-    assert model.history[-1][2] < 0.8 * model.history[0][2]
-    assert models.predict_data_parallel(table.where("role = 'pred'"), model, o).count() == 50
+    """Over six parts whose weights are averaged: the loss falls and samples that no part has seen are placed."""
+    table = models.training_table(sites.feature_assembly(dosages), samples, resample.holdout_split(samples, 60)).cache()
+    o = Options(width=64, layers=4, epochs=60, batch=8, rate=2e-3, dropout=0.1)
+    model = spread.fit_spread(table, o, part_rows=60, rounds=10)
+    losses = [loss for _, loss, _ in model.history]
+    assert min(losses) < 0.8 * losses[0]
+    found = spread.predict_spread(table.where("role = 'holdout'").select("sampleid", "x"), model, o, part_rows=7)
+    s = summarize.error_summary(summarize.with_error(summarize.join_predictions_truth(found, samples))).first()
+    assert s.n == 60 and s.r2_x > 0.5 and s.r2_y > 0.5
+
+
+def test_alignment_and_weights(dosages, samples):
+    fewer = samples.where("sampleid <> 's17'")
+    for f in (analyses.run_windows, analyses.run_windows_holdouts):
+        with pytest.raises(ValueError, match="no metadata"):
+            f(dosages, fewer, 256_000, options=QUICK)
+    for f in (analyses.run_single, analyses.run_bootstraps, analyses.run_jackknife, analyses.run_holdouts, analyses.run_jackknife_holdouts, analyses.train_holdout, analyses.ensemble):
+        with pytest.raises(ValueError, match="no metadata"):
+            f(dosages, fewer, options=QUICK)
+        with pytest.raises(ValueError, match="no weight"):
+            f(dosages, samples, options=QUICK, weights=samples.where("x < 25").select("sampleid", F.lit(1.0).alias("sample_weight")))
+
+
+def test_holdout_roles_by_count(samples):
+    roles = analyses.holdout_roles(samples, 40).groupBy("holdout_id", "role").count().collect()
+    got = {(r.holdout_id, r.role): r["count"] for r in roles}
+    assert all(got[h, "holdout"] == 40 and got[h, "val"] == 41 and got[h, "train"] == 369 for h in range(11))
+    assert (got[11, "holdout"], got[11, "val"], got[11, "train"]) == (10, 44, 396)
+
+
+def test_jackknife_vectors_are_the_masked_calls(dosages, samples):
+    freq = sites.allele_freq_all(dosages).cache()
+    some = dosages.where("sampleid in ('s0', 's10', 's21')").cache()
+    masked = resample.jackknife_sites(dosages.select("chrom", "position").distinct(), 3)
+    want = sites.feature_assembly(resample.jackknife_mask(some, masked, freq, 3), ["replicate"])
+    got = analyses.jackknife_features(sites.feature_assembly(some), dosages, freq, 3)
+    rows = lambda df: sorted((r.replicate, r.sampleid, tuple(r.x)) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 9
