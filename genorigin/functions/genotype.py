@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genorigin.shared import stored
+
 
 def alleles_from_dosage(dosage: Column) -> Column:
     """0, 1, 2 copies of allele 1 as a pair of alleles; null otherwise."""
@@ -52,10 +54,18 @@ def validate_dosage(rows: DataFrame, dosage: str = "dosage") -> DataFrame:
 
 
 def require_dosage(rows: DataFrame, dosage: str = "dosage") -> DataFrame:
-    """The rows themselves; a ValueError if any dosage is not 0, 1 or 2."""
-    if validate_dosage(rows, dosage).limit(1).count():
-        raise ValueError("Genotype values must be 0, 1, or 2")
-    return rows
+    """The rows themselves; a ValueError if any dosage is not 0, 1 or 2.
+
+    The check is part of the projection, and the rows are written to the shared folder as they are checked: their source is read once, and what follows reads columns.
+    """
+    message = "Genotype values must be 0, 1, or 2"
+    good = F.when(F.col(dosage).isin(0, 1, 2), F.col(dosage)).otherwise(F.raise_error(F.lit(message)).cast(rows.schema[dosage].dataType))
+    try:
+        return stored(rows.withColumn(dosage, good), "dosages")
+    except Exception as e:
+        if message in str(e):
+            raise ValueError(message) from None
+        raise
 
 
 def flip_augment(rows: DataFrame, rate: float = 0.05, seed: int = 0, epoch: int = 0, symmetric: bool = False) -> DataFrame:

@@ -94,10 +94,13 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps: i
 
 
 def with_geodesic_km(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, name: str = "km") -> DataFrame:
-    """Add the geodesic distance; only rows that the expression leaves open do work in a pandas UDF. Null coordinates give null."""
-    near = df.withColumn(name, geodesic_km(*[F.col(c) for c in (lat1, lon1, lat2, lon2)]))
-    rest = [F.when(F.col(name).isNull(), F.col(c)) for c in (lat1, lon1, lat2, lon2)]
-    return near.withColumn(name, F.coalesce(F.col(name), _antipodal(*rest)))
+    """Add the geodesic distance. Null coordinates give null. Rows that the expression leaves open are told apart first, and only they go through a pandas UDF."""
+    places = [F.col(c) for c in (lat1, lon1, lat2, lon2)]
+    near = df.withColumn(name, geodesic_km(*places))
+    left_open = F.col(name).isNull()
+    for c in places:
+        left_open = left_open & c.isNotNull()
+    return near.where(~left_open).unionByName(near.where(left_open).withColumn(name, _antipodal(*places)))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -131,8 +131,14 @@ def site_index(sites: DataFrame, bucket: int = 1_000_000) -> DataFrame:
     return ranked.join(offsets, ["chrom", "bucket"]).select(*SITE, (F.col("offset") + F.col("rank")).cast("long").alias("site"))
 
 
-def feature_assembly(dosages: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per sample (and key): x, its dosages in order of site. Missing ones count as 0."""
-    cell = F.struct("chrom", "position", F.coalesce("dosage", F.lit(0)).cast("tinyint").alias("d"))
-    rows = dosages.groupBy(*(keys or []), "sampleid").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return rows.withColumn("x", F.transform("cells", lambda c: c["d"])).drop("cells")
+def feature_assembly(dosages: DataFrame, keys: list[str] | None = None, bucket: int = 1_000_000) -> DataFrame:
+    """One row per sample (and key): x, its dosages in order of site. Missing ones count as 0.
+
+    Dosages are gathered and sorted by sample and bucket of positions, where each is a byte after that; then a sample's buckets are joined in order. So a row holds
+    a byte for each site and never its names and positions.
+    """
+    by = [*(keys or []), "sampleid"]
+    cell = F.struct("position", F.coalesce("dosage", F.lit(0)).cast("tinyint").alias("d"))
+    parts = dosages.groupBy(*by, "chrom", F.floor(F.col("position") / bucket).alias("bucket")).agg(F.array_sort(F.collect_list(cell))["d"].alias("part"))
+    rows = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chrom", "bucket", "part"))).alias("parts"))
+    return rows.select(*by, F.flatten(F.col("parts")["part"]).alias("x"))

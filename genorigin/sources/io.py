@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genorigin.functions.genotype import alleles_from_dosage, clean_sample_id, require_dosage
+from genorigin.shared import stored
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -24,14 +25,16 @@ def scan_vcf(spark: SparkSession, path: str) -> DataFrame:
     if not heads.limit(1).count():
         raise ValueError(f"Could not read a VCF at {path}")
     split = F.split("value", "\t")
-    samples = heads.select("file", F.posexplode(F.slice(split, 10, 1_000_000_000)).alias("i", "sampleid"))
+    heads = stored(heads.select("file", F.slice(split, 10, 1_000_000_000).alias("names")), "heads")  # a row for each file: its size is known to the join
     body = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(
         "file", split[0].alias("chrom"), split[1].cast("long").alias("position"), F.split(split[8], ":").alias("format"), F.slice(split, 10, 1_000_000_000).alias("cells")
     )
-    cells = body.select("file", "chrom", "position", F.array_position("format", "GT").cast("int").alias("gt"), F.posexplode("cells").alias("i", "cell"))
+    both = F.explode(F.arrays_zip(F.col("names").alias("sampleid"), F.col("cells").alias("cell")))
+    cells = body.join(heads, "file").select("chrom", "position", F.array_position("format", "GT").cast("int").alias("gt"), both.alias("c"))
+    cells = cells.select("chrom", "position", "gt", "c.sampleid", "c.cell").where("sampleid is not null")
     text = F.when(F.col("gt") > 0, F.get(F.split("cell", ":"), F.col("gt") - 1))
     alleles = F.transform(F.split(F.coalesce(text, F.lit("./.")), r"[/|]"), lambda a: F.coalesce(a.try_cast("tinyint"), F.lit(-1).cast("tinyint")))
-    return cells.join(samples, ["file", "i"]).select("sampleid", "chrom", "position", alleles.alias("alleles"))
+    return cells.select("sampleid", "chrom", "position", alleles.alias("alleles"))
 
 
 def scan_matrix(spark: SparkSession, path: str, chrom: str = "1") -> DataFrame:
@@ -44,12 +47,13 @@ def scan_matrix(spark: SparkSession, path: str, chrom: str = "1") -> DataFrame:
     if not head.limit(1).count():
         raise ValueError("Genotype matrix must contain a 'sampleID' column")
     clean = lambda c: F.regexp_replace(c, '^"|"$', "")
-    names = head.select("file", F.posexplode(F.slice(F.split("value", "\t"), 2, 1_000_000_000)).alias("i", "name"))
-    sites = names.select("file", "i", clean(F.col("name")).cast("double").cast("long").alias("position"))
+    names = F.slice(F.split("value", "\t"), 2, 1_000_000_000)
+    heads = stored(head.select("file", F.transform(names, lambda c: clean(c).cast("double").cast("long")).alias("positions")), "heads")
     body = lines.where(~F.col("value").rlike(r'^"?sampleID"?\t') & (F.length("value") > 0))
     split = F.split("value", "\t")
-    cells = body.select("file", clean_sample_id(split[0]).alias("sampleid"), F.posexplode(F.slice(split, 2, 1_000_000_000)).alias("i", "cell"))
-    rows = cells.join(sites, ["file", "i"]).select("sampleid", F.lit(chrom).alias("chrom"), "position", F.col("cell").try_cast("double").alias("dosage"))
+    cells = body.select("file", clean_sample_id(split[0]).alias("sampleid"), F.slice(split, 2, 1_000_000_000).alias("cells")).join(heads, "file")
+    rows = cells.select("sampleid", F.explode(F.arrays_zip(F.col("positions").alias("position"), F.col("cells").alias("cell"))).alias("c")).where("c.position is not null")
+    rows = rows.select("sampleid", F.lit(chrom).alias("chrom"), "c.position", F.col("c.cell").try_cast("double").alias("dosage"))
     return require_dosage(rows).select("sampleid", "chrom", "position", alleles_from_dosage(F.col("dosage")).alias("alleles"))
 
 
@@ -140,7 +144,7 @@ def scan_range_polygon(rings: DataFrame) -> DataFrame:
     return ring_edges(_require(rings, ["poly", "ring", "seq", "x", "y"], "Range"))
 
 
-#: What each analysis's file of predictions is called after its prefix.
+#: What each analysis's file of predictions is called after its prefix. Fixed values.
 OUTPUTS = {
     "single": "predlocs.txt", "windows": "windows_predlocs.csv", "jackknife": "jacknife_predlocs.csv", "bootstrap": "bootstrap_predlocs.csv",
     "holdout": "holdout_predlocs.csv", "all_holdouts": "allholdouts_predlocs.csv", "ensemble": "ensemble_predlocs.csv", "ensemble_pred_only": "ensemble_predlocs_pred_only.csv",
