@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from genorigin.functions.geo import digitize, euclid_error
@@ -104,23 +107,31 @@ def unpivot_replicates(wide: DataFrame) -> DataFrame:
     return wide.select("sampleid", rows.alias("r")).select("sampleid", "r.replicate", "r.x", "r.y").where("x is not null and y is not null")
 
 
-def grid_axis(low: Column, high: Column, n: int) -> Column:
-    step = (high - low) / F.lit(max(n - 1, 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + i * step)
-
-
 def _checked_grid(n: int) -> int:
     if not 1 <= n <= MOST_GRID:
         raise ValueError(f"Grids have 1 to {MOST_GRID} points a side")
     return n
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _densities(xs: pd.Series, ys: pd.Series, shape: pd.DataFrame) -> pd.Series:
+    """The sums of a sample's kernels over the cells of its grid, gx by gx. shape: a, b, c of the quadratic form, the grid's limits and points a side."""
+    out = []
+    for px, py, (a, b, c, x0, x1, y0, y1, n) in zip(xs, ys, shape.itertuples(index=False), strict=True):
+        n = int(n)
+        i = np.arange(n)
+        dx = (x0 + i * ((x1 - x0) / max(n - 1, 1)))[:, None, None] - px
+        dy = (y0 + i * ((y1 - y0) / max(n - 1, 1)))[None, :, None] - py
+        out.append(np.exp(-0.5 * (a * dx * dx + 2 * b * dx * dy + c * dy * dy)).sum(axis=2).ravel())
+    return pd.Series(out)
+
+
 def kde_surface(predictions: DataFrame, n: int = 100, limits: DataFrame | None = None) -> DataFrame:
     """The density of each sample's replicate predictions on an n by n grid: (sampleid, gx, gy, density).
 
     A Gaussian kernel with the sample's own covariance times Scott's factor squared, count ** (-1/3). limits: one row (xmin, xmax, ymin, ymax), by default the extent
     of all predictions. Samples with fewer than three predictions, or a covariance that cannot be inverted, have no surface. Points are gathered by sample (they are replicates), the
-    grid is unfolded from arrays, so nothing is joined.
+    grid is worked out for a sample at a time in numpy and unfolded, so nothing is joined.
     """
     from genorigin.operators.samples import map_extent
 
@@ -136,14 +147,11 @@ def kde_surface(predictions: DataFrame, n: int = 100, limits: DataFrame | None =
         "sampleid", "points", "n", (F.col("vy") / F.col("det") / h).alias("a"), (-F.col("vxy") / F.col("det") / h).alias("b"), (F.col("vx") / F.col("det") / h).alias("c"),
         (2 * F.lit(3.141592653589793) * F.sqrt(F.col("det")) * h).alias("norm"),
     ).crossJoin(box)
-    cells = scaled.withColumn("gx", F.explode(grid_axis(F.col("xmin"), F.col("xmax"), n))).withColumn("gy", F.explode(grid_axis(F.col("ymin"), F.col("ymax"), n)))
-
-    def term(p: Column) -> Column:
-        dx, dy = F.col("gx") - p["x"], F.col("gy") - p["y"]
-        return F.exp(-0.5 * (F.col("a") * dx * dx + 2 * F.col("b") * dx * dy + F.col("c") * dy * dy))
-
-    total = F.aggregate("points", F.lit(0.0), lambda s, p: s + term(p))
-    return cells.select("sampleid", "gx", "gy", (total / F.col("n") / F.col("norm")).alias("density"))
+    sums = _densities(F.col("points")["x"], F.col("points")["y"], F.struct("a", "b", "c", "xmin", "xmax", "ymin", "ymax", F.lit(n).alias("side")))
+    cells = scaled.select("sampleid", "n", "norm", "xmin", "xmax", "ymin", "ymax", F.posexplode(sums).alias("k", "total"))
+    at = lambda low, high, i: F.col(low) + i * ((F.col(high) - F.col(low)) / F.lit(max(n - 1, 1)))
+    gx, gy = at("xmin", "xmax", F.floor(F.col("k") / n)), at("ymin", "ymax", F.col("k") % n)
+    return cells.select("sampleid", gx.alias("gx"), gy.alias("gy"), (F.col("total") / F.col("n") / F.col("norm")).alias("density"))
 
 
 def kde_contour_levels(surface: DataFrame) -> DataFrame:
@@ -153,12 +161,25 @@ def kde_contour_levels(surface: DataFrame) -> DataFrame:
     return levels.select("sampleid", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((85, 90, 95, 99))])
 
 
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+def _peaks(xs: pd.Series, ys: pd.Series, shape: pd.DataFrame) -> pd.DataFrame:
+    """The cell of the largest sum of products of both axes' kernels; of equal ones (to 9 places) the one with the least x, then y."""
+    out = []
+    for px, py, (x0, x1, y0, y1, hx, hy, n) in zip(xs, ys, shape.itertuples(index=False), strict=True):
+        n = int(n)
+        gx, gy = (a + np.arange(n) * ((b - a) / max(n - 1, 1)) for a, b in ((x0, x1), (y0, y1)))
+        kx, ky = (np.exp(-0.5 * ((g[:, None] - p) / h) ** 2) for g, p, h in ((gx, px, hx), (gy, py, hy)))
+        best = np.round(kx @ ky.T, 9).argmax()
+        out.append((gx[best // n], gy[best % n]))
+    return pd.DataFrame(out, columns=["x", "y"])
+
+
 def kde_peak(predictions: DataFrame, n: int = 500) -> DataFrame:
     """The cell of highest density of each sample's predictions: (sampleid, x, y).
 
     A product kernel on an n by n grid over the sample's own range, with a normal-reference bandwidth per axis: 1.06 times the smaller of the standard
-    deviation and the interquartile range over 1.34, times count ** (-1/5); the kernel's deviation is that bandwidth. The factors of each axis are computed once per point and axis value, and each
-    grid column is a sum over points of products. Samples without a positive bandwidth get their mean.
+    deviation and the interquartile range over 1.34, times count ** (-1/5); the kernel's deviation is that bandwidth. The factors of each axis are computed once per point and axis value, and the
+    grid is their matrix product, a sample at a time in numpy. Samples without a positive bandwidth get their mean.
     """
     _checked_grid(n)
     q = lambda c, p: F.percentile(c, F.lit(p))
@@ -171,27 +192,30 @@ def kde_peak(predictions: DataFrame, n: int = 500) -> DataFrame:
         stats = stats.withColumn(f"h{c}", 1.06 * F.least(F.col(f"s{c}"), F.col(f"i{c}") / 1.34) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     fine = F.coalesce((F.col("hx") > 0) & (F.col("hy") > 0), F.lit(False))
     poor = stats.where(~fine).select("sampleid", F.col("mx").alias("x"), F.col("my").alias("y"))
-    kernel = lambda c, g: F.transform("points", lambda p: F.exp(-0.5 * F.pow((g - p[c]) / F.col(f"h{c}"), F.lit(2.0))))
-    axes = stats.where(fine).withColumn("gys", grid_axis(F.col("y0"), F.col("y1"), n)).withColumn("ky", F.transform("gys", lambda g: kernel("y", g)))
-    columns = axes.withColumn("gx", F.explode(grid_axis(F.col("x0"), F.col("x1"), n))).withColumn("kx", kernel("x", F.col("gx")))
-    dot = lambda row: F.aggregate(F.zip_with(row, F.col("kx"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    rows = F.zip_with("ky", "gys", lambda k, g: F.struct(F.round(dot(k), 9).alias("d"), (-g).alias("g")))
-    best = columns.select("sampleid", "gx", F.array_max(rows).alias("b")).groupBy("sampleid").agg(F.max(F.struct(F.col("b.d").alias("d"), (-F.col("gx")).alias("gx"), F.col("b.g").alias("gy"))).alias("b"))
-    return best.select("sampleid", (-F.col("b.gx")).alias("x"), (-F.col("b.gy")).alias("y")).unionByName(poor)
+    peak = _peaks(F.col("points")["x"], F.col("points")["y"], F.struct("x0", "x1", "y0", "y1", "hx", "hy", F.lit(n).alias("side")))
+    return stats.where(fine).select("sampleid", peak.alias("p")).select("sampleid", "p.x", "p.y").unionByName(poor)
 
 
 def hdr_cumulative(surface: DataFrame) -> DataFrame:
-    """Cells of each sample in falling order of density with the share of the mass at or above them."""
-    order = Window.partitionBy("sampleid").orderBy(F.desc("density"), "gx", "gy").rowsBetween(Window.unboundedPreceding, 0)
+    """Cells of each sample with the share of the mass at or above them, in falling order of density to 9 places, then of gx and gy."""
+    order = Window.partitionBy("sampleid").orderBy(F.desc(F.round("density", 9)), "gx", "gy").rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy("sampleid")
     return surface.withColumn("mass", F.sum("density").over(order) / F.sum("density").over(total))
 
 
 def hdr_levels(surface: DataFrame, masses: tuple[float, ...] = (0.95, 0.5, 0.1)) -> DataFrame:
-    """The density above which so much of the mass lies, interpolated between the two cells around it: (sampleid, mass, level)."""
-    by = Window.partitionBy("sampleid").orderBy(F.desc("density"), "gx", "gy")
-    cells = hdr_cumulative(surface).withColumn("m0", F.coalesce(F.lag("mass").over(by), F.lit(0.0))).withColumn("d0", F.coalesce(F.lag("density").over(by), F.col("density")))
-    want = cells.withColumn("want", F.explode(F.array(*[F.lit(m) for m in masses])))
-    hit = want.where((F.col("m0") < F.col("want")) & (F.col("mass") >= F.col("want")))
-    level = F.col("d0") + (F.col("density") - F.col("d0")) * F.try_divide(F.col("want") - F.col("m0"), F.col("mass") - F.col("m0"))
-    return hit.select("sampleid", F.col("want").alias("mass"), level.alias("level"))
+    """The density above which so much of the mass lies: (sampleid, mass, level).
+
+    With the cells of a sample in rising order of density, the mass up to each is the running sum of densities times the area of a cell; the level is interpolated
+    between the two cells around 1 - mass. Masses that lie outside the grid's own give null. A sample's cells form an even grid.
+    """
+    by = Window.partitionBy("sampleid").orderBy("density", "gx", "gy")
+    side = lambda c: (F.max(c) - F.min(c)) / (F.size(F.collect_set(c)) - 1)
+    grids = surface.groupBy("sampleid").agg((side("gx") * side("gy")).alias("area"))
+    cells = surface.join(grids, "sampleid").withColumn("m1", F.sum("density").over(by.rowsBetween(Window.unboundedPreceding, 0)) * F.col("area"))
+    cells = cells.withColumn("m0", F.lag("m1").over(by)).withColumn("d0", F.lag("density").over(by))
+    want = cells.withColumn("mass", F.explode(F.array(*[F.lit(m) for m in masses]))).withColumn("t", 1 - F.col("mass"))
+    hit = want.where((F.col("m0") < F.col("t")) & (F.col("m1") >= F.col("t")))
+    level = F.col("d0") + (F.col("density") - F.col("d0")) * (F.col("t") - F.col("m0")) / (F.col("m1") - F.col("m0"))
+    every = grids.select("sampleid", F.explode(F.array(*[F.lit(m) for m in masses])).alias("mass"))
+    return every.join(hit.select("sampleid", "mass", level.alias("level")), ["sampleid", "mass"], "left")

@@ -85,7 +85,7 @@ def looked_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 def surface(spark: SparkSession, d: str) -> DataFrame:
-    return summarize.kde_surface(predictions(spark, d), 20)
+    return summarize.kde_surface(predictions(spark, d))
 
 
 # sources and sinks
@@ -240,7 +240,7 @@ def kde_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return weights.bandwidth_scores(known(spark, d), 0.5, 10.0, 20)
+    return weights.bandwidth_scores(known(spark, d))
 
 
 def bandwidth_argmax(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +258,7 @@ def ensemble_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kde_peak(spark: SparkSession, d: str) -> DataFrame:
-    return summarize.kde_peak(predictions(spark, d), 50).select("sampleid", *r6("x", "y"))
+    return summarize.kde_peak(predictions(spark, d)).select("sampleid", *r6("x", "y"))
 
 
 def union_predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -401,8 +401,8 @@ QUERIES: dict[str, Query] = {
     "kde_peak": kde_peak,
     "kde_surface": lambda s, d: surface(s, d).select("sampleid", *r6("gx", "gy", "density")),
     "kde_contour_levels": lambda s, d: summarize.kde_contour_levels(surface(s, d)).select("sampleid", *r6("p85", "p90", "p95", "p99")),
-    "hdr_levels": lambda s, d: summarize.hdr_levels(surface(s, d)),
-    "hdr_cumulative": lambda s, d: summarize.hdr_cumulative(surface(s, d)).where("density > 1e-6").select("sampleid", *r6("gx", "gy", "mass")),
+    "hdr_levels": lambda s, d: summarize.hdr_levels(surface(s, d)).select("sampleid", "mass", *r6("level")),
+    "hdr_cumulative": lambda s, d: summarize.hdr_cumulative(surface(s, d)).select("sampleid", *r6("gx", "gy", "mass")),
     "error_summary": lambda s, d: summarize.error_summary(errors(s, d)).select("n", *r6("mean_error", "median_error", "max_error", "r2_x", "r2_y")),
     "error_quantiles": lambda s, d: summarize.error_quantiles(errors(s, d)).select(*r6("mean_error", "median_error", "q05", "q95")),
     "error_histogram": lambda s, d: summarize.error_histogram(errors(s, d)),

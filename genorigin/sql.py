@@ -72,14 +72,25 @@ WEIGHTS = "wts AS (SELECT concat('s', vec_id % 400) AS sampleid, (vec_id % 7 + 1
 MOMENTS = "m AS (SELECT avg(x) mx, stddev_pop(x) sx, avg(y) my, stddev_pop(y) sy FROM samples)"
 SURFACE = f"""{PRED}, box AS (SELECT min(x) - 1e-1 * (max(x) - min(x)) xmin, max(x) + 1e-1 * (max(x) - min(x)) xmax, min(y) - 1e-1 * (max(y) - min(y)) ymin, max(y) + 1e-1 * (max(y) - min(y)) ymax FROM pred),
 st AS (SELECT sampleid, count(*) n, var_samp(x) vx, var_samp(y) vy, covar_samp(x, y) vxy, pow(count(*), -1e0 / 3) h FROM pred GROUP BY ALL),
-cells AS (SELECT st.*, vx * vy - vxy * vxy det, xmin + i * (xmax - xmin) / 19 gx, ymin + j * (ymax - ymin) / 19 gy FROM st, box, range(0, 20) a(i), range(0, 20) b(j)),
+cells AS (SELECT st.*, vx * vy - vxy * vxy det, xmin + i * ((xmax - xmin) / 99) gx, ymin + j * ((ymax - ymin) / 99) gy FROM st, box, range(0, 100) a(i), range(0, 100) b(j)),
 surf AS (SELECT c.sampleid, gx, gy, sum(exp(-5e-1 * (vy * (gx - p.x) * (gx - p.x) - 2 * vxy * (gx - p.x) * (gy - p.y) + vx * (gy - p.y) * (gy - p.y)) / det / h)) / any_value(c.n) / any_value(2 * pi() * sqrt(det) * h) AS density
   FROM cells c JOIN pred p USING (sampleid) GROUP BY c.sampleid, gx, gy)"""
+HDR = f"""{SURFACE}, grids AS (SELECT sampleid, (max(gx) - min(gx)) / (count(DISTINCT gx) - 1) * ((max(gy) - min(gy)) / (count(DISTINCT gy) - 1)) AS area FROM surf GROUP BY ALL),
+rising AS (SELECT *, sum(density) OVER (PARTITION BY sampleid ORDER BY density, gx, gy ROWS UNBOUNDED PRECEDING) * area AS m1 FROM surf JOIN grids USING (sampleid)),
+steps AS (SELECT *, lag(m1) OVER w AS m0, lag(density) OVER w AS d0 FROM rising WINDOW w AS (PARTITION BY sampleid ORDER BY density, gx, gy)),
+want AS (SELECT sampleid, mass::DOUBLE AS mass, 1 - mass::DOUBLE AS t FROM grids, (VALUES (95e-2), (5e-1), (1e-1)) v(mass))"""
+PEAK = f"""{PRED}, st AS (SELECT sampleid, list(x ORDER BY x, y) xs, list(y ORDER BY x, y) ys, min(x) x0, max(x) x1, min(y) y0, max(y) y1,
+  106e-2 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 134e-2) * pow(count(*), -2e-1) hx,
+  106e-2 * least(stddev_samp(y), (quantile_cont(y, 0.75) - quantile_cont(y, 0.25)) / 134e-2) * pow(count(*), -2e-1) hy FROM pred GROUP BY ALL),
+kx AS (SELECT sampleid, x0 + i * ((x1 - x0) / 499) AS gx, list_transform(xs, lambda p: exp(-5e-1 * pow((gx - p) / hx, 2))) AS k FROM st, range(0, 500) a(i)),
+ky AS (SELECT sampleid, y0 + i * ((y1 - y0) / 499) AS gy, list_transform(ys, lambda p: exp(-5e-1 * pow((gy - p) / hy, 2))) AS k FROM st, range(0, 500) a(i)),
+peaks AS (SELECT kx.sampleid, min(struct_pack(d := -round(list_inner_product(kx.k, ky.k), 9), gx := gx, gy := gy)) AS b FROM kx JOIN ky USING (sampleid) GROUP BY ALL)"""
 SCORES = f"""{SAMPLES}, {KNOWN}, rk AS (SELECT *, row_number() OVER (ORDER BY sampleid) - 1 AS r, count(*) OVER () AS n FROM known),
 fd AS (SELECT *, CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1) ELSE n % 5 + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM rk),
 p AS (SELECT a.sampleid, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM fd a JOIN fd b ON a.fold <> b.fold),
-g AS (SELECT 5e-1 + k * (10 - 5e-1) / 19 AS bandwidth FROM range(0, 20) t(k)),
-ld AS (SELECT sampleid, bandwidth, ln(sum(exp(-d2 / (2 * bandwidth * bandwidth))) / (count(*) * 2 * pi() * bandwidth * bandwidth)) AS v FROM p, g GROUP BY sampleid, bandwidth),
+g AS (SELECT 1e-1 + k * ((10 - 1e-1) / 999) AS bandwidth FROM range(0, 1000) t(k)),
+near AS (SELECT *, min(d2) OVER (PARTITION BY sampleid) AS d0 FROM p),
+ld AS (SELECT sampleid, bandwidth, ln(sum(exp((d0 - d2) / (2 * bandwidth * bandwidth))) / (count(*) * 2 * pi() * bandwidth * bandwidth)) - any_value(d0) / (2 * bandwidth * bandwidth) AS v FROM near, g GROUP BY sampleid, bandwidth),
 scores AS (SELECT bandwidth, sum(v) AS score FROM ld GROUP BY ALL)"""
 CIRCLE = """geo AS (SELECT vec_id, 180 * embedding[1]::DOUBLE AS lon1, 90 * embedding[2]::DOUBLE AS lat1, 180 * embedding[3]::DOUBLE AS lon2, 90 * embedding[4]::DOUBLE AS lat2 FROM embeddings),
 g1 AS (SELECT *, radians((lat1 + lat2) / 2) f, radians((lat1 - lat2) / 2) g, radians((lon1 - lon2) / 2) l FROM geo),
@@ -186,9 +197,14 @@ ORACLE = {
     "site_index": q(f"{WIDE}, {SITES}", "SELECT chrom, position, site FROM indexed"),
     "cap_snps": q(f"{WIDE}, {SITES}", f"SELECT position FROM sites ORDER BY {md5(0, 'chrom', 'position')}, chrom, position LIMIT 100"),
     "pick_samples": q(SAMPLES, f"SELECT sampleid FROM samples ORDER BY {md5(0, 'sampleid')}, sampleid LIMIT 9"),
+    "kde_peak": q(PEAK, f"SELECT sampleid, {R('b.gx', 'x')}, {R('b.gy', 'y')} FROM peaks"),
+    "hdr_levels": q(
+        HDR,
+        f"SELECT want.sampleid, want.mass, {R('d0 + (density - d0) * (t - m0) / (m1 - m0)', 'level')} FROM want LEFT JOIN steps ON want.sampleid = steps.sampleid AND m0 < t AND m1 >= t",
+    ),
     "hdr_cumulative": q(
-        f"{SURFACE}, hc AS (SELECT *, sum(density) OVER (PARTITION BY sampleid ORDER BY density DESC, gx, gy ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY sampleid) AS mass FROM surf)",
-        f"SELECT sampleid, {R('gx')}, {R('gy')}, {R('mass')} FROM hc WHERE density > 1e-6",
+        f"{SURFACE}, hc AS (SELECT *, sum(density) OVER (PARTITION BY sampleid ORDER BY round(density, 9) DESC, gx, gy ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY sampleid) AS mass FROM surf)",
+        f"SELECT sampleid, {R('gx')}, {R('gy')}, {R('mass')} FROM hc",
     ),
     "union_predictions": q(PRED, f"SELECT sampleid, {R('x')}, {R('y')}, replicate, NULL::INT AS fold FROM pred UNION ALL SELECT sampleid, round(x, 6), round(y, 6), NULL, 1 FROM known"),
     "prediction_set": q(SAMPLES, "SELECT sampleid FROM samples WHERE x IS NULL OR substr(md5(sampleid), 1, 1) >= '8'"),
