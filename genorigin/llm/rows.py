@@ -18,8 +18,8 @@ def least_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the columns of wanted (tie1, tie2, ...; one row each) for the rows of the least id (null last) of each wanted text.
 
     Only ids are compared to choose, and texts are dealt by text and id, so a text that a third of all rows have is not gathered
-    anywhere. Rows equal in id and text all come.
+    anywhere. Of rows equal in id and text one comes; they are sorted by both from the join before.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__doc"), *tied("text"), "text")
     chosen = rows.drop("text").groupBy(*TIES).agg(F.min("__doc").alias("__doc"))
-    return rows.join(chosen.join(wanted, [*TIES]), [*TIES, "__doc"]).drop("__doc")
+    return rows.join(chosen.join(wanted, [*TIES]), [*TIES, "__doc"]).dropDuplicates([*TIES, "__doc"]).drop("__doc")

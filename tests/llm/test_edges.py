@@ -71,6 +71,27 @@ def test_debruijn_brute(spark, seed):
         assert got[i] == " ".join(x for x, c in zip(w, cut) if not c)
 
 
+def test_debruijn_unitigs(spark):
+    """Pieces in a row without a branch are one unitig; at a node with two ways out it ends."""
+    rows = [(1, 10, 11), (2, 11, 12), (3, 12, 13), (4, 13, 14), (5, 13, 15), (6, 15, 16), (7, 20, 21)]
+    pieces = spark.createDataFrame(rows, "path1 long, node1 long, node2 long")
+    got = {r.piece: r.unitig for r in debruijn.unitigs(pieces).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
+
+
+def test_debruijn_words_confirm(spark):
+    """A span that hashes propose goes unless its words are those at its source; a changed word between two parts of a passage stays."""
+    a = [f"w{i}" for i in range(200)]
+    b = a[:100] + ["new"] + a[101:]
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, "\n".join(b)), (None, " ".join(a[:60]))] + [(3, " ".join(a[:70]))] * 300, "doc_id long, text string")
+    spans = debruijn.compacted(debruijn.repeated_pieces(docs), 50)
+    assert {(r.doc, r.start, r.stop, r.at) for r in spans.collect() if r.doc == 2} == {(2, 0, 100, 0), (2, 101, 200, 101)}
+    wrong = spans.withColumn("at", spans["at"] + 1)
+    assert debruijn.verified(docs, spans).count() == spans.count() == 4 and debruijn.verified(docs, wrong.where("stop - start < 100 and doc <> 2")).count() == 0
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in debruijn.dedup_substrings(docs).collect())
+    assert got == Counter({(1, 200, 0): 1, (2, 200, 199): 1, (None, 60, 60): 1, (3, 70, 70): 300})
+
+
 @pytest.mark.parametrize(("seed", "most"), [(0, 2000), (1, 2000), (2, 1), (3, 1)])
 def test_suffixes_brute(spark, seed, most):
     rng = np.random.default_rng(seed)
