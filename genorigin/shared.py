@@ -10,13 +10,24 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset, as in tests, below a new local folder."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a new local one, if all tasks run in the driver's process; a RuntimeError on a cluster, whose executors
+    would each write to a folder of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-genorigin-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, remembered for ``drop_stored``."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._genorigin_stored = [*getattr(sc, "_genorigin_stored", []), path]
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -26,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that this application has stored so far, once no result that reads them is needed any more; returns how many there were."""
+    sc = spark.sparkContext
+    paths, sc._genorigin_stored = getattr(sc, "_genorigin_stored", []), []
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package once per application, so tasks can import it whatever their path is."""
     sc = spark.sparkContext
