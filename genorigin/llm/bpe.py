@@ -22,8 +22,8 @@ from .arrow import pieces, ragged
 
 #: The word pattern of byte-level BPE vocabularies (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and pairs that a task remembers; beyond, it starts afresh.
-WORDS, PAIRS = 300_000, 1_000_000
+#: Words, their characters, and pairs that a task remembers; beyond, it starts afresh, and so it does after a batch with a word of over LONG characters.
+WORDS, CHARACTERS, PAIRS, LONG = 300_000, 1 << 24, 1_000_000, 1 << 12
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,6 +64,7 @@ class Tokenizer:
     def _fresh(self) -> None:
         self.place: dict[str, int] = {s: i for i, s in enumerate(self.added)}
         self.store = [np.array([self.added[s]], np.int32) for s in self.added]
+        self.held = 0
 
     def _index(self) -> None:
         """Vocabulary entries by length, each length's polynomial hashes sorted."""
@@ -185,7 +186,7 @@ class Tokenizer:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts one after the other, and each text's count."""
-        if len(self.store) > WORDS:
+        if len(self.store) > WORDS or self.held > CHARACTERS:
             self._fresh()
         lists = [self.split(t) for t in texts]
         flat = [w for x in lists for w in x]
@@ -193,6 +194,8 @@ class Tokenizer:
         new = [w for w in dict.fromkeys(flat) if w not in place]
         place.update(zip(new, range(len(self.store), len(self.store) + len(new)), strict=True))
         self.store += self.encode_words(new)
+        sizes = [len(w) for w in new]
+        self.held += sum(sizes) if max(sizes, default=0) <= LONG else CHARACTERS + 1
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         used, index = np.unique(np.fromiter(map(place.__getitem__, flat), np.int64, len(flat)), return_inverse=True)
         runs = [self.store[i] for i in used.tolist()]
