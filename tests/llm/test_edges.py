@@ -92,6 +92,14 @@ def test_debruijn_words_confirm(spark):
     assert got == Counter({(1, 200, 0): 1, (2, 200, 199): 1, (None, 60, 60): 1, (3, 70, 70): 300})
 
 
+def test_long_words_are_not_kept():
+    ours = bpe.Tokenizer(queries.tokenizer_path())
+    words = ["".join(np.random.default_rng(k).choice(list("abcXYZ"), 5000)) for k in range(8)]
+    for w in words:
+        first = ours.encode_batch([w])[0].tolist()
+        assert first == ours.encode_batch([w, "x"])[0].tolist()[: len(first)] and len(ours.store) < len(ours.added) + 4
+
+
 @pytest.mark.parametrize(("seed", "most"), [(0, 2000), (1, 2000), (2, 1), (3, 1)])
 def test_suffixes_brute(spark, seed, most):
     rng = np.random.default_rng(seed)

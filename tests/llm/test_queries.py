@@ -102,6 +102,49 @@ def test_op6_fingerprints(spark, sf_dir, texts):
     assert np.mean([r.near_edited for r in long]) > 0.55 and np.mean([r.near_next for r in long]) < 0.05
 
 
+def chunks_of(data):
+    """Chunks by a loop over bytes: where the gear hash of the last 32 bytes has enough leading zero bits, from 32 bytes on, easier from 96 on, and at 256 bytes."""
+    from genorigin.llm import fingerprints as f
+
+    out, begin = [], 0
+    while begin < len(data):
+        end = begin
+        while True:
+            end += 1
+            size = end - begin
+            if end == len(data) or size == f.LARGEST:
+                break
+            h = 0
+            if size >= f.WINDOW:
+                for b in data[end - f.WINDOW : end]:
+                    h = (h * 2 + int(f.GEAR[b])) % 2**32
+                if h < 2 ** (32 - (f.STRICT if size < f.NORMAL else f.LOOSE)):
+                    break
+        out.append(data[begin:end])
+        begin = end
+    return out
+
+
+def test_op6_chunks(spark, sf_dir, texts):
+    """The fingerprint and both likenesses of a part of the table's texts against chunks found byte by byte."""
+    got, ids = rows(spark, sf_dir, "op6_fingerprints"), sorted(texts, reverse=True)
+    some = {i: set(chunks_of(texts[i].encode())) for i in ids if len(texts[i]) < 3000}
+    like = lambda a, b: 1.0 if a == b else 0.0 if not a or not b else sum(map(len, a & b)) / sum(map(len, a))
+    seen = 0
+    for k, i in enumerate(ids):
+        j = ids[(k + 1) % len(ids)]
+        if i in some:
+            digits = got[i].fingerprint
+            assert sorted(int(digits[a + 12 : a + 14], 16) + 1 for a in range(0, len(digits), 14)) == sorted(map(len, some[i]))
+            m = len(texts[i]) // 3
+            edited = set(chunks_of((texts[i][: len(texts[i]) - m] + texts[j][:m]).encode()))
+            assert abs(got[i].near_edited - like(some[i], edited)) < 1e-12 and len(got[i].edited_fingerprint) == 14 * len(edited)
+            if j in some:
+                assert abs(got[i].near_next - like(some[i], some[j])) < 1e-12
+                seen += 1
+    assert seen > 50
+
+
 def test_op7_embeddings(spark, sf_dir):
     data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     x = np.array([r.embedding for r in data], float)
