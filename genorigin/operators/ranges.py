@@ -5,6 +5,7 @@ rings: poly, ring, seq, x, y, each ring closed by going back to its first point.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,3 +56,31 @@ def mask_lookup(places: DataFrame, mask: DataFrame, shape: DataFrame, resolution
     rows = places.crossJoin(F.broadcast(shape))  # one row
     keyed = rows.withColumn("row", at((F.col("top") - F.col("y")) / resolution, "last_row")).withColumn("col", at((F.col("x") - F.col("left")) / resolution, "last_col"))
     return keyed.join(mask, ["row", "col"]).select(*places.columns, "row", "col", "valid")
+
+
+#: The most cells of a raster that tasks hold as an array.
+MOST_CELLS = 25_000_000
+
+
+class RangeScore:
+    """weight * (1 - valid) ** 2 of places (n, 2): a term of the score of a model, as it has no gradient. Held by tasks that fit models."""
+
+    def __init__(self, mask: np.ndarray, left: float, top: float, resolution: float, weight: float):
+        self.mask, self.left, self.top, self.resolution, self.weight = mask, left, top, resolution, weight
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        row = np.clip(np.rint((self.top - places[:, 1]) / self.resolution), 0, self.mask.shape[0] - 1).astype(int)
+        col = np.clip(np.rint((places[:, 0] - self.left) / self.resolution), 0, self.mask.shape[1] - 1).astype(int)
+        return self.weight * (1.0 - self.mask[row, col]) ** 2
+
+
+def range_score(rings: DataFrame, resolution: float, weight: float = 1.0) -> RangeScore:
+    """The penalty for places outside the range, to be given to models; its raster is checked to be of a bounded size."""
+    shape = raster_shape(rings, resolution).first()
+    size = shape["last_row"] + 1, shape["last_col"] + 1
+    if size[0] * size[1] > MOST_CELLS:
+        raise ValueError(f"A raster for models may have {MOST_CELLS} cells")
+    mask = np.zeros(size)
+    inside = rasterize_range(rings, resolution).where("valid > 0").select("row", "col").toPandas()  # at most MOST_CELLS rows
+    mask[inside["row"], inside["col"]] = 1.0
+    return RangeScore(mask, shape["left"], shape["top"], resolution, weight)

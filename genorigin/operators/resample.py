@@ -134,9 +134,12 @@ def jackknife_sites(sites: DataFrame, replicates: int, prop: float = 0.05, seed:
 
 
 def jackknife_mask(dosages: DataFrame, masked: DataFrame, freq: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """Dosages of every replicate, where those at masked sites are drawn from Binomial(2, freq) of the site: (replicate, sampleid, chrom, position, dosage)."""
-    marked = masked.join(freq, SITE).select("replicate", *SITE, "freq")
-    rows = dosages.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    joined = rows.join(marked, ["replicate", *SITE], "left")
+    """Dosages of every replicate, where those at masked sites are drawn from Binomial(2, freq) of the site: (replicate, sampleid, chrom, position, dosage).
+
+    Calls meet the list of replicates that mask their site, and are unfolded into replicates after that join, so they are shuffled once and not for every replicate.
+    """
+    lists = masked.groupBy(*SITE).agg(F.collect_set("replicate").alias("hit")).join(freq, SITE)
+    rows = dosages.join(lists, SITE, "left").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draw = binomial2(F.col("freq"), seed, "replicate", "chrom", "position", "sampleid")
-    return joined.select("replicate", "sampleid", *SITE, F.when(F.col("freq").isNotNull(), draw).otherwise(F.col("dosage")).cast("int").alias("dosage"))
+    redrawn = F.coalesce(F.array_contains("hit", F.col("replicate")), F.lit(False)) & F.col("freq").isNotNull()
+    return rows.select("replicate", "sampleid", *SITE, F.when(redrawn, draw).otherwise(F.col("dosage")).cast("int").alias("dosage"))

@@ -25,10 +25,10 @@ def _features(dosages: DataFrame, samples: DataFrame, keys: list[str] | None = N
     return sites.feature_assembly(S.check_sample_alignment(dosages, samples), keys)
 
 
-def run_single(dosages: DataFrame, samples: DataFrame, options: Options = Options(), train_split: float = 0.9, seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
-    """One model: predictions of unknown and validation samples: sampleid, role, x, y."""
+def run_single(dosages: DataFrame, samples: DataFrame, options: Options = Options(), train_split: float = 0.9, seed: int = 0, weights: DataFrame | None = None, score=None) -> DataFrame:
+    """One model: predictions of unknown and validation samples: sampleid, role, x, y. score: a term of the validation loss by predicted places, such as ``ranges.range_score``."""
     table = stored(training_table(_features(dosages, samples), samples, resample.train_test_split(samples, train_split, seed), weights), "table")
-    model = fit_spread(table, options, moments_from="known")
+    model = fit_spread(table, options, moments_from="known", score=score)
     return predict_spread(table.where(F.col("role").isin(*ROLES_PREDICTED)).select("sampleid", "role", "x"), model, options)
 
 
@@ -157,3 +157,18 @@ def ensemble(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Option
 
 def ensemble_history(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
     return history(fit_groups(_fold_table(dosages, samples, k, seed, weights).where(F.col("role").isin("train", "val")), ["fold"], options), ["fold"])
+
+
+#: The analyses by name, and the names under which their predictions are written.
+ANALYSES = {
+    "single": run_single, "windows": run_windows, "bootstrap": run_bootstraps, "jackknife": run_jackknife, "holdout": train_holdout, "all_holdouts": run_holdouts, "ensemble": ensemble,
+}
+
+
+def from_calls(calls: DataFrame, samples: DataFrame, analysis: str = "single", min_mac: int = 2, max_snps: int | None = None, impute: bool = False, seed: int = 0, **options) -> DataFrame:
+    """From calls to predictions: sites are filtered, drawn and imputed once, then the analysis of that name runs on their dosages with the other options."""
+    if analysis not in ANALYSES:
+        raise ValueError(f"Unknown analysis {analysis!r}; there are {sorted(ANALYSES)}")
+    S.check_sample_alignment(calls, samples)
+    dosages = stored(sites.filter_snps(calls, min_mac, max_snps, impute, seed), "dosages")
+    return ANALYSES[analysis](dosages, samples, seed=seed, **options)

@@ -7,6 +7,7 @@ wanted, weight. Coordinates are normalised by the group's training rows inside t
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from genorigin.operators.weights import first_weight
 
 from .network import Fitted, Options, fit, predict
 
+Score = Callable[[np.ndarray], np.ndarray]
 ROLES_PREDICTED = ("pred", "val", "holdout")
 
 
@@ -41,7 +43,7 @@ def _moments(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return y.mean(axis=0), np.where(sd > 0, sd, 1.0)
 
 
-def _fit_rows(rows: pd.DataFrame, o: Options, moments_from: str) -> tuple[Fitted, np.ndarray, np.ndarray]:
+def _fit_rows(rows: pd.DataFrame, o: Options, moments_from: str, score: Score | None) -> tuple[Fitted, np.ndarray, np.ndarray]:
     train, val = rows[rows["role"] == "train"], rows[rows["role"] == "val"]
     if not len(train):
         raise ValueError("A group has no training samples")
@@ -50,27 +52,28 @@ def _fit_rows(rows: pd.DataFrame, o: Options, moments_from: str) -> tuple[Fitted
     w = train["weight"].fillna(0).to_numpy(float)
     width = len(train["x"].iloc[0])
     xv = _matrix(val["x"]) if len(val) else np.zeros((0, width), np.int8)
-    return fit(_matrix(train["x"]), norm(train), xv, norm(val), o, None if (w == 1).all() else w), mean, sd
+    return fit(_matrix(train["x"]), norm(train), xv, norm(val), o, None if (w == 1).all() else w, score=score and (lambda p: score(p * sd + mean))), mean, sd
 
 
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.sort_values("sampleid", kind="stable").reset_index(drop=True)
 
 
-def fit_predict_groups(table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train") -> DataFrame:
+def fit_predict_groups(table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train", score: Score | None = None) -> DataFrame:
     """Fit a network for every group and predict all its rows that are not training rows: keys, sampleid, role, x, y. Only training and validation rows meet in the group's task."""
-    models = fit_groups(table.where(F.col("role").isin("train", "val")), keys, options, moments_from)
+    models = fit_groups(table.where(F.col("role").isin("train", "val")), keys, options, moments_from, score)
     return predict_with(table.where(F.col("role").isin(*ROLES_PREDICTED)).select(*keys, "sampleid", "role", "x"), models, keys, options)
 
 
-def fit_groups(table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train") -> DataFrame:
-    """The fitted models: keys, model (binary) and history, an array of (epoch, loss, val_loss, lr)."""
+def fit_groups(table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train", score: Score | None = None) -> DataFrame:
+    """The fitted models: keys, model (binary) and history, an array of (epoch, loss, val_loss, lr). score: a term of the validation loss by predicted places, such as
+    ``ranges.range_score``."""
     fields = [table.schema[k] for k in keys]
     step = T.StructType([T.StructField("epoch", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("loss", "val_loss", "lr")]])
     schema = T.StructType([*fields, T.StructField("model", T.BinaryType()), T.StructField("history", T.ArrayType(step))])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model, mean, sd = _fit_rows(_in_order(rows), options, moments_from)
+        model, mean, sd = _fit_rows(_in_order(rows), options, moments_from, score)
         history = [{"epoch": e, "loss": float(a), "val_loss": float(b), "lr": float(r)} for e, a, b, r in model.history]
         data = pickle.dumps((model.weights, model.mean, model.spread, mean, sd))
         return pd.DataFrame([[*rows[keys].iloc[0], data, history]], columns=[*keys, "model", "history"])

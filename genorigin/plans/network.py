@@ -7,6 +7,7 @@ rate is halved after a sixth of the patience without improvement, and training s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -130,10 +131,12 @@ class Control:
 def fit(
     x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, o: Options, w: np.ndarray | None = None,
     start: list[np.ndarray] | None = None, scale: tuple[np.ndarray, np.ndarray] | None = None, last: bool = False,
+    score: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> Fitted:
     """Train on dosages x (rows, sites) and normalised coordinates y, watched on xv, yv (the training rows if there are none).
 
-    start: weights to go on from; scale: mean and deviation of the inputs, else those of x; last: return the last weights and do not watch.
+    start: weights to go on from; scale: mean and deviation of the inputs, else those of x; last: return the last weights and do not watch. score: of normalised
+    outputs, its mean is added to the validation loss.
     """
     rng = np.random.default_rng(o.seed + 1)
     w = np.ones(len(x), np.float32) if w is None else (w * len(w) / w.sum()).astype(np.float32)
@@ -160,6 +163,7 @@ def fit(
             continue
         pred, _ = forward(weights, held, o)
         val = loss_and_gradient(pred, yv, np.ones(len(yv), np.float32))[0] / len(yv)
+        val += float(np.mean(score(pred))) if score else 0.0
         history.append((epoch, total / len(x), val, control.rate))
         if not control.seen(val, weights):
             break

@@ -66,7 +66,7 @@ def _to_parts(state: DataFrame, parts: int) -> DataFrame:
     return state.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
 
-def _round(o: Options, mean: np.ndarray, sd: np.ndarray, first_round: bool, train: bool, alone: bool):
+def _round(o: Options, mean: np.ndarray, sd: np.ndarray, first_round: bool, train: bool, alone: bool, score):
     """What a part does in a round: the losses of the weights that it meets, and, if it is to train, its own weights after its epochs."""
 
     def work(part: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
@@ -82,21 +82,22 @@ def _round(o: Options, mean: np.ndarray, sd: np.ndarray, first_round: bool, trai
             if some.any():
                 pred, _ = forward(start, (x[some].astype(np.float32) - first) / spread, o)
                 loss = loss_and_gradient(pred, y[some], np.ones(len(pred)))[0] / len(pred)
+                loss += float(np.mean(score(pred * sd + mean))) if score else 0.0
                 out += _blocks(f"loss {what}", len(pred), np.array([loss]))
         if on.any() and train:
             w = part["weight"].to_numpy(float)[on]
-            got = fit(x[on], y[on], x[~on], y[~on], o, None if (w == 1).all() else w, start=start, scale=(first, spread), last=not alone)
+            got = fit(x[on], y[on], x[~on], y[~on], o, None if (w == 1).all() else w, start=start, scale=(first, spread), last=not alone, score=score and (lambda p: score(p * sd + mean)))
             out += _blocks("weights", float(w.sum()), np.concatenate([v.ravel() for v in got.weights]))
         return pd.DataFrame(out, columns=["kind", "block", "n", "data"])
 
     return work
 
 
-def fit_spread(table: DataFrame, options: Options = Options(), part_rows: int = 4096, rounds: int = 20, moments_from: str = "train") -> SpreadModel:
+def fit_spread(table: DataFrame, options: Options = Options(), part_rows: int = 4096, rounds: int = 20, moments_from: str = "train", score=None) -> SpreadModel:
     """Fit one network to the train rows of a training table (sampleid, x, cx, cy, role, weight), watched on its val rows (on the train rows without any).
 
     Parts have ``part_rows`` training rows on average. In each of the rounds, a part trains for its share of the options' epochs. Coordinates are normalised by the training
-    rows, or with moments_from 'known' by all rows with coordinates; inputs by the training rows.
+    rows, or with moments_from 'known' by all rows with coordinates; inputs by the training rows. score: a term of the validation loss by predicted places.
     """
     known = table.where("cx is not null")
     train = table.where("role = 'train'")
@@ -123,7 +124,7 @@ def fit_spread(table: DataFrame, options: Options = Options(), part_rows: int =
     control = Control(replace(options, patience=max(1, -(-options.patience // each))))
     for k in range(rounds + 1):
         o = replace(options, epochs=each, rate=control.rate, seed=options.seed + k)
-        work = _round(o, mean, sd, k == 0, k < rounds, parts == 1)
+        work = _round(o, mean, sd, k == 0, k < rounds, parts == 1, score)
         after = _averaged(rows.groupBy("part").cogroup(_to_parts(state, parts).groupBy("part")).applyInPandas(work, STATE), "state")
         losses = {r["kind"]: float(np.frombuffer(r["data"], np.float32)[0]) for r in after.where("kind like 'loss%'").collect()}  # a number or two
         loss = losses.get("loss val", losses["loss train"])

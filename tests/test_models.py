@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genorigin.operators import resample, sites, summarize
+from genorigin.operators import ranges, resample, sites, summarize
 from genorigin.plans import analyses, fixtures, models, network, spread
 from genorigin.plans.network import Options
 
@@ -122,3 +122,34 @@ def test_jackknife_vectors_are_the_masked_calls(dosages, samples):
     got = analyses.jackknife_features(sites.feature_assembly(some), dosages, freq, 3)
     rows = lambda df: sorted((r.replicate, r.sampleid, tuple(r.x)) for r in df.collect())
     assert rows(got) == rows(want) and len(rows(got)) == 9
+
+
+def test_range_is_a_term_of_the_score(spark, dosages, samples):
+    """The penalty agrees with the look-up of places, and raises the validation loss by its mean without changing the first epoch's training."""
+    rings = spark.createDataFrame([(0, 0, k, x, y) for k, (x, y) in enumerate([(10.0, 10.0), (40.0, 10.0), (40.0, 40.0), (10.0, 40.0)])], "poly int, ring int, seq int, x double, y double")
+    rings = rings.union(spark.createDataFrame([(0, 1, k, x, y) for k, (x, y) in enumerate([(20.0, 20.0), (30.0, 20.0), (30.0, 30.0), (20.0, 30.0)])], rings.schema))
+    score = ranges.range_score(rings, 2.0, 7.0)
+    places = samples.where("x is not null").select("sampleid", "x", "y")
+    valid = {r.sampleid: r.valid for r in ranges.mask_lookup(places, ranges.rasterize_range(rings, 2.0), ranges.raster_shape(rings, 2.0), 2.0).collect()}
+    rows = places.collect()
+    assert np.allclose(score(np.array([[r.x, r.y] for r in rows])), [7 * (1 - valid[r.sampleid]) ** 2 for r in rows]) and 0 < sum(valid.values()) < len(rows)
+    table = models.training_table(sites.feature_assembly(dosages), samples, resample.train_test_split(samples)).withColumn("run", F.lit(0))
+    a, b = (models.history(models.fit_groups(table, ["run"], QUICK, score=s), ["run"]).where("epoch = 0").first() for s in (None, score))
+    assert a.loss == b.loss and b.val_loss > a.val_loss
+    assert analyses.run_single(dosages, samples, QUICK, score=score).count() == 95
+
+
+def test_command_line(spark, sf_dir, samples, tmp_path):
+    from genorigin.__main__ import run
+    from genorigin.sources import io
+
+    io.write_matrix(sites.to_dosage(fixtures.calls_cline(spark, sf_dir)), f"{tmp_path}/matrix")
+    raw = samples.select(F.col("sampleid").alias("sampleID"), *[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in "xy"])
+    raw.write.csv(f"{tmp_path}/samples", sep="\t", header=True)
+    quick = ["--width", "16", "--layers", "2", "--epochs", "4", "--samples", f"{tmp_path}/samples", "--matrix", f"{tmp_path}/matrix/*/*", "--max-snps", "200"]
+    single = run(spark, [*quick, "--out", f"{tmp_path}/one"])
+    assert single.endswith("one_predlocs.txt") and spark.read.csv(single, header=True).count() == 95
+    fold = run(spark, [*quick, "--out", f"{tmp_path}/two", "--analysis", "ensemble", "--k", "3"])
+    assert fold.endswith("two_ensemble_predlocs.csv") and spark.read.csv(fold, header=True).count() == 3 * 50 + 450
+    with pytest.raises(ValueError, match="Unknown analysis"):
+        analyses.from_calls(spark.createDataFrame([], "sampleid string"), samples, "other")
