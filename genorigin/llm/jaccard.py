@@ -6,7 +6,8 @@
    pair is dropped if the posterior probability that its similarity reaches the threshold, given the matches so far and a uniform prior, is below
    ``tolerance``. What a bucket hands on is a spanning forest of the survivors, never its pairs.
 3. The components of these links are groups that hold, with their texts, every pair that can be similar. Within each, all pairs go through
-   the same pruning, and the rest are verified exactly on their shingles. Counts of links per class come out, and again a spanning forest.
+   the same pruning, and the rest are verified exactly on their shingles. Counts of links per class come out, and again a spanning forest. In groups that are long chains rather than dense,
+   where that compares over CHAIN times as many pairs as share a bucket, only pairs within buckets are compared, each in the first band it agrees on.
 
 Buckets and groups of any size are dealt into blocks, so no task holds one as a whole.
 """
@@ -28,6 +29,8 @@ from .components import connected
 from .hashing import Rolling, word_hashes, word_spans
 
 ROWS, BANDS, STEP = 4, 24, 16
+#: Pairs of a group for each pair within its buckets, and members, from which on only buckets are compared.
+CHAIN, MEMBERS = 4, 512
 HASHES = ROWS * BANDS
 _RNG = np.random.default_rng(42)
 A = _RNG.integers(1, 2**62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,6 +61,17 @@ def prune(signatures: np.ndarray, i: np.ndarray, j: np.ndarray, rule: list[tuple
     return i, j
 
 
+def in_first_band(signatures: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a group as a whole (band -1), and those of a bucket that agree on no band before that of the bucket, so each pair counts once."""
+    keep = band[i] < 0
+    for at in range(0, len(i), 1 << 14):
+        part = np.arange(at, min(at + (1 << 14), len(i)))
+        part = part[~keep[part]]
+        same = (signatures[i[part]] == signatures[j[part]]).reshape(-1, BANDS, ROWS).all(axis=2)
+        keep[part] = same.argmax(axis=1) == band[i[part]]
+    return i[keep], j[keep]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of every text in order, one text after the other, and each text's count.
 
@@ -149,7 +163,9 @@ def _verified(rule, threshold: float):
         sizes = table.column("size").to_numpy()
         names = table.column("class").combine_chunks()
         n = table.num_rows
-        i, j = prune(_signatures(table), i, j, rule)
+        signatures = _signatures(table)
+        i, j = prune(signatures, i, j, rule)
+        i, j = in_first_band(signatures, np.asarray(table.column("band")), i, j)
         if len(i):
             used, where = np.unique(np.concatenate([i, j]), return_inverse=True)
             some = sets.take(pa.array(used))
@@ -185,13 +201,31 @@ def _shingles(words: int):
             codes, counts = shingle_sets(*raw(piece.column("text")), words)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*[piece.column(c) for c in ("group", "class", "size", "signature")], pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))],
-                ["group", "class", "size", "signature", "shingles"],
+                [*[piece.column(c) for c in ("keys", "class", "size", "signature")], pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))],
+                ["keys", "class", "size", "signature", "shingles"],
             )
 
     return run
 
 
+KEYS = "keys array<struct<key: string, band: int>>"
+
+
+def _keys_to_compare(grouped: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(class, keys): under which keys a class meets the others of its group: the group, or, where that is a chain, its buckets with their bands."""
+    pairs = lambda: F.count(F.lit(1)).cast("double") * F.count(F.lit(1))
+    inside = crowded.join(grouped.select("class", "group"), "class")
+    buckets = inside.groupBy("group", "bucket").agg(pairs().alias("pairs")).groupBy("group").agg(F.sum("pairs").alias("in_buckets"))
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEMBERS)
+    chains = sizes.join(buckets, "group").where(F.col("n").cast("double") * F.col("n") > CHAIN * F.col("in_buckets"))
+    chains = stored(chains.select("group"), "chains")
+    struct = lambda key, band: F.struct(key.alias("key"), band.cast("int").alias("band"))
+    whole = grouped.join(chains, "group", "left_anti").select("class", F.array(struct(F.col("group"), F.lit(-1))).alias("keys"))
+    key = F.concat_ws("/", "group", F.col("bucket").cast("string"))
+    parts = inside.join(chains, "group", "left_semi").groupBy("class").agg(F.collect_list(struct(key, F.col("band"))).alias("keys"))
+    return whole.unionByName(parts)
+
+
 def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """texts (doc_id, tie, text); prints (doc_id, tie, class, signature) of the rows with words; and classes: (class, least, first, size, links, root).
 
@@ -205,21 +239,24 @@ def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) ->
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"),
         ), "classes",
     )
-    bands = F.explode(
+    bands = F.posexplode(
         F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
     )
-    keys = classes.select("class", bands.alias("bucket"))
-    full = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = keys.join(full, "bucket").join(classes.select("class", "signature"), "class")
+    keys = classes.select("class", bands.alias("band", "bucket"))
+    full = stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "full")
+    crowded = stored(keys.join(full, "bucket"), "crowded")
+    members = crowded.join(classes.select("class", "signature"), "class")
     rule = fewest_matches(threshold, tolerance)
     near = run_blocks(block_pairs(members, "bucket", "class"), "class", _survivors(rule), "a string, b string")
     groups = connected(near, "candidates").select(F.col("node").alias("class"), F.col("root").alias("group"))
     grouped = stored(classes.drop("first").join(groups, "class"), "grouped")
-    heads = prints.drop("signature").join(grouped, "class").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["class"])
+    compared = _keys_to_compare(grouped, crowded)
+    heads = prints.drop("signature").join(grouped.join(compared, "class"), "class").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["class"])
     same = texts["doc_id"].eqNullSafe(heads["doc_id"]) & (texts["tie"] == heads["tie"])
-    with_text = texts.join(heads, same).select("group", "class", "size", "signature", "text").dropDuplicates(["class"])
-    sets = with_text.mapInArrow(_shingles(words), "group string, class string, size long, signature binary, shingles array<long>")
-    found = stored(run_blocks(block_pairs(sets, "group", "class", 256), "class", _verified(rule, threshold), "class string, links long, other string", 512), "links")
+    with_text = texts.join(heads, same).select("keys", "class", "size", "signature", "text").dropDuplicates(["class"])
+    sets = with_text.mapInArrow(_shingles(words), f"{KEYS}, class string, size long, signature binary, shingles array<long>")
+    sets = sets.select(F.explode("keys").alias("k"), "class", "size", "signature", "shingles").select("k.key", "k.band", "class", "size", "signature", "shingles")
+    found = stored(run_blocks(block_pairs(sets, "key", "class", 256), "class", _verified(rule, threshold), "class string, links long, other string", 512), "links")
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = connected(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")), "groups")
     labelled = classes.join(counts, "class", "left").join(parts, classes["class"] == parts["node"], "left").select(

@@ -32,3 +32,15 @@ def test_near_copies_stage_judges_rows(spark, sf_dir):
     rows = [(None, "clean words", "en", "a", 1), (None, "token = abcdefgh123", "en", "a", 1), (2, "one two three", "en", "a", 1), (2, "one two three", "en", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, sf_dir).count() == 3
+
+
+def test_chains_compare_within_buckets(spark):
+    """A chain of 1,200 documents, each near the next few only, beside a dense group of 700: links and components are those of comparing all with all."""
+    words = [f"w{i}" for i in range(12_000)]
+    rows = [(i, " ".join(words[i * 8 : i * 8 + 200])) for i in range(1200)]
+    rows += [(2000 + i, " ".join([f"d{k}" for k in range(300)] + [f"own{i}"])) for i in range(700)]
+    got = {r.doc_id: r for r in jaccard.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [d for d in range(1, 25) if (196 - 8 * d) / (196 + 8 * d) >= 0.8]  # shingles in common at a distance of d
+    for i in range(1200):
+        assert got[i].n_links == sum((i - d >= 0) + (i + d < 1200) for d in near) and got[i].component_id == 0
+    assert all(got[2000 + i].n_links == 699 and got[2000 + i].component_id == 2000 for i in range(700))
