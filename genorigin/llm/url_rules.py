@@ -5,10 +5,11 @@ A host is keyed by its labels from last to first, each in hex and closed by ``.`
 ``[hex(net).hex(example)., hex(net).hex(example)/)``, as ``/`` follows ``.``. Intervals of hosts nest or are
 disjoint, so a sweep over the sorted keys can keep the stack of rules that are open. The stack at each opening and
 closing is worked out on the rules alone, by joining each rule's host to the hosts above it; the sweep then
-carries the last stack seen to every url that follows.
+carries the last stack seen to every host that follows.
 
-The urls are spread over salts and the stacks, which are as many as the rules, are repeated for each salt, so a host
-that holds a third of all urls is still swept by every task.
+Only distinct hosts are swept, with the stacks, in ranges of their keys; what is open at the end of a range is carried into the next ones by a table of one row for each range. Urls get
+their host's stack by a join, which splits a host that holds a third of them, and take the longest rule whose path fits. A row holds the rules of one host and those above it, however many there
+are in all.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_width
+from .common import shuffle_width, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,6 +77,21 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     ).select("x.*")
 
 
+def host_stacks(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, stack) of the distinct hosts that any rule covers, by a sweep over hosts and the rules' stacks in order of key."""
+    points = hosts.select(_key(_labels(F.col("host"))).alias("key"), F.lit(1).alias("kind"), "host")
+    events = rule_stacks(rules).select("key", F.lit(0).alias("kind"), "stack")
+    order = ["key", "kind"]
+    dealt = points.unionByName(events, allowMissingColumns=True).repartitionByRange(shuffle_width(hosts.sparkSession), *order)
+    dealt = stored(dealt.withColumn("range", F.spark_partition_id()), "keys")
+    seen = F.last("stack", ignorenulls=True).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = dealt.groupBy("range").agg(F.max_by(F.when(F.col("kind") == 0, F.col("stack")), F.when(F.col("kind") == 0, F.col("key"))).alias("end"))
+    carried = F.last("end", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    swept = dealt.withColumn("seen", seen).join(F.broadcast(ends.select("range", carried.alias("carried"))), "range")
+    open_ = swept.where("kind = 1").select("host", F.coalesce("seen", "carried").alias("stack"))
+    return stored(open_.where("size(stack) > 0"), "stacks")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Add host, path, rule and verdict to pages; columns of these names are replaced.
 
@@ -85,33 +101,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     host and path, which no rule fits. Rules with a null or empty host are ignored; repeated rows stay repeated;
     empty tables give empty results or the default everywhere.
     """
-    spark = pages.sparkSession
-    salts = 4 * shuffle_width(spark)
     new = ["host", "path", "rule", "verdict"]
     keep = [c for c in pages.columns if c not in new]
     parts = pages.select(
-        *[F.col(f"`{c}`") for c in keep], url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path")
-    )
-    points = parts.select(
-        F.struct("*").alias("row"), _key(_labels(F.col("host"))).alias("key"), F.lit(1).alias("kind"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"),  # the result does not depend on it
-    )
-    events = rule_stacks(rules).select(
-        "key", "stack", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path")
     )
-    swept = points.unionByName(events, allowMissingColumns=True).withColumn(
-        "stack",
-        F.last("stack", ignorenulls=True).over(
-            Window.partitionBy("salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
-    fits = F.filter(F.col("stack"), lambda r: F.startswith(F.col("row.path"), r["path"]))
+    judged = parts.join(host_stacks(parts.select("host").distinct(), rules), "host", "left")
+    fits = F.filter(F.col("stack"), lambda r: F.startswith(F.col("path"), r["path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["size"], r["host_size"], r["rule"], r["verdict"])))
-    return (
-        swept.where("kind = 1")
-        .withColumn("best", best)
-        .select(
-            *[F.col(f"row.`{c}`").alias(c) for c in keep], "row.host", "row.path",
-            F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        )
-    )
+    return judged.withColumn("best", best).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in keep], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
+    )

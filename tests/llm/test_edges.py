@@ -294,6 +294,20 @@ def test_urls(spark):
     assert {r.verdict for r in url_rules.judge_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_urls_many_rules(spark):
+    """Thousands of nested rules against comparing all with all, over hosts in many ranges."""
+    rng = np.random.default_rng(4)
+    name = lambda: ".".join(rng.choice(["a", "b", "c-d", "e"], int(rng.integers(1, 5))))
+    rules = list({(name(), "/" + str(rng.choice(["", "x", "x/y", "z"])), str(rng.choice(["block", "allow"]))) for _ in range(3000)})
+    urls = [f"http://{name()}/{rng.choice(['', 'x', 'x/y/1', 'q'])}" for _ in range(1500)] + ["http://hot.a.b/x/y"] * 500
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    for k, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert got[k] == (max(fit)[2:] if fit else (None, "allow"))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     centre = rng.normal(size=(3, 8))
