@@ -19,7 +19,7 @@ def release() -> None:
         pass
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most so many bytes of text each, or one row."""
     for batch in batches:
         sizes = np.fromiter((0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()), np.int64, batch.num_rows)

@@ -23,7 +23,7 @@ from .arrow import pieces, ragged
 #: The word pattern of byte-level BPE vocabularies (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, their characters, and pairs that a task remembers; beyond, it starts afresh, and so it does after a batch with a word of over LONG characters.
-WORDS, CHARACTERS, PAIRS, LONG = 300_000, 1 << 24, 1_000_000, 1 << 12
+WORDS, CHARACTERS, PAIRS, LONG = 150_000, 1 << 23, 300_000, 1 << 12
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -105,7 +105,7 @@ def minhash(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 1 << 20):
+        for piece in pieces(batches, "text", 1 << 18):
             codes, counts = shingle_sets(*raw(piece.column("text")), words)
             full = np.flatnonzero(counts)
             at = np.cumsum(counts[full]) - counts[full]
@@ -197,7 +197,7 @@ def _verified(rule, threshold: float):
 
 def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", 1 << 20):
+        for piece in pieces(batches, "text", 1 << 18):
             codes, counts = shingle_sets(*raw(piece.column("text")), words)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -238,7 +238,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text, 1 << 20):
+        for piece in pieces(batches, text, 1 << 18):
             lang, score, rejected = predict_batch(model, piece.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*[piece.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, *[x.name for x in new]]
