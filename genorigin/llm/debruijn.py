@@ -11,7 +11,7 @@ by the hash of its whole word sequence and by the nodes at its two ends. Equal e
   coordinates are joined to their document, the piece is expanded into its edges, and a join compares edges with edges.
 
 What repeats is then a graph of pieces. A join of the pieces that end in a node with those that begin in it gives the nodes where exactly one comes in and one goes out; along
-these, pieces are compacted into unitigs by joins that double their reach every round. The occurrences of a unitig in a document that follow
+these, pieces are compacted into unitigs by joins that double their way every round. The occurrences of a unitig in a document that follow
 each other, with the same source, are one span with source coordinates. Hashes propose these spans and words confirm them: a digest of the words at the span's place is compared with one of the words at its source.
 
 Rows are known by id and a 128-bit digest of the text, so rows without id and ids on several texts are told apart, and repeated rows are worked on once.
@@ -31,7 +31,6 @@ from pyspark.sql.window import Window
 
 from .arrow import pieces, ragged, raw, release
 from .common import stored
-from .components import connected
 from .hashing import Rolling, anchored_paths, word_hashes, word_spans
 from .rows import TIES, tied
 
@@ -134,9 +133,7 @@ def repeated_pieces(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame
     path = F.struct("path1", "path2")
     anchors = found.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(path).alias("p"), F.max(path).alias("q")).where("least < most")
     anchors = stored(anchors.select("anchor", (F.col("p") < F.col("q")).alias("branches")), "anchors")
-    several = found.join(anchors, "anchor")
-    others = [F.first(c).alias(c) for c in several.columns if c not in (*KEY, "start")]
-    several = stored(several.groupBy(*KEY, "start").agg(*others), "pieces")
+    several = stored(found.join(anchors, "anchor"), "pieces")
     firsts = stored(several.groupBy("anchor", "path1", "path2").agg(F.min(place).alias("source")), "firsts")
     known = stored(several.join(firsts, ["anchor", "path1", "path2"]), "known")
     columns = [*KEY, "start", "edges", "path1", "node1", "node2", "source"]
@@ -150,16 +147,30 @@ def repeated_pieces(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame
     return stored(whole.unionByName(single.select(columns)), "repeated")
 
 
-def unitigs(repeated: DataFrame) -> DataFrame:
-    """(piece, unitig): the unitig of every repeated piece that others continue without a branch, known by the least of its pieces.
+def unitigs(repeated: DataFrame, rounds: int = 60) -> DataFrame:
+    """(piece, unitig): the unitig of every repeated piece that others continue without a branch, known by its first piece, or by the least if it is a circle.
 
-    Pieces are the edges of a graph over the nodes at their ends. Two pieces are joined where one alone ends in a node and one alone begins in it.
+    Pieces are the edges of a graph over the nodes at their ends. Two pieces are joined where one alone ends in a node and one alone begins in it. In every round a piece takes over the
+    way of the piece that it points to, so ways double; pieces whose way has reached the first piece are settled and not written again.
     """
     distinct = repeated.groupBy(F.col("path1").alias("piece")).agg(F.first("node1").alias("node1"), F.first("node2").alias("node2"))
-    outgoing = distinct.groupBy(F.col("node1").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.first("piece").alias("b"))
-    incoming = distinct.groupBy(F.col("node2").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.first("piece").alias("a"))
-    links = incoming.join(outgoing, "node").where("n_in = 1 and n_out = 1").select("a", "b")
-    return connected(links, "unitigs").select(F.col("node").alias("piece"), F.col("root").alias("unitig"))
+    outgoing = distinct.groupBy(F.col("node1").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.first("piece").alias("piece"))
+    incoming = distinct.groupBy(F.col("node2").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.first("piece").alias("before"))
+    links = stored(incoming.join(outgoing, "node").where("n_in = 1 and n_out = 1 and piece <> before").select("piece", "before"), "links")
+    first = links.select(F.col("before").alias("piece")).join(links.select("piece"), "piece", "left_anti")
+    done = stored(first.select("piece", F.lit(None).cast("long").alias("next"), F.col("piece").alias("least"), F.col("piece").alias("head")), "unitigs")
+    left = links.select("piece", F.col("before").alias("next"), F.least("piece", "before").alias("least"), F.col("before").alias("head"))
+    n = None
+    for _ in range(rounds):
+        to = done.unionByName(left).select(F.col("piece").alias("to"), F.col("next").alias("further"), F.col("least").alias("lower"), F.col("head").alias("end"))
+        new = left.join(to, left["next"] == to["to"]).select("piece", F.col("further").alias("next"), F.least("least", "lower").alias("least"), F.col("end").alias("head"), (F.col("lower") < F.col("least")).alias("fell"))
+        new = stored(new, "unitigs")
+        counts = new.agg(F.count("next").alias("n"), F.count_if(F.col("fell")).alias("fell")).first()
+        done, left = done.unionByName(new.where("next is null").drop("fell")), new.where("next is not null").drop("fell")
+        if not counts["n"] or (counts["n"] == n and not counts["fell"]):
+            return done.select("piece", F.col("head").alias("unitig")).unionByName(left.select("piece", F.col("least").alias("unitig")))
+        n = counts["n"]
+    raise RuntimeError("unitigs did not settle")
 
 
 def compacted(repeated: DataFrame, window: int) -> DataFrame:

@@ -77,6 +77,9 @@ def test_debruijn_unitigs(spark):
     pieces = spark.createDataFrame(rows, "path1 long, node1 long, node2 long")
     got = {r.piece: r.unitig for r in debruijn.unitigs(pieces).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
+    circle = [(100 + k, 1000 + k, 1000 + (k + 1) % 37) for k in range(37)] + [(k, k, k + 1) for k in range(300, 1000)] + [(1, 5000, 5000)]
+    got = {r.piece: r.unitig for r in debruijn.unitigs(spark.createDataFrame(circle, "path1 long, node1 long, node2 long")).collect()}
+    assert got == {**{100 + k: 100 for k in range(37)}, **{k: 300 for k in range(300, 1000)}}
 
 
 def test_debruijn_words_confirm(spark):
