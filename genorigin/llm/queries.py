@@ -1,12 +1,12 @@
-"""Queries over the ten operators, with production parameters and whole tables."""
+"""Queries over the operators, with production parameters and whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, embeddings, fingerprints, jaccard, langid, mixing, secrets, suffixes, url_rules
-from .common import read
+from . import bpe, debruijn, embeddings, fingerprints, jaccard, langid, mixing, secrets, suffixes, url_rules, vector_codes
+from .common import read, stored
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The rules of the url query: (host, path, verdict).
@@ -86,6 +86,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    found = vector_codes.fit(vectors)
+    coded = stored(vector_codes.encode(vectors, found).drop("embedding"), "codes")
+    labels = coded.groupBy("label").agg(F.try_sum("error").alias("label_error")).withColumnRenamed("label", "of")
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    rows = coded.join(labels, F.col("label").eqNullSafe(F.col("of")), "left")
+    return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,5 +113,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secrets": op10_secrets,
+    "op11_vector_codes": op11_vector_codes,
     "pipeline": pipeline,
 }

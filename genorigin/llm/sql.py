@@ -55,4 +55,41 @@ SELECT doc_id, size, source_size, target, lean, taken,
 FROM q
 """
 
-ORACLE = {"op4_url_rules": URL_RULES, "op8_mixing": MIXING}
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codes of the embeddings by comparing every part with every entry; one step of the text for each round."""
+    steps = [
+        """kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+)""",
+        f"""v AS (
+  SELECT r, (i // d)::BIGINT AS p, (i % d)::BIGINT AS i, floor(4096 * x::DOUBLE)::BIGINT AS x FROM (
+    SELECT r, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x, len(embedding) // {parts} AS d FROM kept)
+)""",
+        f"c0 AS (SELECT p, r - 1 AS e, i, x FROM v WHERE r <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, p, min(struct_pack(d := d, e := e)) AS b FROM (
+    SELECT v.r, v.p, c.e, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{k} c ON v.p = c.p AND v.i = c.i GROUP BY ALL) GROUP BY r, p
+)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, c.i, coalesce(m.x, c.x)::BIGINT AS x FROM c{k} c LEFT JOIN (
+    SELECT p, e, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (
+      SELECT v.p, a.b.e AS e, v.i, sum(v.x)::BIGINT AS s, count(*)::BIGINT AS n FROM v JOIN a{k} a ON v.r = a.r AND v.p = a.p GROUP BY ALL)) m
+    ON c.p = m.p AND c.e = m.e AND c.i = m.i
+)""")
+    steps.append(f"""coded AS (
+  SELECT r, string_agg(printf('%02x', b.e), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM a{rounds} GROUP BY r
+)""")
+    steps.append("rows AS (SELECT vec_id, label, code, error FROM kept JOIN coded USING (r))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) FROM c{rounds}) AS codebooks_sha256
+FROM rows"""
+
+
+ORACLE = {"op4_url_rules": URL_RULES, "op8_mixing": MIXING, "op11_vector_codes": vector_codes()}
