@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, embeddings, fingerprints, jaccard, langid, mixing, secrets, suffixes, url_rules, vector_codes
+from . import bpe, collocations, debruijn, embeddings, fingerprints, jaccard, langid, mixing, secrets, suffixes, url_rules, vector_codes
 from .common import read, stored
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -96,6 +96,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(found.sha256()).alias("codebooks_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,5 +118,6 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secrets": op10_secrets,
     "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
     "pipeline": pipeline,
 }

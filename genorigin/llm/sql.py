@@ -92,4 +92,33 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM rows"""
 
 
-ORACLE = {"op4_url_rules": URL_RULES, "op8_mixing": MIXING, "op11_vector_codes": vector_codes()}
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), listed AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM (
+    SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM listed, (VALUES (1), (2), (3), (4)) sizes(k))
+  GROUP BY ALL
+), n AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30
+), cuts AS (
+  SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+), best AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a,
+    min(struct_pack(score := (2000000::HUGEINT * cuts.a // (x.a + y.a))::BIGINT, cut := cut, l := x.a, r := y.a)) AS b
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest GROUP BY ALL
+), kept AS (
+  SELECT lang, phrase, a, b.l AS l, b.r AS r, b.score AS score FROM best
+  WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = best.lang AND c.phrase <> best.phrase AND c.a * 100 >= best.a * 80 AND contains(' ' || c.phrase || ' ', ' ' || best.phrase || ' '))
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE = {"op4_url_rules": URL_RULES, "op8_mixing": MIXING, "op11_vector_codes": vector_codes(), "op12_collocations": COLLOCATIONS}
