@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, debruijn, embeddings, fingerprints, jaccard, langid, mixing, secrets, suffixes, url_rules, vector_codes
+from . import bpe, collocations, debruijn, embeddings, fingerprints, jaccard, langid, mixing, page_diff, secrets, suffixes, url_rules, vector_codes
 from .common import read, stored
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -100,6 +100,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,5 +123,6 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_vector_codes": op11_vector_codes,
     "op12_collocations": op12_collocations,
+    "op13_main_text": op13_main_text,
     "pipeline": pipeline,
 }
