@@ -1,13 +1,14 @@
 """Main text of web pages by differencing with the pages of the nearest URLs.
 
 Each page becomes the lines that its markup does not exclude (``page_lines``). Pages of a host are ordered by their path, segment by segment, so pages under one
-folder are neighbours; of pages of a host with the same lines one is compared. A page is paired with the nearest two on either side, the lines of each pair are aligned by
+folder are neighbours; of pages of a host with the same lines one is compared. A page is paired with the nearest three on either side, the lines of each pair are aligned by
 their longest common subsequence, and lines that are shared are the site's template and are deleted:
 
 - where the markup names no article or main element, lines shared with half or more of the three nearest by path; a pair that shares nine tenths of a page is one of copies and says nothing;
-- within an article or main element, only lines shared with every one of the pairs, three at least, so that a passage that articles have in common stays; a pair that shares half of a page says nothing.
+- within an article or main element, only lines at its end, or at its start (the headline aside), shared with every one of the pairs, four at least, so that a passage that articles have in common
+  stays; a pair that shares half of a page says nothing.
 
-Pages are numbered in that order over all hosts and dealt into blocks of neighbours with the two before and behind, so a host of any size is spread, and a task holds one block.
+Pages are numbered in that order over all hosts and dealt into blocks of neighbours with the three before and behind, so a host of any size is spread, and a task holds one block.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .page_lines import main_lines
 from .url_rules import url_host, url_path
 
 #: Pages that a task compares at once, and how many before and behind each are its neighbours.
-BLOCK, SIDE = 64, 2
+BLOCK, SIDE = 64, 3
 
 
 def _lengths(a: list, b: list) -> np.ndarray:
@@ -128,7 +129,12 @@ def differenced(block: list[dict]) -> Iterator[tuple[str, str]]:
         seen = np.zeros(len(page["lines"]), int)
         for j in near:
             seen[pair(i, j)] += 1
-        gone = (seen == len(near)) if marked and len(near) >= 3 else (2 * seen >= len(near)) if not marked and near else np.zeros(len(seen), bool)
+        if marked:
+            every = (seen == len(near)) & (len(near) >= 4)
+            gone = np.minimum.accumulate(every[::-1])[::-1]
+            gone[1:] |= np.minimum.accumulate(every[1:])
+        else:
+            gone = (2 * seen >= len(near)) & bool(near)
         yield page["digest"], " ".join(line for line, cut in zip(page["lines"], gone.tolist(), strict=True) if not cut)
 
 

@@ -16,6 +16,7 @@ PHRASES = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 RAW_TEXT = set("iframe noembed noframes script style textarea title xmp".split())
+UNSEEN = set("link meta noscript script style template".split())
 LEFT_OUT = set(
     "aside audio button canvas datalist dialog embed fieldset footer form iframe input map menu nav noembed noframes noscript object optgroup option script select style svg template textarea title video".split()
 )
@@ -137,7 +138,7 @@ def lines_of(html: str) -> list[tuple[str, int, float]]:
         if not tag:
             break
         at, name = tag.end(), tag[2].lower()
-        if name not in PHRASES:
+        if name not in PHRASES and name not in UNSEEN:
             finish()
         if tag[1]:
             close(name)
