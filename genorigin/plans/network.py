@@ -40,10 +40,6 @@ class Fitted:
     history: list[tuple[int, float, float, float]] = field(default_factory=list)
 
 
-def _elu(z: np.ndarray) -> np.ndarray:
-    return np.where(z > 0, z, np.expm1(np.minimum(z, 0)))
-
-
 def shapes(n_inputs: int, o: Options) -> list[tuple[int, int]]:
     sizes = [n_inputs, *[o.width] * o.layers, 2, 2]
     return list(zip(sizes[:-1], sizes[1:], strict=True))
@@ -59,31 +55,45 @@ def initial(n_inputs: int, o: Options) -> list[np.ndarray]:
     return out
 
 
-def forward(weights: list[np.ndarray], x: np.ndarray, o: Options, rng: np.random.Generator | None = None):
-    """Outputs, and what backward() needs. With rng, dropout is on."""
+def elu(z: np.ndarray) -> np.ndarray:
+    return np.where(z > 0, z, np.expm1(np.minimum(z, 0)))
+
+
+def elu_slope(z: np.ndarray) -> np.ndarray:
+    return np.where(z > 0, 1, np.exp(np.minimum(z, 0)))
+
+
+def forward(weights: list[np.ndarray], x: np.ndarray, o: Options, rng: np.random.Generator | None = None, first: int = 0):
+    """Outputs, and what backward() needs. With rng (anything that has random(shape)), dropout is on. weights: those from the layer first on, whose input x is."""
     a, kept = x, []
-    for k in range(o.layers + 2):
+    for k in range(first, o.layers + 2):
         keep = None
-        if k == o.layers // 2 and rng is not None and o.dropout > 0:
+        if k == max(first, o.layers // 2) and rng is not None and o.dropout > 0:
             keep = (rng.random(a.shape) >= o.dropout).astype(np.float32) / (1 - o.dropout)
             a = a * keep
-        z = a @ weights[2 * k] + weights[2 * k + 1]
+        z = a @ weights[2 * (k - first)] + weights[2 * (k - first) + 1]
         kept.append((a, z, keep))
-        a = _elu(z) if k < o.layers else z
+        a = elu(z) if k < o.layers else z
     return a, kept
 
 
-def backward(weights: list[np.ndarray], kept, grad: np.ndarray, o: Options) -> list[np.ndarray]:
+def backward(weights: list[np.ndarray], kept, grad: np.ndarray, o: Options, first: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """The gradients of the weights from the layer first on, and that of its input."""
     out: list[np.ndarray] = [None] * len(weights)
-    for k in range(o.layers + 1, -1, -1):
+    for k in range(o.layers + 1 - first, -1, -1):
         a, z, keep = kept[k]
-        if k < o.layers:
-            grad = grad * np.where(z > 0, 1, np.exp(np.minimum(z, 0)))
+        if k + first < o.layers:
+            grad = grad * elu_slope(z)
         out[2 * k], out[2 * k + 1] = a.T @ grad, grad.sum(axis=0)
-        grad = grad @ weights[2 * k].T
-        if keep is not None:
-            grad = grad * keep
-    return out
+        if k or first:
+            grad = grad @ weights[2 * k].T
+            if keep is not None:
+                grad = grad * keep
+    return out, grad
+
+
+#: A training loss: from outputs, wanted outputs (both rows x 2, normalised) and weights of the rows, the weighted sum of their losses and its gradient by the outputs.
+Loss = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
 
 
 def loss_and_gradient(pred: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -93,6 +103,22 @@ def loss_and_gradient(pred: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[f
     return float((r * w).sum()), (d / r[:, None] * w[:, None]).astype(np.float32)
 
 
+def checked_loss(loss: Loss, tolerance: float = 1e-3) -> Loss:
+    """The loss, if its gradient agrees with differences of its values on drawn outputs; else a ValueError."""
+    rng = np.random.default_rng(0)
+    pred, y, w = rng.normal(size=(6, 2)), rng.normal(size=(6, 2)), rng.uniform(0.5, 2, 6)
+    _, grad = loss(pred, y, w)
+    if np.shape(grad) != pred.shape:
+        raise ValueError("The gradient of a loss has a row and two columns for each output")
+    for at in np.ndindex(*pred.shape):
+        step = np.zeros_like(pred)
+        step[at] = 1e-5
+        slope = (loss(pred + step, y, w)[0] - loss(pred - step, y, w)[0]) / 2e-5
+        if abs(slope - grad[at]) > tolerance * max(1.0, abs(slope)):
+            raise ValueError(f"The gradient of the loss at output {at} is {grad[at]}, its values differ by {slope}")
+    return loss
+
+
 class Adam:
     def __init__(self, weights: list[np.ndarray], o: Options):
         self.o, self.t = o, 0
@@ -131,12 +157,12 @@ class Control:
 def fit(
     x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, o: Options, w: np.ndarray | None = None,
     start: list[np.ndarray] | None = None, scale: tuple[np.ndarray, np.ndarray] | None = None, last: bool = False,
-    score: Callable[[np.ndarray], np.ndarray] | None = None,
+    score: Callable[[np.ndarray], np.ndarray] | None = None, loss: Loss = loss_and_gradient,
 ) -> Fitted:
     """Train on dosages x (rows, sites) and normalised coordinates y, watched on xv, yv (the training rows if there are none).
 
     start: weights to go on from; scale: mean and deviation of the inputs, else those of x; last: return the last weights and do not watch. score: of normalised
-    outputs, its mean is added to the validation loss.
+    outputs, its mean is added to the validation loss. loss: what training lowers, and validation watches.
     """
     rng = np.random.default_rng(o.seed + 1)
     w = np.ones(len(x), np.float32) if w is None else (w * len(w) / w.sum()).astype(np.float32)
@@ -156,13 +182,13 @@ def fit(
             if o.flip_rate:
                 batch = np.where(rng.random(batch.shape) < o.flip_rate, 1 - batch, batch)
             pred, kept = forward(weights, scaled(batch), o, rng)
-            loss, grad = loss_and_gradient(pred, y[rows], w[rows])
-            total += loss
-            adam.step(weights, backward(weights, kept, grad / len(rows), o), control.rate)
+            value, grad = loss(pred, y[rows], w[rows])
+            total += value
+            adam.step(weights, backward(weights, kept, (grad / len(rows)).astype(np.float32), o)[0], control.rate)
         if last:
             continue
         pred, _ = forward(weights, held, o)
-        val = loss_and_gradient(pred, yv, np.ones(len(yv), np.float32))[0] / len(yv)
+        val = loss(pred, yv, np.ones(len(yv), np.float32))[0] / len(yv)
         val += float(np.mean(score(pred))) if score else 0.0
         history.append((epoch, total / len(x), val, control.rate))
         if not control.seen(val, weights):
