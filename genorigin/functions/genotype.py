@@ -10,7 +10,7 @@ from genorigin.shared import stored
 
 def alleles_from_dosage(dosage: Column) -> Column:
     """0, 1, 2 copies of allele 1 as a pair of alleles; null otherwise."""
-    pair = lambda a, b: F.array(F.lit(a).cast("tinyint"), F.lit(b).cast("tinyint"))
+    pair = lambda a, b: F.array(F.lit(a), F.lit(b))
     return F.when(dosage == 0, pair(0, 0)).when(dosage == 1, pair(1, 0)).when(dosage == 2, pair(1, 1))
 
 
@@ -21,12 +21,12 @@ def dosage_from_alleles(alleles: Column) -> Column:
 
 def allele_copies(alleles: Column, allele: int) -> Column:
     """How often an allele is in a call. Removing it and comparing sizes stays in generated code, which a lambda would leave."""
-    return F.size(alleles) - F.size(F.array_remove(alleles, F.lit(allele).cast("tinyint")))
+    return F.size(alleles) - F.size(F.array_remove(alleles, F.lit(allele)))
 
 
 def is_missing_call(alleles: Column) -> Column:
     """Whether any allele is negative (or null, or the call itself is)."""
-    odd = F.array_contains(alleles, F.lit(-127).cast("tinyint"))  # null if the call holds a null
+    odd = F.array_contains(alleles, F.lit(-127))  # null if the call holds a null
     return F.coalesce((F.array_min(alleles) < 0) | odd, F.lit(True))
 
 

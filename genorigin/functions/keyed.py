@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +31,9 @@ def binomial2(p: Column, seed, *keys) -> Column:
 def binomial1(p: Column, seed, *keys) -> Column:
     """A draw from Binomial(1, p), for haploid calls."""
     return (uniform(f"{seed}/0", *keys) < p).cast("int")
+
+
+def uniforms(seed, key, n: int) -> np.ndarray:
+    """``uniform`` of the seed, the key and each of the numbers 0 to n - 1, within a task."""
+    first = f"{seed}|{key}|".encode()
+    return np.array([int(hashlib.md5(first + b"%d" % i).hexdigest()[:13], 16) for i in range(n)], float) / float(1 << 52)

@@ -84,12 +84,16 @@ def fold_roles(folds: DataFrame, samples: DataFrame, k: int) -> DataFrame:
     return own.union(rest)
 
 
+#: What tells windows apart.
+WINDOW = ["chrom", "window_start"]
+
+
 def window_starts(start: int, stop: int, size: int) -> list[int]:
     return list(range(start, stop, size))
 
 
 def window_assign(sites: DataFrame, size: int, start: int = 0, stop: int | None = None, step: int | None = None) -> DataFrame:
-    """Each site with the start of every window [window_start, window_start + size) that it is in.
+    """Each site with the start of every window [window_start, window_start + size) of its chromosome that it is in. A window is (chrom, window_start).
 
     Windows start every step (by default size, so they do not overlap) from start on, below stop if given. Tumbling windows are a division, sliding ones
     an explode of the few starts that cover a position; there is no range join.
@@ -105,8 +109,8 @@ def window_assign(sites: DataFrame, size: int, start: int = 0, stop: int | None
 
 
 def sites_per_window(sites: DataFrame, size: int, start: int = 0, stop: int | None = None, step: int | None = None) -> DataFrame:
-    """Windows with at least one site, and how many they have."""
-    return window_assign(sites, size, start, stop, step).groupBy("window_start").agg(F.count(F.lit(1)).alias("n_sites"))
+    """Windows (chrom, window_start) with at least one site, and how many they have."""
+    return window_assign(sites, size, start, stop, step).groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("n_sites"))
 
 
 def bootstrap_sites(sites_indexed: DataFrame, n_sites: int, replicates: int, seed: int = 0) -> DataFrame:

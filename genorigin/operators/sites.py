@@ -5,30 +5,25 @@ calls: sampleid, chrom, position, alleles. dosages: sampleid, chrom, position, d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from genorigin.functions.genotype import allele_copies, dosage_from_alleles, is_missing_call
+from genorigin.functions.genotype import dosage_from_alleles, is_missing_call
 from genorigin.functions.keyed import binomial1, binomial2, digest
 
 SITE = ["chrom", "position"]
 
 
 def allele_counts(calls: DataFrame, most: int = 3) -> DataFrame:
-    """Per site: n0, n1, ... up to allele ``most``, how often each allele is called, and others: how many alleles beyond are called at all.
+    """Per site: n0, n1, ... up to allele ``most``, how often each allele is called, and others: how many alleles beyond are called at all, of any index.
 
-    Alleles count one by one, so of a half call such as (0, -1) the called one does. One pass, nothing is exploded.
+    Alleles count one by one, so of a half call such as (0, -1) the called one does. Equal calls of a site are counted first, where the rows are; only these few counts are unfolded into alleles.
     """
-    count = lambda k: F.coalesce(F.sum(allele_copies(F.col("alleles"), k)), F.lit(0)).cast("long")
-    rare = F.array_max("alleles") > most
-
-    def beyond(low: int, high: int) -> Column:  # one bit for each allele, as an index is at most 127
-        bits = F.aggregate(F.filter("alleles", lambda x: (x >= low) & (x < high)), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int") % 64)))
-        return F.bit_count(F.coalesce(F.bit_or(F.when(rare, bits)), F.lit(0).cast("long")))
-
-    others = beyond(most + 1, 64) + beyond(max(64, most + 1), 128)
-    return calls.groupBy(*SITE).agg(*[count(k).alias(f"n{k}") for k in range(most + 1)], others.alias("others"))
+    equal = calls.groupBy(*SITE, "alleles").agg(F.count(F.lit(1)).alias("n"))
+    each = equal.select(*SITE, "n", F.explode_outer("alleles").alias("allele")).groupBy(*SITE, "allele").agg(F.sum("n").alias("n"))
+    count = lambda k: F.coalesce(F.sum(F.when(F.col("allele") == k, F.col("n"))), F.lit(0)).cast("long")
+    return each.groupBy(*SITE).agg(*[count(k).alias(f"n{k}") for k in range(most + 1)], F.count_if(F.col("allele") > most).alias("others"))
 
 
 def allele_counts_long(calls: DataFrame) -> DataFrame:
@@ -139,6 +134,7 @@ def feature_assembly(dosages: DataFrame, keys: list[str] | None = None, bucket:
     """
     by = [*(keys or []), "sampleid"]
     cell = F.struct("position", F.coalesce("dosage", F.lit(0)).cast("tinyint").alias("d"))
-    parts = dosages.groupBy(*by, "chrom", F.floor(F.col("position") / bucket).alias("bucket")).agg(F.array_sort(F.collect_list(cell))["d"].alias("part"))
-    rows = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chrom", "bucket", "part"))).alias("parts"))
+    parts = dosages.groupBy(*by, *[c for c in ("chrom",) if c not in by], F.floor(F.col("position") / bucket).alias("bucket")).agg(F.array_sort(F.collect_list(cell))["d"].alias("part"))
+    place = [c for c in ("chrom", "bucket") if c not in by]
+    rows = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*place, "part"))).alias("parts"))
     return rows.select(*by, F.flatten(F.col("parts")["part"]).alias("x"))

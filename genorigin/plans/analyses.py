@@ -6,59 +6,86 @@ metadata, or a training sample no weight. Coordinates are normalised by all know
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from genorigin.functions.keyed import binomial2, digest
+from genorigin.functions.keyed import binomial2, digest, uniforms
 from genorigin.operators import resample, samples as S, sites
 from genorigin.operators.ranks import ranked
 from genorigin.shared import stored
 
-from .models import ROLES_PREDICTED, fit_groups, fit_predict_groups, history, training_table
-from .network import Options
-from .spread import SpreadModel, fit_spread, predict_spread
+from .models import ROLES_PREDICTED, fit_groups, fit_predict_groups, history, predict_overlays, predict_with, training_table
+from .network import Loss, Options, loss_and_gradient
+from .wide import fit_wide, predict_wide
+
+
+@dataclass(frozen=True)
+class Split:
+    """How to spread a single network over tasks, see ``wide.fit_wide``; without one it is trained in one task, as the networks of groups are."""
+
+    block: int = 4096
+    part_rows: int = 1024
+    batches: int = 1
+
+
+def _one_model(table: DataFrame, options: Options, moments_from: str = "train", score=None, loss: Loss = loss_and_gradient) -> DataFrame:
+    rows = table.where(F.col("role").isin("train", "val")).withColumn("run", F.lit(0))
+    return stored(fit_groups(rows, ["run"], options, moments_from, score, loss), "model")
+
+
+def _one(table: DataFrame, asked: list[str], options: Options, moments_from: str, score=None, loss: Loss = loss_and_gradient, split: Split | None = None) -> DataFrame:
+    """Train one network and predict the rows of these roles: sampleid, role, x, y."""
+    rows = table.where(F.col("role").isin(*asked)).select("sampleid", "role", "x")
+    if split is None:
+        return predict_with(rows.withColumn("run", F.lit(0)), _one_model(table, options, moments_from, score, loss), ["run"], options).drop("run")
+    model = fit_wide(table, options, split.block, split.part_rows, split.batches, moments_from, score, loss)
+    return predict_wide(rows, model, options, split.part_rows).join(rows.select("sampleid", "role"), "sampleid").select("sampleid", "role", "x", "y")
 
 
 def _features(dosages: DataFrame, samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return sites.feature_assembly(S.check_sample_alignment(dosages, samples), keys)
 
 
-def run_single(dosages: DataFrame, samples: DataFrame, options: Options = Options(), train_split: float = 0.9, seed: int = 0, weights: DataFrame | None = None, score=None) -> DataFrame:
-    """One model: predictions of unknown and validation samples: sampleid, role, x, y. score: a term of the validation loss by predicted places, such as ``ranges.range_score``."""
+def run_single(
+    dosages: DataFrame, samples: DataFrame, options: Options = Options(), train_split: float = 0.9, seed: int = 0, weights: DataFrame | None = None, score=None, loss: Loss = loss_and_gradient,
+    split: Split | None = None,
+) -> DataFrame:
+    """One model: predictions of unknown and validation samples: sampleid, role, x, y. score: a term of the validation loss by predicted places, such as ``ranges.range_score``; loss: the training
+    loss, see ``network.Loss``; split: spread the network over tasks."""
     table = stored(training_table(_features(dosages, samples), samples, resample.train_test_split(samples, train_split, seed), weights), "table")
-    model = fit_spread(table, options, moments_from="known", score=score)
-    return predict_spread(table.where(F.col("role").isin(*ROLES_PREDICTED)).select("sampleid", "role", "x"), model, options)
+    return _one(table, list(ROLES_PREDICTED), options, "known", score, loss, split)
 
 
 def run_windows(
     dosages: DataFrame, samples: DataFrame, size: int, start: int = 0, stop: int | None = None, step: int | None = None, options: Options = Options(), seed: int = 0, reference_stop: bool = False,
     weights: DataFrame | None = None,
 ) -> DataFrame:
-    """One model per genome window: window_start, sampleid, role, x, y. Windows without sites are left out. With reference_stop the last window starts
-    below the largest position, so a last site on a boundary is lost."""
-    if reference_stop and stop is None:
-        stop = dosages.agg(F.max("position")).first()[0]
+    """One model per genome window: chrom, window_start, sampleid, role, x, y. Windows without sites are left out. With reference_stop the last window of a chromosome starts
+    below its largest position, so a last site on a boundary is lost."""
     roles = resample.train_test_split(samples, seed=seed)
     S.check_sample_alignment(dosages, samples)
-    features = sites.feature_assembly(resample.window_assign(dosages, size, start, stop, step), ["window_start"])
-    return fit_predict_groups(training_table(features, samples, roles, weights), ["window_start"], options, "known")
+    cells = resample.window_assign(dosages, size, start, stop, step)
+    if reference_stop and stop is None:
+        last = dosages.groupBy("chrom").agg(F.max("position").alias("last"))
+        cells = cells.join(last, "chrom").where("window_start < last").drop("last")
+    features = sites.feature_assembly(cells, resample.WINDOW)
+    return fit_predict_groups(stored(training_table(features, samples, roles, weights), "table"), resample.WINDOW, options, "known")
 
 
-def bootstrap_features(features: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """Assembled vectors resampled by each replicate's draws; calls are not joined again. Each vector is unfolded into one for each replicate, and the draws are
-    worked out in place from the replicate's number, so nothing is joined."""
-    rows = features.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = resample.bootstrap_indices(F.col("replicate"), F.size("x"), seed)
-    return rows.select("replicate", "sampleid", F.transform(draws, lambda i: F.element_at("x", i)).alias("x"))
+def bootstrap_picks(seed: int = 0) -> Callable[[tuple, int], np.ndarray]:
+    """The draws of ``resample.bootstrap_sites`` for a replicate, as places in the feature vector (from 0): worked out once a replicate, in the task that trains it."""
+    return lambda keys, n: np.floor(uniforms(seed, keys[0], n) * n).astype(np.int64)
 
 
 def run_bootstraps(dosages: DataFrame, samples: DataFrame, replicates: int = 50, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
-    """One model per replicate on sites drawn with replacement, with the same split: replicate, sampleid, role, x, y."""
-    roles = resample.train_test_split(samples, seed=seed)
-    features = stored(_features(dosages, samples), "features")
-    return fit_predict_groups(training_table(bootstrap_features(features, replicates, seed), samples, roles, weights), ["replicate"], options, "known")
+    """One model per replicate on sites drawn with replacement, with the same split: replicate, sampleid, role, x, y. Vectors are stored once; each replicate's task picks its sites from them."""
+    table = stored(training_table(_features(dosages, samples), samples, resample.train_test_split(samples, seed=seed), weights), "table")
+    every = table.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return fit_predict_groups(every, ["replicate"], options, "known", picks=bootstrap_picks(seed))
 
 
 def run_jackknife(
@@ -66,42 +93,37 @@ def run_jackknife(
 ) -> DataFrame:
     """One model, and predictions with a part of the sites redrawn in each replicate: replicate, sampleid, x, y (unknown samples)."""
     table = stored(training_table(_features(dosages, samples), samples, resample.train_test_split(samples, seed=seed), weights), "table")
-    model = fit_spread(table, options, moments_from="known")
+    model = _one_model(table, options, "known")
     return _jackknife_predict(table.where("role = 'pred'"), dosages, sites.allele_freq_all(dosages), model, n_replicates, prop, options, seed)
 
 
-@F.pandas_udf(T.ArrayType(T.ByteType()))
-def _overwritten(x: pd.Series, at: pd.Series, draws: pd.Series) -> pd.Series:
-    out = []
-    for vector, places, values in zip(x, at, draws, strict=True):
-        vector = vector.copy()
-        vector[places] = values
-        out.append(vector)
-    return pd.Series(out)
-
-
-def jackknife_features(features: DataFrame, dosages: DataFrame, freq: DataFrame, replicates: int, prop: float = 0.05, seed: int = 0) -> DataFrame:
-    """Vectors (replicate, sampleid, x) with the masked sites of each replicate redrawn, as ``resample.jackknife_mask`` draws them. Vectors are assembled once; only the masked
-    places are worked out and overwritten."""
+def jackknife_changes(asked: DataFrame, dosages: DataFrame, freq: DataFrame, replicates: int, prop: float = 0.05, seed: int = 0) -> DataFrame:
+    """A replicate as what it changes, as ``resample.jackknife_mask`` draws it: (replicate, places), the masked sites of each replicate by their number, and (replicate, sampleid, draws), the new
+    dosages of each sample there. For ``models.predict_overlays``."""
     index = stored(sites.site_index(dosages.select("chrom", "position")), "sites")
     masked = resample.jackknife_sites(index.select("chrom", "position"), replicates, prop, seed).join(freq, sites.SITE).join(index, sites.SITE)
-    lists = masked.groupBy("replicate").agg(F.collect_list(F.struct("site", "chrom", "position", "freq")).alias("masked"))
-    rows = features.select("sampleid", "x", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).join(lists, "replicate", "left")
-    some = F.coalesce("masked", F.array().cast(lists.schema["masked"].dataType))
-    draws = F.transform(some, lambda m: binomial2(m["freq"], seed, F.col("replicate"), m["chrom"], m["position"], F.col("sampleid")))
-    return rows.select("replicate", "sampleid", _overwritten("x", F.transform(some, lambda m: m["site"].cast("int")), draws).alias("x"))
+    lists = masked.groupBy("replicate").agg(F.array_sort(F.collect_list(F.struct("site", "chrom", "position", "freq"))).alias("masked"))
+    none = F.array().cast(lists.schema["masked"].dataType)
+    every = dosages.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
+    lists = stored(every.join(lists, "replicate", "left").select("replicate", F.coalesce("masked", none).alias("masked")), "masked")
+    rows = asked.select("sampleid", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).join(lists, "replicate")
+    draws = F.transform("masked", lambda m: binomial2(m["freq"], seed, F.col("replicate"), m["chrom"], m["position"], F.col("sampleid")).cast("tinyint"))
+    places = lists.select("replicate", F.transform("masked", lambda m: m["site"].cast("int")).alias("places"))
+    return places.unionByName(rows.select("replicate", "sampleid", draws.alias("draws")), allowMissingColumns=True)
 
 
-def _jackknife_predict(asked: DataFrame, dosages: DataFrame, freq: DataFrame, model: SpreadModel, replicates: int, prop: float, options: Options, seed: int) -> DataFrame:
-    return predict_spread(jackknife_features(asked, dosages, freq, replicates, prop, seed), model, options)
+def _jackknife_predict(asked: DataFrame, dosages: DataFrame, freq: DataFrame, model: DataFrame, replicates: int, prop: float, options: Options, seed: int) -> DataFrame:
+    changes = stored(jackknife_changes(asked, dosages, freq, replicates, prop, seed), "changes")
+    return predict_overlays(asked, changes, model, options)
 
 
 def train_holdout(
-    dosages: DataFrame, samples: DataFrame, k: int = 10, options: Options = Options(), seed: int = 0, ids: list[str] | None = None, weights: DataFrame | None = None
-) -> DataFrame:
+    dosages: DataFrame, samples: DataFrame, k: int = 10, options: Options = Options(), seed: int = 0, ids: list[str] | None = None, weights: DataFrame | None = None,
+    split: Split | None = None,
+) -> DataFrame:
     """Train without k known samples and predict them: sampleid, x, y (true), x_pred, y_pred."""
     table = stored(training_table(_features(dosages, samples), samples, resample.holdout_split(samples, k, seed=seed, ids=ids), weights), "table")
-    found = predict_spread(table.where("role = 'holdout'").select("sampleid", "x"), fit_spread(table, options), options)
+    found = _one(table, ["holdout"], options, "train", split=split)
     return found.select("sampleid", F.col("x").alias("x_pred"), F.col("y").alias("y_pred")).join(samples.select("sampleid", "x", "y"), "sampleid")
 
 
@@ -121,7 +143,7 @@ def holdout_roles(samples: DataFrame, k: int, seed: int = 0, train_split: float
 
 def run_holdouts(dosages: DataFrame, samples: DataFrame, k: int = 10, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
     """Every known sample predicted once, by a model trained without its chunk of k: holdout_id, sampleid, x, y."""
-    table = training_table(_features(dosages, samples), samples, holdout_roles(samples, k, seed), weights)
+    table = stored(training_table(_features(dosages, samples), samples, holdout_roles(samples, k, seed), weights), "table")
     return fit_predict_groups(table, ["holdout_id"], options).where("role = 'holdout'").drop("role")
 
 
@@ -132,17 +154,17 @@ def run_jackknife_holdouts(
     roles = stored(resample.holdout_split(samples, k, seed=seed), "roles")
     table = stored(training_table(_features(dosages, samples), samples, roles, weights), "table")
     freq = sites.allele_freq_train(dosages, roles)
-    return _jackknife_predict(table.where("role = 'holdout'"), dosages, freq, fit_spread(table, options), n_replicates, prop, options, seed)
+    return _jackknife_predict(table.where("role = 'holdout'"), dosages, freq, _one_model(table, options), n_replicates, prop, options, seed)
 
 
 def run_windows_holdouts(
     dosages: DataFrame, samples: DataFrame, size: int, k: int = 10, step: int | None = None, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None
 ) -> DataFrame:
-    """A model per window and chunk of held-out samples: window_start, holdout_id, sampleid, x, y."""
+    """A model per window and chunk of held-out samples: chrom, window_start, holdout_id, sampleid, x, y. Vectors are stored once; each chunk's roles meet them as its models are trained."""
     S.check_sample_alignment(dosages, samples)
-    features = sites.feature_assembly(resample.window_assign(dosages, size, step=step), ["window_start"])
-    table = training_table(features, samples, holdout_roles(samples, k, seed), weights)
-    return fit_predict_groups(table, ["window_start", "holdout_id"], options).where("role = 'holdout'").drop("role")
+    features = stored(sites.feature_assembly(resample.window_assign(dosages, size, step=step), resample.WINDOW), "features")
+    table = training_table(features, samples, stored(holdout_roles(samples, k, seed), "roles"), weights)
+    return fit_predict_groups(table, [*resample.WINDOW, "holdout_id"], options).where("role = 'holdout'").drop("role")
 
 
 def _fold_table(dosages: DataFrame, samples: DataFrame, k: int, seed: int, weights: DataFrame | None) -> DataFrame:
@@ -152,7 +174,7 @@ def _fold_table(dosages: DataFrame, samples: DataFrame, k: int, seed: int, weigh
 
 def ensemble(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
     """A model per fold: predictions of unknown samples by all, of known ones by the model of their own fold: fold, sampleid, role, x, y."""
-    return fit_predict_groups(_fold_table(dosages, samples, k, seed, weights), ["fold"], options)
+    return fit_predict_groups(stored(_fold_table(dosages, samples, k, seed, weights), "table"), ["fold"], options)
 
 
 def ensemble_history(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:

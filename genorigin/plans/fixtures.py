@@ -28,11 +28,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alleles(a0: Column, a1: Column) -> Column:
-    return F.array(a0.cast("tinyint"), a1.cast("tinyint"))
+    return F.array(a0.cast("int"), a1.cast("int"))
 
 
 def calls_wide(spark: SparkSession, sf_dir: str, many: bool = False) -> DataFrame:
-    """2,080 sites with missing calls, sites of one allele and of three: sampleid, chrom, position, alleles. With many, also alleles up to 5 and half calls."""
+    """2,080 sites with missing calls, sites of one allele and of three: sampleid, chrom, position, alleles. With many, also alleles up to 5, allele 200 and half calls."""
     pairs = F.array(*[F.lit(i * WIDTH + j) for i in range(WIDTH) for j in range(i, WIDTH)])
     rows = _vectors(spark, sf_dir).select("vec_id", "sampleid", "e", F.explode(pairs).alias("k"))
     k = F.col("k")
@@ -40,7 +40,7 @@ def calls_wide(spark: SparkSession, sf_dir: str, many: bool = False) -> DataFram
     drawn = lambda what: F.substring(F.md5(F.concat(F.lit(f"{what}|"), "vec_id", F.lit("|"), "k")), 1, 2) == "00"
     rows = rows.select("sampleid", "k", v.alias("v"), drawn("miss").alias("missing"), (drawn("half") if many else F.lit(False)).alias("half"))
     v = F.col("v")
-    a0 = F.when(F.col("missing"), -1).when(F.lit(many) & (k % 19 == 0) & (v > 0.15), 3 + k % 3)
+    a0 = F.when(F.col("missing"), -1).when(F.lit(many) & (k % 19 == 0) & (v > 0.15), F.when(k % 38 == 0, 200).otherwise(3 + k % 3))
     a0 = a0.when(k % 13 == 0, 0).when(v > 0.1, F.when((k % 17 == 0) & (v > 0.2), 2).otherwise(1)).otherwise(0)
     a1 = F.when(F.col("missing") | F.col("half"), -1).when(k % 13 == 0, 0).when(v > 0.02, 1).otherwise(0)
     return rows.select("sampleid", F.lit("1").alias("chrom"), ((k + 1) * 1000).cast("long").alias("position"), _alleles(a0, a1).alias("alleles"))

@@ -1,4 +1,4 @@
-"""Model jobs: one network per group in parallel tasks, and prediction. (One network over many tasks is in ``spread``.)
+"""Model jobs: one network per group in parallel tasks, and prediction. (One network over many tasks is in ``wide``.)
 
 Training tables have a row per sample: keys, sampleid, x (array of dosages), cx and cy (coordinates, null if unknown), role (train, val, pred, holdout) and, if
 wanted, weight. Coordinates are normalised by the group's training rows inside the task and predictions are given in the original units.
@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from genorigin.operators.ranks import ranked
 from genorigin.operators.weights import first_weight
 
-from .network import Fitted, Options, fit, predict
+from .network import Fitted, Loss, Options, elu, fit, forward, loss_and_gradient, predict
 
 Score = Callable[[np.ndarray], np.ndarray]
+#: From the keys of a group and the number of sites, the sites (from 0, in any order, with repetitions) that its network sees.
+Picks = Callable[[tuple, int], np.ndarray]
 ROLES_PREDICTED = ("pred", "val", "holdout")
 
 
@@ -43,7 +46,7 @@ def _moments(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return y.mean(axis=0), np.where(sd > 0, sd, 1.0)
 
 
-def _fit_rows(rows: pd.DataFrame, o: Options, moments_from: str, score: Score | None) -> tuple[Fitted, np.ndarray, np.ndarray]:
+def _fit_rows(rows: pd.DataFrame, o: Options, moments_from: str, score: Score | None, loss: Loss, at: np.ndarray | None) -> tuple[Fitted, np.ndarray, np.ndarray]:
     train, val = rows[rows["role"] == "train"], rows[rows["role"] == "val"]
     if not len(train):
         raise ValueError("A group has no training samples")
@@ -51,34 +54,51 @@ def _fit_rows(rows: pd.DataFrame, o: Options, moments_from: str, score: Score |
     norm = lambda r: ((r[["cx", "cy"]].to_numpy(float) - mean) / sd).astype(np.float32)
     w = train["weight"].fillna(0).to_numpy(float)
     width = len(train["x"].iloc[0])
-    xv = _matrix(val["x"]) if len(val) else np.zeros((0, width), np.int8)
-    return fit(_matrix(train["x"]), norm(train), xv, norm(val), o, None if (w == 1).all() else w, score=score and (lambda p: score(p * sd + mean))), mean, sd
+    xt, xv = _matrix(train["x"]), _matrix(val["x"]) if len(val) else np.zeros((0, width), np.int8)
+    xt, xv = (xt, xv) if at is None else (xt[:, at], xv[:, at])
+    return fit(xt, norm(train), xv, norm(val), o, None if (w == 1).all() else w, score=score and (lambda p: score(p * sd + mean)), loss=loss), mean, sd
 
 
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.sort_values("sampleid", kind="stable").reset_index(drop=True)
 
 
-def fit_predict_groups(table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train", score: Score | None = None) -> DataFrame:
-    """Fit a network for every group and predict all its rows that are not training rows: keys, sampleid, role, x, y. Only training and validation rows meet in the group's task."""
-    models = fit_groups(table.where(F.col("role").isin("train", "val")), keys, options, moments_from, score)
+def fit_predict_groups(
+    table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train", score: Score | None = None, loss: Loss = loss_and_gradient, picks: Picks | None = None
+) -> DataFrame:
+    """Fit a network for every group and predict all its rows that are not training rows: keys, sampleid, role, x, y. Only training and validation rows meet in the group's task. The table is read several
+    times: it should be a stored one, or unfold one."""
+    models = fit_groups(table.where(F.col("role").isin("train", "val")), keys, options, moments_from, score, loss, picks)
     return predict_with(table.where(F.col("role").isin(*ROLES_PREDICTED)).select(*keys, "sampleid", "role", "x"), models, keys, options)
 
 
-def fit_groups(table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train", score: Score | None = None) -> DataFrame:
+def one_task_each(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with __job, the number of their keys, dealt so that each number has a partition of its own, however few bytes they are: what is done with them is long."""
+    jobs = ranked(table.select(*keys).distinct(), *map(F.col, keys)).withColumnRenamed("r", "__job").drop("n")
+    n = jobs.count()
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    rows = table.join(jobs.withColumnsRenamed({k: f"__{k}" for k in keys}), same).drop(*[f"__{k}" for k in keys])
+    return rows.repartitionByRange(max(1, n), "__job")
+
+
+def fit_groups(
+    table: DataFrame, keys: list[str], options: Options = Options(), moments_from: str = "train", score: Score | None = None, loss: Loss = loss_and_gradient, picks: Picks | None = None
+) -> DataFrame:
     """The fitted models: keys, model (binary) and history, an array of (epoch, loss, val_loss, lr). score: a term of the validation loss by predicted places, such as
-    ``ranges.range_score``."""
+    ``ranges.range_score``; loss: the training loss, see ``network.Loss``; picks: the sites that a group's network sees, by default all."""
     fields = [table.schema[k] for k in keys]
     step = T.StructType([T.StructField("epoch", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("loss", "val_loss", "lr")]])
     schema = T.StructType([*fields, T.StructField("model", T.BinaryType()), T.StructField("history", T.ArrayType(step))])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model, mean, sd = _fit_rows(_in_order(rows), options, moments_from, score)
+        own = tuple(rows[keys].iloc[0])
+        at = picks and picks(own, len(rows["x"].iloc[0]))
+        model, mean, sd = _fit_rows(_in_order(rows), options, moments_from, score, loss, at)
         history = [{"epoch": e, "loss": float(a), "val_loss": float(b), "lr": float(r)} for e, a, b, r in model.history]
-        data = pickle.dumps((model.weights, model.mean, model.spread, mean, sd))
-        return pd.DataFrame([[*rows[keys].iloc[0], data, history]], columns=[*keys, "model", "history"])
+        data = pickle.dumps((model.weights, model.mean, model.spread, mean, sd, at))
+        return pd.DataFrame([[*own, data, history]], columns=[*keys, "model", "history"])
 
-    return table.groupBy(*keys).applyInPandas(run, schema)
+    return one_task_each(table, keys).groupBy("__job", *keys).applyInPandas(run, schema)
 
 
 def history(models: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,8 +120,9 @@ def predict_with(rows: DataFrame, models: DataFrame, keys: list[str], options: O
     def run(key, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(model):
             return pd.DataFrame([], columns=[*extra, "x", "y"])
-        weights, mean_x, spread, mean, sd = pickle.loads(model["model"].iloc[0])  # noqa: S301  written by fit_groups
-        xy = predict(Fitted(weights, mean_x, spread), _matrix(part["x"]), options) * sd + mean
+        weights, mean_x, spread, mean, sd, at = pickle.loads(model["model"].iloc[0])  # noqa: S301  written by fit_groups
+        x = _matrix(part["x"])
+        xy = predict(Fitted(weights, mean_x, spread), x if at is None else x[:, at], options) * sd + mean
         out = part[extra].copy()
         out["x"], out["y"] = xy[:, 0].astype(float), xy[:, 1].astype(float)
         return out
@@ -110,6 +131,42 @@ def predict_with(rows: DataFrame, models: DataFrame, keys: list[str], options: O
     return dealt.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(run, schema)
 
 
+def predict_overlays(rows: DataFrame, changes: DataFrame, models: DataFrame, options: Options, part_rows: int = 4096) -> DataFrame:
+    """Predictions (replicate, sampleid, x, y) of rows (sampleid, x) under replicates that change some sites of all rows.
+
+    changes: replicate, places (array of sites from 0, of each replicate) and, by sample, sampleid and draws (the new dosages there). models: one row. Vectors stay as they are: the sums of the first
+    layer are worked out once for each row, and a replicate adds what its sites change. Rows are dealt into parts of a bounded number, which meet their changes and the model.
+    """
+    parts = max(1, -(-rows.count() // part_rows))
+    part = F.pmod(F.xxhash64("sampleid"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    told = models.select(every.alias("part"), "model").unionByName(changes.where("sampleid is null").select("replicate", "places", every.alias("part")), allowMissingColumns=True)
+    told = told.unionByName(changes.where("sampleid is not null").select("replicate", "sampleid", "draws", part.alias("part")), allowMissingColumns=True)
+
+    def run(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame([], columns=["replicate", "sampleid", "x", "y"])
+        weights, mean_x, spread, mean, sd, _ = pickle.loads(told[told["model"].notna()]["model"].iloc[0])  # noqa: S301  written by fit_groups
+        mine = mine.sort_values("sampleid", kind="stable")
+        x, first = _matrix(mine["x"]), weights[0]
+        place = {i: k for k, i in enumerate(mine["sampleid"])}
+        base = ((x.astype(np.float32) - mean_x) / spread) @ first + weights[1]
+        lists = told[told["places"].notna()]
+        drawn, out = told[told["draws"].notna()], []
+        for replicate, at in zip(lists["replicate"], lists["places"], strict=True):
+            some = drawn[drawn["replicate"] == replicate]
+            who = np.array([place[i] for i in some["sampleid"]], int)
+            at = np.asarray(at, int)
+            new = _matrix(some["draws"])
+            z = base[who] + ((new.astype(np.float32) - x[np.ix_(who, at)]) / spread[at]) @ first[at]
+            xy = forward(weights[2:], elu(z) if options.layers else z, options, None, 1)[0] * sd + mean
+            out.append(pd.DataFrame({"replicate": int(replicate), "sampleid": some["sampleid"].to_numpy(), "x": xy[:, 0].astype(float), "y": xy[:, 1].astype(float)}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["replicate", "sampleid", "x", "y"])
+
+    dealt = rows.select("sampleid", "x", part.alias("part"))
+    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(run, "replicate int, sampleid string, x double, y double")
+
+
 def require_models(models: DataFrame) -> DataFrame:
     if not models.limit(1).count():
         raise ValueError("The model has not been trained")

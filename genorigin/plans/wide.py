@@ -265,7 +265,7 @@ def _stepped(blocks: Blocks, state: DataFrame, found: DataFrame, o: Options, bat
 
     def adam(weights: list[np.ndarray], m: list[np.ndarray], v: list[np.ndarray], grads: list[np.ndarray]) -> None:
         a = Adam(weights, o)
-        a.m, a.v, a.t = m, v, step
+        a.m, a.v, a.t = m, v, step - 1
         a.step(weights, grads, rate)
 
     def update(now: pd.DataFrame, grad: pd.DataFrame) -> pd.DataFrame:

@@ -33,7 +33,7 @@ def scan_vcf(spark: SparkSession, path: str) -> DataFrame:
     cells = body.join(heads, "file").select("chrom", "position", F.array_position("format", "GT").cast("int").alias("gt"), both.alias("c"))
     cells = cells.select("chrom", "position", "gt", "c.sampleid", "c.cell").where("sampleid is not null")
     text = F.when(F.col("gt") > 0, F.get(F.split("cell", ":"), F.col("gt") - 1))
-    alleles = F.transform(F.split(F.coalesce(text, F.lit("./.")), r"[/|]"), lambda a: F.coalesce(a.try_cast("tinyint"), F.lit(-1).cast("tinyint")))
+    alleles = F.transform(F.split(F.coalesce(text, F.lit("./.")), r"[/|]"), lambda a: F.coalesce(a.try_cast("int"), F.lit(-1)))
     return cells.select("sampleid", "chrom", "position", alleles.alias("alleles"))
 
 

@@ -19,7 +19,7 @@ A0 = "WHEN k % 13 = 0 THEN 0 WHEN v > 1e-1 THEN CASE WHEN k % 17 = 0 AND v > 2e-
 A1 = "WHEN k % 13 = 0 THEN 0 WHEN v > 2e-2 THEN 1 ELSE 0 END"
 WIDE = wide(f"CASE WHEN m THEN -1 {A0}", f"CASE WHEN m THEN -1 {A1}")
 MANY = (
-    wide(f"CASE WHEN m THEN -1 WHEN k % 19 = 0 AND v > 15e-2 THEN (3 + k % 3)::INT {A0}", f"CASE WHEN m OR f THEN -1 {A1}")
+    wide(f"CASE WHEN m THEN -1 WHEN k % 19 = 0 AND v > 15e-2 THEN CASE WHEN k % 38 = 0 THEN 200 ELSE (3 + k % 3)::INT END {A0}", f"CASE WHEN m OR f THEN -1 {A1}")
     + """, seen AS (SELECT chrom, position, unnest([a0, a1]) AS a FROM calls),
 counts AS (SELECT chrom, position, count(*) FILTER (a = 0) AS n0, count(*) FILTER (a = 1) AS n1, count(*) FILTER (a = 2) AS n2, count(*) FILTER (a = 3) AS n3,
   count(DISTINCT a) FILTER (a > 3) AS others, count(DISTINCT a) FILTER (a >= 0) AS alleles FROM seen GROUP BY ALL)"""
@@ -49,6 +49,7 @@ pred AS (SELECT sampleid, r AS replicate, x + 4 * ({u(7, 'r', 'sampleid')} - 5e-
 ERRORS = f"{PRED}, err AS (SELECT p.*, s.x AS x_true, s.y AS y_true, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS err FROM pred p JOIN known s USING (sampleid))"
 FREQ = "freq AS (SELECT chrom, position, sum(dosage)::BIGINT AS n1, count(*) FILTER (NOT gone) AS called FROM dos GROUP BY ALL)"
 SITES = "sites AS (SELECT DISTINCT chrom, position FROM calls), indexed AS (SELECT *, row_number() OVER (ORDER BY chrom, position) - 1 AS site FROM sites)"
+CHROM = "CASE WHEN position // 1000 % 3 = 0 THEN '2' ELSE chrom END"
 ROLES = f"""ranked AS (SELECT sampleid, row_number() OVER (ORDER BY {md5(0, 'sampleid')}, sampleid) - 1 AS r, count(*) OVER () AS n FROM samples WHERE x IS NOT NULL),
 roles AS (SELECT sampleid, CASE WHEN r < round_even((1 - 9e-1) * n, 0) THEN 'val' ELSE 'train' END AS role FROM ranked UNION ALL SELECT sampleid, 'pred' FROM samples WHERE x IS NULL)"""
 RINGS = """box AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, (min(x) + max(x)) / 2 mx, (min(y) + max(y)) / 2 my FROM samples),
@@ -109,7 +110,7 @@ def q(ctes: str, select: str) -> str:
 R = lambda c, name=None: f"round({c}, 6) AS {name or c}"
 
 ORACLE = {
-    "scan_vcf": q(WIDE, "SELECT sampleid, chrom, position, a0, a1 FROM calls"),
+    "scan_vcf": q(MANY, f"SELECT sampleid, {CHROM} AS chrom, position, a0, a1 FROM calls"),
     "scan_matrix": q(CLINE, "SELECT sampleid, chrom, position, (dosage >= 1)::INT AS a0, (dosage = 2)::INT AS a1 FROM dos"),
     "scan_genotype_frame": q(CLINE, "SELECT sampleid, chrom, position, (dosage >= 1)::INT AS a0, (dosage = 2)::INT AS a1 FROM dos"),
     "genotype_lake": q(WIDE, "SELECT sampleid, chrom, position, a0, a1 FROM calls WHERE position >= 500000 AND position < 1500000"),
@@ -141,7 +142,7 @@ ORACLE = {
     "join_weights": q(
         f"{SAMPLES}, {WEIGHTS}", "SELECT sampleid, arg_min(sample_weight, ord) AS sample_weight FROM wts JOIN samples USING (sampleid) WHERE x IS NOT NULL GROUP BY ALL"
     ),
-    "window_assign_join": q(WIDE, "SELECT DISTINCT position, (position // 250000 * 250000)::BIGINT AS window_start FROM calls"),
+    "window_assign_join": q(WIDE, f"SELECT DISTINCT {CHROM} AS chrom, position, (position // 250000 * 250000)::BIGINT AS window_start FROM calls"),
     "bootstrap_site_join": q(
         f"{CLINE}, {SITES}, n AS (SELECT count(*) AS n FROM sites)",
         f"SELECT replicate, position, count(*) AS times FROM (SELECT replicate, floor({u(0, 'replicate', 'draw')} * n)::BIGINT AS site FROM n, range(0, 5) a(replicate), range(0, 512) b(draw)) JOIN indexed USING (site) GROUP BY ALL",
@@ -240,10 +241,10 @@ ORACLE = {
         JACK,
         f"SELECT replicate, sampleid, position, CASE WHEN f.freq IS NOT NULL THEN {binomial2('f.freq', 0, 'replicate', 'chrom', 'position', 'sampleid')} ELSE dosage END AS dosage FROM (SELECT dos.*, r AS replicate FROM dos, range(0, 2) q(r)) LEFT JOIN (SELECT * FROM masked JOIN freq USING (chrom, position)) f USING (replicate, chrom, position)",
     ),
-    "window_starts": q(WIDE, "SELECT DISTINCT (position // 250000 * 250000)::BIGINT AS window_start FROM calls"),
+    "window_starts": q(WIDE, f"SELECT DISTINCT {CHROM} AS chrom, (position // 250000 * 250000)::BIGINT AS window_start FROM calls"),
     "sliding_windows": q(
-        f"{WIDE}, {SITES}", "SELECT position, (k * 100000)::BIGINT AS window_start FROM sites, range(0, 100) q(k) WHERE position >= k * 100000 AND position < k * 100000 + 250000"
+        f"{WIDE}, {SITES}", f"SELECT {CHROM} AS chrom, position, (k * 100000)::BIGINT AS window_start FROM sites, range(0, 100) q(k) WHERE position >= k * 100000 AND position < k * 100000 + 250000"
     ),
-    "sites_per_window": q(f"{WIDE}, {SITES}", "SELECT (position // 250000 * 250000)::BIGINT AS window_start, count(*) AS n_sites FROM sites GROUP BY ALL"),
+    "sites_per_window": q(f"{WIDE}, {SITES}", f"SELECT {CHROM} AS chrom, (position // 250000 * 250000)::BIGINT AS window_start, count(*) AS n_sites FROM sites GROUP BY ALL"),
     "rasterize_range": q(f"{SAMPLES}, {MASK}", 'SELECT "row", col, valid FROM mask'),
 }

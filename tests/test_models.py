@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genorigin.operators import ranges, resample, sites, summarize
-from genorigin.plans import analyses, fixtures, models, network, spread
+from genorigin.plans import analyses, fixtures, models, network, wide
 from genorigin.plans.network import Options
 
 QUICK = Options(width=24, layers=2, epochs=12, patience=6, batch=64, rate=3e-3)
@@ -28,7 +28,7 @@ def test_gradient():
     x, y, wt = rng.normal(size=(6, 4)), rng.normal(size=(6, 2)), rng.random(6)
     loss = lambda ws: network.loss_and_gradient(network.forward(ws, x, o)[0], y, wt)[0]
     pred, kept = network.forward(w, x, o)
-    grads = network.backward(w, kept, network.loss_and_gradient(pred, y, wt)[1].astype(float), o)
+    grads = network.backward(w, kept, network.loss_and_gradient(pred, y, wt)[1].astype(float), o)[0]
     for k, g in enumerate(grads):
         up, down = [[a.copy() for a in w] for _ in range(2)]
         up[k].flat[0] += 1e-5
@@ -64,6 +64,9 @@ def test_windows_and_ensemble(dosages, samples):
     assert {r.window_start for r in got} == {0, 256_000, 512_000} and len(got) == 3 * 95
     ref = analyses.run_windows(dosages, samples, 256_000, options=QUICK, reference_stop=True).collect()
     assert {r.window_start for r in ref} == {0, 256_000}
+    half = dosages.where("position <= 256000").withColumn("chrom", F.when(F.col("position") % 2000 == 0, "2").otherwise("1"))
+    both = analyses.run_windows(half, samples, 300_000, options=QUICK).collect()
+    assert {(r.chrom, r.window_start) for r in both} == {("1", 0), ("2", 0)} and len(both) == 2 * 95
     fold = analyses.ensemble(dosages, samples, 3, QUICK)
     mean = summarize.ensemble_mean(fold).collect()
     assert sum(r.role == "pred" for r in mean) == 50 and sum(r.role == "val" for r in mean) == 450
@@ -83,18 +86,69 @@ def test_jackknife_and_weights(dosages, samples, spark):
         models.require_models(spark.createDataFrame([], "model binary"))
 
 
-def test_data_parallel_learns(dosages, samples):
-    """Over six parts whose weights are averaged: the loss falls and samples that no part has seen are placed."""
+def by_hand(table, o, epochs):
+    """The first losses of the unsplit network, trained on all rows at once in one place."""
+    rows = sorted(table.collect(), key=lambda r: r.sampleid)
+    train, val = ([r for r in rows if r.role == role] for role in ("train", "val"))
+    x, xv = (np.array([r.x for r in some], np.float32) for some in (train, val))
+    y, yv = (np.array([(r.cx, r.cy) for r in some]) for some in (train, val))
+    mean, sd = y.mean(axis=0), y.std(axis=0)
+    scale = x.mean(axis=0), np.sqrt(x.var(axis=0) + 1e-3)
+    w = [wide.initial_block(0, x.shape[1], x.shape[1], o), *wide.initial_head(o)]
+    adam, out = network.Adam(w, o), []
+    for _ in range(epochs + 1):
+        pred, kept = network.forward(w, (x - scale[0]) / scale[1], o)
+        loss, grad = network.loss_and_gradient(pred, (y - mean) / sd, np.ones(len(x)))
+        held = network.forward(w, (xv - scale[0]) / scale[1], o)[0]
+        out.append((loss / len(x), network.loss_and_gradient(held, (yv - mean) / sd, np.ones(len(xv)))[0] / len(xv)))
+        adam.step(w, network.backward(w, kept, grad / len(x), o)[0], o.rate)
+    return out
+
+
+def test_split_network_is_the_unsplit_one(dosages, samples):
+    """Eight blocks of sites and parts of 100 rows give the losses of one network in one place, and with dropout and flips those of one block; predictions agree."""
     table = models.training_table(sites.feature_assembly(dosages), samples, resample.holdout_split(samples, 60)).cache()
-    o = Options(width=64, layers=4, epochs=60, batch=8, rate=2e-3, dropout=0.1)
-    model = spread.fit_spread(table, o, part_rows=60, rounds=10)
-    losses = [loss for _, loss, _ in model.history]
-    assert min(losses) < 0.8 * losses[0]
-    found = spread.predict_spread(table.where("role = 'holdout'").select("sampleid", "x"), model, o, part_rows=7)
-    s = summarize.error_summary(summarize.with_error(summarize.join_predictions_truth(found, samples))).first()
+    o = Options(width=16, layers=2, epochs=4, rate=1e-2, dropout=0.0)
+    model = wide.fit_wide(table, o, block=64, part_rows=100)
+    assert model.state.where("kind = 'block'").count() == 8
+    assert np.allclose([h[1:3] for h in model.history], by_hand(table, o, 4), atol=1e-5)
+    noisy = Options(width=16, layers=2, epochs=3, rate=1e-2, dropout=0.25, algorithm="adamw")
+    one, many = wide.fit_wide(table, noisy, block=512), wide.fit_wide(table, noisy, block=70, part_rows=90)
+    assert np.allclose(one.history, many.history, atol=1e-5)
+    asked = table.where("role = 'holdout'").select("sampleid", "x")
+    a, b = ({r.sampleid: (r.x, r.y) for r in wide.predict_wide(asked, m, noisy, part_rows=n).collect()} for m, n in ((one, 1000), (many, 25)))
+    assert len(a) == 60 and all(np.allclose(a[k], b[k], atol=1e-3) for k in a)
+
+
+def test_split_network_learns(dosages, samples):
+    """In batches of parts; samples that no part has seen are placed."""
+    o = Options(width=32, layers=2, epochs=14, rate=3e-2, dropout=0.0)
+    found = analyses.train_holdout(dosages, samples, 60, o, split=analyses.Split(128, 256, 2))
+    e = found.select("sampleid", F.col("x").alias("x_true"), F.col("y").alias("y_true"), F.col("x_pred").alias("x"), F.col("y_pred").alias("y"))
+    s = summarize.error_summary(summarize.with_error(e)).first()
     assert s.n == 60 and s.r2_x > 0.5 and s.r2_y > 0.5
 
 
+def test_a_loss_of_the_user(dosages, samples):
+    """Checked against differences; it trains groups and split networks."""
+
+    def huber(pred, y, w):
+        """Squares near, distances far, by coordinate."""
+        d = pred - y
+        a = np.abs(d)
+        value = np.where(a < 1, d * d / 2, a - 0.5)
+        return float((value.sum(axis=1) * w).sum()), np.clip(d, -1, 1) * w[:, None]
+
+    loss = network.checked_loss(huber)
+    with pytest.raises(ValueError, match="gradient of the loss"):
+        network.checked_loss(lambda p, y, w: (huber(p, y, w)[0], 2 * huber(p, y, w)[1]))
+    table = models.training_table(sites.feature_assembly(dosages), samples, resample.train_test_split(samples)).withColumn("run", F.lit(0)).cache()
+    a, b = (models.history(models.fit_groups(table, ["run"], QUICK, loss=x), ["run"]).orderBy("epoch").collect() for x in (network.loss_and_gradient, loss))
+    assert a[0].loss != b[0].loss and b[-1].loss < b[0].loss
+    history = wide.fit_wide(table, Options(width=8, layers=1, epochs=3, rate=1e-2), block=256, loss=loss).history
+    assert history[-1][1] < history[0][1]
+
+
 def test_alignment_and_weights(dosages, samples):
     fewer = samples.where("sampleid <> 's17'")
     for f in (analyses.run_windows, analyses.run_windows_holdouts):
@@ -114,14 +168,35 @@ def test_holdout_roles_by_count(samples):
     assert (got[11, "holdout"], got[11, "val"], got[11, "train"]) == (10, 44, 396)
 
 
-def test_jackknife_vectors_are_the_masked_calls(dosages, samples):
+def test_jackknife_changes_are_the_masked_calls(dosages, samples, spark):
+    """A replicate's changes are the calls that ``jackknife_mask`` redraws, and predictions from them are those of whole vectors."""
     freq = sites.allele_freq_all(dosages).cache()
     some = dosages.where("sampleid in ('s0', 's10', 's21')").cache()
     masked = resample.jackknife_sites(dosages.select("chrom", "position").distinct(), 3)
-    want = sites.feature_assembly(resample.jackknife_mask(some, masked, freq, 3), ["replicate"])
-    got = analyses.jackknife_features(sites.feature_assembly(some), dosages, freq, 3)
-    rows = lambda df: sorted((r.replicate, r.sampleid, tuple(r.x)) for r in df.collect())
-    assert rows(got) == rows(want) and len(rows(got)) == 9
+    whole = sites.feature_assembly(resample.jackknife_mask(some, masked, freq, 3), ["replicate"]).cache()
+    asked = sites.feature_assembly(some).cache()
+    changes = analyses.jackknife_changes(asked, dosages, freq, 3).cache()
+    places = {r.replicate: r.places for r in changes.where("places is not null").collect()}
+    vectors = {r.sampleid: r.x for r in asked.collect()}
+    got = {}
+    for r in changes.where("draws is not null").collect():
+        x = list(vectors[r.sampleid])
+        for k, d in zip(places[r.replicate], r.draws, strict=True):
+            x[k] = d
+        got[r.replicate, r.sampleid] = x
+    assert got == {(r.replicate, r.sampleid): r.x for r in whole.collect()} and len(got) == 9
+    table = models.training_table(sites.feature_assembly(dosages), samples, resample.train_test_split(samples))
+    model = analyses._one_model(table, QUICK)
+    want = models.predict_with(whole.withColumn("run", F.lit(0)), model, ["run"], QUICK).collect()
+    overlaid = {(r.replicate, r.sampleid): (r.x, r.y) for r in models.predict_overlays(asked, changes, model, QUICK, part_rows=2).collect()}
+    assert len(want) == 9 and all(np.allclose(overlaid[r.replicate, r.sampleid], (r.x, r.y), atol=1e-3) for r in want)
+
+
+def test_bootstrap_picks_are_the_drawn_sites(spark):
+    index = spark.createDataFrame([("1", 10 * (k + 1), k) for k in range(40)], "chrom string, position long, site long")
+    drawn = {(r.replicate, r.draw): r.position // 10 - 1 for r in resample.bootstrap_sites(index, 40, 3, 5).collect()}
+    for replicate in range(3):
+        assert analyses.bootstrap_picks(5)((replicate,), 40).tolist() == [drawn[replicate, k] for k in range(40)]
 
 
 def test_range_is_a_term_of_the_score(spark, dosages, samples):
