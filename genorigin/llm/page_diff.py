@@ -14,6 +14,7 @@ Pages are numbered in that order over all hosts and dealt into blocks of neighbo
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +72,7 @@ def common(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def shared_lines(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
+def shared_lines(a: list, b: list) -> tuple[list[int], list[int]]:
     """The places of the shared lines in a and in b."""
     both = {*a} & {*b}
     at, bt = [i for i, x in enumerate(a) if x in both], [j for j, x in enumerate(b) if x in both]
@@ -79,22 +80,40 @@ def shared_lines(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
     return [at[i] for i, _ in pairs], [bt[j] for _, j in pairs]
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, kind, lines and digest (of host, kind and lines; null without lines) of each page, with row, a number of its own."""
-    rows = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row"), F.coalesce("html", F.lit("")).alias("html"))
+def packed(text: str) -> bytes:
+    """Text as it is dealt: better compressed than an exchange would do."""
+    return zlib.compress(text.encode("utf-8", "replace"), 6)
+
+
+def unpacked(data: bytes) -> str:
+    return zlib.decompress(data).decode()
+
+
+def digest_of(host: str, kind: str, lines: list[str]) -> str | None:
+    """Tells apart pages of different hosts or lines; null without lines."""
+    return hashlib.blake2b("\0".join([host, kind, *lines]).encode("utf-8", "replace"), digest_size=16).hexdigest() if lines else None
+
+
+def _line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def fingerprints(pages: DataFrame) -> DataFrame:
+    """host, path, kind, digest (see ``digest_of``), and a hash and the length of each line, of the pages with any line; row is a number of its own for each."""
+    rows = pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "html"):
             got = [main_lines(x) for x in piece.column("html").to_pylist()]
-            digests = [
-                hashlib.blake2b("\0".join([host, kind, *lines]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if lines else None
-                for host, (kind, lines) in zip(piece.column("host").to_pylist(), got, strict=True)
-            ]
-            made = [pa.array([k for k, _ in got], pa.string()), pa.array([x for _, x in got], pa.list_(pa.string())), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*piece.columns[:5], *made], [*piece.schema.names[:5], "kind", "lines", "digest"])
+            hosts = piece.column("host").to_pylist()
+            made = [
+                pa.array([k for k, _ in got], pa.string()), pa.array([digest_of(h, k, x) for h, (k, x) in zip(hosts, got, strict=True)], pa.string()),
+                pa.array([[_line_hash(y) for y in x] for _, x in got], pa.list_(pa.int64())), pa.array([[len(y) for y in x] for _, x in got], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([piece.column("host"), piece.column("path"), *made], ["host", "path", "kind", "digest", "hashes", "sizes"])
 
-    extra = [T.StructField("kind", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("digest", T.StringType())]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:5], *extra]))
+    found = rows.mapInArrow(run, "host string, path string, kind string, digest string, hashes array<long>, sizes array<int>")
+    return found.where("digest is not null").withColumn("row", F.monotonically_increasing_id())
 
 
 def _near(a: list[str], b: list[str]) -> int:
@@ -105,19 +124,19 @@ def _near(a: list[str], b: list[str]) -> int:
     return k
 
 
-def differenced(block: list[dict]) -> Iterator[tuple[str, str]]:
-    """digest and main text of the block's own pages; block: rows in order with host, path, kind, lines and own."""
+def differenced(block: list[dict]) -> Iterator[tuple[str, list[int]]]:
+    """digest and places of the deleted lines of those of the block's own pages that have any; block: rows in order with host, path, kind, hashes, sizes and own."""
     shares: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
     paths = [x["path"].split("/") for x in block]
 
     def pair(i: int, j: int) -> list[int]:
         low, high = min(i, j), max(i, j)
         if (low, high) not in shares:
-            shares[low, high] = shared_lines(block[low]["lines"], block[high]["lines"])
+            shares[low, high] = shared_lines(block[low]["hashes"], block[high]["hashes"])
         return shares[low, high][i > j]
 
     def told(i: int, j: int, most: float) -> bool:
-        return all(sum(len(block[x]["lines"][k]) for k in pair(x, y)) < most * sum(map(len, block[x]["lines"])) for x, y in ((i, j), (j, i)))
+        return all(sum(block[x]["sizes"][k] for k in pair(x, y)) < most * sum(block[x]["sizes"]) for x, y in ((i, j), (j, i)))
 
     for i, page in enumerate(block):
         if not page["own"]:
@@ -126,7 +145,7 @@ def differenced(block: list[dict]) -> Iterator[tuple[str, str]]:
         near = [j for j in range(max(0, i - SIDE), min(len(block), i + SIDE + 1)) if j != i and page["host"] and block[j]["host"] == page["host"]]
         near = [j for j in near if told(i, j, 0.5 if marked else 0.9)]
         near = near if marked else sorted(near, key=lambda j: (-_near(paths[i], paths[j]), abs(i - j), j))[:3]
-        seen = np.zeros(len(page["lines"]), int)
+        seen = np.zeros(len(page["hashes"]), int)
         for j in near:
             seen[pair(i, j)] += 1
         if marked:
@@ -135,30 +154,27 @@ def differenced(block: list[dict]) -> Iterator[tuple[str, str]]:
             gone[1:] |= np.minimum.accumulate(every[1:])
         else:
             gone = (2 * seen >= len(near)) & bool(near)
-        yield page["digest"], " ".join(line for line, cut in zip(page["lines"], gone.tolist(), strict=True) if not cut)
-
+        if gone.any():
+            yield page["digest"], np.flatnonzero(gone).tolist()
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages (page_id, url, html; other columns are not read).
 
-    Null and empty pages, and pages without a line outside of what is left out, have an empty text. A url without host is paired with none. Equal pages of a host have equal texts, and rows that are
-    repeated come as often. An empty table gives no rows.
-    """
-    found = stored(parsed(pages), "pages")
-    distinct = found.where("digest is not null").groupBy("host", "digest").agg(F.min(F.struct("path", "row")).alias("first")).select("host", "digest", "first.path", "first.row")
+def template_lines(pages: DataFrame) -> DataFrame:
+    """digest, cut: of every distinct page that shares template lines with its neighbours, the places of these lines. Only hashes and lengths of lines are compared."""
+    found = stored(fingerprints(pages), "pages")
+    distinct = found.groupBy("host", "digest").agg(F.min(F.struct("path", "row")).alias("first")).select("host", "digest", "first.path", "first.row")
     placed = ranked(distinct, F.col("host"), F.split("path", "/"), F.col("digest")).drop("n")
     block, at = F.floor(F.col("r") / BLOCK), F.col("r") % BLOCK
     near = F.when(at < SIDE, F.array(block, block - 1)).when(at >= BLOCK - SIDE, F.array(block, block + 1)).otherwise(F.array(block))
     dealt = placed.withColumn("block", F.explode(near)).withColumn("own", F.col("block") == block)
-    rows = dealt.join(found.select("row", "kind", "lines"), "row").select("block", "r", "host", "path", "digest", "own", "kind", "lines")
+    rows = dealt.join(found.select("row", "kind", "hashes", "sizes"), "row").select("block", "r", "host", "path", "digest", "own", "kind", "hashes", "sizes")
     sorted_rows = rows.repartition(shuffle_width(pages.sparkSession), "block").sortWithinPartitions("block", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def done() -> pa.RecordBatch:
-            digests, texts = zip(*differenced(held), strict=True) if any(x["own"] for x in held) else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["digest", "text"])
+            cuts = list(differenced(held))
+            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in cuts], pa.string()), pa.array([c for _, c in cuts], pa.list_(pa.int32()))], ["digest", "cut"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, BLOCK):
@@ -171,7 +187,35 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield done()
         release()
 
-    texts = sorted_rows.mapInArrow(run, "digest string, text string")
-    out = found.select("page_id", "url", "digest").join(texts, "digest", "left")
-    text = F.coalesce("text", F.lit(""))
-    return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    return sorted_rows.mapInArrow(run, "digest string, cut array<int>")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of each row of pages (page_id, url, html; other columns are not read).
+
+    Null and empty pages, and pages without a line outside of what is left out, have an empty text. A url without host is paired with none. Equal pages of a host have equal texts, and rows that are
+    repeated come as often. An empty table gives no rows.
+    """
+    rows = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    ids = list(rows.schema.fields[:2])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "html"):
+            got = [main_lines(x) for x in piece.column("html").to_pylist()]
+            digests = [digest_of(h, k, x) for h, (k, x) in zip(piece.column("host").to_pylist(), got, strict=True)]
+            made = [pa.array(digests, pa.string()), pa.array([packed("\n".join(x)) for _, x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), *made], ["page_id", "url", "digest", "data"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK):
+                some, texts = batch.slice(k, BLOCK), []
+                for data, cut in zip(some.column("data").to_pylist(), some.column("cut").to_pylist(), strict=True):
+                    lines, gone = unpacked(data).split("\n"), {*(cut or ())}
+                    texts.append(" ".join(x for i, x in enumerate(lines) if i not in gone))
+                made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), *made], ["page_id", "url", "text", "n_chars"])
+
+    packed_rows = rows.mapInArrow(read, T.StructType([*ids, T.StructField("digest", T.StringType()), T.StructField("data", T.BinaryType())]))
+    both = packed_rows.join(template_lines(pages), "digest", "left").select("page_id", "url", "data", "cut")
+    return both.mapInArrow(kept, T.StructType([*ids, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
