@@ -102,6 +102,13 @@ def scan_vcf(spark: SparkSession, d: str) -> DataFrame:
     return pair(io.scan_vcf(spark, f"{path}/*/*"), "chrom")
 
 
+def scan_vcf_region(spark: SparkSession, d: str) -> DataFrame:
+    """A region of block-gzip files, read in ranges of 64 KB."""
+    path = shared_folder(spark, "vcf")
+    io.write_vcf(two_chromosomes(many_alleles(spark, d)), path, 2, blocks=True)
+    return pair(io.scan_vcf(spark, f"{path}/*.gz", ("2", 500_000, 1_500_000), 1 << 16), "chrom")
+
+
 def scan_matrix(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "matrix")
     io.write_matrix(cline_dosage(spark, d), path)
@@ -353,6 +360,7 @@ def validation_metrics(dosages: DataFrame, s: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "allele_freq_called": lambda s, d: sites.allele_freq_called(many_alleles(s, d)).select("position", "n1", "called", *r6("freq")),
     "scan_vcf": scan_vcf,
+    "scan_vcf_region": scan_vcf_region,
     "scan_matrix": scan_matrix,
     "scan_genotype_frame": scan_genotype_frame,
     "genotype_lake": genotype_lake,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from genorigin.functions.genotype import alleles_from_dosage, clean_sample_id, require_dosage
 from genorigin.shared import stored
 
+from . import bgzf
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their file; compressed files cannot be split, so their lines are dealt out again."""
@@ -15,20 +17,42 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.repartition(spark.sparkContext.defaultParallelism) if path.endswith((".gz", ".bgz")) else rows
 
 
-def scan_vcf(spark: SparkSession, path: str) -> DataFrame:
+def _vcf_lines(spark: SparkSession, path: str, region: tuple[str, int, int] | None, size: int) -> tuple[DataFrame, DataFrame]:
+    """The lines of variant files, and their #CHROM lines. Block-gzip files are read in ranges of so many bytes, other gzip files whole."""
+    if not path.endswith((".gz", ".bgz")):
+        lines = _lines(spark, path)
+        return lines, lines.where(F.col("value").startswith("#CHROM"))
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # a name for each file; no content is read
+    blocks = [f for f in files if bgzf.is_block_gzip(f)]
+    plain = [f for f in files if f not in blocks]
+    lines = heads = None
+    if blocks:
+        span = {"region": f"{region[0]}:{region[1]}-{region[2]}"} if region else {}
+        lines = bgzf.read_lines(spark, blocks, range=str(size), **span)
+        heads = bgzf.read_lines(spark, blocks, head="true").where(F.col("value").startswith("#CHROM"))
+    if plain:
+        rows = spark.read.text(plain).select(F.col("_metadata.file_path").alias("file"), "value").repartition(spark.sparkContext.defaultParallelism)
+        first = rows.where(F.col("value").startswith("#CHROM"))
+        lines, heads = (rows, first) if lines is None else (lines.union(rows), heads.union(first))
+    return lines, heads
+
+
+def scan_vcf(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None, range_bytes: int = bgzf.RANGE) -> DataFrame:
     """Calls (sampleid, chrom, position, alleles) of VCF files. Each file's own header gives the samples of its columns.
 
-    The genotype is found by its place in FORMAT; separators are ``/`` and ``|``; a ``.`` is a missing allele, -1, and a call without genotype has two. A ValueError if no header is found.
+    Block-gzip files are read by a task for each range_bytes of them. region: (chrom, start, stop), the calls with start <= position < stop; of block-gzip files, which must then be sorted by position,
+    ranges that cannot have any are not read. The genotype is found by its place in FORMAT; separators are ``/`` and ``|``; a ``.`` is a missing allele, -1, and a call without genotype has two. A ValueError if no header is found.
     """
-    lines = _lines(spark, path)
-    heads = lines.where(F.col("value").startswith("#CHROM"))
-    if not heads.limit(1).count():
-        raise ValueError(f"Could not read a VCF at {path}")
+    lines, heads = _vcf_lines(spark, path, region, range_bytes)
     split = F.split("value", "\t")
     heads = stored(heads.select("file", F.slice(split, 10, 1_000_000_000).alias("names")), "heads")  # a row for each file: its size is known to the join
+    if not heads.limit(1).count():
+        raise ValueError(f"Could not read a VCF at {path}")
     body = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(
         "file", split[0].alias("chrom"), split[1].cast("long").alias("position"), F.split(split[8], ":").alias("format"), F.slice(split, 10, 1_000_000_000).alias("cells")
     )
+    if region:
+        body = body.where((F.col("chrom") == region[0]) & (F.col("position") >= region[1]) & (F.col("position") < region[2]))
     both = F.explode(F.arrays_zip(F.col("names").alias("sampleid"), F.col("cells").alias("cell")))
     cells = body.join(heads, "file").select("chrom", "position", F.array_position("format", "GT").cast("int").alias("gt"), both.alias("c"))
     cells = cells.select("chrom", "position", "gt", "c.sampleid", "c.cell").where("sampleid is not null")
@@ -164,20 +188,24 @@ def sink_history(history: DataFrame, prefix: str) -> str:
     return path
 
 
-def write_vcf(calls: DataFrame, path: str, parts: int = 4) -> None:
-    """Calls as VCF text, one folder per part of the sites, each with a header of its own. Sites are lines, samples columns in order of id."""
+def write_vcf(calls: DataFrame, path: str, parts: int = 4, blocks: bool = False) -> None:
+    """Calls as VCF text, one folder per part of the sites, each with a header of its own, or with blocks as one block-gzip file per part. Sites are lines sorted by position, samples columns in order
+    of id."""
     spark = calls.sparkSession
     names = calls.select("sampleid").distinct().agg(F.array_join(F.array_sort(F.collect_list("sampleid")), "\t").alias("names"))
     part = F.pmod(F.xxhash64("chrom", "position"), F.lit(parts)).cast("int")
     cell = F.array_join(F.transform("alleles", lambda a: F.when(a < 0, ".").otherwise(a.cast("string"))), "/")
     lines = calls.groupBy("chrom", "position").agg(F.array_sort(F.collect_list(F.struct("sampleid", cell.alias("gt")))).alias("cells"))
     fixed = F.concat_ws("\t", "chrom", F.col("position").cast("string"), *map(F.lit, (".", "A", "C,G", ".", ".", ".", "GT")))
-    body = lines.select(part.alias("part"), F.col("position").alias("ord"), F.concat_ws("\t", fixed, F.array_join(F.transform("cells", lambda c: c["gt"]), "\t")).alias("value"))
+    body = lines.select(part.alias("part"), "chrom", F.col("position").alias("ord"), F.concat_ws("\t", fixed, F.array_join(F.transform("cells", lambda c: c["gt"]), "\t")).alias("value"))
     columns = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
     each = spark.range(parts).select(F.col("id").cast("int").alias("part"))
-    head = each.crossJoin(F.broadcast(names)).select("part", F.lit(-1).cast("long").alias("ord"), F.concat_ws("\t", F.lit(columns), "names").alias("value"))
-    first = each.select("part", F.lit(-2).cast("long").alias("ord"), F.lit("##fileformat=VCFv4.2").alias("value"))
-    rows = body.unionByName(head).unionByName(first).repartition(parts, "part").sortWithinPartitions("part", "ord")
+    head = each.crossJoin(F.broadcast(names)).select("part", F.lit("").alias("chrom"), F.lit(-1).cast("long").alias("ord"), F.concat_ws("\t", F.lit(columns), "names").alias("value"))
+    first = each.select("part", F.lit("").alias("chrom"), F.lit(-2).cast("long").alias("ord"), F.lit("##fileformat=VCFv4.2").alias("value"))
+    rows = body.unionByName(head).unionByName(first).repartition(parts, "part").sortWithinPartitions("part", "chrom", "ord")
+    if blocks:
+        bgzf.write_lines(rows, path)
+        return
     rows.select("part", "value").write.partitionBy("part").text(path)
 
 

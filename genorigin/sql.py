@@ -111,6 +111,9 @@ R = lambda c, name=None: f"round({c}, 6) AS {name or c}"
 
 ORACLE = {
     "scan_vcf": q(MANY, f"SELECT sampleid, {CHROM} AS chrom, position, a0, a1 FROM calls"),
+    "scan_vcf_region": q(
+        MANY, f"SELECT * FROM (SELECT sampleid, {CHROM} AS chrom, position, a0, a1 FROM calls) WHERE chrom = '2' AND position >= 500000 AND position < 1500000"
+    ),
     "scan_matrix": q(CLINE, "SELECT sampleid, chrom, position, (dosage >= 1)::INT AS a0, (dosage = 2)::INT AS a1 FROM dos"),
     "scan_genotype_frame": q(CLINE, "SELECT sampleid, chrom, position, (dosage >= 1)::INT AS a0, (dosage = 2)::INT AS a1 FROM dos"),
     "genotype_lake": q(WIDE, "SELECT sampleid, chrom, position, a0, a1 FROM calls WHERE position >= 500000 AND position < 1500000"),
