@@ -9,18 +9,10 @@ from pyspark.sql import functions as F
 
 from genorigin.functions.geo import digitize
 
-from .ranks import ranked
-
-#: The most training samples that pairwise density work takes: its work is quadratic, and points are broadcast.
-MOST_POINTS = 100_000
-
-
-def _checked(points: DataFrame) -> DataFrame:
-    n = points.limit(MOST_POINTS + 1).count()
-    if n > MOST_POINTS:
-        raise ValueError(f"Pairwise densities are for up to {MOST_POINTS} samples; use histogram weights beyond")
-    return points
+from genorigin.shared import stored
 
+from .kernel_sums import block_pairs, kernel_sums
+from .ranks import ranked
 
 def hist2d_bins(points: DataFrame, xbins: int = 10, ybins: int = 10) -> DataFrame:
     """Points with xbin and ybin among equal, right-closed bins over their range."""
@@ -41,52 +33,61 @@ def hist2d_weights(points: DataFrame, xbins: int = 10, ybins: int = 10) -> DataF
 
 
 def kde_pairs(points: DataFrame) -> DataFrame:
-    """All pairs of points with their squared distance; the point table is checked to be small."""
-    p = _checked(points).select("sampleid", "x", "y")
-    q = p.select(F.col("sampleid").alias("other"), F.col("x").alias("xo"), F.col("y").alias("yo"))
-    d = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    return p.crossJoin(F.broadcast(q)).select("sampleid", "other", (d("x", "xo") + d("y", "yo")).alias("d2"))
+    """All pairs of points with their squared distance: (sampleid, other, d2). Blocks of points meet by the key of their pair."""
+    p = points.select("sampleid", "x", "y")
+    left, right = block_pairs(p, p.count(), ["sampleid", "x", "y"])
+    d = lambda c: (F.col(c) - F.col(f"other_{c}")) * (F.col(c) - F.col(f"other_{c}"))
+    return left.join(right, ["bi", "bj"]).select("sampleid", F.col("other_sampleid").alias("other"), (d("x") + d("y")).alias("d2"))
 
 
 def kde_weights(points: DataFrame, lam: float = 1.0, bandwidth: float | None = None) -> DataFrame:
     """One over the Gaussian kernel density at each point, divided by the least, to the power lam, divided by the sum. The density's constant cancels."""
     h = bandwidth or bandwidth_argmax(bandwidth_scores(points))
-    density = kde_pairs(points).groupBy("sampleid").agg(F.sum(F.exp(-F.col("d2") / F.lit(2 * h * h))).alias("density"))
-    raw = density.crossJoin(F.broadcast(density.agg(F.max("density").alias("most")))).select(
-        "sampleid", F.pow(F.col("most") / F.col("density"), F.lit(float(lam))).alias("w")
+    density = stored(kernel_sums(points.select("sampleid", "x", "y"), h), "density")
+    raw = density.crossJoin(F.broadcast(density.agg(F.max("total").alias("most")))).select(  # one row
+        "sampleid", F.pow(F.col("most") / F.col("total"), F.lit(float(lam))).alias("w")
     )
     return raw.crossJoin(F.broadcast(raw.agg(F.sum("w").alias("total")))).select("sampleid", (F.col("w") / F.col("total")).alias("sample_weight"))
 
 
-def bandwidth_scores(points: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 1000, folds: int = 5) -> DataFrame:
+def bandwidth_scores(points: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 1000, folds: int = 5, size: int = 256) -> DataFrame:
     """The summed held-out log density for every bandwidth of an even grid: (bandwidth, score).
 
-    Folds are contiguous in order of id, the first n % folds of them one larger. Pairs of points in different folds are
-    grouped by held-out point, and a pandas UDF works out the log density for the whole grid at once.
+    Folds are contiguous in order of id, the first n % folds of them one larger. Every pair of blocks of points is a group; it gives for each of its points and bandwidths the kernels of the points in other
+    folds, summed relative to the nearest of them, and that distance; these parts are put together by point. So the work grows with the square of the points, and no task holds more than two blocks.
     """
-    ids = _checked(points).select("sampleid", "x", "y")
-    numbered = ranked(ids, F.col("sampleid"))
-    size, extra = F.floor(F.col("n") / folds), F.col("n") % folds
-    fold = F.when(F.col("r") < extra * (size + 1), F.floor(F.col("r") / (size + 1))).otherwise(extra + F.floor(F.try_divide(F.col("r") - extra * (size + 1), size)))
-    dealt = numbered.withColumn("fold", fold)
-    q = dealt.select(F.col("x").alias("xo"), F.col("y").alias("yo"), F.col("fold").alias("fo"))
-    d = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    near = dealt.join(F.broadcast(q), F.col("fold") != F.col("fo")).groupBy("sampleid").agg(F.collect_list(d("x", "xo") + d("y", "yo")).alias("d2"))
+    numbered = ranked(points.select("sampleid", "x", "y"), F.col("sampleid"))
+    many, extra = F.floor(F.col("n") / folds), F.col("n") % folds
+    fold = F.when(F.col("r") < extra * (many + 1), F.floor(F.col("r") / (many + 1))).otherwise(extra + F.floor(F.try_divide(F.col("r") - extra * (many + 1), many)))
+    dealt = stored(numbered.select("r", "x", "y", fold.cast("int").alias("fold"), "n"), "folds")
+    n = dealt.count()
+    left, right = block_pairs(dealt, n, ["r", "x", "y", "fold"], size)
     grid = np.linspace(low, high, steps)
 
-    @F.pandas_udf("array<double>")
-    def log_density(d2: pd.Series) -> pd.Series:
-        out = []
-        for row in d2:
-            v = np.sort(np.asarray(row, float))
-            e = -v[:, None] / (2 * grid**2)
-            top = e[0]
-            out.append(np.log(np.exp(e - top).sum(axis=0)) + top - np.log(len(v) * 2 * np.pi * grid**2))
-        return pd.Series(out)
-
-    scored = near.select(F.posexplode(log_density("d2")).alias("k", "v"))
+    def part(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for r, x, y, f in mine[["r", "x", "y", "fold"]].itertuples(index=False):
+            o = others[others["other_fold"] != f]
+            if len(o):
+                d2 = (o["other_x"].to_numpy() - x) ** 2 + (o["other_y"].to_numpy() - y) ** 2
+                near = d2.min()
+                found.append((r, len(o), near, np.exp((near - d2)[:, None] / (2 * grid**2)).sum(axis=0).tobytes()))
+        return pd.DataFrame(found, columns=["r", "m", "near", "sums"])
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        """Log densities of the points of a slice, summed."""
+        total = np.zeros(steps)
+        for _, own in rows.groupby("r", sort=True):
+            near = own["near"].min()
+            sums = sum(np.frombuffer(s) * np.exp((near - d) / (2 * grid**2)) for s, d in zip(own["sums"], own["near"], strict=True))
+            total += np.log(sums) - near / (2 * grid**2) - np.log(own["m"].sum() * 2 * np.pi * grid**2)
+        return pd.DataFrame({"k": np.arange(steps), "v": total})
+
+    shares = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(part, "r long, m long, near double, sums binary")
+    slices = max(1, -(-n // 64))
+    by_slice = shares.withColumn("slice", F.pmod(F.xxhash64("r"), F.lit(slices))).groupBy("slice").applyInPandas(whole, "k int, v double")
     step = (high - low) / (steps - 1)
-    return scored.groupBy("k").agg(F.sum("v").alias("score")).select((F.lit(low) + F.col("k") * F.lit(step)).alias("bandwidth"), "score")
+    return by_slice.groupBy("k").agg(F.sum("v").alias("score")).select((F.lit(low) + F.col("k") * F.lit(step)).alias("bandwidth"), "score")
 
 
 def bandwidth_argmax(scores: DataFrame) -> float:
