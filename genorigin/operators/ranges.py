@@ -10,10 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The most edges a range may have to be broadcast.
-MOST_EDGES = 1_000_000
-
-
 def ring_edges(rings: DataFrame) -> DataFrame:
     """The edges of the rings: x, y, x2, y2."""
     by = Window.partitionBy("poly", "ring").orderBy("seq")
@@ -23,24 +19,35 @@ def ring_edges(rings: DataFrame) -> DataFrame:
 
 
 def rasterize_range(rings: DataFrame, resolution: float) -> DataFrame:
-    """Cells (row, col, valid) of the bounding box, int(extent / resolution) a side, row 0 at the top; valid is 1 where the cell's centre is in any polygon, else 0."""
-    edges = ring_edges(rings)
-    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
-        raise ValueError(f"A range may have {MOST_EDGES} edges")
+    """Cells (row, col, valid) of the bounding box, int(extent / resolution) a side, row 0 at the top; valid is 1 where the cell's centre is in any polygon, else 0.
+
+    Scanline fill: each edge is unfolded to the rows whose centres it crosses, and there to how many cells lie left of it. A row's crossings of a polygon are sorted, and the cells between an odd number
+    of crossings and the next are inside. Only edges' own rows and inside cells are ever made, and all meet by their keys.
+    """
     box = rings.agg(F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1"))
+    rows, cols = (((F.col(b) - F.col(a)) / resolution).cast("int") for a, b in (("by0", "by1"), ("bx0", "bx1")))
+    size = F.broadcast(box.select("*", rows.alias("rows"), cols.alias("cols")))  # one row
     cells = (
-        box.withColumn("row", F.explode(F.sequence(F.lit(0), ((F.col("by1") - F.col("by0")) / resolution).cast("int") - 1)))
+        size.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
         .repartition(F.col("row"))
-        .withColumn("col", F.explode(F.sequence(F.lit(0), ((F.col("bx1") - F.col("bx0")) / resolution).cast("int") - 1)))
-        .select("row", "col", (F.col("bx0") + (F.col("col") + 0.5) * resolution).alias("px"), (F.col("by1") - (F.col("row") + 0.5) * resolution).alias("py"))
-    )
-    crossing = ((F.col("y") > F.col("py")) != (F.col("y2") > F.col("py"))) & (
-        F.col("px") < (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x")
+        .select("row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
     )
-    level = edges.where("y <> y2")  # level edges are never crossed
-    hits = cells.join(F.broadcast(level), crossing).groupBy("row", "col", "poly").agg((F.count(F.lit(1)) % 2).alias("odd"))
-    inside = hits.groupBy("row", "col").agg(F.max("odd").alias("odd"))
-    return cells.select("row", "col").join(inside, ["row", "col"], "left").select("row", "col", F.coalesce("odd", F.lit(0)).cast("double").alias("valid"))
+    level = ring_edges(rings).where("y <> y2").crossJoin(size)  # level edges are never crossed
+    at = lambda y, shift: F.floor((F.col("by1") - y) / resolution).cast("int") + shift
+    first, last = F.greatest(F.lit(0), at(F.greatest("y", "y2"), -1)), F.least(F.col("rows") - 1, at(F.least("y", "y2"), 1))
+    unfolded = level.where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
+    py = F.col("by1") - (F.col("row") + 0.5) * resolution
+    crossed = unfolded.withColumn("py", py).where((F.col("y") > F.col("py")) != (F.col("y2") > F.col("py")))
+    crossed = crossed.withColumn("cross", (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x"))
+    guess = F.greatest(F.lit(0), F.least(F.col("cols"), F.floor((F.col("cross") - F.col("bx0")) / resolution).cast("int")))
+    left_of = lambda k: F.col("bx0") + (k + 0.5) * resolution < F.col("cross")
+    near = [F.when((guess + d >= 0) & (guess + d < F.col("cols")) & left_of(guess + d), guess + d + 1) for d in (-1, 0, 1)]
+    cell = F.coalesce(near[2], near[1], near[0], F.least(guess, F.lit(0)))  # how many cells lie left of the crossing
+    by = Window.partitionBy("row", "poly").orderBy("cell")
+    runs = crossed.select("row", "poly", cell.alias("cell")).withColumn("before", F.coalesce(F.lag("cell").over(by), F.lit(0)))
+    runs = runs.withColumn("right", F.count(F.lit(1)).over(Window.partitionBy("row", "poly")) - F.row_number().over(by) + 1)
+    inside = runs.where("right % 2 = 1 and before < cell").select("row", F.explode(F.sequence(F.col("before"), F.col("cell") - 1)).alias("col")).distinct()
+    return cells.join(inside.withColumn("hit", F.lit(1.0)), ["row", "col"], "left").select("row", "col", F.coalesce("hit", F.lit(0.0)).alias("valid"))
 
 
 def raster_shape(rings: DataFrame, resolution: float) -> DataFrame:

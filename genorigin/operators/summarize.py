@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,10 @@ from pyspark.sql.window import Window
 from genorigin.functions.geo import digitize, euclid_error
 from genorigin.functions.genotype import clean_sample_id
 
-#: Most replicate predictions of one sample and grid cells for density surfaces: a surface has their product of terms for each sample.
-MOST_GRID = 1000
+from .quantiles import exact_quantiles
+
+#: Rows of a grid that a task works out at once.
+ROWS = 10
 
 
 def join_predictions_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -34,16 +38,22 @@ def with_error(joined: DataFrame) -> DataFrame:
 
 
 def error_summary(errors: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Number, mean, median and largest error, and R² of each axis; keys give a row per group."""
-    return errors.groupBy(*(keys or [])).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("err").alias("mean_error"), F.percentile("err", F.lit(0.5)).alias("median_error"), F.max("err").alias("max_error"),
+    """Number, mean, median and largest error, and R² of each axis; keys give a row per group. The median is exact, and no task holds all values."""
+    by = keys or []
+    sums = errors.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("err").alias("mean_error"), F.max("err").alias("max_error"),
         F.pow(F.corr("x", "x_true"), F.lit(2.0)).alias("r2_x"), F.pow(F.corr("y", "y_true"), F.lit(2.0)).alias("r2_y"),
     )
+    middle = exact_quantiles(errors, "err", [0.5], by).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("q")[0].alias("median_error"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or [F.lit(True)]
+    joined = sums.join(middle if by else F.broadcast(middle), same, "left")  # without keys one row on either side
+    return joined.select(*by, "n", "mean_error", "median_error", "max_error", "r2_x", "r2_y")
 
 
 def error_quantiles(errors: DataFrame, column: str = "err") -> DataFrame:
-    q = lambda p: F.percentile(column, F.lit(p))
-    return errors.agg(F.avg(column).alias("mean_error"), q(0.5).alias("median_error"), q(0.05).alias("q05"), q(0.95).alias("q95"))
+    """One row: the mean, and exactly the median and the 5th and 95th percentile."""
+    q = exact_quantiles(errors, column, [0.5, 0.05, 0.95]).select(*[F.col("q")[k].alias(c) for k, c in enumerate(("median_error", "q05", "q95"))])
+    return errors.agg(F.avg(column).alias("mean_error")).join(F.broadcast(q), F.lit(True), "left")  # one row on either side
 
 
 def error_histogram(errors: DataFrame, bins: int = 10) -> DataFrame:
@@ -108,30 +118,40 @@ def unpivot_replicates(wide: DataFrame) -> DataFrame:
 
 
 def _checked_grid(n: int) -> int:
-    if not 1 <= n <= MOST_GRID:
-        raise ValueError(f"Grids have 1 to {MOST_GRID} points a side")
+    if n < 1:
+        raise ValueError("Grids have a point a side at least")
     return n
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _densities(xs: pd.Series, ys: pd.Series, shape: pd.DataFrame) -> pd.Series:
-    """The sums of a sample's kernels over the cells of its grid, gx by gx. shape: a, b, c of the quadratic form, the grid's limits and points a side."""
+    """The sums of a sample's kernels over some rows of its grid, gx by gx. shape: a, b, c of the quadratic form, the grid's limits and points a side, the first row and how many. One row of cells by all
+    points is held at a time."""
     out = []
-    for px, py, (a, b, c, x0, x1, y0, y1, n) in zip(xs, ys, shape.itertuples(index=False), strict=True):
+    for px, py, (a, b, c, x0, x1, y0, y1, n, first, rows) in zip(xs, ys, shape.itertuples(index=False), strict=True):
         n = int(n)
-        i = np.arange(n)
-        dx = (x0 + i * ((x1 - x0) / max(n - 1, 1)))[:, None, None] - px
-        dy = (y0 + i * ((y1 - y0) / max(n - 1, 1)))[None, :, None] - py
-        out.append(np.exp(-0.5 * (a * dx * dx + 2 * b * dx * dy + c * dy * dy)).sum(axis=2).ravel())
+        dy = (y0 + np.arange(n) * ((y1 - y0) / max(n - 1, 1)))[:, None] - py
+        flat, cross = c * dy * dy, 2 * b * dy
+        sums = []
+        for i in range(int(first), min(n, int(first + rows))):
+            dx = x0 + i * ((x1 - x0) / max(n - 1, 1)) - px
+            sums.append(np.exp(-0.5 * (a * dx * dx + cross * dx + flat)).sum(axis=1))
+        out.append(np.concatenate(sums))
     return pd.Series(out)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Into how many tasks long work on few bytes is dealt, at least."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def kde_surface(predictions: DataFrame, n: int = 100, limits: DataFrame | None = None) -> DataFrame:
     """The density of each sample's replicate predictions on an n by n grid: (sampleid, gx, gy, density).
 
     A Gaussian kernel with the sample's own covariance times Scott's factor squared, count ** (-1/3). limits: one row (xmin, xmax, ymin, ymax), by default the extent
-    of all predictions. Samples with fewer than three predictions, or a covariance that cannot be inverted, have no surface. Points are gathered by sample (they are replicates), the
-    grid is worked out for a sample at a time in numpy and unfolded, so nothing is joined.
+    of all predictions. Samples with fewer than three predictions, or a covariance that cannot be inverted, have no surface. Points are gathered by sample (they are replicates); a sample and some
+    rows of its grid are a piece of work, and pieces are dealt to a given number of tasks, as they have few bytes before they are unfolded and many after.
     """
     from genorigin.operators.samples import map_extent
 
@@ -147,8 +167,9 @@ def kde_surface(predictions: DataFrame, n: int = 100, limits: DataFrame | None =
         "sampleid", "points", "n", (F.col("vy") / F.col("det") / h).alias("a"), (-F.col("vxy") / F.col("det") / h).alias("b"), (F.col("vx") / F.col("det") / h).alias("c"),
         (2 * F.lit(3.141592653589793) * F.sqrt(F.col("det")) * h).alias("norm"),
     ).crossJoin(box)
-    sums = _densities(F.col("points")["x"], F.col("points")["y"], F.struct("a", "b", "c", "xmin", "xmax", "ymin", "ymax", F.lit(n).alias("side")))
-    cells = scaled.select("sampleid", "n", "norm", "xmin", "xmax", "ymin", "ymax", F.posexplode(sums).alias("k", "total"))
+    pieces = scaled.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(ROWS)))).repartition(4 * _tasks(predictions), "sampleid", "first")
+    sums = _densities(F.col("points")["x"], F.col("points")["y"], F.struct("a", "b", "c", "xmin", "xmax", "ymin", "ymax", F.lit(n).alias("side"), "first", F.lit(ROWS).alias("rows")))
+    cells = pieces.select("sampleid", "n", "norm", "xmin", "xmax", "ymin", "ymax", "first", F.posexplode(sums).alias("at", "total")).withColumn("k", F.col("at") + F.col("first") * n)
     at = lambda low, high, i: F.col(low) + i * ((F.col(high) - F.col(low)) / F.lit(max(n - 1, 1)))
     gx, gy = at("xmin", "xmax", F.floor(F.col("k") / n)), at("ymin", "ymax", F.col("k") % n)
     return cells.select("sampleid", gx.alias("gx"), gy.alias("gy"), (F.col("total") / F.col("n") / F.col("norm")).alias("density"))
@@ -161,16 +182,43 @@ def kde_contour_levels(surface: DataFrame) -> DataFrame:
     return levels.select("sampleid", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((85, 90, 95, 99))])
 
 
+def peak_cell(px: np.ndarray, py: np.ndarray, gx: np.ndarray, gy: np.ndarray, hx: float, hy: float) -> tuple[int, int]:
+    """The cell of the largest sum of products of both axes' kernels; of equal ones (to 9 places) the one with the least x, then y.
+
+    Branch and bound: no cell of a rectangle has a larger sum than the sum of every point's kernel at the rectangle's nearest place. Rectangles are split in four, those with the largest bounds first, down to
+    single cells, and a rectangle is left out once its bound is below a sum already found by more than the rounding. So only cells near the peak are worked out, and memory is that of the points.
+    """
+    nx, ny = len(gx), len(gy)
+
+    def axis(g: np.ndarray, p: np.ndarray, h: float, a: int, b: int) -> np.ndarray:
+        off = np.maximum(np.maximum(g[a] - p, p - g[b - 1]), 0)
+        return np.exp(-0.5 * (off / h) ** 2)
+
+    best, cells, heap = -np.inf, {}, [(-np.inf, 0, nx, 0, ny)]
+    while heap:
+        bound, a, b, c, d = heapq.heappop(heap)
+        if -bound < best - 2e-9:
+            break
+        if b - a == 1 and d - c == 1:
+            value = float(axis(gx, px, hx, a, b) @ axis(gy, py, hy, c, d))
+            cells[a, c] = round(value, 9)
+            best = max(best, value)
+            continue
+        for x in ((a, (a + b) // 2), ((a + b) // 2, b)) if b - a > 1 else ((a, b),):
+            kx = axis(gx, px, hx, *x)
+            for y in ((c, (c + d) // 2), ((c + d) // 2, d)) if d - c > 1 else ((c, d),):
+                heapq.heappush(heap, (-float(kx @ axis(gy, py, hy, *y)), *x, *y))
+    return min(cells, key=lambda k: (-cells[k], *k))
+
+
 @F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def _peaks(xs: pd.Series, ys: pd.Series, shape: pd.DataFrame) -> pd.DataFrame:
-    """The cell of the largest sum of products of both axes' kernels; of equal ones (to 9 places) the one with the least x, then y."""
     out = []
     for px, py, (x0, x1, y0, y1, hx, hy, n) in zip(xs, ys, shape.itertuples(index=False), strict=True):
         n = int(n)
         gx, gy = (a + np.arange(n) * ((b - a) / max(n - 1, 1)) for a, b in ((x0, x1), (y0, y1)))
-        kx, ky = (np.exp(-0.5 * ((g[:, None] - p) / h) ** 2) for g, p, h in ((gx, px, hx), (gy, py, hy)))
-        best = np.round(kx @ ky.T, 9).argmax()
-        out.append((gx[best // n], gy[best % n]))
+        i, j = peak_cell(np.asarray(px), np.asarray(py), gx, gy, hx, hy)
+        out.append((gx[i], gy[j]))
     return pd.DataFrame(out, columns=["x", "y"])
 
 
@@ -178,8 +226,8 @@ def kde_peak(predictions: DataFrame, n: int = 500) -> DataFrame:
     """The cell of highest density of each sample's predictions: (sampleid, x, y).
 
     A product kernel on an n by n grid over the sample's own range, with a normal-reference bandwidth per axis: 1.06 times the smaller of the standard
-    deviation and the interquartile range over 1.34, times count ** (-1/5); the kernel's deviation is that bandwidth. The factors of each axis are computed once per point and axis value, and the
-    grid is their matrix product, a sample at a time in numpy. Samples without a positive bandwidth get their mean.
+    deviation and the interquartile range over 1.34, times count ** (-1/5); the kernel's deviation is that bandwidth. The cell is found by branch and bound (``peak_cell``), a sample at a time; samples are
+    dealt to a given number of tasks. Samples without a positive bandwidth get their mean.
     """
     _checked_grid(n)
     q = lambda c, p: F.percentile(c, F.lit(p))
@@ -193,7 +241,7 @@ def kde_peak(predictions: DataFrame, n: int = 500) -> DataFrame:
     fine = F.coalesce((F.col("hx") > 0) & (F.col("hy") > 0), F.lit(False))
     poor = stats.where(~fine).select("sampleid", F.col("mx").alias("x"), F.col("my").alias("y"))
     peak = _peaks(F.col("points")["x"], F.col("points")["y"], F.struct("x0", "x1", "y0", "y1", "hx", "hy", F.lit(n).alias("side")))
-    return stats.where(fine).select("sampleid", peak.alias("p")).select("sampleid", "p.x", "p.y").unionByName(poor)
+    return stats.where(fine).repartition(4 * _tasks(predictions), "sampleid").select("sampleid", peak.alias("p")).select("sampleid", "p.x", "p.y").unionByName(poor)
 
 
 def hdr_cumulative(surface: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genorigin.functions.geo import digitize
-
 from genorigin.shared import stored
 
 from .kernel_sums import block_pairs, kernel_sums
 from .ranks import ranked
 
+
 def hist2d_bins(points: DataFrame, xbins: int = 10, ybins: int = 10) -> DataFrame:
     """Points with xbin and ybin among equal, right-closed bins over their range."""
     extent = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
