@@ -32,10 +32,8 @@ from pyspark.sql.window import Window
 from .arrow import pieces, ragged, raw, release
 from .common import stored
 from .hashing import Rolling, anchored_paths, word_hashes, word_spans
-from .rows import TIES, tied
+from .rows import TIES, ordered_ids, tied
 
-#: A document without an id counts as the one with the largest.
-NO_ID = 2**63 - 1
 KEY = ("doc", *TIES)
 PLACE = "doc long, tie1 long, tie2 long, start int"
 PIECES = f"{PLACE}, edges int, anchor long, path1 long, path2 long, node1 long, node2 long"
@@ -44,7 +42,8 @@ PRINTS = f"{PLACE}, stop int, print binary"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), *tied("text"), "text")
+    docs = docs if "__doc" in docs.columns else ordered_ids(docs.select("doc_id", "text"))
+    return docs.select(F.col("__doc").alias("doc"), *tied("text"), "text")
 
 
 def _rolled(piece: pa.RecordBatch) -> tuple[np.ndarray, list[Rolling]]:
@@ -241,10 +240,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, k: int = 16) -> DataFram
     empty string. A null id counts as the largest. Rows that share an id are never repeats of each other, and each is cut by its own text. Other columns
     are not read; an empty table gives no rows.
     """
+    docs = ordered_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     spans = repeated_spans(docs, window, k).groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    cut = _keyed(docs).join(spans, [*KEY], "left")
+    cut = docs.select("doc_id", F.col("__doc").alias("doc"), *tied("text"), "text").join(spans, [*KEY], "left")
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     )
-    rows = cut.select(F.when(F.col("doc") < NO_ID, F.col("doc")).alias("doc_id"), "text", "spans")
+    rows = cut.select("doc_id", "text", "spans")
     return rows.mapInArrow(_cut(schema.names), schema)

@@ -123,31 +123,39 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with next_text: the text of the row with the next smaller doc_id, for the smallest that of the largest.
 
-    Rows are dealt by ranges of ids, four for each shuffle partition; the last row of each range is also dealt to the range
-    above, so a window within each range finds every neighbour. Rows of equal id are ordered by a hash of their text.
+    Rows are in order of id, then of a hash of their text (rows equal in both in any order), and dealt by ranges of that order, four for each shuffle partition; an id that fills several ranges is split among them by
+    the hash. The last row of each range is also dealt to the range above, so a window within each range finds every neighbour.
     """
     keyed = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tie")
-    )
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tie"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
+    )
     ranges = 4 * shuffle_width(docs.sparkSession)
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []
-    if steps:  # binary search: the number of bounds below the id
-        table = F.array(*[F.lit(int(b)) for b in bounds])
-        here = F.aggregate(
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
+    cuts = ids.agg(F.percentile_approx("doc", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    times = {b: cuts.count(b) for b in sorted(set(cuts))}
+    bounds = list(times)
+    if bounds:  # binary search: the number of bounds below the id
+        table = F.array(*[F.lit(b) for b in bounds])
+        steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+        below = F.aggregate(
             F.array(*map(F.lit, steps)), F.lit(0),
             lambda at, s: F.when((at + s <= len(bounds)) & (F.element_at(table, F.least(at + s, F.lit(len(bounds)))) < F.col("doc")), at + s).otherwise(at),
         )
+        parts = F.element_at(F.array(*map(F.lit, times.values())), F.least(F.col("below") + 1, F.lit(len(bounds))))
+        on = (F.col("below") < len(bounds)) & (F.element_at(table, F.least(F.col("below") + 1, F.lit(len(bounds)))) == F.col("doc")) & (parts > 1)
+        place = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts), parts - 1)
+        here = F.col("below").cast("long") * 2 * (ranges + 1) + F.when(on, ranges + 1 + place).otherwise(0)
+        keyed = keyed.withColumn("below", below).withColumn("range", here.cast("long")).drop("below")
     else:
-        here = F.lit(0)
-    keyed = keyed.withColumn("range", here)
-    last = keyed.groupBy("range").agg(F.max(F.struct("doc", "tie")).alias("last"))
+        keyed = keyed.withColumn("range", F.lit(0).cast("long"))
+    last = keyed.groupBy("range").agg(F.max(F.struct("doc", "tie", "salt")).alias("last"))
     everything = Window.orderBy("range")  # a row for each range
     above = F.coalesce(F.lead("range").over(everything), F.first("range").over(everything))
-    sent = last.select(above.alias("to"), F.col("last.doc").alias("doc"), F.col("last.tie").alias("tie"))
-    copies = keyed.drop("range").join(F.broadcast(sent), ["doc", "tie"]).select("doc_id", "text", "doc", "tie", F.col("to").alias("range"), F.lit(0).alias("own"))
+    sent = last.select(above.alias("to"), "last.doc", "last.tie", "last.salt")
+    copies = keyed.drop("range").join(F.broadcast(sent), ["doc", "tie", "salt"]).select("doc_id", "text", "doc", "tie", "salt", F.col("to").alias("range"), F.lit(0).alias("own"))
     rows = keyed.withColumn("own", F.lit(1)).unionByName(copies)
-    order = Window.partitionBy("range").orderBy("own", "doc", "tie")
+    order = Window.partitionBy("range").orderBy("own", "doc", "tie", "salt")
     return rows.withColumn("next_text", F.lag("text").over(order)).where("own = 1").select("doc_id", "text", "next_text")
 
 

@@ -283,12 +283,6 @@ def join_similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolera
     return judged.unionAll(alone)
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns; rows without id stay. It judges ids, not rows: see one_row_of_each."""
-    out = join_similar(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(out, docs["doc_id"] == out["__id"], "left_anti")
-
-
 def one_row_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """Exactly one row of each component of docs (doc_id, text), with all its columns: one with the smallest id, or of a component without ids any one by its text.
 

@@ -3,9 +3,10 @@
 A text is lowered, everything but letters becomes a space, and every run of 2 to 4 bytes within a word (with the space before or after it)
 is hashed to a bucket. Each bucket has a vector; their mean over the text goes through a linear softmax. Training is
 stochastic gradient descent in numpy on a sample of labelled rows: at most ``per_language`` rows of each language (in expectation), and with many languages
-an even share of ``most`` rows, drawn by a hash of the id from the whole table, of long texts a piece of ``sample_chars``. The softmax has one more class, for what is no language: it learns from
-texts of the sample with their letters shuffled, or in their place random ones of a few alphabets. A tenth of the sample is held back to fit the temperature of the scores and, with
-pieces of its texts so that short texts are judged by short ones, the scores below which predictions of each length are rejected; the share of held-back junk that these reject is kept with the model.
+an even share of ``most`` rows, drawn by a hash of the id from the whole table. Tasks tell of each drawn text the buckets of the whole of it, with counts, and PIECES short pieces from places all over it.
+Training sees whole texts and pieces. The softmax has one more class, for what is no language: it learns from pieces with their letters shuffled, or in their place random ones of a few alphabets, or
+tokens as of code. A tenth of the sample is held back: by length, its texts and pieces and junk of the same lengths fit the temperature of the scores and the scores below which predictions are rejected, and
+the share of held-back junk that these reject is kept with the model.
 Prediction covers every whole text: as all is linear, each bucket's vector is multiplied with the softmax weights beforehand where that makes the table no wider.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import pieces
+from .arrow import pieces, ragged
 
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
@@ -29,8 +30,12 @@ UNKNOWN = "und"
 SMOOTHING = 0.02
 #: Rows of each language in the sample (in expectation, or all it has), however many languages there are.
 FEWEST = 20
-#: Characters of a text that junk is made of.
-JUNK = 2000
+#: Pieces of each text of the sample, and their longest size in characters.
+PIECES, LONGEST = 12, 512
+#: Texts up to this bit length of their number of subwords are short (some 170 characters): a larger share of good predictions may be rejected.
+SHORT = 9
+#: That of a word or two.
+WORD = 6
 #: ASCII bytes other than letters become spaces; bytes of other characters stay.
 FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 LETTER = regex.compile(r"\p{L}")
@@ -38,16 +43,27 @@ LETTER = regex.compile(r"\p{L}")
 
 @dataclass
 class Model:
-    """languages; table (buckets x classes): each bucket's scores, or with weights (width x classes) each bucket's vector; bias; temperature; the last class is no language;
-    thresholds: by the bit length of a text's number of subwords, the score below which it is rejected; caught: the share of held-back junk that is rejected."""
+    """languages; table (buckets x classes): each bucket's scores, or with weights (width x classes) each bucket's vector; bias; the last class is no language; temperatures and
+    thresholds: by the bit length of a text's number of subwords, what scores are divided by, and the score below which it is rejected; caught: the share of held-back junk that is rejected, and by
+    that length."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
-    temperature: float
+    temperatures: np.ndarray
     thresholds: np.ndarray
     weights: np.ndarray | None = None
     caught: float = 0.0
+    caught_by: dict[int, float] | None = None
+
+
+@dataclass
+class Drawn:
+    """A text of the sample: the buckets of the whole of it with their counts, and pieces of it."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+    pieces: list[str]
 
 
 def features(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +93,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def draw(text: str, seed: int, buckets: int) -> Drawn:
+    """Pieces have sizes from 2 characters on, evenly by their logarithm, from even places; a text that is shorter is its own piece."""
+    rng = np.random.default_rng(seed & (2**63 - 1))
+    sizes = np.exp(rng.uniform(np.log(2), np.log(LONGEST + 1), PIECES)).astype(int)
+    places = [int(rng.integers(0, max(1, len(text) - n + 1))) for n in sizes]
+    ids, counts = np.unique(features([text], buckets)[0], return_counts=True)
+    return Drawn(ids, counts, [text[a : a + n] for a, n in zip(places, sizes.tolist(), strict=True)])
+
+
 def junk(text: str, kind: int, rng: np.random.Generator) -> str:
-    """The text with its letters shuffled (kind 0), or replaced by random ones of a to z (1) or of 24 letters from anywhere below U+A000 (2); other characters stay."""
+    """The text with its letters shuffled (kind 0), or replaced by random ones of a to z (1) or of 24 letters from anywhere below U+A000 (2), other characters as they are; or as many characters of
+    tokens and signs as code has (3)."""
+    if kind == 3:
+        names = ["".join(map(chr, rng.integers(97, 123, int(rng.integers(1, 7))))) for _ in range(12)]
+        out = ""
+        while len(out) < len(text):
+            out += names[int(rng.integers(12))] + ("(", ")", "{", "}", '":', ",", "=", "_", ".", "/", " ", "0")[int(rng.integers(12))]
+        return out[: max(1, len(text))]
     out = np.array([*map(ord, text)], np.int64)
     at = np.flatnonzero([c.isalpha() for c in text])
     letters = out[at] if kind == 0 else np.arange(97, 123) if kind == 1 else rng.integers(0xC0, 0xA000, 24)
@@ -86,90 +118,127 @@ def junk(text: str, kind: int, rng: np.random.Generator) -> str:
     return "".join(map(chr, out.tolist()))
 
 
-def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, seed: int = 1) -> Model:
-    """Fit on texts and their labels, in memory. keep: the share of good predictions that the rejection thresholds let through."""
+class Bags:
+    """Bags of buckets, one after the other: ids with their parts of the bag, and where each bag starts."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]):
+        none = (np.zeros(1, np.int64), np.zeros(1))
+        bags = [b if len(b[0]) else none for b in bags]
+        self.sizes = np.array([len(b[0]) for b in bags], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.concatenate([b[0] for b in bags])
+        self.parts = np.concatenate([b[1] / max(1, b[1].sum()) for b in bags])
+        self.total = np.array([b[1].sum() for b in bags])
+
+    def some(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of these bags the ids, parts, the number of each one's bag among them, and where they start."""
+        sizes = self.sizes[which]
+        at = ragged(self.starts[which], sizes)
+        return self.ids[at], self.parts[at], np.repeat(np.arange(len(which)), sizes), np.cumsum(sizes) - sizes
+
+
+def train(
+    texts: list[str] | list[Drawn], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, keep_short: float = 0.985, seed: int = 1
+) -> Model:
+    """Fit on texts, or what ``draw`` tells of them, and their labels, in memory. keep, keep_short: the share of good predictions of long and short texts that the rejection thresholds let through."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, np.zeros(1))
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), np.ones(1), np.zeros(1))
     rng = np.random.default_rng(seed)
     number = {x: k for k, x in enumerate(languages)}
-    n, width_out = len(texts), len(languages) + 1
+    drawn = [t if isinstance(t, Drawn) else draw(t, seed + k, buckets) for k, t in enumerate(texts)]
+    n, width_out = len(drawn), len(languages) + 1
     order = rng.permutation(n)
-    odd = [junk(texts[i][:JUNK], k % 3, rng) for k, i in enumerate(order[::3])]  # every third of the held-back and of the other texts
-    y = np.array([number[x] for x in labels] + [len(languages)] * len(odd))
-    rows = []
-    for t in [*texts, *odd]:
-        ids, counts = np.unique(features([t], buckets)[0], return_counts=True)
-        rows.append((ids, counts / max(1, counts.sum())))
-    held, odd_held = order[: n // 10], n + np.arange(-(-(n // 10) // 3))
-    fit = np.concatenate([order[n // 10 :], np.arange(n + len(odd_held), len(rows))])
+    held, fit = order[: n // 10], order[n // 10 :]
+    audit = held if len(held) else order
+
+    def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(features([text], buckets)[0], return_counts=True)
+
+    def made(rows: np.ndarray, pieces_each: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+        """Whole texts, some pieces of each, and junk of a third of as many, in turn of every kind."""
+        bags, y = [(drawn[i].ids, drawn[i].counts) for i in rows], [number[labels[i]] for i in rows]
+        for k, i in enumerate(rows):
+            some = [p for p in rng.permutation(np.array(drawn[i].pieces, object))[:pieces_each] if LETTER.search(p)]
+            bags += [bag(p) for p in some]
+            y += [number[labels[i]]] * len(some)
+            bad = [*some[k % 3 :: 3], *(["".join(drawn[i].pieces)] if k % 3 == 0 else [])]
+            bags += [bag(junk(p, (k + j) % 4, rng)) for j, p in enumerate(bad)]
+            y += [len(languages)] * len(bad)
+        return bags, y
+
+    bags, y = made(fit, 4)
+    told, y = Bags(bags), np.array(y)
     vectors = rng.uniform(-1 / width, 1 / width, (buckets, width))
     weights, bias = np.zeros((width, width_out)), np.zeros(width_out)
 
-    def gather(batch):
-        ids = np.concatenate([rows[i][0] for i in batch])
-        part = np.concatenate([rows[i][1] for i in batch])
-        owner = np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch])
-        hidden = np.zeros((len(batch), width))
-        for k in range(width):
-            hidden[:, k] = np.bincount(owner, vectors[ids, k] * part, len(batch))
-        return ids, part, owner, hidden
-
-    steps = epochs * max(1, -(-len(fit) // 16))
-    done = 0
+    def hidden_of(told: Bags, which: np.ndarray):
+        ids, part, owner, first = told.some(which)
+        return ids, part, owner, np.add.reduceat(vectors[ids] * part[:, None], first, axis=0)
+
+    batches = max(1, -(-len(y) // 16))
+    speed = np.minimum(20, 0.5 / np.add.reduceat(told.parts**2 + 1e-12, told.starts))  # a text of few subwords moves each of them more
+    steps, done = epochs * batches, 0
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(fit), max(1, -(-len(fit) // 16))):
+        for batch in np.array_split(rng.permutation(len(y)), batches):
             lr = rate * (1 - done / steps)
             done += 1
-            ids, part, owner, hidden = gather(batch)
+            ids, part, owner, hidden = hidden_of(told, batch)
             error = _softmax(hidden @ weights + bias)
             error[np.arange(len(batch)), y[batch]] -= 1
-            back = (error @ weights.T)[owner] * part[:, None]
+            back = ((error @ weights.T) * speed[batch, None])[owner] * part[:, None]
             weights -= lr * hidden.T @ error
             bias -= lr / 10 * error.mean(axis=0)
             used, where = np.unique(ids, return_inverse=True)
             for k in range(width):
-                vectors[used, k] -= lr * 20 * np.bincount(where, back[:, k], len(used))
-    audit = held if len(held) else order
-    both = np.concatenate([audit, odd_held])
-    logits = gather(both)[3] @ weights + bias
-    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
-    goal = np.full(logits.shape, SMOOTHING / width_out)
-    goal[np.arange(len(both)), y[both]] += 1 - SMOOTHING
-    loss = [-(goal * np.log(_softmax(logits / t) + 1e-300)).sum(axis=1).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(loss))])
+                vectors[used, k] -= lr * np.bincount(where, back[:, k], len(used))
+    bags, y = made(audit, PIECES)
+    told, y = Bags(bags), np.array(y)
+    logits = np.concatenate([hidden_of(told, some)[3] for some in np.array_split(np.arange(len(y)), max(1, len(y) // 256))]) @ weights + bias
+    bits = np.frexp(told.total.astype(float))[1].astype(np.int64)
+    temperatures, thresholds = calibrated(logits, y, bits, width_out - 1, keep, keep_short)
+    score = _softmax(logits / temperatures[bits, None])[:, :-1].max(axis=1)
+    bad, gone = y == width_out - 1, score < thresholds[bits]
     wide = width_out > width
-    model = Model(languages, (vectors if wide else vectors @ weights).astype(np.float32), bias, temperature, np.zeros(1), weights if wide else None)
-    model.thresholds = calibrated(model, [texts[i] for i in audit], [labels[i] for i in audit], keep, rng)
-    trash = [odd[i - n] for i in odd_held]
-    model.caught = float(predict_batch(model, trash)[2].mean()) if trash else 0.0
-    return model
+    return Model(
+        languages, (vectors if wide else vectors @ weights).astype(np.float32), bias, temperatures, thresholds, weights if wide else None, float(gone[bad].mean()) if bad.any() else 0.0,
+        {int(b): float(gone[bad & (bits == b)].mean()) for b in np.unique(bits[bad])},
+    )
 
 
-def calibrated(model: Model, texts: list[str], labels: list[str], keep: float, rng: np.random.Generator, pieces_each: int = 4) -> np.ndarray:
-    """By bit length of the number of subwords: the quantile 1 - keep of the scores of good predictions of texts and pieces of them of that length.
+def _pooled(bits: np.ndarray, b: int, mine: np.ndarray, enough: float) -> np.ndarray:
+    """Which of the rows are of this bit length, or, if they are too few, of the next shorter ones as well, as far as that needs."""
+    low = b
+    while low and (mine & (bits >= low) & (bits <= b)).sum() < enough:
+        low -= 1
+    return mine & (bits >= low) & (bits <= b)
 
-    Pieces are of 2 to 3, 4 to 7, 8 to 15, ... characters, pieces_each of every such range up to the text's size. A length with too few predictions for that quantile takes in
-    shorter ones, as far as it needs; if there are still too few, nothing of that length is rejected for its score.
+
+def calibrated(logits: np.ndarray, y: np.ndarray, bits: np.ndarray, none: int, keep: float, keep_short: float) -> tuple[np.ndarray, np.ndarray]:
+    """By bit length of the number of subwords: the temperature under which held-back texts and junk of that length are likeliest, and the quantile 1 - keep of the scores of good predictions.
+
+    A length with too few of them takes in shorter ones; if there are still too few, nothing of that length is rejected for its score. Texts of a word or two are judged no harder than somewhat longer ones.
     """
-    bits, good = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for text, label in zip(texts, labels, strict=True):
-        sizes = [n for k in range(1, len(text).bit_length()) for n in rng.integers(1 << k, min(2 << k, len(text) + 1), pieces_each).tolist()]
-        parts = [text, *[text[a : a + n] for n in sizes for a in [int(rng.integers(0, len(text) - n + 1))]]]
-        names, score, _, length = _judged(model, parts)
-        right = np.array([x == label for x in names], bool)
-        bits.append(length[right])
-        good.append(score[right])
-    bits, good = np.concatenate(bits), np.concatenate(good)
-    out = np.zeros(int(bits.max()) + 1 if len(bits) else 1)
-    enough = 1 / (1 - keep)
-    for b in range(len(out)):
-        low = b
-        while low and ((bits >= low) & (bits <= b)).sum() < enough:
-            low -= 1
-        mine = good[(bits >= low) & (bits <= b)]
-        out[b] = np.quantile(mine, 1 - keep) if len(mine) >= enough else 0.0
-    return np.minimum.accumulate(out[::-1])[::-1]  # no length is judged harder than a longer one
+    lengths = int(bits.max()) + 1 if len(bits) else 1
+    temperatures, thresholds = np.ones(lengths), np.zeros(lengths)
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
+    goal = np.full(logits.shape, SMOOTHING / logits.shape[1])
+    goal[np.arange(len(y)), y] += 1 - SMOOTHING
+    for b in range(lengths):
+        some = _pooled(bits, b, np.ones(len(y), bool), 100)
+        if some.any():
+            loss = [-(goal[some] * np.log(_softmax(logits[some] / t) + 1e-300)).sum(axis=1).mean() for t in grid]
+            temperatures[b] = grid[int(np.argmin(loss))]
+    scores = _softmax(logits / temperatures[bits, None])[:, :none]
+    good = (y != none) & (scores.argmax(axis=1) == y)
+    for b in range(lengths):
+        share = 1 - (keep_short if b <= SHORT else keep)
+        some = _pooled(bits, b, good, 1 / share)
+        if some.sum() >= 1 / share:
+            thresholds[b] = np.quantile(scores[some].max(axis=1), share)
+    for b in range(min(WORD, lengths)):
+        thresholds[b] = thresholds[b : WORD + 1].min()
+    return temperatures, thresholds
 
 
 def _judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -181,15 +250,17 @@ def _judged(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     sums = np.stack([np.bincount(owner, model.table[ids, k], n) for k in range(model.table.shape[1])], axis=1)
     mean = sums / np.maximum(counts, 1)[:, None]
     best, score = np.zeros(n, np.int64), np.zeros(n)
+    bits = np.frexp(counts.astype(float))[1].astype(np.int64)
+    heat = model.temperatures[np.minimum(bits, len(model.temperatures) - 1)]
     width = max(1, (1 << 22) // len(model.languages))
     for at in range(0, n, width):  # in parts, for memory
         part = mean[at : at + width]
-        scores = _softmax(((part if model.weights is None else part @ model.weights) + model.bias) / model.temperature)
+        scores = _softmax(((part if model.weights is None else part @ model.weights) + model.bias) / heat[at : at + width, None])
         scores = scores[:, : len(model.languages)]  # without the class that is no language
         best[at : at + width], score[at : at + width] = scores.argmax(axis=1), scores.max(axis=1)
     score[~readable] = 0.0
     names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), readable.tolist(), strict=True)]
-    return names, score, readable, np.frexp(counts.astype(float))[1].astype(np.int64)
+    return names, score, readable, bits
 
 
 def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -204,12 +275,12 @@ def fold_of(doc_id: str, folds: int = 3) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds))
 
 
-def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3, per_language: int = 600, most: int = 6000, sample_chars: int = 1 << 14) -> Model:
+def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3, per_language: int = 600, most: int = 6000, buckets: int = 1 << 16) -> Model:
     """Learn from text and label of docs (doc_id, text, label) outside the held-out fold; rows without id, text or label are left out.
 
     All labels are languages. Each has the same share of the sample: ``per_language`` rows, or with more labels ``most`` divided by their number, but never under FEWEST;
-    a label with fewer rows gives all it has. So the sample, which is held in memory, is at most ``most`` or FEWEST rows a label, of a text of more than
-    ``sample_chars`` characters only a piece of that size, from a place drawn by the id.
+    a label with fewer rows gives all it has. So the sample is at most ``most`` or FEWEST rows a label, of each of which at most ``buckets`` counts and a few short pieces are held in memory, whatever the
+    text's size; they are worked out in tasks, over whole texts.
     """
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", folds) != held_out))
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
@@ -218,13 +289,21 @@ def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3,
     share = min(per_language, max(most // len(counts), FEWEST))
     schema = T.StructType([T.StructField(label, docs.schema[label].dataType), T.StructField("__rate", T.DoubleType())])
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, share / n)) for k, n in counts.items()], schema)
-    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    spare = F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1
-    piece = F.expr("text").substr(F.pmod(F.xxhash64(F.lit(18), "doc_id"), spare).cast("int") + 1, F.lit(sample_chars))
-    drawn = rows.select("doc_id", piece.alias("text"), label, draw.alias("__u")).join(F.broadcast(rates), label).where("__u < __rate")
-    got = drawn.select("__u", "doc_id", "text", F.col(label).alias("label")).distinct().toPandas()
-    got = got.sort_values(["__u", "doc_id", "text", "label"], kind="stable")
-    return train(got["text"].tolist(), got["label"].tolist())
+    draw_ = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.select("doc_id", "text", F.col(label).alias("label"), F.xxhash64(F.lit(18), "doc_id", "text").alias("seed"), draw_.alias("__u"))
+    drawn = drawn.join(F.broadcast(rates.withColumnRenamed(label, "label")), "label").where("__u < __rate").select("__u", "doc_id", "text", "label", "seed").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", 1 << 18):
+            got = [draw(t, s, buckets) for t, s in zip(piece.column("text").to_pylist(), piece.column("seed").to_pylist(), strict=True)]
+            made = [pa.array([d.ids for d in got], pa.list_(pa.int64())), pa.array([d.counts for d in got], pa.list_(pa.int64())), pa.array([d.pieces for d in got], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in ("__u", "doc_id", "label", "seed")], *made], ["__u", "doc_id", "label", "seed", "ids", "counts", "pieces"])
+
+    fields = [drawn.schema[c] for c in ("__u", "doc_id", "label", "seed")]
+    extra = [T.StructField(c, T.ArrayType(k)) for c, k in (("ids", T.LongType()), ("counts", T.LongType()), ("pieces", T.StringType()))]
+    got = drawn.mapInArrow(run, T.StructType([*fields, *extra])).toPandas().sort_values(["__u", "doc_id", "label", "seed"], kind="stable")
+    sample = [Drawn(np.asarray(i), np.asarray(c), list(p)) for i, c, p in zip(got["ids"], got["counts"], got["pieces"], strict=True)]
+    return train(sample, got["label"].tolist())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -45,6 +45,34 @@ def test_debruijn(edge_docs, no_docs):
     assert debruijn.dedup_substrings(no_docs).count() == 0
 
 
+def test_ids_at_the_ends_of_their_range(spark):
+    """The largest and the smallest id, beside rows without id, which are above all others in op1 and count as the smallest in op6."""
+    least, most = -(2**63), 2**63 - 1
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(least, text), (most, text), (None, text), (None, text + " x"), (most, "other words")]
+    for some, kept in ((rows, {(least, 60), (most, 0), (None, 0), (None, 1), (most, 2)}), (rows[1:], {(most, 60), (None, 0), (None, 1), (most, 2)}), (rows[2:4], {(None, 60), (None, 61)})):
+        out = debruijn.dedup_substrings(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.n_words - r.n_removed) for r in out} == kept and len(out) == len(some)
+    got = {(r.doc_id, r.text): r.next_text for r in fingerprints.with_next(spark.createDataFrame([(least, "a"), (0, "b"), (most, "c")], "doc_id long, text string")).collect()}
+    assert got == {(most, "c"): "b", (0, "b"): "a", (least, "a"): "c"}
+
+
+def test_next_of_many_rows_under_one_id(spark):
+    """A third of the rows has no id and another one id; every row but the last has the one before it in order, and no range has more than a few parts of them."""
+    rows = [(None, f"n{k}") for k in range(4000)] + [(7, f"s{k}") for k in range(4000)] + [(k, f"t{k}") for k in range(100, 4100)]
+    out = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 12_000 and Counter(r.next_text for r in out) == Counter(x for _, x in rows)
+    of = {x: i for i, x in rows}
+    place = lambda i: -1 if i is None else i
+    assert sum(place(of[r.next_text]) > place(r.doc_id) for r in out) == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [len(x) for x in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 12_000 and max(sizes) < 6500
+
+
 def test_debruijn_ids_decide(spark):
     a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(60))
     docs = spark.createDataFrame([(None, a), (7, f"{b} {a}"), (7, a), (3, f"x {b}")], "doc_id long, text string")
@@ -173,8 +201,8 @@ def test_jaccard(edge_docs, no_docs):
     got = Counter((r.doc_id, r.n_links, r.component_id) for r in out)
     assert len(out) == 12 and got[4, 1, 4] == 1 and got[8, 1, 4] == 1 and got[5, 1, 5] == 2 and got[1, 0, 1] == 1 and got[None, 0, None] == 2
     assert jaccard.join_similar(no_docs).count() == 0
-    kept = jaccard.one_of_each(edge_docs).collect()
-    assert len(kept) == 11 and 8 not in {r.doc_id for r in kept}
+    kept = jaccard.one_row_of_each(edge_docs).collect()
+    assert len(kept) == 10 and 8 not in {r.doc_id for r in kept}
 
 
 def test_jaccard_large_group(spark):

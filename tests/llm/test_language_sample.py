@@ -42,6 +42,6 @@ def test_wide_models_predict_as_narrow_ones():
     texts, labels = zip(*[(t, f"l{k}") for k in range(3) for t in words(k, 40, rng)])
     narrow, wide = (langid.train(list(texts), list(labels), width=w) for w in (16, 2))
     assert narrow.weights is None and wide.weights is not None
-    folded = langid.Model(wide.languages, wide.table @ wide.weights, wide.bias, wide.temperature, wide.thresholds)
+    folded = langid.Model(wide.languages, wide.table @ wide.weights, wide.bias, wide.temperatures, wide.thresholds)
     a, b = (langid.predict_batch(m, [*texts, None, "123"]) for m in (wide, folded))
     assert a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-5)
