@@ -34,6 +34,8 @@ FEWEST = 20
 PIECES, LONGEST = 12, 512
 #: Texts up to this bit length of their number of subwords are short (some 170 characters): a larger share of good predictions may be rejected.
 SHORT = 9
+#: The share of held-back junk that is to be rejected.
+JUNK = 0.99
 #: That of a word or two.
 WORD = 6
 #: ASCII bytes other than letters become spaces; bytes of other characters stay.
@@ -138,7 +140,7 @@ class Bags:
 
 
 def train(
-    texts: list[str] | list[Drawn], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 0.5, keep: float = 0.998, keep_short: float = 0.985, seed: int = 1
+    texts: list[str] | list[Drawn], labels: list[str], buckets: int = 1 << 16, width: int = 16, epochs: int = 6, rate: float = 0.5, keep: float = 0.998, keep_short: float = 0.985, seed: int = 1
 ) -> Model:
     """Fit on texts, or what ``draw`` tells of them, and their labels, in memory. keep, keep_short: the share of good predictions of long and short texts that the rejection thresholds let through."""
     languages = sorted(set(labels))
@@ -167,7 +169,7 @@ def train(
             y += [len(languages)] * len(bad)
         return bags, y
 
-    bags, y = made(fit, 4)
+    bags, y = made(fit, 3)
     told, y = Bags(bags), np.array(y)
     vectors = rng.uniform(-1 / width, 1 / width, (buckets, width))
     weights, bias = np.zeros((width, width_out)), np.zeros(width_out)
@@ -215,7 +217,8 @@ def _pooled(bits: np.ndarray, b: int, mine: np.ndarray, enough: float) -> np.nda
 
 
 def calibrated(logits: np.ndarray, y: np.ndarray, bits: np.ndarray, none: int, keep: float, keep_short: float) -> tuple[np.ndarray, np.ndarray]:
-    """By bit length of the number of subwords: the temperature under which held-back texts and junk of that length are likeliest, and the quantile 1 - keep of the scores of good predictions.
+    """By bit length of the number of subwords: the temperature under which held-back texts and junk of that length are likeliest, and the score below which predictions are rejected:
+    the quantile 1 - keep of the scores of good predictions, or that which rejects the share JUNK of the junk if this is lower.
 
     A length with too few of them takes in shorter ones; if there are still too few, nothing of that length is rejected for its score. Texts of a word or two are judged no harder than somewhat longer ones.
     """
@@ -233,9 +236,11 @@ def calibrated(logits: np.ndarray, y: np.ndarray, bits: np.ndarray, none: int, k
     good = (y != none) & (scores.argmax(axis=1) == y)
     for b in range(lengths):
         share = 1 - (keep_short if b <= SHORT else keep)
-        some = _pooled(bits, b, good, 1 / share)
+        some, bad = _pooled(bits, b, good, 1 / share), _pooled(bits, b, y == none, 50)
         if some.sum() >= 1 / share:
             thresholds[b] = np.quantile(scores[some].max(axis=1), share)
+            if bad.any():  # no higher than rejecting junk needs
+                thresholds[b] = min(thresholds[b], np.quantile(scores[bad].max(axis=1), JUNK))
     for b in range(min(WORD, lengths)):
         thresholds[b] = thresholds[b : WORD + 1].min()
     return temperatures, thresholds
