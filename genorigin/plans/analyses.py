@@ -177,6 +177,12 @@ def ensemble(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Option
     return fit_predict_groups(stored(_fold_table(dosages, samples, k, seed, weights), "table"), ["fold"], options)
 
 
+def ensemble_pred_only(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
+    """The mean over the models of all folds of the predictions of unknown samples: sampleid, x, y."""
+    found = ensemble(dosages, samples, k, options, seed, weights).where("role = 'pred'")
+    return found.groupBy("sampleid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
 def ensemble_history(dosages: DataFrame, samples: DataFrame, k: int = 5, options: Options = Options(), seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
     return history(fit_groups(_fold_table(dosages, samples, k, seed, weights).where(F.col("role").isin("train", "val")), ["fold"], options), ["fold"])
 
@@ -184,6 +190,7 @@ def ensemble_history(dosages: DataFrame, samples: DataFrame, k: int = 5, options
 #: The analyses by name, and the names under which their predictions are written.
 ANALYSES = {
     "single": run_single, "windows": run_windows, "bootstrap": run_bootstraps, "jackknife": run_jackknife, "holdout": train_holdout, "all_holdouts": run_holdouts, "ensemble": ensemble,
+    "ensemble_pred_only": ensemble_pred_only,
 }
 
 

@@ -182,6 +182,15 @@ def sink_predictions(predictions: DataFrame, prefix: str, analysis: str) -> str:
     return path
 
 
+def sink_bootstraps(predictions: DataFrame, prefix: str) -> list[str]:
+    """Write the predictions of each replicate to ``<prefix>_boot<replicate>_predlocs.txt``; returns the paths. predictions should be a stored table: it is read once for each."""
+    paths = []
+    for r in sorted(row["replicate"] for row in predictions.select("replicate").distinct().collect()):  # a number for each replicate
+        paths.append(f"{prefix}_boot{r}_predlocs.txt")
+        predictions.where(F.col("replicate") == r).drop("replicate").withColumnRenamed("sampleid", "sampleID").write.mode("overwrite").csv(paths[-1], header=True)
+    return paths
+
+
 def sink_history(history: DataFrame, prefix: str) -> str:
     path = f"{prefix}_history.txt"
     history.write.mode("overwrite").csv(path, sep="\t", header=True)

@@ -226,5 +226,9 @@ def test_command_line(spark, sf_dir, samples, tmp_path):
     assert single.endswith("one_predlocs.txt") and spark.read.csv(single, header=True).count() == 95
     fold = run(spark, [*quick, "--out", f"{tmp_path}/two", "--analysis", "ensemble", "--k", "3"])
     assert fold.endswith("two_ensemble_predlocs.csv") and spark.read.csv(fold, header=True).count() == 3 * 50 + 450
+    boot = run(spark, [*quick, "--out", f"{tmp_path}/three", "--analysis", "bootstrap", "--replicates", "2", "--keep-bootstraps"])
+    assert spark.read.csv(boot, header=True).count() == 190 and all(spark.read.csv(f"{tmp_path}/three_boot{b}_predlocs.txt", header=True).count() == 95 for b in (0, 1))
+    only = run(spark, [*quick, "--out", f"{tmp_path}/four", "--analysis", "ensemble_pred_only", "--k", "2"])
+    assert only.endswith("four_ensemble_predlocs_pred_only.csv") and spark.read.csv(only, header=True).count() == 50
     with pytest.raises(ValueError, match="Unknown analysis"):
         analyses.from_calls(spark.createDataFrame([], "sampleid string"), samples, "other")
