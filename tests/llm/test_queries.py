@@ -233,3 +233,70 @@ def test_pipeline(spark, sf_dir, texts):
     assert len(ids - set(uses)) < len(ids) / 2  # the mix leaves some of the large sources
     for r in got:
         assert r.n_tokens == len(t.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
+def near_copy_groups(rows, words=5, threshold=0.8):
+    """The component of each row by comparing all with all: sets of runs of five words, or fewer where a text has fewer."""
+    sets = []
+    for r in rows:
+        w = WORD.findall(r.text or "")
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and min(len(a), len(b)) >= threshold * max(len(a), len(b)) and len(a & b) >= threshold * len(a | b):
+                root[top(i)] = top(j)
+    return [top(i) for i in range(len(rows))]
+
+
+def test_pipeline_stages_by_hand(spark, sf_dir):
+    """Each stage on what its predecessor kept, against brute force over those rows: near copies, secrets, the mix with its passes, tokens. (Language is learned: it keeps rows as they are, and nearly all.)"""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    stages = dict(p.STAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    readable = {r.doc_id: r for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    kept = stages["language"](spark, docs, sf_dir).cache()
+    rows = kept.collect()
+    assert all(readable[r.doc_id] == r for r in rows) and len({r.doc_id for r in rows}) == len(rows) > 0.98 * len(readable)
+
+    group = near_copy_groups(rows)
+    first = {}
+    for r, g in zip(rows, group, strict=True):
+        first[g] = min(first.get(g, r.doc_id), r.doc_id)
+    one = stages["near_copies"](spark, kept, sf_dir).cache()
+    assert {r.doc_id: r for r in one.collect()} == {r.doc_id: r for r in rows if r.doc_id in set(first.values())} and one.count() == len(first) < len(rows)
+
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+    def clean(t):
+        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        return not spans and not linked(t, spans)
+
+    safe = stages["secrets"](spark, one, sf_dir).cache()
+    assert {r.doc_id: r for r in safe.collect()} == {r.doc_id: r for r in one.collect() if clean(r.text)} and 0 < safe.count()
+
+    con = duckdb.connect()
+    con.register("documents", safe.toPandas())
+    mix = con.sql(f"SELECT doc_id, size, taken, position FROM ({ORACLE['op8_mixing']}) WHERE taken > 0").df()
+    uses = {int(r.doc_id): -(-int(r.taken) // int(r["size"])) for _, r in mix.iterrows()}
+    mixed = stages["mixing"](spark, safe, sf_dir).cache()
+    got = mixed.collect()
+    texts = {r.doc_id: r for r in safe.collect()}
+    assert Counter(r.doc_id for r in got) == Counter(uses) and all(texts[r.doc_id] == r for r in got) and max(uses.values()) == 2
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    out = stages["tokens"](spark, mixed, sf_dir).collect()
+    ids = {i: t.encode(texts[i].text, add_special_tokens=False).ids for i in uses}
+    want = Counter((r.doc_id, r.lang, r.source, len(ids[r.doc_id]), sha(",".join(map(str, ids[r.doc_id])))) for r in got)
+    assert Counter((r.doc_id, r.lang, r.source, r.n_tokens, r.ids_sha256) for r in out) == want
