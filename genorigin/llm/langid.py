@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import pieces, ragged
+from .arrow import pieces, ragged, release
 
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
@@ -101,7 +101,7 @@ def draw(text: str, seed: int, buckets: int) -> Drawn:
     sizes = np.exp(rng.uniform(np.log(2), np.log(LONGEST + 1), PIECES)).astype(int)
     places = [int(rng.integers(0, max(1, len(text) - n + 1))) for n in sizes]
     ids, counts = np.unique(features([text], buckets)[0], return_counts=True)
-    return Drawn(ids, counts, [text[a : a + n] for a, n in zip(places, sizes.tolist(), strict=True)])
+    return Drawn(ids.astype(np.int32), counts.astype(np.int32), [text[a : a + n] for a, n in zip(places, sizes.tolist(), strict=True)])
 
 
 def junk(text: str, kind: int, rng: np.random.Generator) -> str:
@@ -124,12 +124,12 @@ class Bags:
     """Bags of buckets, one after the other: ids with their parts of the bag, and where each bag starts."""
 
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]):
-        none = (np.zeros(1, np.int64), np.zeros(1))
+        none = (np.zeros(1, np.int32), np.zeros(1, np.int32))
         bags = [b if len(b[0]) else none for b in bags]
         self.sizes = np.array([len(b[0]) for b in bags], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.ids = np.concatenate([b[0] for b in bags])
-        self.parts = np.concatenate([b[1] / max(1, b[1].sum()) for b in bags])
+        self.ids = np.concatenate([b[0].astype(np.int32) for b in bags])
+        self.parts = np.concatenate([(b[1] / max(1, b[1].sum())).astype(np.float32) for b in bags])
         self.total = np.array([b[1].sum() for b in bags])
 
     def some(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -301,14 +301,20 @@ def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 1 << 18):
             got = [draw(t, s, buckets) for t, s in zip(piece.column("text").to_pylist(), piece.column("seed").to_pylist(), strict=True)]
-            made = [pa.array([d.ids for d in got], pa.list_(pa.int64())), pa.array([d.counts for d in got], pa.list_(pa.int64())), pa.array([d.pieces for d in got], pa.list_(pa.string()))]
+            made = [pa.array([d.ids for d in got], pa.list_(pa.int32())), pa.array([d.counts for d in got], pa.list_(pa.int32())), pa.array([d.pieces for d in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in ("__u", "doc_id", "label", "seed")], *made], ["__u", "doc_id", "label", "seed", "ids", "counts", "pieces"])
 
     fields = [drawn.schema[c] for c in ("__u", "doc_id", "label", "seed")]
-    extra = [T.StructField(c, T.ArrayType(k)) for c, k in (("ids", T.LongType()), ("counts", T.LongType()), ("pieces", T.StringType()))]
-    got = drawn.mapInArrow(run, T.StructType([*fields, *extra])).toPandas().sort_values(["__u", "doc_id", "label", "seed"], kind="stable")
-    sample = [Drawn(np.asarray(i), np.asarray(c), list(p)) for i, c, p in zip(got["ids"], got["counts"], got["pieces"], strict=True)]
-    return train(sample, got["label"].tolist())
+    extra = [T.StructField(c, T.ArrayType(k)) for c, k in (("ids", T.IntegerType()), ("counts", T.IntegerType()), ("pieces", T.StringType()))]
+    got = drawn.mapInArrow(run, T.StructType([*fields, *extra])).toArrow().combine_chunks()
+    keys = got.select(["__u", "doc_id", "label", "seed"]).to_pandas()
+    order = keys.sort_values([*keys.columns], kind="stable").index.to_numpy()
+    ids, counts, texts = (got.column(c).chunk(0) if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("ids", "counts", "pieces"))
+    at = [np.asarray(x.offsets) for x in (ids, counts)]
+    flat = [x.values.to_numpy() for x in (ids, counts)]  # rows of the sample are views of these
+    sample = [Drawn(*(f[o[k] : o[k + 1]] for f, o in zip(flat, at, strict=True)), texts[int(k)].as_py()) for k in order]
+    release()
+    return train(sample, keys["label"].iloc[order].tolist())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
