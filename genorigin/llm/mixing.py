@@ -65,6 +65,11 @@ def schedule_time(share: Column, lean: Column) -> Column:
     return F.lit(2.0) * share / (a + F.sqrt(F.greatest(a * a - F.lit(4.0) * lean * share, F.lit(0.0))))
 
 
+def words_due(time: Column, target: Column, lean: Column) -> Column:
+    """The integral of a schedule from 0 to this time."""
+    return target * (time * (F.lit(1.0) + lean) - lean * time * time)
+
+
 def _keys() -> list[Column]:
     """key: a digest of id and text, which orders a source's documents; named: the source, never null."""
     text = F.md5(F.coalesce("text", F.lit("")))
@@ -92,26 +97,37 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, ra
     return placed.withColumn("begin", begin).withColumn("due", F.floor("target")).drop("bucket", "start")
 
 
-def _taken(begin: Column, number: int) -> Column:
-    """Words taken of a document in this pass over its source."""
-    return F.least(F.greatest(F.col("due") - begin - F.lit(number) * F.col("source_size"), F.lit(0)), F.col("size")).cast("long")
+def _passes(begin: Column, most: int) -> Column:
+    """An array of (number, time, words) for each pass over its source in which words of a document are due: the time of its first word, and the integral of the source's schedule from there to the time of
+    its last word, or of the last word due. Both times invert the schedule at whole words, so the integral is a whole number, up to some 10^14 words of a source."""
+    lean, target = F.col("lean"), F.col("target")
+
+    def used(k: int) -> Column:
+        first = begin + F.lit(k) * F.col("source_size")
+        time = lambda words: schedule_time(words / target, lean)
+        words = words_due(time(F.least(first + F.col("size"), F.col("due"))), target, lean) - words_due(time(first), target, lean)
+        use = F.struct(F.lit(k).alias("number"), time(first).alias("time"), F.rint(words).cast("long").alias("words"))
+        return F.when((F.col("size") > 0) & (first < F.col("due")), use)
+
+    return F.array_compact(F.array(*[used(k) for k in range(most)]))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, ramp: float = 0.5) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, lean, taken, position, begin.
+    """Per document: doc_id, size, source, source_size, target, lean, taken, position, begin; range-sorted by position, documents that are not used at the end.
 
     docs: (doc_id, text, source). taken counts words, repeats included: each source runs through its documents in keyed order up to
-    ``most`` times until its target (rounded down) is met, so only the document at the end is taken in part. position is the
-    training time of a document's first use, null if it is not used. Sizes of null and empty texts are 0 and take 0. A null source is a
+    ``most`` times until its target (rounded down) is met, so only the document at the end is taken in part: they are what the source's schedule hands out between the times at which the document's
+    first and last words are due, in every pass. position is the training time of a document's first use, null if it is not used. Sizes of null and empty texts are 0 and take 0. A null source is a
     source. Null or repeated ids are told apart by a digest of the text; rows that are equal in id, text and source follow each other, and each is taken by itself.
     An empty table gives no rows. Other columns are not read.
     """
     each = plan(docs, weights, share, most, ramp).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    placed = each.withColumn("begin", F.col("begin") + F.col("copy") * F.col("size"))
-    taken = sum(_taken(F.col("begin"), k) for k in range(most))
-    placed = placed.withColumn("taken", taken)
-    first = F.when(F.col("taken") > 0, schedule_time(F.col("begin") / F.col("target"), F.col("lean")))
-    return placed.withColumn("position", first).select("doc_id", "size", "source", "source_size", "target", "lean", "taken", "position", "begin")
+    placed = each.withColumn("begin", F.col("begin") + F.col("copy") * F.col("size")).withColumn("passes", _passes(F.col("begin"), most))
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    placed = placed.withColumn("taken", taken).withColumn("position", F.try_element_at("passes", F.lit(1))["time"])
+    order = [F.col("position").asc_nulls_last(), "key", "named", "copy"]
+    dealt = placed.drop("passes").repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "size", "source", "source_size", "target", "lean", "taken", "position", "begin")
 
 
 def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, ramp: float = 0.5) -> DataFrame:
@@ -123,10 +139,9 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int =
     cols = docs.columns
     order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
     rows = docs.select(*_keys(), F.struct("*").alias("__row"), order.alias("__order")).groupBy("key", "named").agg(F.min_by("__row", "__order").alias("__row"))
-    uses = [F.when(_taken(F.col("begin") + F.col("copy") * F.col("size"), k) > 0, F.lit(k)) for k in range(most)]
-    passes = plan(docs, weights, share, most, ramp).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("pass", F.explode(F.array_compact(F.array(*uses))))
-    done = F.least((F.col("begin") + F.col("copy") * F.col("size") + F.col("pass") * F.col("source_size")) / F.col("target"), F.lit(1.0))
-    timed = passes.select("key", "named", schedule_time(done, F.col("lean")).alias("time"), "pass", "copy")
+    each = plan(docs, weights, share, most, ramp).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    uses = each.withColumn("use", F.explode(_passes(F.col("begin") + F.col("copy") * F.col("size"), most)))
+    timed = uses.select("key", "named", F.col("use.time").alias("time"), F.col("use.number").alias("pass"), "copy")
     order = ["time", "key", "named", "pass", "copy"]
     dealt = rows.join(timed, ["key", "named"]).repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
     return dealt.select(*[F.col(f"__row.`{c}`").alias(c) for c in cols])

@@ -389,3 +389,15 @@ def test_stages_on_edges(spark, edge_docs, no_docs, sf_dir):
             out = stage(spark, docs, sf_dir)
             assert name == "tokens" or out.columns == p.COLUMNS
             out.collect()
+
+
+def test_mix_is_sorted_by_range(spark):
+    """The mix itself deals documents by ranges of their training time and sorts them; those without use come last. What is taken adds up to each source's schedule."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    out = mixing.mix(docs.repartition(7)).collect()
+    position = [2.0 if r.position is None else r.position for r in out]
+    assert position == sorted(position) and position[0] == 0 and position[-1] == 2
+    mine = [r for r in out if r.source == "b" and r["size"]]
+    for r in mine:
+        ends = [min(r.begin + k * r.source_size + r["size"], math.floor(r.target)) - min(r.begin + k * r.source_size, math.floor(r.target)) for k in range(2)]
+        assert r.taken == sum(ends)
