@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_width
+from .common import shuffle_width, stored
 
 #: Kind: (pattern, shortest match, group whose length counts). For runs of one class a count of at least n finds the same
 #: maximal runs as ``+`` with a filter on length; for assign it would not, as a match that fails still uses up its text.
@@ -95,15 +95,12 @@ def find_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose own text has no secret, with all their columns; null and empty texts stay.
+    """The rows of docs (text) in whose own text ``find_secrets`` finds no span, with all their columns; null and empty texts stay.
 
-    Rows are judged one by one, whatever their ids. A weak candidate is a secret only beside a base secret (all COMPLEMENTS are base kinds),
-    so a row has secrets, for any scope, if and only if it has a base secret: a filter does, with no join or shuffle.
+    What the scan finds depends on the text alone, so it goes by a 128-bit digest of the text and not by ids: null and repeated ids are judged row by row. Equal texts go or stay together. Other columns are
+    not read.
     """
-    text = F.col("text")
-
-    def has(kind: str) -> Column:
-        pattern, least, group = BASE[kind]
-        return text.rlike(pattern) & F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
-
-    return docs.where(~F.coalesce(reduce(lambda a, b: a | b, map(has, BASE)), F.lit(False)))
+    digest = F.md5("text")
+    found = find_secrets(docs.select(digest.alias("doc_id"), "text")).where(F.size("secrets") > 0)
+    found = stored(found.select(F.col("doc_id").alias("__text")).distinct(), "secrets")
+    return docs.select(digest.alias("__text"), F.struct("*").alias("__row")).join(found, "__text", "left_anti").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -31,3 +31,21 @@ def test_secrets_stage_judges_rows(spark, sf_dir):
     rows = [(None, "clean words", "en", "a", 1), (None, "token = abcdefgh123", "en", "a", 1), (2, "one two three", "en", "a", 1), (2, "one two three", "en", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert dict(corpus_pipeline.STAGES)["secrets"](spark, docs, sf_dir).count() == 3
+
+
+def test_secrets_stage_goes_through_the_scan(spark, sf_dir, monkeypatch):
+    """What the stage drops is what find_secrets finds, linked spans included."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    scan, seen = secrets.find_secrets, []
+
+    def only_linked(docs, **more):
+        seen.append(docs)
+        return scan(docs, **more).withColumn("secrets", F.filter("secrets", lambda s: s["linked"]))
+
+    monkeypatch.setattr(secrets, "find_secrets", only_linked)
+    rows = [(1, "user: bobby password=abcdefgh1", "en", "a", 1), (2, "password=abcdefgh1", "en", "a", 1), (None, "clean", "en", "a", 1), (None, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, sf_dir).collect()
+    assert Counter(map(tuple, out)) == Counter(rows[1:]) and seen
