@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import release
+from .arrow import map_batches, release
 from .common import shuffle_width
 
 
@@ -98,7 +98,7 @@ def run_blocks(rows: DataFrame, member: str, work: Callable[[pa.Table, np.ndarra
             yield from finish(held)
         release()
 
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrow import pieces, ragged
+from .arrow import map_batches, pieces, ragged
 
 #: The word pattern of byte-level BPE vocabularies (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -252,4 +252,4 @@ def encode(docs: DataFrame, path: str, text: str = "text", decode: bool = True)
                 columns.append(pa.array(t.decode_batch(ids, counts), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "decoded"][: len(columns)])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

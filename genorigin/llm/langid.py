@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import pieces, ragged, release
+from .arrow import map_batches, pieces, ragged, release
 
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3,
 
     fields = [drawn.schema[c] for c in ("__u", "doc_id", "label", "seed")]
     extra = [T.StructField(c, T.ArrayType(k)) for c, k in (("ids", T.IntegerType()), ("counts", T.IntegerType()), ("pieces", T.StringType()))]
-    got = drawn.mapInArrow(run, T.StructType([*fields, *extra])).toArrow().combine_chunks()
+    got = map_batches(drawn, run, T.StructType([*fields, *extra])).toArrow().combine_chunks()
     keys = got.select(["__u", "doc_id", "label", "seed"]).to_pandas()
     order = keys.sort_values([*keys.columns], kind="stable").index.to_numpy()
     ids, counts, texts = (got.column(c).chunk(0) if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("ids", "counts", "pieces"))
@@ -334,4 +334,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*[piece.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, *[x.name for x in new]]
             )
 
-    return docs.mapInArrow(run, T.StructType([*keep, *new]))
+    return map_batches(docs, run, T.StructType([*keep, *new]))
