@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pieces, ragged, raw
+from .arrow import map_batches, pieces, ragged, raw
 from .blocks import block_pairs, forest, run_blocks
 from .common import stored
 from .components import connected
@@ -201,29 +201,27 @@ def _shingles(words: int):
             codes, counts = shingle_sets(*raw(piece.column("text")), words)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*[piece.column(c) for c in ("keys", "class", "size", "signature")], pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))],
-                ["keys", "class", "size", "signature", "shingles"],
+                [*[piece.column(c) for c in ("meets", "class", "size", "signature")], pa.ListArray.from_arrays(offsets, pa.array(codes.view(np.int64)))],
+                ["meets", "class", "size", "signature", "shingles"],
             )
 
     return run
 
 
-KEYS = "keys array<struct<key: string, band: int>>"
+MEETS = "meets array<struct<block: string, side: int, band: int>>"
 
 
 def _keys_to_compare(grouped: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(class, keys): under which keys a class meets the others of its group: the group, or, where that is a chain, its buckets with their bands."""
+    """(class, key, band): under which keys a class meets the others of its group: the group (band -1), or, where that is a chain, its buckets with their bands."""
     pairs = lambda: F.count(F.lit(1)).cast("double") * F.count(F.lit(1))
     inside = crowded.join(grouped.select("class", "group"), "class")
     buckets = inside.groupBy("group", "bucket").agg(pairs().alias("pairs")).groupBy("group").agg(F.sum("pairs").alias("in_buckets"))
     sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEMBERS)
     chains = sizes.join(buckets, "group").where(F.col("n").cast("double") * F.col("n") > CHAIN * F.col("in_buckets"))
     chains = stored(chains.select("group"), "chains")
-    struct = lambda key, band: F.struct(key.alias("key"), band.cast("int").alias("band"))
-    whole = grouped.join(chains, "group", "left_anti").select("class", F.array(struct(F.col("group"), F.lit(-1))).alias("keys"))
+    whole = grouped.join(chains, "group", "left_anti").select("class", F.col("group").alias("key"), F.lit(-1).alias("band"))
     key = F.concat_ws("/", "group", F.col("bucket").cast("string"))
-    parts = inside.join(chains, "group", "left_semi").groupBy("class").agg(F.collect_list(struct(key, F.col("band"))).alias("keys"))
-    return whole.unionByName(parts)
+    return whole.unionByName(inside.join(chains, "group", "left_semi").select("class", key.alias("key"), F.col("band").cast("int").alias("band")))
 
 
 def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -232,7 +230,7 @@ def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) ->
     tie is the md5 of the text; first the first row of a class (none, doc_id, tie), rows without id after all others; root a name of its component.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("tie"), "text")
-    prints = stored(texts.mapInArrow(_prints(words), "doc_id long, tie string, class string, signature binary"), "prints")
+    prints = stored(map_batches(texts, _prints(words), "doc_id long, tie string, class string, signature binary"), "prints")
     classes = stored(
         prints.groupBy("class").agg(
             F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.min("signature").alias("signature"),
@@ -245,18 +243,19 @@ def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) ->
     keys = classes.select("class", bands.alias("band", "bucket"))
     full = stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "full")
     crowded = stored(keys.join(full, "bucket"), "crowded")
-    members = crowded.join(classes.select("class", "signature"), "class")
+    members = block_pairs(crowded, "bucket", "class").join(classes.select("class", "signature"), "class")  # names are dealt into blocks; what they compare is joined last, and moves once
     rule = fewest_matches(threshold, tolerance)
-    near = run_blocks(block_pairs(members, "bucket", "class"), "class", _survivors(rule), "a string, b string")
+    near = run_blocks(members, "class", _survivors(rule), "a string, b string")
     groups = connected(near, "candidates").select(F.col("node").alias("class"), F.col("root").alias("group"))
     grouped = stored(classes.drop("first").join(groups, "class"), "grouped")
-    compared = _keys_to_compare(grouped, crowded)
+    compared = block_pairs(stored(_keys_to_compare(grouped, crowded), "keys"), "key", "class", 256)
+    compared = compared.groupBy("class").agg(F.collect_list(F.struct("block", "side", "band")).alias("meets"))
     heads = prints.drop("signature").join(grouped.join(compared, "class"), "class").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["class"])
     same = texts["doc_id"].eqNullSafe(heads["doc_id"]) & (texts["tie"] == heads["tie"])
-    with_text = texts.join(heads, same).select("keys", "class", "size", "signature", "text").dropDuplicates(["class"])
-    sets = with_text.mapInArrow(_shingles(words), f"{KEYS}, class string, size long, signature binary, shingles array<long>")
-    sets = sets.select(F.explode("keys").alias("k"), "class", "size", "signature", "shingles").select("k.key", "k.band", "class", "size", "signature", "shingles")
-    found = stored(run_blocks(block_pairs(sets, "key", "class", 256), "class", _verified(rule, threshold), "class string, links long, other string", 512), "links")
+    with_text = texts.join(heads, same).select("meets", "class", "size", "signature", "text").dropDuplicates(["class"])
+    sets = map_batches(with_text, _shingles(words), f"{MEETS}, class string, size long, signature binary, shingles array<long>")
+    sets = sets.select(F.explode("meets").alias("m"), "class", "size", "signature", "shingles").select("m.*", "class", "size", "signature", "shingles")
+    found = stored(run_blocks(sets, "class", _verified(rule, threshold), "class string, links long, other string", 512), "links")
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = connected(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")), "groups")
     labelled = classes.join(counts, "class", "left").join(parts, classes["class"] == parts["node"], "left").select(
