@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .arrow import pieces, raw
+from .arrow import map_batches, pieces, raw
 from .common import shuffle_width, stored
 from .hashing import mixed, word_hashes
 
@@ -137,7 +137,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             w = Words(piece.column("text"), piece.column("lang"))
             yield pa.RecordBatch.from_arrays([w.lang.cast(pa.string()), w.word.cast(pa.string()), pa.array(w.count, pa.int64())], ["lang", "phrase", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    return map_batches(docs.select("text", "lang"), run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
 def _pairs(w: Words, passes: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ def pair_hashes(docs: DataFrame, words: Filter, least: int) -> DataFrame:
             _, _, h, count = _pairs(Words(piece.column("text"), piece.column("lang")), sent.value)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count, pa.int64())], ["hash", "n"])
 
-    counted = docs.select("text", "lang").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs.select("text", "lang"), run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= least).select("hash")
 
 
@@ -182,7 +182,7 @@ def phrase_counts(docs: DataFrame, words: Filter, pairs: Filter) -> DataFrame:
                 lang = w.lang.take(pa.array(w.row[here])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(here), size), pa.int32()), pa.array(count, pa.int64())], ["lang", "phrase", "size", "n"])
 
-    rows = docs.select("text", "lang").mapInArrow(run, "lang string, phrase string, size int, n long")
+    rows = map_batches(docs.select("text", "lang"), run, "lang string, phrase string, size int, n long")
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
 
 
