@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .arrow import pieces, ragged, raw, release
-from .common import stored
+from .common import drop_stored, stored
 from .hashing import Rolling, anchored_paths, word_hashes, word_spans
 from .rows import TIES, ordered_ids, tied
 
@@ -135,6 +135,7 @@ def repeated_pieces(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame
     several = stored(found.join(anchors, "anchor"), "pieces")
     firsts = stored(several.groupBy("anchor", "path1", "path2").agg(F.min(place).alias("source")), "firsts")
     known = stored(several.join(firsts, ["anchor", "path1", "path2"]), "known")
+    drop_stored(docs.sparkSession, anchors, several, firsts)
     columns = [*KEY, "start", "edges", "path1", "node1", "node2", "source"]
     whole = known.where("doc > source.doc").select(columns)
     own = known.where("branches and doc = source.doc")
@@ -143,7 +144,9 @@ def repeated_pieces(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame
     shared = edges.groupBy("path1", "path2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(place).alias("source")).where("least < most")
     shared = stored(shared.select("path1", "path2", "source"), "shared")
     single = edges.join(shared, ["path1", "path2"]).where("doc > source.doc").withColumn("edges", F.lit(1))
-    return stored(whole.unionByName(single.select(columns)), "repeated")
+    repeated = stored(whole.unionByName(single.select(columns)), "repeated")
+    drop_stored(docs.sparkSession, known, edges, shared)
+    return repeated
 
 
 def unitigs(repeated: DataFrame, rounds: int = 60) -> DataFrame:
