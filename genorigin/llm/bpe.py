@@ -3,7 +3,8 @@
 For the distinct words of a piece of text, the longest vocabulary entry at every byte is looked up for all words at once, and
 walking from entry to entry proposes a word's tokens. A proposal is the BPE encoding exactly if every
 adjacent pair of its tokens encodes to itself, so all pairs of all words are checked against a table of pairs known to be compatible or not;
-pairs not met before are decided by exact merging of their bytes. Only words with a failing pair are merged exactly.
+pairs not met before are decided by exact merging of their bytes. Only words with a failing pair are merged exactly, short ones all at once,
+a merge of each a round.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from .arrow import map_batches, pieces, ragged
 #: The word pattern of byte-level BPE vocabularies (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, their characters, and pairs that a task remembers; beyond, it starts afresh, and so it does after a batch with a word of over LONG characters.
-WORDS, CHARACTERS, PAIRS, LONG = 150_000, 1 << 23, 300_000, 1 << 12
+WORDS, CHARACTERS, PAIRS, LONG = 225_000, 1 << 23, 300_000, 1 << 12
+#: Words of up to so many bytes are merged together, so many at a time; NEVER is the rank of a pair that does not merge.
+SHORT, TOGETHER, NEVER = 48, 2048, 2**31 - 1
+#: Bits of a hash that tell most places without a vocabulary entry.
+FIRST = 18
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,6 +59,7 @@ class Tokenizer:
         self.words = regex.compile(PATTERN).findall
         self.single = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
         self._index()
+        self._index_merges()
         n = max(self.token) + 1
         self.token_size = np.array([len(self.token.get(i, b"")) for i in range(n)], np.int64)
         self.token_start = np.cumsum(self.token_size) - self.token_size
@@ -62,12 +68,14 @@ class Tokenizer:
         self._fresh()
 
     def _fresh(self) -> None:
+        """Forget all words but the added tokens. place: a word's number; store: by number, where its tokens start in known, and how many they are."""
         self.place: dict[str, int] = {s: i for i, s in enumerate(self.added)}
-        self.store = [np.array([self.added[s]], np.int32) for s in self.added]
+        self.known = np.array([*self.added.values()], np.int32)
+        self.store = np.stack([np.arange(len(self.known)), np.ones(len(self.known), np.int64)], axis=1)
         self.held = 0
 
     def _index(self) -> None:
-        """Vocabulary entries by length, each length's polynomial hashes sorted."""
+        """Vocabulary entries by length, each length's polynomial hashes sorted, and which first FIRST bits they have."""
         self.mul = np.uint64(0x9E3779B97F4A7C15 | 1)
         self.value = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         by_size: dict[int, list[bytes]] = {}
@@ -81,7 +89,75 @@ class Tokenizer:
             order = np.argsort(codes)
             if len(np.unique(codes)) < len(codes):
                 raise ValueError("two vocabulary entries share a hash")
-            self.by_size[size] = codes[order], np.array([self.id_of[group[i]] for i in order], np.int64), [group[i] for i in order]
+            had = np.zeros(1 << FIRST, bool)
+            had[codes >> np.uint64(64 - FIRST)] = True
+            self.by_size[size] = codes[order], np.array([self.id_of[group[i]] for i in order], np.int64), had
+
+    def _index_merges(self) -> None:
+        """Ranks of the pairs that merge: of pairs of bytes in a table, of all sorted by pair; and what each rank makes."""
+        codes = np.array([a << 20 | b for a, b in self.merges] + [2**62], np.int64)
+        ranks, made = np.array([*self.merges.values(), (NEVER, 0)], np.int64).T
+        order = np.argsort(codes)
+        self.merge_codes, self.merge_ranks = codes[order], ranks[order].astype(np.int32)
+        self.made = np.zeros(max(ranks[:-1], default=0) + 1, np.int32)
+        self.made[ranks[:-1]] = made[:-1]
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.byte_ranks = self.rank(self.single[a], self.single[b])
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, NEVER where it has none; -1 is no token."""
+        codes = left.astype(np.int64) << 20 | right
+        at = np.searchsorted(self.merge_codes, codes)
+        at[codes < 0] = len(self.merge_codes) - 1
+        return np.where(self.merge_codes[at] == codes, self.merge_ranks[at], np.int32(NEVER))
+
+    def exact_short(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A row of tokens of each word, filled up with -1: as ``exact``, with a merge of every word in each round."""
+        width = int(sizes.max())
+        column = np.arange(width)
+        inside = column < sizes[:, None]
+        byte = np.where(inside, data[np.minimum(starts[:, None] + column, len(data) - 1)], 0).astype(np.int64)
+        ids = np.where(inside, self.single[byte], -1).astype(np.int32)
+        ranks = np.where(inside[:, 1:], self.byte_ranks[byte[:, :-1] << 8 | byte[:, 1:]], np.int32(NEVER))
+        out, row = np.full(ids.shape, -1, np.int32), np.arange(len(ids))
+        while width > 1:
+            at = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(at)), at]
+            if (low == NEVER).any():
+                ended, on = low == NEVER, low != NEVER
+                out[row[ended], :width] = ids[ended]
+                ids, ranks, at, low, row = ids[on], ranks[on], at[on], low[on], row[on]
+            if not len(row):
+                return out
+            width -= 1
+            k, new = np.arange(len(row)), self.made[low]
+            shift = column[:width] + (column[:width] > at[:, None])
+            ids = np.take_along_axis(ids, shift, axis=1)
+            ids[k, at] = new
+            ranks = np.take_along_axis(ranks, shift[:, : width - 1], axis=1)
+            some = np.flatnonzero(at > 0)
+            ranks[some, at[some] - 1] = self.rank(ids[some, at[some] - 1], new[some])
+            some = np.flatnonzero(at + 1 < width)
+            ranks[some, at[some]] = self.rank(new[some], ids[some, at[some] + 1])
+        out[row, :width] = ids
+        return out
+
+    def exact_many(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``exact`` of many words of these bytes: all tokens one word after the other, and each word's count."""
+        order = np.argsort(sizes, kind="stable")
+        short = order[: int(np.searchsorted(sizes[order], SHORT, "right"))]
+        runs, counts = [np.zeros(0, np.int32)], np.zeros(len(sizes), np.int64)
+        for some in (short[k : k + TOGETHER] for k in range(0, len(short), TOGETHER)):
+            got = self.exact_short(data, starts[some], sizes[some])
+            counts[some] = (got >= 0).sum(axis=1)
+            runs.append(got[got >= 0])
+        for k in order[len(short) :].tolist():
+            runs.append(np.array(self.exact(data[starts[k] : starts[k] + sizes[k]].tobytes()), np.int32))
+            counts[k] = len(runs[-1])
+        first = np.cumsum(counts[order]) - counts[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = first
+        return np.concatenate(runs)[ragged(place, counts)], counts
 
     def exact(self, word: bytes) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
@@ -133,16 +209,17 @@ class Tokenizer:
                 break
             codes = codes * self.mul + self.value[data[at + size - 1]]
             if size > 1 and size in self.by_size:
-                table, ids, entries = self.by_size[size]
-                k = np.minimum(np.searchsorted(table, codes), len(table) - 1)
-                hit = np.flatnonzero(table[k] == codes)
-                best[at[hit]] = ids[k[hit]]
+                table, ids, had = self.by_size[size]
+                may = np.flatnonzero(had[codes >> np.uint64(64 - FIRST)])
+                k = np.minimum(np.searchsorted(table, codes[may]), len(table) - 1)
+                hit = table[k] == codes[may]
+                best[at[may[hit]]] = ids[k[hit]]
         return best
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The tokens of each word."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the words one after the other, and each word's count."""
         if not words:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         encoded = [w.encode("utf-8", "replace") for w in words]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         ends = np.cumsum(sizes)
@@ -171,10 +248,14 @@ class Tokenizer:
             if key not in self.pairs:
                 self.pairs[key] = self.exact(self.token[t]) == [t]
         bad[alone] |= ~np.array([self.pairs[-1 - t] for t in ids[first[alone]].tolist()], bool)
-        out = np.split(ids.astype(np.int32), first[1:])
-        for k in np.flatnonzero(bad).tolist():
-            out[k] = np.array(self.exact(encoded[k]), np.int32)
-        return out
+        merged, of_bad = self.exact_many(data, (ends - sizes)[bad], sizes[bad])
+        good = ids[~bad[who]]
+        of_good, counts[bad] = counts[~bad], of_bad
+        first = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        out[ragged(first[~bad], of_good)] = good
+        out[ragged(first[bad], of_bad)] = merged
+        return out, counts
 
     def split(self, text: str) -> list[str]:
         if self.special is None or self.special.search(text) is None:
@@ -193,17 +274,14 @@ class Tokenizer:
         place = self.place
         new = [w for w in dict.fromkeys(flat) if w not in place]
         place.update(zip(new, range(len(self.store), len(self.store) + len(new)), strict=True))
-        self.store += self.encode_words(new)
+        tokens, sizes = self.encode_words(new)
+        self.store = np.concatenate([self.store, np.stack([len(self.known) + np.cumsum(sizes) - sizes, sizes], axis=1)])
+        self.known = np.concatenate([self.known, tokens])
         sizes = [len(w) for w in new]
         self.held += sum(sizes) if max(sizes, default=0) <= LONG else CHARACTERS + 1
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        used, index = np.unique(np.fromiter(map(place.__getitem__, flat), np.int64, len(flat)), return_inverse=True)
-        runs = [self.store[i] for i in used.tolist()]
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        tokens = np.concatenate([*runs, np.zeros(0, np.int32)])
-        starts = np.cumsum(sizes) - sizes
-        per_word = sizes[index] if len(flat) else np.zeros(0, np.int64)
-        ids = tokens[ragged(starts[index], per_word)] if len(flat) else tokens[:0]
+        starts, per_word = self.store[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))].T
+        ids = self.known[ragged(starts, per_word)]
         total = np.concatenate([[0], np.cumsum(per_word)])
         ends = np.cumsum(counts)
         return ids, total[ends] - total[ends - counts]
