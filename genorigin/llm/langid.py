@@ -171,6 +171,7 @@ def train(
 
     bags, y = made(fit, 3)
     told, y = Bags(bags), np.array(y)
+    del bags
     vectors = rng.uniform(-1 / width, 1 / width, (buckets, width))
     weights, bias = np.zeros((width, width_out)), np.zeros(width_out)
 
@@ -194,8 +195,10 @@ def train(
             used, where = np.unique(ids, return_inverse=True)
             for k in range(width):
                 vectors[used, k] -= lr * np.bincount(where, back[:, k], len(used))
+    del told
     bags, y = made(audit, PIECES)
     told, y = Bags(bags), np.array(y)
+    del bags
     logits = np.concatenate([hidden_of(told, some)[3] for some in np.array_split(np.arange(len(y)), max(1, len(y) // 256))]) @ weights + bias
     bits = np.frexp(told.total.astype(float))[1].astype(np.int64)
     temperatures, thresholds = calibrated(logits, y, bits, width_out - 1, keep, keep_short)
@@ -313,8 +316,12 @@ def fit(docs: DataFrame, label: str = "lang", held_out: int = 1, folds: int = 3,
     at = [np.asarray(x.offsets) for x in (ids, counts)]
     flat = [x.values.to_numpy() for x in (ids, counts)]  # rows of the sample are views of these
     sample = [Drawn(*(f[o[k] : o[k + 1]] for f, o in zip(flat, at, strict=True)), texts[int(k)].as_py()) for k in order]
+    del got
     release()
-    return train(sample, keys["label"].iloc[order].tolist())
+    model = train(sample, keys["label"].iloc[order].tolist())
+    del sample, ids, counts, texts, at, flat
+    release()  # the driver keeps no memory of the training for what comes after
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
