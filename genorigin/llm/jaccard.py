@@ -27,6 +27,7 @@ from .blocks import block_pairs, forest, run_blocks
 from .common import stored
 from .components import connected
 from .hashing import Rolling, word_hashes, word_spans
+from .sifted import sifted
 
 ROWS, BANDS, STEP = 4, 24, 16
 #: Pairs of a group for each pair within its buckets, and members, from which on only buckets are compared.
@@ -242,17 +243,19 @@ def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) ->
     )
     keys = classes.select("class", bands.alias("band", "bucket"))
     full = stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "full")
-    crowded = stored(keys.join(full, "bucket"), "crowded")
+    crowded = stored(sifted(keys, F.col("bucket"), full.select(F.col("bucket").alias("hash"))).join(full, "bucket"), "crowded")
     members = block_pairs(crowded, "bucket", "class").join(classes.select("class", "signature"), "class")  # names are dealt into blocks; what they compare is joined last, and moves once
     rule = fewest_matches(threshold, tolerance)
     near = run_blocks(members, "class", _survivors(rule), "a string, b string")
     groups = connected(near, "candidates").select(F.col("node").alias("class"), F.col("root").alias("group"))
-    grouped = stored(classes.drop("first").join(groups, "class"), "grouped")
+    grouped = stored(sifted(classes.drop("first"), F.xxhash64("class"), groups.select(F.xxhash64("class").alias("hash"))).join(groups, "class"), "grouped")
     compared = block_pairs(stored(_keys_to_compare(grouped, crowded), "keys"), "key", "class", 256)
     compared = compared.groupBy("class").agg(F.collect_list(F.struct("block", "side", "band")).alias("meets"))
     heads = prints.drop("signature").join(grouped.join(compared, "class"), "class").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["class"])
+    heads = stored(heads, "heads")
     same = texts["doc_id"].eqNullSafe(heads["doc_id"]) & (texts["tie"] == heads["tie"])
-    with_text = texts.join(heads, same).select("meets", "class", "size", "signature", "text").dropDuplicates(["class"])
+    named = F.xxhash64("doc_id", "tie")  # only texts that are compared are shuffled
+    with_text = sifted(texts, named, heads.select(named.alias("hash"))).join(heads, same).select("meets", "class", "size", "signature", "text").dropDuplicates(["class"])
     sets = map_batches(with_text, _shingles(words), f"{MEETS}, class string, size long, signature binary, shingles array<long>")
     sets = sets.select(F.explode("meets").alias("m"), "class", "size", "signature", "shingles").select("m.*", "class", "size", "signature", "shingles")
     found = stored(run_blocks(sets, "class", _verified(rule, threshold), "class string, links long, other string", 512), "links")
