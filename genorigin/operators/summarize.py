@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,21 +125,21 @@ def _checked_grid(n: int) -> int:
     return n
 
 
+def _grid_sums(px: np.ndarray, py: np.ndarray, a: float, b: float, c: float, x0: float, x1: float, y0: float, y1: float, n: int, first: int, rows: int) -> np.ndarray:
+    """The sums of a sample's kernels over some rows of its grid, gx by gx: a, b, c of the quadratic form, the grid's limits and points a side, the first row and how many. One row of cells by all points is
+    held at a time."""
+    dy = (y0 + np.arange(n) * ((y1 - y0) / max(n - 1, 1)))[:, None] - py
+    flat, cross = c * dy * dy, 2 * b * dy
+    sums = []
+    for i in range(first, min(n, first + rows)):
+        dx = x0 + i * ((x1 - x0) / max(n - 1, 1)) - px
+        sums.append(np.exp(-0.5 * (a * dx * dx + cross * dx + flat)).sum(axis=1))
+    return np.concatenate(sums)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _densities(xs: pd.Series, ys: pd.Series, shape: pd.DataFrame) -> pd.Series:
-    """The sums of a sample's kernels over some rows of its grid, gx by gx. shape: a, b, c of the quadratic form, the grid's limits and points a side, the first row and how many. One row of cells by all
-    points is held at a time."""
-    out = []
-    for px, py, (a, b, c, x0, x1, y0, y1, n, first, rows) in zip(xs, ys, shape.itertuples(index=False), strict=True):
-        n = int(n)
-        dy = (y0 + np.arange(n) * ((y1 - y0) / max(n - 1, 1)))[:, None] - py
-        flat, cross = c * dy * dy, 2 * b * dy
-        sums = []
-        for i in range(int(first), min(n, int(first + rows))):
-            dx = x0 + i * ((x1 - x0) / max(n - 1, 1)) - px
-            sums.append(np.exp(-0.5 * (a * dx * dx + cross * dx + flat)).sum(axis=1))
-        out.append(np.concatenate(sums))
-    return pd.Series(out)
+    return pd.Series([_grid_sums(px, py, *form, int(n), int(first), int(rows)) for px, py, (*form, n, first, rows) in zip(xs, ys, shape.itertuples(index=False), strict=True)])
 
 
 def _tasks(df: DataFrame) -> int:
@@ -146,13 +148,8 @@ def _tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def kde_surface(predictions: DataFrame, n: int = 100, limits: DataFrame | None = None) -> DataFrame:
-    """The density of each sample's replicate predictions on an n by n grid: (sampleid, gx, gy, density).
-
-    A Gaussian kernel with the sample's own covariance times Scott's factor squared, count ** (-1/3). limits: one row (xmin, xmax, ymin, ymax), by default the extent
-    of all predictions. Samples with fewer than three predictions, or a covariance that cannot be inverted, have no surface. Points are gathered by sample (they are replicates); a sample and some
-    rows of its grid are a piece of work, and pieces are dealt to a given number of tasks, as they have few bytes before they are unfolded and many after.
-    """
+def _kernels(predictions: DataFrame, n: int, limits: DataFrame | None) -> DataFrame:
+    """Samples that have a surface, a row each: their points, number of points, quadratic form (a, b, c), norm and the limits of the grid."""
     from genorigin.operators.samples import map_extent
 
     _checked_grid(n)
@@ -163,10 +160,20 @@ def kde_surface(predictions: DataFrame, n: int = 100, limits: DataFrame | None =
     )
     h = F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
     usable = stats.withColumn("det", F.col("vx") * F.col("vy") - F.col("vxy") * F.col("vxy")).where("n > 2 and det > 0 and det > 1e-12 * vx * vy")
-    scaled = usable.select(
+    return usable.select(
         "sampleid", "points", "n", (F.col("vy") / F.col("det") / h).alias("a"), (-F.col("vxy") / F.col("det") / h).alias("b"), (F.col("vx") / F.col("det") / h).alias("c"),
         (2 * F.lit(3.141592653589793) * F.sqrt(F.col("det")) * h).alias("norm"),
     ).crossJoin(box)
+
+
+def kde_surface(predictions: DataFrame, n: int = 100, limits: DataFrame | None = None) -> DataFrame:
+    """The density of each sample's replicate predictions on an n by n grid: (sampleid, gx, gy, density).
+
+    A Gaussian kernel with the sample's own covariance times Scott's factor squared, count ** (-1/3). limits: one row (xmin, xmax, ymin, ymax), by default the extent
+    of all predictions. Samples with fewer than three predictions, or a covariance that cannot be inverted, have no surface. Points are gathered by sample (they are replicates); a sample and some
+    rows of its grid are a piece of work, and pieces are dealt to a given number of tasks, as they have few bytes before they are unfolded and many after.
+    """
+    scaled = _kernels(predictions, n, limits)
     pieces = scaled.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(ROWS)))).repartition(4 * _tasks(predictions), "sampleid", "first")
     sums = _densities(F.col("points")["x"], F.col("points")["y"], F.struct("a", "b", "c", "xmin", "xmax", "ymin", "ymax", F.lit(n).alias("side"), "first", F.lit(ROWS).alias("rows")))
     cells = pieces.select("sampleid", "n", "norm", "xmin", "xmax", "ymin", "ymax", "first", F.posexplode(sums).alias("at", "total")).withColumn("k", F.col("at") + F.col("first") * n)
@@ -267,3 +274,51 @@ def hdr_levels(surface: DataFrame, masses: tuple[float, ...] = (0.95, 0.5, 0.1))
     level = F.col("d0") + (F.col("density") - F.col("d0")) * (F.col("t") - F.col("m0")) / (F.col("m1") - F.col("m0"))
     every = grids.select("sampleid", F.explode(F.array(*[F.lit(m) for m in masses])).alias("mass"))
     return every.join(hit.select("sampleid", "mass", level.alias("level")), ["sampleid", "mass"], "left")
+
+
+def _on_grids(predictions: DataFrame, n: int, limits: DataFrame | None, told: Callable[[pa.Scalar, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """What is told of each sample's surface, from its id and the gx, gy and densities of its cells in order of gx and gy. A sample's grid is made, used and dropped in one place, so cells are never shuffled."""
+    form = ["a", "b", "c", "xmin", "xmax", "ymin", "ymax"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = zip(*[batch.column(c).to_numpy() for c in [*form, "n", "norm"]], strict=True)
+            for k, (*own, many, norm) in enumerate(shapes):
+                gx, gy = (low + np.arange(n) * ((high - low) / max(n - 1, 1)) for low, high in (own[3:5], own[5:7]))
+                sums = _grid_sums(*[batch.column(c)[k].values.to_numpy() for c in ("xs", "ys")], *own, n, 0, n)
+                yield told(batch.column("sampleid")[k], np.repeat(gx, n), np.tile(gy, n), sums / many / norm)
+
+    rows = _kernels(predictions, n, limits).repartition(4 * _tasks(predictions), "sampleid")
+    return rows.select("sampleid", F.col("points")["x"].alias("xs"), F.col("points")["y"].alias("ys"), *form, "n", "norm").mapInArrow(run, schema)
+
+
+def _fields(predictions: DataFrame, *names: str) -> T.StructType:
+    return T.StructType([predictions.schema["sampleid"], *[T.StructField(c, T.DoubleType()) for c in names]])
+
+
+def kde_hdr_cumulative(predictions: DataFrame, n: int = 100, limits: DataFrame | None = None) -> DataFrame:
+    """``hdr_cumulative`` of ``kde_surface``, worked out sample by sample: (sampleid, gx, gy, density, mass). Where all cells have a density of 0, mass is null."""
+
+    def told(i: pa.Scalar, gx: np.ndarray, gy: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(-np.round(d, 9), kind="stable")
+        mass = np.cumsum(d[order])
+        share = pa.array(mass / mass[-1]) if mass[-1] > 0 else pa.nulls(len(d), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.repeat(i, len(d)), *map(pa.array, (gx[order], gy[order], d[order])), share], ["sampleid", "gx", "gy", "density", "mass"])
+
+    return _on_grids(predictions, n, limits, told, _fields(predictions, "gx", "gy", "density", "mass"))
+
+
+def kde_hdr_levels(predictions: DataFrame, masses: tuple[float, ...] = (0.95, 0.5, 0.1), n: int = 100, limits: DataFrame | None = None) -> DataFrame:
+    """``hdr_levels`` of ``kde_surface``, worked out sample by sample: (sampleid, mass, level)."""
+
+    def told(i: pa.Scalar, gx: np.ndarray, gy: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        side = [(g[-1] - g[0]) / max(n - 1, 1) for g in (gx, gy)]
+        d = np.sort(d)
+        m = np.cumsum(d) * (side[0] * side[1])
+        levels = []
+        for t in (1 - mass for mass in masses):
+            k = int(np.searchsorted(m, t))
+            levels.append(float(d[k - 1] + (d[k] - d[k - 1]) * (t - m[k - 1]) / (m[k] - m[k - 1])) if 0 < k < len(m) else None)
+        return pa.RecordBatch.from_arrays([pa.repeat(i, len(masses)), pa.array(masses, pa.float64()), pa.array(levels, pa.float64())], ["sampleid", "mass", "level"])
+
+    return _on_grids(predictions, n, limits, told, _fields(predictions, "mass", "level"))
