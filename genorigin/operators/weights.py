@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,36 @@ def kde_pairs(points: DataFrame) -> DataFrame:
     return left.join(right, ["bi", "bj"]).select("sampleid", F.col("other_sampleid").alias("other"), (d("x") + d("y")).alias("d2"))
 
 
+def kde_pair_totals(points: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """By sample the number of its pairs of ``kde_pairs`` and the sum of their squared distances: (sampleid, pairs, total).
+
+    Every pair is worked out, but added up in the task of its blocks, which gives a row a point. There are some 32 blocks, so that points are sent so often and no more, or more blocks if these would have
+    over ``most`` points; a task holds two of them, and distances of a few points at a time.
+    """
+    n = points.count()
+    size = max(1024, min(most, -(-n // 32)))
+    left, right = block_pairs(points.select("sampleid", "x", "y"), n, ["sampleid", "x", "y"], size)
+    spark = points.sparkSession
+    tasks = min(max(1, -(-n // size)) ** 2, 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))  # few bytes, long work
+    left, right = (rows.repartition(tasks, "bi", "bj") for rows in (left, right.drop("other_sampleid")))
+
+    def run(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        x, y, ox, oy = (c.to_numpy(float) for c in (mine["x"], mine["y"], others["other_x"], others["other_y"]))
+        total = np.zeros(len(x))
+        step = max(1, (1 << 18) // max(1, len(ox)))
+        for at in range(0, len(x), step):
+            dx, dy = x[at : at + step, None] - ox, y[at : at + step, None] - oy
+            dx *= dx
+            dy *= dy
+            dx += dy
+            total[at : at + step] = dx.sum(axis=1)
+        return pd.DataFrame({"sampleid": mine["sampleid"], "pairs": len(ox), "total": total})
+
+    kind = points.schema["sampleid"].dataType.simpleString()
+    sums = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(run, f"sampleid {kind}, pairs long, total double")
+    return sums.groupBy("sampleid").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
+
+
 def kde_weights(points: DataFrame, lam: float = 1.0, bandwidth: float | None = None) -> DataFrame:
     """One over the Gaussian kernel density at each point, divided by the least, to the power lam, divided by the sum. The density's constant cancels."""
     h = bandwidth or bandwidth_argmax(bandwidth_scores(points))
