@@ -56,9 +56,20 @@ def scan_vcf(spark: SparkSession, path: str, region: tuple[str, int, int] | None
     both = F.explode(F.arrays_zip(F.col("names").alias("sampleid"), F.col("cells").alias("cell")))
     cells = body.join(heads, "file").select("chrom", "position", F.array_position("format", "GT").cast("int").alias("gt"), both.alias("c"))
     cells = cells.select("chrom", "position", "gt", "c.sampleid", "c.cell").where("sampleid is not null")
-    text = F.when(F.col("gt") > 0, F.get(F.split("cell", ":"), F.col("gt") - 1))
-    alleles = F.transform(F.split(F.coalesce(text, F.lit("./.")), r"[/|]"), lambda a: F.coalesce(a.try_cast("int"), F.lit(-1)))
-    return cells.select("sampleid", "chrom", "position", alleles.alias("alleles"))
+    return _with_alleles(cells).select("sampleid", "chrom", "position", "alleles")
+
+
+def _with_alleles(cells: DataFrame) -> DataFrame:
+    """Cells with the alleles of their genotype, the field gt (from 1; null: none). Two alleles of a digit or a point, which most genotypes are, are read by place; all others are split."""
+    field = F.when(F.col("gt") == 1, F.substring_index("cell", ":", 1)).when(F.col("gt") > 0, F.get(F.split("cell", ":"), F.col("gt") - 1))
+    at = lambda k: F.ascii(F.substring("text", k, 1))
+    rows = cells.withColumn("text", F.coalesce(field, F.lit("./.")))
+    rows = rows.withColumns({"a0": at(1), "a1": at(3)})
+    plain = lambda c: F.col(c).between(48, 57) | (F.col(c) == 46)
+    digit = lambda c: F.when(F.col(c) == 46, -1).otherwise(F.col(c) - 48)
+    split = F.transform(F.split("text", r"[/|]"), lambda a: F.coalesce(a.try_cast("int"), F.lit(-1)))
+    short = (F.length("text") == 3) & at(2).isin(47, 124) & plain("a0") & plain("a1")
+    return rows.withColumn("alleles", F.when(short, F.array(digit("a0"), digit("a1"))).otherwise(split))
 
 
 def scan_matrix(spark: SparkSession, path: str, chrom: str = "1") -> DataFrame:
@@ -203,10 +214,12 @@ def write_vcf(calls: DataFrame, path: str, parts: int = 4, blocks: bool = False)
     spark = calls.sparkSession
     names = calls.select("sampleid").distinct().agg(F.array_join(F.array_sort(F.collect_list("sampleid")), "\t").alias("names"))
     part = F.pmod(F.xxhash64("chrom", "position"), F.lit(parts)).cast("int")
-    cell = F.array_join(F.transform("alleles", lambda a: F.when(a < 0, ".").otherwise(a.cast("string"))), "/")
-    lines = calls.groupBy("chrom", "position").agg(F.array_sort(F.collect_list(F.struct("sampleid", cell.alias("gt")))).alias("cells"))
+    allele = lambda a: F.when(a < 0, ".").otherwise(a.cast("string"))
+    pair = F.concat_ws("/", *[allele(F.col("alleles")[k]) for k in (0, 1)])  # what most calls are; the same as below
+    cell = F.when(F.size("alleles") == 2, pair).otherwise(F.array_join(F.transform("alleles", allele), "/"))
+    lines = calls.groupBy("chrom", "position").agg(F.sort_array(F.collect_list(F.struct("sampleid", cell.alias("gt")))).alias("cells"))
     fixed = F.concat_ws("\t", "chrom", F.col("position").cast("string"), *map(F.lit, (".", "A", "C,G", ".", ".", ".", "GT")))
-    body = lines.select(part.alias("part"), "chrom", F.col("position").alias("ord"), F.concat_ws("\t", fixed, F.array_join(F.transform("cells", lambda c: c["gt"]), "\t")).alias("value"))
+    body = lines.select(part.alias("part"), "chrom", F.col("position").alias("ord"), F.concat_ws("\t", fixed, F.array_join(F.col("cells")["gt"], "\t")).alias("value"))
     columns = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"])
     each = spark.range(parts).select(F.col("id").cast("int").alias("part"))
     head = each.crossJoin(F.broadcast(names)).select("part", F.lit("").alias("chrom"), F.lit(-1).cast("long").alias("ord"), F.concat_ws("\t", F.lit(columns), "names").alias("value"))
